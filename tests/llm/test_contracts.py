@@ -1,9 +1,11 @@
 """Every query of the subpackage against a brute-force version, on one of the small tables."""
 
 import hashlib
+import math
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -192,3 +194,20 @@ def test_op10_simhash(spark, sf, documents):
     found = queries.op10_simhash(spark, sf).collect()
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in found} == {d: (f"{prints[d]:016x}", expected[d]) for d in prints}
     assert len(found) == len(prints)
+
+
+def test_op9_mixing(spark, sf, documents):
+    tokens = {d: re.findall(r"[^\x20\x09-\x0D]+", lowered(t)) + [None] for d, t in documents}
+    train = [d for d, _ in documents if zlib.crc32(str(d).encode()) % 7 != 2]
+    counts = Counter(w for d in train for w in tokens[d])
+    total, distinct = sum(counts.values()), len(counts)
+    found = {r.doc_id: r for r in queries.op9_mixing(spark, sf).collect()}
+    assert len(found) == len(documents)
+    for d, _ in documents:
+        r = found[d]
+        assert r.held_out == (d not in train) and r.train_tokens == total
+        assert (r.n_tokens, r.n_known) == (len(tokens[d]), sum(w in counts for w in tokens[d]))
+        assert abs(r.base_score - sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in tokens[d])) < 1e-6 * len(tokens[d])
+        assert r.score < 0
+    held = [r for r in found.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, packing, personal, simhash, sketches, substrings, toxicity, urls, vectors
+from wayfold.llm import bpe, mixing, packing, personal, simhash, sketches, substrings, toxicity, urls, vectors
 
 URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
 
@@ -23,11 +23,19 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def remainder(of: int) -> Column:
+    """crc32 of doc_id as text, modulo `of`."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of))
+
+
+def training_labels(labels: DataFrame) -> DataFrame:
+    return labels.where(remainder(4) != 2)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
-    model = toxicity.train(docs, labels.where(remainder != 2))
-    return toxicity.toxicity(docs, model).select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+    model = toxicity.train(docs, training_labels(labels))
+    return toxicity.toxicity(docs, model).select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,10 +68,17 @@ def op8_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "alike_edited", "alike_next")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = mixing.train(docs.where(remainder(7) != 2), remainder(7) == mixing.FIT)
+    held = F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out")
+    return mixing.score(docs, model).select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_substrings, op4_personal, op5_urls, op6_vectors, op7_bpe, op8_sketches, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_substrings, op4_personal, op5_urls, op6_vectors, op7_bpe, op8_sketches, op9_mixing, op10_simhash)}
 ORACLES: dict[str, str] = {}

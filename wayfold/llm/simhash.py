@@ -199,3 +199,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Repeated rows stay repeated; other columns of `docs` are not read.
     """
     return near_groups(keep(fingerprints(docs, id_col, text_col), "fingerprints"), radius)
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
+    """The rows of `docs`, all columns, of the smallest doc_id of each group.
+
+    Rows with a null doc_id stay; of rows that share a doc_id one stays.
+    """
+    groups = simhash_groups(docs, id_col, text_col, radius)
+    firsts = keep(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies")), "firsts")
+    mine = firsts.select(F.col("doc_id").alias(id_col))
+    kept = docs.join(mine, id_col, "left_semi").select(docs.columns)
+    if not firsts.where("copies > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -16,9 +16,11 @@ U64 = np.uint64
 
 
 def rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
-    """The named columns of each row as Python values."""
+    """The named columns of each row as Python values, some hundred rows at a time."""
     for batch in batches:
-        yield from zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns), strict=True)
+        own = batch.select(list(columns))
+        for k in range(0, own.num_rows, 500):
+            yield from zip(*(c.to_pylist() for c in own.slice(k, 500).columns), strict=True)
 
 
 def emit(found: Iterator[tuple], schema: pa.Schema, at_most: int = 20_000, mb: int = 16) -> Iterator[pa.RecordBatch]:
