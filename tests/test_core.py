@@ -60,10 +60,10 @@ def test_clean_counts(spark, cells, clean):
 
 
 def test_volumes_from_csv(spark, tmp_path):
-    head = ["NB_SCATS_SITE", "QT_INTERVAL_COUNT", "NB_DETECTOR", *[f"V{k:02d}" for k in range(96)], "A", "B", "C", "D"]
+    head = ["SITE", "DAY", "DETECTOR", *[f"V{k:02d}" for k in range(96)], "A", "B", "C", "D"]
     row = lambda site, day, counts: ",".join([site, f"{day} 00:00:00", "1", *counts, "0", "0", "0", "0"])
     (tmp_path / "v.csv").write_text("\n".join([",".join(head), row("10", "2017-10-01", [str(k) for k in range(96)]), row("11", "2017-07-01", ["x"] * 96), row("99", "2017-07-01", ["1"] * 96)]))
-    (tmp_path / "l.csv").write_text("NB_SCATS_SITE,a,b,DS_LOCATION,NB_DETECTOR,DT_GENERAL,NB_LANE,LANE_MVT,LOC_MVT,HF\n10,,,here,1,g,2,L,T,f1\n10,,,there,1,g,2,L,T,f1\n")
+    (tmp_path / "l.csv").write_text("SITE,a,b,LOCATION,DETECTOR,GENERAL,LANE,LANE_MVT,LOC_MVT,FLOW\n10,,,here,1,g,2,L,T,f1\n10,,,there,1,g,2,L,T,f1\n")
     (tmp_path / "p.csv").write_text('WKT,SITE_NO\n"POINT (144.9 -37.8)",10\n"POINT (144.9 -37.8)",11\n')
     (tmp_path / "r.csv").write_text('WKT,hfidl,hfidr\n"LINESTRING (144.9 -37.8, 144.91 -37.8)",f1,f2\n')
     got = apps.ingest_volumes(spark, *[str(tmp_path / f"{x}.csv") for x in "vlpr"]).orderBy("interval_ts").collect()
@@ -197,3 +197,11 @@ def test_command_line(spark, tmp_path, monkeypatch):
     cli.main(["clustered-by-hour", "--points", str(tmp_path / "c"), "--out", str(tmp_path / "h")])
     found = spark.read.parquet(str(tmp_path / "c"))
     assert spark.read.parquet(str(tmp_path / "h")).agg(F.sum("cnt")).first()[0] == found.where("cluster_id is not null").count()
+
+
+def test_messages_written_and_read_again(spark, tmp_path):
+    rows = [("tweet-1", utc(2024, 1, 2, 3, 4, 5), 144.9, -37.8, "hi", "a", ["x"], 1)]
+    points = spark.createDataFrame(rows, "obj_id string, ts timestamp, lon double, lat double, text string, screen_name string, tokens array<string>, sentiment int")
+    files.write_messages(files.messages_of(points), str(tmp_path / "m"))
+    again = files.points_of(files.parse_messages(spark.read.text(str(tmp_path / "m"))))
+    assert [tuple(r) for r in again.select(points.columns).collect()] == [tuple(r) for r in points.collect()]

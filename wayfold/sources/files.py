@@ -119,3 +119,19 @@ class KeyedTable:
         if v >= 1:  # readers may still be at the version before
             fs, _ = self._fs()
             fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={v - 1}"), True)
+
+
+def messages_of(points: DataFrame, zone_text: str = "+0000") -> DataFrame:
+    """(key, value): points as the JSON messages that parse_messages() reads, keyed by id."""
+    said = F.concat(F.date_format("ts", "E MMM dd HH:mm:ss "), F.lit(zone_text), F.date_format("ts", " yyyy"))
+    own = F.regexp_replace("obj_id", "^tweet-", "")
+    place = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
+    return points.select(own.alias("key"), F.to_json(F.struct(own.alias("id_str"), F.col("text"), place.alias("coordinates"), said.alias("created_at"), F.struct("screen_name").alias("user"), F.col("tokens"), F.col("sentiment"))).alias("value"))
+
+
+def write_messages(messages: DataFrame, target: str, fmt: str = "text", **options: str) -> None:
+    """Messages as text files of a folder, or to a Kafka topic where its connector is there."""
+    if fmt == "kafka":
+        messages.write.format("kafka").options(**options).option("topic", target).save()
+    else:
+        messages.select("value").write.mode("append").format(fmt).options(**options).save(target)
