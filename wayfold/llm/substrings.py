@@ -13,8 +13,9 @@ starts in a document with a smaller id.
    holds the consecutive windows of one document that share an anchor.
 3. Exact grouping.  Equal windows meet under their anchor, and the smallest
    document of each is found from 96-bit window hashes.  Anchors that the
-   sketch finds very frequent are not gathered: their windows are grouped by
-   Spark with map-side minima and joined back under skew splitting.
+   sketch finds very frequent are not gathered: the minima of their windows
+   are taken map-side first, and the most frequent windows, no more than
+   MOST_SENT, go to every task; the rest, none of which is frequent, is joined.
 4. The covered spans are joined to the documents once.
 
 The sketch is sized by the corpus up to MAX_SLOTS; beyond that it fills up and
@@ -26,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +40,8 @@ ANCHOR = 16
 MIN_SLOTS, MAX_SLOTS = 1 << 16, 1 << 27
 #: Slots that one merging step holds, and the estimate from which an anchor is very frequent.
 SEGMENT, FREQUENT = 1 << 16, 256
+#: Windows that are sent to every task at once, 20 bytes each.
+MOST_SENT = 1_000_000
 TALLY = np.dtype([("h", "<u8"), ("c", "<u4")])
 
 
@@ -168,31 +172,77 @@ def _candidates(batches: Iterator[pa.RecordBatch], width: int, sketch) -> Iterat
     yield from emit(found(), schema)
 
 
+def unpacked(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of rows (anchor, doc_id, text_hash, start, tallies), how many each row has, and their documents."""
+    every = np.frombuffer(b"".join([x[4] for x in held]), dtype=TALLY)
+    counts = np.array([len(x[4]) // TALLY.itemsize for x in held])
+    return every, counts, np.repeat(np.array([x[1] for x in held], dtype=np.int64), counts)
+
+
+def runs(held: list[tuple], counts: np.ndarray, gone: np.ndarray, width: int) -> Iterator[tuple]:
+    """The word spans under the windows of `held` that are gone."""
+    row = np.repeat(np.arange(len(held)), counts)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = np.nonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (gone[1:] != gone[:-1]))))[0]
+    stops = np.append(starts[1:], len(row))
+    for a, b in zip(starts[gone[starts]].tolist(), stops[gone[starts]].tolist(), strict=True):
+        _, doc, text_hash, start, _ = held[row[a]]
+        yield doc, text_hash, start + int(place[a]), start + int(place[b - 1]) + width
+
+
+SPANS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+
+
+def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, c, first, n): smallest document and number of rows of each window, one row for each batch that has it."""
+    for batch in batches:
+        held = list(rows([batch], "anchor", "doc_id", "text_hash", "start", "tallies"))
+        if not held:
+            continue
+        every, _, doc = unpacked(held)
+        order = np.lexsort((doc, every["c"], every["h"]))
+        h, c = every["h"][order], every["c"][order]
+        at = np.nonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]))))[0]
+        n = np.diff(np.append(at, len(h)))
+        yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(c[at].astype(np.int64)), pa.array(doc[order][at]), pa.array(n)], names=["h", "c", "first", "n"])
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch], width: int, sent) -> Iterator[pa.RecordBatch]:
+    """Covered spans by the windows that were sent here: sorted h, c and the smallest document."""
+    h, c, first = sent.value
+
+    def found() -> Iterator[tuple]:
+        for batch in batches:
+            held = list(rows([batch], "anchor", "doc_id", "text_hash", "start", "tallies"))
+            every, counts, doc = unpacked(held)
+            gone = np.zeros(len(every), dtype=bool)
+            at = np.searchsorted(h, every["h"])
+            while len(h):  # windows of equal h follow each other
+                inside = at < len(h)
+                same = inside & (h[np.minimum(at, len(h) - 1)] == every["h"])
+                if not same.any():
+                    break
+                k = np.minimum(at, len(h) - 1)
+                gone |= same & (c[k] == every["c"]) & (doc > first[k])
+                at = at + same
+                at[~same] = len(h)
+            yield from runs(held, counts, gone, width)
+
+    yield from emit(found(), SPANS)
+
+
 def _spans(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Covered word spans (doc_id, text_hash, start, stop) from candidate rows that come together by anchor."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
-    def judged(held: list[tuple]) -> list[tuple]:
-        blobs = [x[4] for x in held]
-        counts = np.array([len(b) // TALLY.itemsize for b in blobs])
-        every = np.frombuffer(b"".join(blobs), dtype=TALLY)
-        doc = np.repeat(np.array([x[1] for x in held], dtype=np.int64), counts)
+    def judged(held: list[tuple]) -> Iterator[tuple]:
+        every, counts, doc = unpacked(held)
         order = np.lexsort((doc, every["c"], every["h"]))
         h, c = every["h"][order], every["c"][order]
         new = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
         first = doc[order][new][np.cumsum(new) - 1]  # the smallest document of each window
         gone = np.empty(len(every), dtype=bool)
         gone[order] = doc[order] > first
-        row = np.repeat(np.arange(len(held)), counts)
-        place = np.arange(len(every)) - np.repeat(np.cumsum(counts) - counts, counts)
-        change = np.concatenate(([True], (row[1:] != row[:-1]) | (gone[1:] != gone[:-1])))
-        starts = np.nonzero(change)[0]
-        stops = np.append(starts[1:], len(every))
-        out = []
-        for a, b in zip(starts[gone[starts]].tolist(), stops[gone[starts]].tolist(), strict=True):
-            _, d, t, s, _ = held[row[a]]
-            out.append((d, t, s + int(place[a]), s + int(place[b - 1]) + width))
-        return out
+        return runs(held, counts, gone, width)
 
     def grouped() -> Iterator[tuple]:
         held: list[tuple] = []
@@ -204,7 +254,7 @@ def _spans(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
         if held:
             yield from judged(held)
 
-    yield from emit(grouped(), schema)
+    yield from emit(grouped(), SPANS)
 
 
 def repeated_spans(docs: DataFrame, width: int = 50) -> DataFrame:
@@ -220,25 +270,39 @@ def repeated_spans(docs: DataFrame, width: int = 50) -> DataFrame:
     rare = found.where("not frequent").drop("frequent").repartition("anchor").sortWithinPartitions("anchor")
     spans = rare.mapInArrow(lambda it: _spans(it, width), "doc_id long, text_hash long, start int, stop int")
 
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, text_hash, start, blob in rows(batches, "doc_id", "text_hash", "start", "tallies"):
-            t = np.frombuffer(blob, dtype=TALLY)
-            n = len(t)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(t["h"].view(np.int64)), pa.array(t["c"].astype(np.int64)), pa.array(np.full(n, doc)), pa.array(np.full(n, text_hash)), pa.array(np.arange(start, start + n, dtype=np.int32))],
-                names=["h", "c", "doc_id", "text_hash", "start"],
-            )
-
-    common = found.where("frequent").mapInArrow(single, "h long, c long, doc_id long, text_hash long, start int")
-    least = common.groupBy("h", "c").agg(F.min("doc_id").alias("first"))
-    late = common.join(least, ["h", "c"]).where("doc_id > first").select("doc_id", "text_hash", "start", (F.col("start") + width).alias("stop"))
-    return spans.unionByName(late)
-
-
-def _united(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    """The parts of range(n) outside all spans."""
+    common = found.where("frequent").drop("frequent")
+    least = keep(common.mapInArrow(_minima, "h long, c long, first long, n long").groupBy("h", "c").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1"), "minima")
+    many = 2
+    while least.where(F.col("n") >= many).count() > MOST_SENT:
+        many *= 4
+    got = least.where(F.col("n") >= many).select("h", "c", "first").toArrow()
+    h, c, first = (got.column(k).to_numpy() for k in range(3))
+    order = np.argsort(h.view(U64), kind="stable")
+    sent = spark.sparkContext.broadcast((h.view(U64)[order], c[order].astype("<u4"), first[order]))
+    kinds = "doc_id long, text_hash long, start int, stop int"
+    spans = spans.unionByName(common.mapInArrow(lambda it: _looked_up(it, width, sent), kinds))
+    if many > 2:  # what was not sent, at most `many` rows of each window
+        single = common.mapInArrow(_single, "h long, c long, doc_id long, text_hash long, start int")
+        late = single.join(least.where(F.col("n") < many), ["h", "c"]).where("doc_id > first")
+        spans = spans.unionByName(late.select("doc_id", "text_hash", "start", (F.col("start") + width).alias("stop")))
+    return spans
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each window."""
+    for doc, text_hash, start, blob in rows(batches, "doc_id", "text_hash", "start", "tallies"):
+        t = np.frombuffer(blob, dtype=TALLY)
+        n = len(t)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(t["h"].view(np.int64)), pa.array(t["c"].astype(np.int64)), pa.array(np.full(n, doc)), pa.array(np.full(n, text_hash)), pa.array(np.arange(start, start + n, dtype=np.int32))],
+            names=["h", "c", "doc_id", "text_hash", "start"],
+        )
+
+
+def _kept(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+    """The parts of range(n) outside all spans, which ascend."""
     kept, at = [], 0
-    for a, b in sorted(spans):
+    for a, b in spans:
         if a > at:
             kept.append((at, a))
         at = max(at, b)
@@ -247,32 +311,31 @@ def _united(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return kept
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50) -> DataFrame:
-    """(doc_id, text, n_words, n_removed): every document without the words that earlier documents hold.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, others: list[str] | None = None) -> DataFrame:
+    """(doc_id, text, n_words, n_removed, original, *others): every document without the words that earlier documents hold.
 
-    Words are unchanged; those kept are joined by one space.  A null text has
-    no words, and a text of fewer than `width` words keeps all.  A row with a
-    null doc_id is kept whole and takes nothing from others.  Rows that share
-    a doc_id take nothing from each other.  Repeated rows stay repeated; other
-    columns are not read.  Empty in, empty out.
+    Words are unchanged; those kept are joined by one space; `original` is the
+    text before.  A null text has no words, and a text of fewer than `width`
+    words keeps all.  A row with a null doc_id is kept whole and takes nothing
+    from others.  Rows that share a doc_id take nothing from each other.
+    Repeated rows stay repeated; columns other than `others` are not read.
+    Empty in, empty out.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    carried = F.struct(*[F.col(c) for c in others or []]) if others else F.lit(None)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("carried"))
     own = own.withColumn("text_hash", F.xxhash64("text"))
-    spans = repeated_spans(own, width)
+    spans = repeated_spans(own.select("doc_id", "text", "text_hash"), width)
     gathered = spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    joined = own.join(gathered, ["doc_id", "text_hash"], "left").select("doc_id", "text", "spans.start", "spans.stop")
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def kept() -> Iterator[tuple]:
-            for doc, text, starts, stops in rows(batches, "doc_id", "text", "start", "stop"):
-                words = (text or "").encode().split()
-                if starts:
-                    left = [w for a, b in _united(list(zip(starts, stops, strict=True)), len(words)) for w in words[a:b]]
-                else:
-                    left = words
-                yield doc, b" ".join(left).decode(), len(words), len(words) - len(left)
-
-        yield from emit(kept(), schema)
-
-    return joined.mapInArrow(cut, "doc_id long, text string, n_words long, n_removed long")
+    joined = own.join(gathered, ["doc_id", "text_hash"], "left")
+
+    @F.pandas_udf("text string, n_words long, n_removed long")
+    def cut(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, a, b in zip(texts, starts, stops, strict=True):
+            words = (text or "").encode().split()
+            left = words if a is None else [w for s, e in _kept(sorted(zip(a.tolist(), b.tolist(), strict=True)), len(words)) for w in words[s:e]]
+            out.append((b" ".join(left).decode(), len(words), len(words) - len(left)))
+        return pd.DataFrame(out, columns=["text", "n_words", "n_removed"])
+
+    found = joined.select("doc_id", cut("text", "spans.start", "spans.stop").alias("cut"), F.col("text").alias("original"), "carried")
+    return found.select("doc_id", "cut.*", "original", *[F.col(f"carried.{c}") for c in others or []])
