@@ -140,7 +140,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     n = distinct.count()
     wanted = min(MOST_PIVOTS, max(64, 1 << int(4 * n**0.5).bit_length() - 1))
     pivots: dict[int, np.ndarray] = {}
-    for dims in [r[0] for r in distinct.select(F.length("vec") / 8).distinct().limit(64).collect()]:
+    for dims in [r[0] for r in distinct.select(F.length("vec") / 8).distinct().collect()]:
         sample = distinct.where(F.length("vec") == 8 * dims).orderBy(F.xxhash64("copy")).limit(wanted).select("vec").collect()
         pivots[int(dims)] = matrix([bytes(r[0]) for r in sample])
     listed = keep(distinct.select("label", "node", "copies", "vec").mapInArrow(lambda it: _listed(it, pivots, nearest), "label long, dims int, pivot int, node long, copies long, vec binary, near binary"), "lists")
