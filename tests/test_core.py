@@ -182,12 +182,16 @@ def test_merge_is_transitive(spark):
 
 
 def test_keyed_table(spark, tmp_path):
-    t = files.KeyedTable(spark, str(tmp_path / "k"), "obj_id string, v int")
+    t = files.KeyedTable(spark, str(tmp_path / "k"), "obj_id string, v int", part="left(obj_id, 1)")
     assert t.read().count() == 0
     t.upsert(spark.createDataFrame([("a", 1), ("b", 1)], t.schema), 0)
     t.upsert(spark.createDataFrame([("b", 2), ("c", 2)], t.schema), 1)
     t.upsert(spark.createDataFrame([("a", 7)], t.schema), 1)
     assert {tuple(r) for r in t.read().collect()} == {("a", 1), ("b", 2), ("c", 2)}
+    assert {k: len(v) for k, v in t.parts().items()} == {"a": 1, "b": 2, "c": 1}  # untouched parts aren't written again
+    for k in range(2, 5):
+        t.upsert(spark.createDataFrame([("b", k)], t.schema))
+    assert len(t.parts()["b"]) == 2 and {tuple(r) for r in t.read(["b"]).collect()} == {("b", 4)}
 
 
 def test_command_line(spark, tmp_path, monkeypatch):

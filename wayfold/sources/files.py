@@ -12,6 +12,7 @@ from wayfold.operators.aggregate import preferred
 from wayfold.operators.filters import geo_messages
 from wayfold.params import ZONE
 from wayfold.schema import MESSAGE
+from wayfold.sources.shared import keep
 
 COUNTS = 96
 
@@ -77,48 +78,66 @@ def read_layout(spark: SparkSession, path: str) -> DataFrame:
 
 
 class KeyedTable:
-    """A Parquet table with one row for each key, in versions: a writer makes the next, readers follow the newest complete one.
+    """A Parquet table with one row for each key, in parts and versions.
 
-    A batch that is written again after a failure changes nothing.
+    A writer rewrites only the parts (days, by default) that its rows fall
+    into, as the next version; readers take each part from its newest complete
+    version.  A batch that is written again after a failure changes nothing.
+    The part of a key must not change.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "obj_id") -> None:
-        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "obj_id", part: str = "cast(to_date(ts) as string)") -> None:
+        self.spark, self.path, self.schema, self.key, self.part = spark, path.rstrip("/"), schema, key, part
 
     def _fs(self):
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
-
-    def version(self) -> int:
-        """Of the newest complete version, -1 if there is none."""
-        fs, at = self._fs()
-        if not fs.exists(at):
-            return -1
-        jvm = self.spark._jvm
-        found = [s.getPath() for s in fs.listStatus(at)]
-        return max((int(p.getName().split("=")[1]) for p in found if p.getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))), default=-1)
+        at = self._at(self.path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _at(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _named(self, path: str, name: str) -> list[str]:
+        """What `path` has of folders `name`=..., without that name."""
+        fs = self._fs()
+        found = [s.getPath().getName() for s in fs.listStatus(self._at(path))] if fs.exists(self._at(path)) else []
+        return [x.partition("=")[2] for x in found if x.startswith(f"{name}=")]
+
+    def versions(self) -> list[int]:
+        """Complete ones, oldest first."""
+        fs = self._fs()
+        return sorted(int(v) for v in self._named(self.path, "v") if fs.exists(self._at(f"{self.path}/v={v}/_SUCCESS")))
+
+    def parts(self) -> dict[str, list[str]]:
+        """The folders of each part, oldest version first."""
+        found: dict[str, list[str]] = {}
+        for v in self.versions():
+            for part in self._named(f"{self.path}/v={v}", "part"):
+                found.setdefault(part, []).append(f"{self.path}/v={v}/part={part}")
+        return found
 
     def drop(self) -> None:
-        fs, at = self._fs()
-        fs.delete(at, True)
+        self._fs().delete(self._at(self.path), True)
 
-    def read(self) -> DataFrame:
-        v = self.version()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={v}") if v >= 0 else self.spark.createDataFrame([], self.schema)
+    def read(self, only: list[str] | None = None) -> DataFrame:
+        """All rows, or those of some parts."""
+        paths = [folders[-1] for part, folders in self.parts().items() if only is None or part in only]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def upsert(self, rows: DataFrame, batch_id: int | None = None) -> None:
-        """Rows replace those of the same key; of rows of one key the largest counts.  `batch_id` names the version."""
-        v = self.version()
-        if batch_id is not None and batch_id <= v:
+        """Rows replace those of the same key; of rows of one key the largest hash counts.  `batch_id` names the version."""
+        before = self.versions()
+        if batch_id is not None and before and batch_id <= before[-1]:
             return
         names = self.spark.createDataFrame([], self.schema).columns
-        fresh = preferred(rows.select(names), self.key, F.hash(*names), F.to_json(F.struct(*names)))
-        merged = self.read().join(fresh.select(self.key), self.key, "left_anti").select(names).unionByName(fresh)
-        merged.write.mode("overwrite").parquet(f"{self.path}/v={v + 1 if batch_id is None else batch_id}")
-        if v >= 1:  # readers may still be at the version before
-            fs, _ = self._fs()
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={v - 1}"), True)
+        fresh = keep(preferred(rows.select(names), self.key, F.hash(*names), F.to_json(F.struct(*names))), "fresh")
+        part = F.coalesce(F.expr(self.part).cast("string"), F.lit("none")).alias("part")
+        touched = [r[0] for r in fresh.select(part).distinct().collect()]
+        merged = self.read(touched).join(fresh.select(self.key), self.key, "left_anti").select(names).unionByName(fresh)
+        version = (before[-1] + 1 if before else 0) if batch_id is None else batch_id
+        merged.select(*names, part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/v={version}")
+        for folders in self.parts().values():
+            for old in folders[:-2]:  # readers may still be at the version before
+                self._fs().delete(self._at(old), True)
 
 
 def messages_of(points: DataFrame, zone_text: str = "+0000") -> DataFrame:
