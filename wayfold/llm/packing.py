@@ -117,17 +117,15 @@ class Packer:
             picks = dict(closest({n: k for n, k in self.counts.items() if k}, self.window - longest))
             self.counts[longest] += 1
             picks[longest] = picks.get(longest, 0) + 1
-            for _ in range(min(self.counts[n] // k for n, k in picks.items())):
+            gap = self.window - sum(n * k for n, k in picks.items())
+            for _ in range(1 if gap else min(ids_left // self.window, *(self.counts[n] // k for n, k in picks.items()))):
                 pieces = [self.take(n) for n, k in picks.items() for _ in range(k)]
-                gap = self.window - sum(n * k for n, k in picks.items())
                 if gap:
                     doc, start, ids, total = self.take(min(n for n in self.counts if n > gap))
                     pieces.append((doc, start, ids[: 4 * gap], total))
                     self.put((doc, start + gap, ids[4 * gap :], total))
                 yield from self.written(pieces)
                 ids_left -= self.window
-                if ids_left < self.window:
-                    break
 
     def finish(self) -> Iterator[tuple]:
         yield from self.pack()
