@@ -34,13 +34,10 @@ def two_pass_deviation(df: DataFrame, keys: list[str], value: str = "volume") ->
     return squares.select(*keys, "n", F.when(F.col("n") > 1, F.sqrt(F.col("squares") / (F.col("n") - 1))).otherwise(F.lit(0.0)).alias("deviation"))
 
 
-def calendar_counts(sites: DataFrame, near: DataFrame, days: DataFrame) -> DataFrame:
-    """(site, day_of_week, hour, date, cnt) for every site, day and hour, 0 where `near` (site, date, hour) has no row.
-
-    Days and hours are dimensions, bounded by the calendar asked for.
-    """
-    hours = days.select("date", "day_of_week", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
-    grid = sites.select("site").join(F.broadcast(hours), F.lit(True))
+def calendar_counts(sites: DataFrame, near: DataFrame, start: str, end: str) -> DataFrame:
+    """(site, day_of_week, hour, date, cnt) for every site, hour and day from `start` up to, not including, `end`; 0 where `near` (site, date, hour) has no row."""
+    days = F.sequence(F.lit(start).cast("date"), F.date_sub(F.lit(end).cast("date"), 1))
+    grid = sites.select("site", F.explode(days).alias("date")).select("site", "date", F.date_format("date", "E").alias("day_of_week"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
     seen = near.groupBy("site", "date", "hour").agg(F.count("*").alias("cnt"))
     return grid.join(seen, ["site", "date", "hour"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)).cast("long"))
 

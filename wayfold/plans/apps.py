@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.geofn import box_contains
 from wayfold.functions.textfn import lemma_set, text_sentiment, with_tokens
-from wayfold.functions.timefn import calendar, day_of_week, hour_of_day, local, local_date, time_of_day, utc_hour, zoned_hour
+from wayfold.functions.timefn import day_of_week, hour_of_day, local, local_date, time_of_day, utc_hour, zoned_hour
 from wayfold.operators import aggregate, anomaly, filters, spatial
 from wayfold.operators.cluster import cluster_increment, cluster_points
 from wayfold.params import ZONE
@@ -51,7 +51,7 @@ def build_nearby_baseline(sites: DataFrame, points: DataFrame, radius_m: float =
     near = spatial.within(points.select("ts", "lon", "lat"), sites.select("site", "lon", "lat"), radius_m, names=("o", "s"))
     t = F.col("o_ts")
     seen = near.select(F.col("s_site").alias("site"), local_date(t, zone).alias("date"), F.hour(local(t, zone)).alias("hour"))
-    return aggregate.calendar_baseline(aggregate.calendar_counts(sites, seen, calendar(sites.sparkSession, start, end)), true_low)
+    return aggregate.calendar_baseline(aggregate.calendar_counts(sites, seen, start, end), true_low)
 
 
 def rush_hour(baseline: DataFrame, ts: Column, weekday: str = "Mon") -> DataFrame:
