@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,55 +32,87 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.words import rows
 
-#: Bounds of what a worker remembers: transducer states, and encoded chunks of text.
-STATES, CHUNKS = 200_000, 600_000
+#: Bounds of what a worker remembers: transducer states, encoded chunks of text, and which tokens may follow each other.
+STATES, CHUNKS, FITS = 100_000, 700_000, 1_000_000
 
 
 class State:
-    """The token emitted last, the bytes read since, and for each place in them the start and id of the last token."""
+    """The token emitted last, the bytes read since, for each place in them the start and id of the last token, and where the longest open token can start."""
 
-    __slots__ = ("last", "ends", "held", "moves")
+    __slots__ = ("last", "ends", "held", "reach", "moves")
 
-    def __init__(self, last: int, held: bytes, ends: list[tuple[int, int]]) -> None:
-        self.last, self.held, self.ends, self.moves = last, held, ends, {}
+    def __init__(self, last: int, held: bytes, ends: list[tuple[int, int]], reach: int) -> None:
+        self.last, self.held, self.ends, self.reach, self.moves = last, held, ends, reach, {}
 
 
 class Transducer:
     def __init__(self, ranks: dict[bytes, int], most_states: int = STATES) -> None:
         self.ranks, self.most_states = ranks, most_states
         self.openers = {t[:k] for t in ranks for k in range(1, len(t))}  # what a longer token can still grow from
+        self.runs = self.openers | ranks.keys()
         self.tokens = dict(zip(ranks.values(), ranks.keys(), strict=True))
         self.fits: dict[tuple[int, int], bool] = {}
+        self.grown: dict[int, tuple] = {}
         self.reset()
 
     def reset(self) -> None:
         self.states: dict[tuple[int, bytes], State] = {}
-        self.root = self.state(-1, b"", [(0, -1)])
+        self.root = self.state(-1, b"", [(0, -1)], 0)
 
-    def state(self, last: int, held: bytes, ends: list[tuple[int, int]]) -> State:
+    def state(self, last: int, held: bytes, ends: list[tuple[int, int]], reach: int) -> State:
         if (found := self.states.get((last, held))) is None:
-            found = self.states[last, held] = State(last, held, ends)
+            found = self.states[last, held] = State(last, held, ends, reach)
         return found
 
-    def merged(self, piece: bytes) -> list[int]:
-        """The plain merge procedure: always the lowest rank, leftmost first."""
+    def merged(self, piece: bytes, until: int = 1) -> list[int]:
+        """The plain merge procedure, always the lowest rank, leftmost first, as long as there are more than `until` parts."""
         parts = [piece[k : k + 1] for k in range(len(piece))]
-        while len(parts) > 1:
+        while len(parts) > until:
             rank, at = min((self.ranks.get(a + b, 1 << 30), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
             if rank == 1 << 30:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def spines(self, token: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]:
+        """The pieces at a token's left and at its right end while it is merged: (bytes, rank), from one byte to the token."""
+        if (known := self.grown.get(token)) is None:
+            data = self.tokens[token]
+            if len(data) == 1:
+                known = [(data, -1)], [(data, -1)]
+            else:
+                parts = self.merged(data, until=2)
+                left, right = (self.spines(t) for t in parts)
+                known = [*left[0], (data, token)], [*right[1], (data, token)]
+            self.grown[token] = known
+        return known
+
     def fit(self, a: int, b: int) -> bool:
+        """Are a, b what merging their bytes leaves?  Only if no merge across their border comes before those inside."""
         if a < 0:
             return True
         if (known := self.fits.get((a, b))) is None:
-            if len(self.fits) > 4 * STATES:
+            if len(self.fits) > FITS:
                 self.fits.clear()
-            known = self.fits[a, b] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
+            known = self.fits[a, b] = self.apart(self.spines(a)[1], self.spines(b)[0])
         return known
 
+    def apart(self, left: list[tuple[bytes, int]], right: list[tuple[bytes, int]]) -> bool:
+        i = j = 0
+        never = 1 << 30
+        while True:
+            across = self.ranks.get(left[i][0] + right[j][0], never)
+            next_left = left[i + 1][1] if i + 1 < len(left) else never
+            next_right = right[j + 1][1] if j + 1 < len(right) else never
+            if across < next_left and across <= next_right and across < never:  # of equal ranks the leftmost merges first
+                return False
+            if next_left == next_right == never:
+                return True
+            if next_left <= next_right:
+                i += 1
+            else:
+                j += 1
+
     @staticmethod
     def path(ends: list[tuple[int, int]], at: int) -> list[tuple[int, int]]:
         """(place, token that ends there) on the way from `at` back to the beginning."""
@@ -90,36 +124,71 @@ class Transducer:
 
     def move(self, s: State, byte: int) -> tuple[State, tuple[int, ...]]:
         held = s.held + bytes((byte,))
-        n = len(held)
-        for start in range(n):
-            token = self.ranks.get(held[start:])
+        n, reach, ranks, openers = len(held), s.reach, self.ranks, self.openers
+        while held[reach:] not in self.runs:
+            reach += 1
+        for start in range(reach, n):  # tokens that end here start no earlier
+            token = ranks.get(held[start:])
             if token is not None and self.fit(s.ends[start][1], token):
                 break
         ends = [*s.ends, (start, token)]
-        shared = None
-        for open_at in range(n + 1):  # prefixes that a longer token may continue, and the whole
-            if open_at == n or held[open_at:] in self.openers:
-                way = {p for p, _ in self.path(ends, open_at)} | {0}
-                shared = way if shared is None else shared & way
-                if shared == {0}:
-                    break
-        cut = max(shared)
+        cut = 0
+        if reach or held not in openers:  # else a longer token may still start where the last one ended
+            cut = n
+            for k in range(n - 1, reach - 1, -1):  # the last boundary that the ways to all open starts and to the end share
+                if held[k:] in openers:
+                    while k != cut:
+                        if k > cut:
+                            k = ends[k][0]
+                        else:
+                            cut = ends[cut][0]
         out = tuple(t for _, t in reversed(self.path(ends, cut)))
         if cut:
             ends = [(0, ends[cut][1])] + [(max(a - cut, 0), t) for a, t in ends[cut + 1 :]]
-            after = self.state(out[-1], held[cut:], ends)
+            after = self.state(out[-1], held[cut:], ends, max(reach - cut, 0))
         else:
-            after = self.state(s.last, held, ends)
+            after = self.state(s.last, held, ends, reach)
         s.moves[byte] = after, out
         return after, out
 
+    def rest(self, s: State, tail: bytes) -> list[int]:
+        """The tokens from state `s` to the end of a piece, without making states on the way."""
+        held, ends, reach = s.held + tail, list(s.ends), s.reach
+        ranks, runs, fits = self.ranks, self.runs, self.fits
+        for n in range(len(s.held) + 1, len(held) + 1):
+            while (run := held[reach:n]) not in runs:
+                reach += 1
+            start = reach
+            while True:
+                token = ranks.get(run)
+                if token is not None:
+                    last = ends[start][1]
+                    if last < 0 or (fits[last, token] if (last, token) in fits else self.fit(last, token)):
+                        break
+                start += 1
+                run = run[1:]
+            ends.append((start, token))
+        out, at = [], len(held)
+        while at:
+            at, token = ends[at]
+            out.append(token)
+        out.reverse()
+        return out
+
     def encode(self, piece: bytes) -> list[int]:
+        """A move is made when it is asked for the second time; until then the piece is followed to its end."""
         if len(self.states) > self.most_states:
             self.reset()
         out: list[int] = []
         s = self.root
-        for byte in piece:
-            s, new = s.moves.get(byte) or self.move(s, byte)
+        for k, byte in enumerate(piece):
+            step = s.moves.get(byte, 0)
+            if not step:
+                if step == 0:
+                    s.moves[byte] = None
+                    return out + self.rest(s, piece[k:])
+                step = self.move(s, byte)
+            s, new = step
             if new:
                 out += new
         if s.held:
@@ -129,26 +198,50 @@ class Transducer:
 
 #: A space that stands next to other white space; elsewhere a text may be cut before each space.
 CROWDED = re.compile(r"\s | \s")
+#: White space other than the space and the line feed.
+RARE_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Marks that begin a piece of their own after a letter or number.
+MARKS = ".,;:!?|"
+
+
+def crowded(text: str) -> bool:
+    if any(c in text for c in RARE_SPACE):
+        return CROWDED.search(text) is not None
+    return "  " in text or " \n" in text or "\n " in text
 
 
 class ChunkEncoder:
     """Ids of whole texts as little-endian uint32 bytes, remembering the ids of the runs between single spaces.
 
     The piece pattern lets a single space begin a piece and nothing run across
-    it, so runs can be encoded on their own; a text with crowded spaces is
-    encoded as a whole.
+    it, so runs can be encoded on their own, and so can the marks that end a
+    run after a letter or number; a text with crowded spaces is encoded as a
+    whole.
     """
 
     def __init__(self, encode: Callable[[str], list[int]]) -> None:
-        self.encode, self.known = encode, {}
+        self.encode, self.known, self.marks = encode, {}, {}
 
     def packed(self, chunk: str) -> bytes:
-        return np.array(self.encode(chunk), dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids) if (ids := self.encode(chunk)) else b""
+
+    def learn(self, run: str) -> None:
+        known = self.known
+        core = run.rstrip(MARKS)
+        if core == run or not core or not core[-1].isalnum():
+            known[run] = self.packed(" " + run)
+            return
+        if core not in known:
+            known[core] = self.packed(" " + core)
+        tail = run[len(core) :]
+        if tail not in self.marks:
+            self.marks[tail] = self.packed(tail)
+        known[run] = known[core] + self.marks[tail]
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if CROWDED.search(text):
+        if crowded(text):
             return self.packed(text)
         known = self.known
         first, *rest = text.split(" ")
@@ -158,9 +251,10 @@ class ChunkEncoder:
             pass
         if len(known) > CHUNKS:
             known.clear()
+            self.marks.clear()
         for x in rest:
             if x not in known:
-                known[x] = self.packed(" " + x)
+                self.learn(x)
         return (self.packed(first) if first else b"") + b"".join([known[x] for x in rest])
 
 
@@ -168,6 +262,13 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
 
 
+@lru_cache(maxsize=2)
+def coder_of(data: bytes, pattern: str) -> ChunkEncoder:
+    """A worker's coder, with what it remembers from one task to the next."""
+    transducer, pieces = Transducer(read_ranks(data)), regex.compile(pattern)
+    return ChunkEncoder(lambda text: [i for piece in pieces.findall(text) for i in transducer.encode(piece.encode())])
+
+
 class Utf8:
     """A UTF-8 automaton: 0 between characters, else the bounds that the following bytes must keep."""
 
@@ -210,8 +311,8 @@ class Utf8:
 class Decoder:
     """Text from a stream of ids: feed() releases complete characters, finish() the rest; what is no UTF-8 becomes U+FFFD."""
 
-    def __init__(self, tokens: dict[int, bytes], machine: Utf8, moves: dict[tuple[int, int], int]) -> None:
-        self.tokens, self.machine, self.moves = tokens, machine, moves
+    def __init__(self, tokens: dict[int, bytes], machine: Utf8, moves: dict[tuple[int, int], int], whole: frozenset[int] = frozenset()) -> None:
+        self.tokens, self.machine, self.moves, self.whole = tokens, machine, moves, whole
         self.state, self.held = 0, b""
 
     def move(self, state: int, token: int) -> int:
@@ -221,11 +322,12 @@ class Decoder:
 
     def feed(self, ids: list[int]) -> str:
         state, moves = self.state, self.moves
-        for t in ids:
-            after = moves.get((state, t))
-            if after is None:
-                after = moves[state, t] = self.move(state, t)
-            state = after
+        if state or not self.whole.issuperset(ids):  # whole characters lead from between characters to between characters
+            for t in ids:
+                after = moves.get((state, t))
+                if after is None:
+                    after = moves[state, t] = self.move(state, t)
+                state = after
         data = self.held + b"".join(map(self.tokens.__getitem__, ids))
         self.state = state
         if not state:
@@ -257,8 +359,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
         data = file.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer, pieces = Transducer(read_ranks(data)), regex.compile(pattern)
-        coder = ChunkEncoder(lambda text: [i for piece in pieces.findall(text) for i in transducer.encode(piece.encode())])
+        coder = coder_of(data, pattern)
         for batch in batches:
             docs, texts = batch.column(0), batch.column(1)
             for k in range(0, batch.num_rows, 2000):
@@ -276,10 +377,12 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = {i: t for t, i in read_ranks(data).items()}
         machine, moves = Utf8(), {}
+        plain = Decoder(tokens, machine, moves)
+        whole = frozenset(t for t in tokens if plain.move(0, t) == 0)
         for batch in batches:
             texts: list[str | None] = []
             for (ids,) in rows([batch], "ids"):
-                decoder = Decoder(tokens, machine, moves)
+                decoder = Decoder(tokens, machine, moves, whole)
                 texts.append(None if ids is None else "".join([decoder.feed(ids[k : k + 4096]) for k in range(0, len(ids), 4096)]) + decoder.finish())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, type=pa.string())], names=["doc_id", "ids", "text"])
 
