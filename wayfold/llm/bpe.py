@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.words import rows
 
 #: Bounds of what a worker remembers: transducer states, encoded chunks of text, and which tokens may follow each other.
-STATES, CHUNKS, FITS = 100_000, 700_000, 1_000_000
+STATES, CHUNKS, FITS = 40_000, 250_000, 300_000
 
 
 class State:
