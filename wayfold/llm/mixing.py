@@ -3,10 +3,9 @@
 A token is coded by binary decisions.  Words of the coded vocabulary, the end
 of a text and an escape have Huffman codes; a word outside it, as are those
 seen once, is an escape followed by the bits of its bytes.  Each decision is predicted from several
-hashed contexts: the much-used decisions of words from none, the word before,
-the two before and the last very common word, the seldom used from none and the
-last common word; those of bytes from the one, two, three and five bytes before
-them in the word.  The contexts' log-odds are mixed with
+hashed contexts: those of words from none, the word before, the two before and
+the last very common word; those of bytes from the one, two, three and five
+bytes before them in the word.  The contexts' log-odds are mixed with
 weights chosen by a gate, how often the two most telling contexts were seen;
 the mix is refined by an adaptive map from what was predicted to what happened.
 While a document is read, its weights go on learning from the decisions made so
@@ -38,9 +37,6 @@ from wayfold.sources.shared import keep
 U32 = np.uint32
 #: Words with codes of their own, and the common ones among them that tell the language.
 VOCABULARY, COMMON = 1 << 17, 64
-#: The most used decisions of words, which look at the words before; the cost of the others depends on
-#: the word and the last common word only and is computed once for each such pair.
-SHALLOW = 64
 #: Training documents with this remainder of crc32 modulo 7 fit the weights.
 FIT = 3
 SEGMENT = 1 << 16
@@ -99,8 +95,8 @@ class Contexts:
 
 
 #: Tables of 2**size slots; the gate looks at two of them.  The first table of words has a slot for each node.
-TOP, DEEP, BYTES = Contexts((6, 19, 19, 13), (1, 2)), Contexts((18, 21), (0, 1)), Contexts((16, 18, 20, 21), (2, 3))
-KINDS = (TOP, DEEP, BYTES)
+WORDS, BYTES = Contexts((18, 22, 22, 21), (1, 2)), Contexts((16, 18, 20, 21), (2, 3))
+KINDS = (WORDS, BYTES)
 
 
 @dataclass
@@ -136,27 +132,16 @@ def contexts_of(symbols: np.ndarray, lengths: np.ndarray, none: int) -> tuple[np
     return one, one * 1_000_003 + two, np.where(at < COMMON, at, COMMON)
 
 
-def top_decisions(symbols: np.ndarray, lengths: np.ndarray, code: tuple, before: tuple) -> Decisions:
-    """The much-used decisions of documents, one after another, `lengths` symbols each, the last being the end."""
-    offsets, nodes, bits, middles = code
-    size = (middles - offsets[:-1])[symbols]
+def word_decisions(symbols: np.ndarray, lengths: np.ndarray, code: tuple, before: tuple) -> Decisions:
+    """Of documents, one after another, `lengths` symbols each, the last being the end."""
+    offsets, nodes, bits = code
+    size = (offsets[1:] - offsets[:-1])[symbols]
     place = spread(offsets[symbols], size)
     node = nodes[place]
-    slots = [node.astype(np.intp)] + [TOP.slots(k, np.repeat(hashed(x, k), size), node) for k, x in enumerate(before, 1)]
+    slots = [node.astype(np.intp)] + [WORDS.slots(k, np.repeat(hashed(x, k), size), node) for k, x in enumerate(before, 1)]
     return Decisions(slots, bits[place], np.repeat(np.arange(len(lengths)), np.add.reduceat(size, np.cumsum(lengths) - lengths)))
 
 
-def deep_decisions(pairs: np.ndarray, code: tuple) -> Decisions:
-    """The seldom used decisions of pairs: symbol * (COMMON + 1) + the last common symbol; rows are pairs."""
-    offsets, nodes, bits, middles = code
-    symbols, common = pairs // (COMMON + 1), pairs % (COMMON + 1)
-    size = (offsets[1:] - middles)[symbols]
-    place = spread(middles[symbols], size)
-    node = nodes[place]
-    slots = [node.astype(np.intp), DEEP.slots(1, np.repeat(hashed(common, 5), size), node)]
-    return Decisions(slots, bits[place], np.repeat(np.arange(len(pairs)), size))
-
-
 def byte_decisions(words: list[bytes]) -> Decisions:
     """Of the bytes of words, each ended by a space; rows are words."""
     data = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8).astype(np.int64)
@@ -279,8 +264,8 @@ def opened(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
-def segments(tables: list[np.ndarray], first: int = 0) -> Iterator[tuple]:
-    for t, counts in enumerate(tables, first):
+def segments(tables: list[np.ndarray]) -> Iterator[tuple]:
+    for t, counts in enumerate(tables):
         for k in range(0, len(counts), 2 * SEGMENT):
             part = counts[k : k + 2 * SEGMENT]
             if part.any():
@@ -357,9 +342,7 @@ class Vocabulary:
         if not hasattr(self, "ids"):
             self.ids = {w: k for k, w in enumerate(self.words)}
             self.end, self.escape = len(self.words), len(self.words) + 1
-            offsets, nodes, bits = huffman([*self.counts.tolist(), self.end_count, self.escape_count])
-            top = np.concatenate(([0], np.cumsum(nodes < SHALLOW)))
-            self.code = offsets, nodes, bits, offsets[:-1] + top[offsets[1:]] - top[offsets[:-1]]
+            self.code = huffman([*self.counts.tolist(), self.end_count, self.escape_count])
         return self
 
     def symbols(self, held: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -406,11 +389,9 @@ def _weights(texts: DataFrame, vocabulary, shipped) -> list[tuple[np.ndarray, np
         for held in in_chunks((tokens(t),) for (t,) in rows(batches, "text")):
             words = [h[0] for h in held]
             symbols, lengths = voc.symbols(words)
-            before = contexts_of(symbols, lengths, voc.end)
-            mixers[0].learn(top_decisions(symbols, lengths, voc.code, before), told[0], RATE)
-            mixers[1].learn(deep_decisions(symbols * (COMMON + 1) + before[2], voc.code), told[1], RATE)
+            mixers[0].learn(word_decisions(symbols, lengths, voc.code, contexts_of(symbols, lengths, voc.end)), told[0], RATE)
             if rare := [w for ws in words for w in ws if w not in voc.ids]:
-                mixers[2].learn(byte_decisions(rare), told[2], RATE)
+                mixers[1].learn(byte_decisions(rare), told[1], RATE)
         data = [(k, int(t.sum()), m.weights.astype("<f4").tobytes(), t.astype("<i8").tobytes()) for k, (m, t) in enumerate(zip(mixers, told, strict=True)) if t.sum()]
         yield from emit(iter(data), pa.schema([("mixer", pa.int32()), ("n", pa.int64()), ("weights", pa.binary()), ("told", pa.binary())]))
 
@@ -428,7 +409,7 @@ def _weights(texts: DataFrame, vocabulary, shipped) -> list[tuple[np.ndarray, np
     each = texts.mapInArrow(learned, kinds)
     some = each.withColumn("salt", F.spark_partition_id() % 16).repartition("salt").drop("salt").mapInArrow(averaged, kinds)
     found: dict[int, list] = {}
-    for k, n, w, t in some.collect():  # 48 rows at most
+    for k, n, w, t in some.collect():  # 32 rows at most
         at = found.setdefault(k, [0, 0, 0])
         at[0] += n
         at[1] = at[1] + n * np.frombuffer(bytes(w), "<f4").astype(np.float64)
@@ -463,25 +444,14 @@ def train(docs: DataFrame, fit: Column, text_col: str = "text") -> Model:
     vocabulary = spark.sparkContext.broadcast(voc)
 
     def words_told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, tables, any_row = vocabulary.value.ready(), TOP.empty(), False
-        pairs = np.zeros((voc.escape + 1) * (COMMON + 1), dtype=np.int32)
+        voc, tables, any_row = vocabulary.value.ready(), WORDS.empty(), False
         for held in in_chunks((tokens(t),) for (t,) in rows(batches, "text")):
             symbols, lengths = voc.symbols([h[0] for h in held])
-            before = contexts_of(symbols, lengths, voc.end)
-            np.add.at(pairs, symbols * (COMMON + 1) + before[2], 1)
-            d, any_row = top_decisions(symbols, lengths, voc.code, before), True
+            d, any_row = word_decisions(symbols, lengths, voc.code, contexts_of(symbols, lengths, voc.end)), True
             for table, slots in zip(tables, d.slots, strict=True):
                 np.add.at(table, slots * 2 + d.bits, 1)
-        if not any_row:
-            return
-        yield from emit(segments(tables), PARTS)
-        tables, seen = DEEP.empty(), np.nonzero(pairs)[0]
-        for k in range(0, len(seen), 20_000):
-            d = deep_decisions(seen[k : k + 20_000], voc.code)
-            n = pairs[seen[k : k + 20_000]].astype(np.int64)[d.row]
-            for table, slots in zip(tables, d.slots, strict=True):
-                np.add.at(table, slots * 2 + d.bits, n)
-        yield from emit(segments(tables, len(TOP.sizes)), PARTS)
+        if any_row:
+            yield from emit(segments(tables), PARTS)
 
     def bytes_told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, tables, any_row = vocabulary.value.ready(), BYTES.empty(), False
@@ -498,7 +468,7 @@ def train(docs: DataFrame, fit: Column, text_col: str = "text") -> Model:
 
     kinds = "part int, segment int, salt int, counts binary"
     tables = [
-        *merged(own.where("not fit").select("text").mapInArrow(words_told, kinds), TOP, DEEP),
+        *merged(own.where("not fit").select("text").mapInArrow(words_told, kinds), WORDS),
         *merged(counts.select("word", "told").mapInArrow(bytes_told, kinds), BYTES),
     ]
     shipped = spark.sparkContext.broadcast(tables)
@@ -521,11 +491,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary.value.ready()
-        by_top, by_deep, by_byte = (Mixer(t, w, m) for t, (w, m) in zip(tables.value, learned, strict=True))
+        by_word, by_byte = (Mixer(t, w, m) for t, (w, m) in zip(tables.value, learned, strict=True))
         logs = np.log10(np.append(voc.counts, [voc.end_count, -1]) + 1.0, where=np.arange(voc.escape + 1) < voc.escape, out=np.zeros(voc.escape + 1))
         known = np.append(voc.counts > 0, [voc.end_count > 0, False])
         spelled: dict[bytes, float] = {}
-        deep = np.full((voc.escape + 1) * (COMMON + 1), np.nan, dtype=np.float32)
         row = TaskContext.get().partitionId() << 33
 
         def found() -> Iterator[tuple]:
@@ -533,14 +502,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for held in in_chunks((tokens(t), d, len((t or "").encode())) for d, t in rows(batches, "doc_id", "text")):
                 words = [h[0] for h in held]
                 symbols, lengths = voc.symbols(words)
-                before = contexts_of(symbols, lengths, voc.end)
-                nats = by_top.costs(top_decisions(symbols, lengths, voc.code, before), len(held), online=True)
-                pair = symbols * (COMMON + 1) + before[2]
-                if len(fresh := np.unique(pair[np.isnan(deep[pair])])):
-                    deep[fresh] = by_deep.costs(deep_decisions(fresh, voc.code), len(fresh), online=False)
+                nats = by_word.costs(word_decisions(symbols, lengths, voc.code, contexts_of(symbols, lengths, voc.end)), len(held), online=True)
                 starts = np.cumsum(lengths) - lengths
                 doc = np.repeat(np.arange(len(held)), lengths)
-                nats += np.bincount(doc, deep[pair], len(held))
                 base = np.bincount(doc, logs[symbols], len(held))
                 common = np.bincount(doc, known[symbols], len(held))
                 rare: list[Counter] = [Counter() for _ in held]
