@@ -20,3 +20,19 @@ def test_every_decision_of_a_word_looks_at_the_word_before(spark):
     texts = [" ".join(f"a{k} b{k}" for k in draw.choices(range(300), k=40)) for _ in range(600)]
     (found,) = scores(spark, texts[1:], texts[:1])
     assert -found.score * math.log(10) / 40 < math.log(300) + 1  # the second of a pair costs next to nothing
+
+
+def test_short_documents_learn_on_within_themselves(spark):
+    draw = random.Random(2)
+    texts = [" ".join(f"a{k} b{k} of{draw.randrange(10**6):06d}" for k in draw.choices(range(300), k=20)) for _ in range(600)]
+    odd, new = " ".join(f"a{draw.randrange(300)} b{draw.randrange(300)}" for _ in range(60)), " ".join("".join(draw.choices("xyzuvw", k=8)) for _ in range(30))
+    once, twice, new_once, new_twice = (-r.score for r in scores(spark, texts, [odd, f"{odd} {odd}", new, f"{new} {new}"]))
+    assert twice < 1.96 * once  # under 4096 decisions of the code
+    assert new_twice < 1.96 * new_once  # words that are spelled
+
+
+def test_model_is_ahead_of_single_words(spark):
+    from wayfold.llm import queries
+
+    held = [r for r in queries.op9_mixing(spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)

@@ -8,8 +8,8 @@ the last very common word; those of bytes from the one, two, three and five
 bytes before them in the word.  The contexts' log-odds are mixed with
 weights chosen by a gate, how often the two most telling contexts were seen;
 the mix is refined by an adaptive map from what was predicted to what happened.
-While a document is read, its weights go on learning from the decisions made so
-far, never from later ones.
+While a document is read, its weights and map, those of words and those of
+bytes, go on learning from the decisions made so far, never from later ones.
 
 What is learned comes from all training documents: counts of words and of the
 contexts' decisions, summed over partitions in bounded tables.  The weights and
@@ -40,12 +40,10 @@ VOCABULARY, COMMON = 1 << 17, 64
 #: Training documents with this remainder of crc32 modulo 7 fit the weights.
 FIT = 3
 SEGMENT = 1 << 16
-#: Tokens that are worked on at once, decisions after which a document's weights move, and how far.
-TOKENS, SLICE, STEP = 8_000, 4096, 0.05
+#: Tokens that are worked on at once, decisions after which a document's weights and map move, and how far each decision moves them.
+TOKENS, SLICE, STEP, MAP_STEP = 8_000, 256, 0.002, 0.02
 #: How fast the weights are learned.
 RATE = 0.5
-#: Spelling costs of words outside the vocabulary that a worker remembers.
-SPELLED = 400_000
 GATES, LEVELS = 16, 33
 
 
@@ -224,28 +222,39 @@ class Mixer:
             for j, x in enumerate(xs):
                 self.weights[:, j] += rate * np.bincount(gate, wrong * x, GATES) / (n + 64)
 
-    def costs(self, d: Decisions, n_rows: int, online: bool) -> np.ndarray:
-        """Nats per row.  With `online` each row's weights move after every SLICE of its decisions."""
+    def costs(self, d: Decisions, n_rows: int) -> np.ndarray:
+        """Nats per row.  Each row's own weights and map move after every SLICE of its decisions."""
         xs, gate = self.inputs(d)
-        mix = self.mixes(xs, gate)
-        sizes = np.bincount(d.row, minlength=n_rows)
-        if online and len(sizes) and sizes.max() > SLICE:
-            begins = np.cumsum(sizes) - sizes
-            moved = np.zeros((len(xs), n_rows), dtype=np.float32)
-            for begin in range(0, int(sizes.max()), SLICE):
-                long = np.nonzero(sizes > begin)[0]
-                for k in long.tolist():  # slices of one document follow each other
-                    part = slice(begins[k] + begin, min(begins[k] + begin + SLICE, begins[k] + sizes[k]))
-                    if begin:
-                        for j, x in enumerate(xs):
-                            mix[part] += moved[j, k] * x[part]
-                    if sizes[k] > begin + SLICE:
-                        wrong = (d.bits[part] - 1 / (1 + np.exp(-mix[part]))).astype(np.float32)
-                        for j, x in enumerate(xs):
-                            moved[j, k] += STEP * (wrong @ x[part]) / SLICE
-        final = (mix + self.map[gate, self.level(mix)]) * np.float32(0.5)
-        np.negative(final, out=final, where=d.bits == 1)
-        return np.bincount(d.row, np.log1p(np.exp(np.clip(final, -40, 40, out=final))), n_rows)
+        mix, row, bits = self.mixes(xs, gate), d.row, d.bits
+        sizes = np.bincount(row, minlength=n_rows)
+        turn = (np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]) // SLICE
+        turns = int(turn.max(initial=0)) + 1
+        if turns > 1:  # slices of the same turn of all rows are worked on together
+            order = np.argsort(turn, kind="stable")
+            xs, gate, mix, row, bits = [x[order] for x in xs], gate[order], mix[order], row[order], bits[order]
+        ends = np.cumsum(np.bincount(turn, minlength=turns))
+        moved, shift = np.zeros((len(xs), n_rows), dtype=np.float32), np.zeros(n_rows * LEVELS, dtype=np.float32)
+        nats, begin = np.zeros(n_rows), 0
+        for k, end in enumerate(ends.tolist()):
+            part = slice(begin, end)
+            own, now, said, begin = row[part], mix[part], bits[part], end
+            if k:
+                for j, x in enumerate(xs):
+                    now += moved[j][own] * x[part]
+            level = self.level(now)
+            final = now + self.map[gate[part], level]
+            at = own * LEVELS + level
+            if k:
+                final += shift[at]
+            final *= np.float32(0.5)
+            if k + 1 < turns:
+                wrong = said - 1 / (1 + np.exp(-now))
+                for j, x in enumerate(xs):
+                    moved[j] += STEP * np.bincount(own, wrong * x[part], n_rows)
+                shift += MAP_STEP * np.bincount(at, said - 1 / (1 + np.exp(-final)), n_rows * LEVELS)
+            np.negative(final, out=final, where=said == 1)
+            nats += np.bincount(own, np.log1p(np.exp(np.clip(final, -40, 40, out=final))), n_rows)
+        return nats
 
 
 def settled(told: np.ndarray) -> np.ndarray:
@@ -494,7 +503,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         by_word, by_byte = (Mixer(t, w, m) for t, (w, m) in zip(tables.value, learned, strict=True))
         logs = np.log10(np.append(voc.counts, [voc.end_count, -1]) + 1.0, where=np.arange(voc.escape + 1) < voc.escape, out=np.zeros(voc.escape + 1))
         known = np.append(voc.counts > 0, [voc.end_count > 0, False])
-        spelled: dict[bytes, float] = {}
         row = TaskContext.get().partitionId() << 33
 
         def found() -> Iterator[tuple]:
@@ -502,24 +510,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for held in in_chunks((tokens(t), d, len((t or "").encode())) for d, t in rows(batches, "doc_id", "text")):
                 words = [h[0] for h in held]
                 symbols, lengths = voc.symbols(words)
-                nats = by_word.costs(word_decisions(symbols, lengths, voc.code, contexts_of(symbols, lengths, voc.end)), len(held), online=True)
+                nats = by_word.costs(word_decisions(symbols, lengths, voc.code, contexts_of(symbols, lengths, voc.end)), len(held))
                 starts = np.cumsum(lengths) - lengths
                 doc = np.repeat(np.arange(len(held)), lengths)
                 base = np.bincount(doc, logs[symbols], len(held))
                 common = np.bincount(doc, known[symbols], len(held))
                 rare: list[Counter] = [Counter() for _ in held]
-                for at in np.nonzero(symbols == voc.escape)[0].tolist():
-                    rare[doc[at]][words[doc[at]][at - starts[doc[at]]]] += 1
-                new = list({w for c in rare for w in c if w not in spelled})
-                if len(spelled) > SPELLED:
-                    spelled.clear()
-                    new = list({w for c in rare for w in c})
-                for k in range(0, len(new), 2000):
-                    part = new[k : k + 2000]
-                    spelled.update(zip(part, by_byte.costs(byte_decisions(part), len(part), online=False).tolist(), strict=True))
+                escapes = np.nonzero(symbols == voc.escape)[0]
+                unknown = [words[doc[at]][at - starts[doc[at]]] for at in escapes.tolist()]
+                for k, w in zip(doc[escapes].tolist(), unknown, strict=True):
+                    rare[k][w] += 1
+                if unknown:
+                    spelled = byte_decisions(unknown)
+                    spelled.row = doc[escapes][spelled.row]
+                    nats += by_byte.costs(spelled, len(held))
                 for k, (ws, d, size) in enumerate(held):
-                    more = sum(n * spelled[w] for w, n in rare[k].items())
-                    yield row, d, len(ws) + 1, size, int(common[k]), float(base[k]), float(nats[k]) + more, list(rare[k]), list(rare[k].values())
+                    yield row, d, len(ws) + 1, size, int(common[k]), float(base[k]), float(nats[k]), list(rare[k]), list(rare[k].values())
                     row += 1
 
         yield from emit(found(), schema, at_most=2000)
