@@ -36,3 +36,13 @@ def test_model_is_ahead_of_single_words(spark):
 
     held = [r for r in queries.op9_mixing(spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_vocabulary_and_tables_grow_with_the_input(spark):
+    many = 140_000
+    texts = [" ".join(f"q{k}" for k in range(a, a + 1000)) for a in range(0, many, 1000)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    model = mixing.train(docs, F.lit(False))
+    assert len(model.vocabulary.value.counts) == many  # all words that occur twice
+    small, large = (mixing.sized(n, n // 20, n // 50) for n in (10**8, 10**10))
+    assert all(b >= a + 6 for a, b in zip(small[0].sizes, large[0].sizes))

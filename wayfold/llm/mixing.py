@@ -1,8 +1,7 @@
 """Language-model scores by online logistic context mixing.
 
-A token is coded by binary decisions.  Words of the coded vocabulary, the end
-of a text and an escape have Huffman codes; a word outside it, as are those
-seen once, is an escape followed by the bits of its bytes.  Each decision is predicted from several
+A token is coded by binary decisions.  All words seen twice or more, the end of
+a text and an escape have Huffman codes; any other word is an escape followed by the bits of its bytes.  Each decision is predicted from several
 hashed contexts: those of words from none, the word before, the two before and
 the last very common word; those of bytes from the one, two, three and five
 bytes before them in the word.  The contexts' log-odds are mixed with
@@ -12,15 +11,15 @@ While a document is read, its weights and map, those of words and those of
 bytes, go on learning from the decisions made so far, never from later ones.
 
 What is learned comes from all training documents: counts of words and of the
-contexts' decisions, summed over partitions in bounded tables.  The weights and
+contexts' decisions, in hashed tables sized from the counted tokens and words.  The weights and
 the adaptive map come from one in FIT of them, which the tables leave out, so
 that they are learned on decisions that the tables have not seen.
 """
 
 from __future__ import annotations
 
-import heapq
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,15 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.words import U64, emit, mixed, rows
+from wayfold.llm.words import U64, emit, mixed, rows, word_hashes
 from wayfold.sources.shared import keep
 
 U32 = np.uint32
-#: Words with codes of their own, and the common ones among them that tell the language.
-VOCABULARY, COMMON = 1 << 17, 64
+#: The common words that tell the language.
+COMMON = 64
 #: Training documents with this remainder of crc32 modulo 7 fit the weights.
 FIT = 3
-SEGMENT = 1 << 16
+#: Tables are added up in segments, of 2**16 slots or 512 a table; decisions that a task holds before it sends their counts.
+SEGMENT, HELD = 16, 6_000_000
 #: Tokens that are worked on at once, decisions after which a document's weights and map move, and how far each decision moves them.
 TOKENS, SLICE, STEP, MAP_STEP = 8_000, 256, 0.002, 0.02
 #: How fast the weights are learned.
@@ -47,28 +47,32 @@ RATE = 0.5
 GATES, LEVELS = 16, 33
 
 
-def huffman(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(offsets, nodes, bits): the code of symbol k is nodes and bits [offsets[k], offsets[k + 1]); nodes ascend in it."""
-    heap = [(max(1, c), k, k) for k, c in enumerate(counts)]
-    heapq.heapify(heap)
+def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(up, depth): what is above symbol k, or above decision d at n + d, as twice the decision's number and the bit; the length of each code.
+
+    Decision 0 is the first, and a decision's number is larger than that of the one above.
+    """
     n = len(counts)
-    up: list[tuple[int, int]] = [(0, 0)] * (2 * n - 1)
-    for node in range(n, 2 * n - 1):
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        up[a[2]], up[b[2]] = (node, 0), (node, 1)
-        heapq.heappush(heap, (a[0] + b[0], node, node))
-    offsets, nodes, bits = [0], [], []
-    for k in range(n):
-        way = []
-        while k != 2 * n - 2:
-            parent, bit = up[k]
-            way.append((2 * n - 2 - parent, bit))  # the most used decision is number 0
-            k = parent
-        for node, bit in reversed(way):
-            nodes.append(node)
-            bits.append(bit)
-        offsets.append(len(nodes))
-    return np.array(offsets), np.array(nodes, dtype=U32), np.array(bits, dtype=np.int8)
+    order = np.argsort(counts, kind="stable")
+    leaves, inner, up = array("q", np.maximum(counts[order], 1).astype("<i8").tobytes()), array("q"), array("Q", bytes(8 * (2 * n - 1)))
+    own = array("q", order.astype("<i8").tobytes())
+    a = b = 0
+    for k in range(n - 1):  # the two smallest are at the heads of two ascending queues
+        total = 0
+        for bit in (0, 1):
+            if b >= len(inner) or (a < n and leaves[a] <= inner[b]):
+                total, at, a = total + leaves[a], own[a], a + 1
+            else:
+                total, at, b = total + inner[b], n + n - 2 - b, b + 1
+            up[at] = (n - 2 - k) * 2 + bit
+        inner.append(total)
+    ups = np.frombuffer(up, dtype=U64).astype(U32)
+    depth, symbol, at = np.zeros(n, dtype=np.uint8), np.arange(n), np.arange(n)
+    while n > 1 and len(at):
+        depth[symbol] += 1
+        at = (ups[at] >> U32(1)).astype(np.intp)
+        symbol, at = symbol[at > 0], n + at[at > 0]
+    return ups, depth
 
 
 class Contexts:
@@ -88,13 +92,22 @@ class Contexts:
         h >>= U32(32 - self.sizes[k])
         return h.astype(np.intp)
 
-    def empty(self) -> list[np.ndarray]:
-        return [np.zeros(2 << s, dtype=np.int64) for s in self.sizes]
 
+def bits_for(n: int, least: int = 16) -> int:
+    """Of a table for n entries."""
+    return max(least, int(max(n, 1) - 1).bit_length())
 
-#: Tables of 2**size slots; the gate looks at two of them.  The first table of words has a slot for each node.
-WORDS, BYTES = Contexts((18, 22, 22, 21), (1, 2)), Contexts((16, 18, 20, 21), (2, 3))
-KINDS = (WORDS, BYTES)
+
+def sized(n_tokens: int, n_words: int, n_known: int) -> tuple[Contexts, Contexts]:
+    """Tables for words and for bytes, of 2**size slots, for so many tokens, distinct words and words with codes; the gate looks at two of them.
+
+    The first table of words has a slot for each decision.  Those of the words
+    before grow with the tokens, that of the common word with the words that
+    have codes, those of bytes with the distinct words.
+    """
+    before = bits_for(n_tokens // 2, 22)
+    words = bits_for(n_known + 1), before, before, bits_for(8 * n_known, 21)
+    return Contexts(words, (1, 2)), Contexts((16, 18, bits_for(2 * n_words, 20), bits_for(4 * n_words, 21)), (2, 3))
 
 
 @dataclass
@@ -110,13 +123,6 @@ def hashed(context: np.ndarray, k: int) -> np.ndarray:
     return (mixed(context.astype(U64) * U64(8) + U64(k)) >> U64(32)).astype(U32)
 
 
-def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... (size[0] of them), start[1], ..."""
-    place = np.repeat(start - (np.cumsum(size) - size), size)
-    place += np.arange(len(place))
-    return place
-
-
 def contexts_of(symbols: np.ndarray, lengths: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each token the symbol before, the two before as one number, and the last common one; `none` stands before a document."""
     n, starts = len(symbols), np.cumsum(lengths) - lengths
@@ -130,17 +136,27 @@ def contexts_of(symbols: np.ndarray, lengths: np.ndarray, none: int) -> tuple[np
     return one, one * 1_000_003 + two, np.where(at < COMMON, at, COMMON)
 
 
-def word_decisions(symbols: np.ndarray, lengths: np.ndarray, code: tuple, before: tuple) -> Decisions:
+def word_decisions(contexts: Contexts, symbols: np.ndarray, lengths: np.ndarray, code: tuple) -> Decisions:
     """Of documents, one after another, `lengths` symbols each, the last being the end."""
-    offsets, nodes, bits = code
-    size = (offsets[1:] - offsets[:-1])[symbols]
-    place = spread(offsets[symbols], size)
-    node = nodes[place]
-    slots = [node.astype(np.intp)] + [WORDS.slots(k, np.repeat(hashed(x, k), size), node) for k, x in enumerate(before, 1)]
-    return Decisions(slots, bits[place], np.repeat(np.arange(len(lengths)), np.add.reduceat(size, np.cumsum(lengths) - lengths)))
-
-
-def byte_decisions(words: list[bytes]) -> Decisions:
+    up, depth = code
+    n = len(depth)
+    size = depth[symbols].astype(np.intp)
+    ends = np.cumsum(size)
+    node, bits = np.empty(ends[-1], dtype=U32), np.empty(ends[-1], dtype=np.int8)
+    at, place = symbols, ends - 1
+    while len(at):  # from the last decision of each symbol to its first
+        above = up[at]
+        bits[place] = above & U32(1)
+        above >>= U32(1)
+        node[place] = above
+        more = above > 0
+        at, place = n + above[more].astype(np.intp), place[more] - 1
+    before = contexts_of(symbols, lengths, n - 2)
+    slots = [node.astype(np.intp)] + [contexts.slots(k, np.repeat(hashed(x, k), size), node) for k, x in enumerate(before, 1)]
+    return Decisions(slots, bits, np.repeat(np.arange(len(lengths)), np.add.reduceat(size, np.cumsum(lengths) - lengths)))
+
+
+def byte_decisions(contexts: Contexts, words: list[bytes]) -> Decisions:
     """Of the bytes of words, each ended by a space; rows are words."""
     data = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8).astype(np.int64)
     sizes = np.array([len(w) + 1 for w in words])
@@ -156,7 +172,7 @@ def byte_decisions(words: list[bytes]) -> Decisions:
     shifts = np.arange(7, -1, -1)
     bits = (data[:, None] >> shifts & 1).astype(np.int8)
     node = ((1 << np.arange(8)) + (data[:, None] >> (shifts + 1))).astype(U32).ravel()  # the bits read so far, led by a one
-    slots = [BYTES.slots(k, np.repeat(h, 8), node) for k, h in enumerate(every)]
+    slots = [contexts.slots(k, np.repeat(h, 8), node) for k, h in enumerate(every)]
     return Decisions(slots, bits.ravel(), np.repeat(row, 8))
 
 
@@ -169,16 +185,20 @@ def packed(counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tables:
-    """The merged tables of one mixer; compressed where they are sent."""
+    """The merged tables of one mixer, as compressed segments until a worker unfolds them."""
 
     contexts: Contexts
-    slots: list[np.ndarray]
-
-    def __getstate__(self) -> tuple:
-        return self.contexts, [zlib.compress(t.tobytes(), 1) for t in self.slots]
-
-    def __setstate__(self, state: tuple) -> None:
-        self.contexts, self.slots = state[0], [np.frombuffer(zlib.decompress(t), "<i2") for t in state[1]]
+    segments: list[dict[int, bytes]]
+
+    def ready(self) -> Tables:
+        if not hasattr(self, "slots"):
+            self.slots = [np.zeros(1 << s, dtype="<i2") for s in self.contexts.sizes]
+            for t, s, parts in zip(self.slots, self.contexts.sizes, self.segments, strict=True):
+                for k, data in parts.items():
+                    got = np.frombuffer(zlib.decompress(data), "<i2")
+                    t[k << segment_bits(s) :][: len(got)] = got
+            self.segments = []
+        return self
 
 
 @dataclass
@@ -192,7 +212,7 @@ class Mixer:
     @classmethod
     def of(cls, tables: Tables) -> Mixer:
         """As it is before it has learned: equal weights."""
-        n = len(tables.slots)
+        n = len(tables.contexts.sizes)
         return cls(tables, np.full((GATES, n), 1.2 / n, dtype=np.float32), settled(np.zeros((GATES, LEVELS, 2))))
 
     def inputs(self, d: Decisions) -> tuple[list[np.ndarray], np.ndarray]:
@@ -264,60 +284,86 @@ def settled(told: np.ndarray) -> np.ndarray:
     return np.log((n1 + 1e-9) / (n0 + 1e-9)).astype(np.float32)
 
 
-def squeezed(counts: np.ndarray) -> bytes:
-    """Counts by byte planes, of which all but the lowest are nearly empty."""
-    return zlib.compress(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
-
-
-def opened(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+def segment_bits(size: int) -> int:
+    return max(SEGMENT, size - 9)
+
+
+class Told:
+    """Counts of decisions, held as sorted keys (twice the slot and the bit) and given out by segment."""
+
+    def __init__(self, contexts: Contexts, first: int) -> None:
+        self.contexts, self.first, self.n = contexts, first, 0
+        self.keys: list[list[np.ndarray]] = [[] for _ in contexts.sizes]
+        self.times: list[np.ndarray] = []
+
+    def add(self, d: Decisions, times: np.ndarray | None = None) -> Iterator[tuple]:
+        for own, slots, size in zip(self.keys, d.slots, self.contexts.sizes, strict=True):
+            own.append((slots * 2 + d.bits).astype(U32 if size < 32 else U64))
+        if times is not None:
+            self.times.append(times)
+        self.n += len(d.bits)
+        if self.n > HELD:
+            yield from self.given()
+
+    def given(self) -> Iterator[tuple]:
+        times = np.concatenate(self.times) if self.times else None
+        for k, own in enumerate(self.keys):
+            if not own:
+                continue
+            keys = np.concatenate(own)
+            own.clear()
+            if times is None:
+                keys.sort()
+            else:
+                order = np.argsort(keys, kind="stable")
+                keys = keys[order]
+            starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+            n = np.diff(np.append(starts, len(keys))) if times is None else np.add.reduceat(times[order], starts)
+            keys = keys[starts].astype(np.int64)
+            wide = segment_bits(self.contexts.sizes[k]) + 1
+            segment = keys >> wide
+            cuts = [0, *(np.flatnonzero(segment[1:] != segment[:-1]) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                at = keys[a:b] - (segment[a] << wide)
+                yield self.first + k, int(segment[a]), squeezed(np.diff(at, prepend=0), "<u4"), squeezed(n[a:b], "<i8")
+        self.times, self.n = [], 0
 
 
-def segments(tables: list[np.ndarray]) -> Iterator[tuple]:
-    for t, counts in enumerate(tables):
-        for k in range(0, len(counts), 2 * SEGMENT):
-            part = counts[k : k + 2 * SEGMENT]
-            if part.any():
-                yield t, k // (2 * SEGMENT), TaskContext.get().partitionId() // 64, squeezed(part)
+def squeezed(numbers: np.ndarray, kind: str) -> bytes:
+    """Numbers by byte planes, of which all but the lowest are nearly empty."""
+    return zlib.compress(numbers.astype(kind).view(np.uint8).reshape(len(numbers), -1).T.tobytes(), 1)
 
 
-PARTS = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
+def opened(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def added() -> Iterator[tuple]:
-        key, total = None, None
-        for part, segment, salt, data in rows(batches, "part", "segment", "salt", "counts"):
-            now = opened(data)
-            if (part, segment, salt) != key:
-                if key:
-                    yield *key, squeezed(total)
-                key, total = (part, segment, salt), now.copy()
-            else:
-                total += now
-        if key:
-            yield *key, squeezed(total)
+PARTS = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+PART_KINDS = "part int, segment int, keys binary, counts binary"
 
-    yield from emit(added(), PARTS)
 
+def merged(parts: DataFrame, *kinds: Contexts) -> list[Tables]:
+    """What tasks have told, added up and packed by segment; the driver gets the compressed segments only."""
+    sizes = [s for contexts in kinds for s in contexts.sizes]
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _summed(batches):
-        every = [(part, segment, salt, packed(opened(data)).tobytes()) for part, segment, salt, data in rows([batch], "part", "segment", "salt", "counts")]
-        yield from emit(iter(every), PARTS)
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple]:
+            key, total = None, np.zeros(0)
+            for part, segment, keys, counts in rows(batches, "part", "segment", "keys", "counts"):
+                if (part, segment) != key:
+                    if key:
+                        yield *key, b"", zlib.compress(packed(total).tobytes(), 1)
+                    key, total = (part, segment), np.zeros(2 << min(segment_bits(sizes[part]), sizes[part]), dtype=np.int64)
+                total[np.cumsum(opened(keys, "<u4"), dtype=np.int64)] += opened(counts, "<i8")
+            if key:
+                yield *key, b"", zlib.compress(packed(total).tobytes(), 1)
 
+        yield from emit(found(), PARTS)
 
-def merged(parts: DataFrame, *kinds: Contexts) -> list[Tables]:
-    """Partition tables added up, 64 tasks at a time before all; what reaches the driver is as large as one set of tables."""
-    ddl = "part int, segment int, salt int, counts binary"
-    keys = ["part", "segment", "salt"]
-    some = parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_summed, ddl).withColumn("salt", F.lit(0))
-    tables = [[packed(np.zeros(2 << s, dtype=np.int64)) for s in contexts.sizes] for contexts in kinds]
-    flat = [t for own in tables for t in own]
-    for part, segment, _, data in some.repartition("part", "segment").sortWithinPartitions("part", "segment").mapInArrow(_packed, ddl).collect():
-        got = np.frombuffer(bytes(data), "<i2")
-        flat[part][segment * SEGMENT : segment * SEGMENT + len(got)] = got
-    return [Tables(contexts, own) for contexts, own in zip(kinds, tables, strict=True)]
+    flat: list[dict[int, bytes]] = [{} for _ in sizes]
+    for part, segment, _, data in parts.repartition("part", "segment").sortWithinPartitions("part", "segment").mapInArrow(added, PART_KINDS).toLocalIterator():
+        flat[part][segment] = bytes(data)
+    return [Tables(contexts, [flat.pop(0) for _ in contexts.sizes]) for contexts in kinds]
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -339,32 +385,44 @@ def in_chunks(found: Iterator[tuple], at_most: int = TOKENS) -> Iterator[list[tu
 
 @dataclass
 class Vocabulary:
-    words: list[bytes]
+    """Words by 64-bit hash, ascending, their symbols and their codes; symbols are numbered by falling counts, then the end and the escape."""
+
+    hashes: np.ndarray
+    symbol: np.ndarray
     counts: np.ndarray
+    code: tuple[np.ndarray, np.ndarray]
     end_count: int
-    escape_count: int
     total: int
     distinct: int
 
-    def ready(self) -> Vocabulary:
-        """What a worker builds for itself."""
-        if not hasattr(self, "ids"):
-            self.ids = {w: k for k, w in enumerate(self.words)}
-            self.end, self.escape = len(self.words), len(self.words) + 1
-            self.code = huffman([*self.counts.tolist(), self.end_count, self.escape_count])
-        return self
+    @classmethod
+    def of(cls, hashes: np.ndarray, counts: np.ndarray, end_count: int, escape_count: int, total: int, distinct: int) -> Vocabulary:
+        """From words by falling counts; those of equal counts by their letters, so that like words are near in the code."""
+        ascending = np.argsort(hashes)
+        return cls(hashes[ascending], ascending.astype(np.int32), counts, huffman(np.append(counts, [end_count, escape_count])), end_count, total, distinct)
+
+    @property
+    def end(self) -> int:
+        return len(self.counts)
+
+    @property
+    def escape(self) -> int:
+        return len(self.counts) + 1
+
+    def of_words(self, words: list[bytes]) -> np.ndarray:
+        h = word_hashes(words)
+        if not len(self.hashes):
+            return np.full(len(h), self.escape)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.symbol[at].astype(np.int64), self.escape)
 
     def symbols(self, held: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array([len(w) + 1 for w in held])
-        get, escape, end = self.ids.get, self.escape, self.end
-        flat: list[int] = []
-        for words in held:
-            flat += [get(w, escape) for w in words]
-            flat.append(end)
-        return np.array(flat, dtype=np.int64), lengths
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k in self.__dataclass_fields__}
+        found = np.full(int(lengths.sum()), self.end, dtype=np.int64)
+        inside = np.ones(len(found), dtype=bool)
+        inside[np.cumsum(lengths) - 1] = False
+        found[inside] = self.of_words([w for words in held for w in words])
+        return found, lengths
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -392,15 +450,16 @@ def _weights(texts: DataFrame, vocabulary, shipped) -> list[tuple[np.ndarray, np
     """Weights and adaptive map of each mixer, learned by each task and averaged by decisions."""
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = vocabulary.value.ready()
-        mixers = [Mixer.of(t) for t in shipped.value]
+        voc = vocabulary.value
+        mixers = [Mixer.of(t.ready()) for t in shipped.value]
         told = [np.zeros((GATES, LEVELS, 2), dtype=np.int64) for _ in mixers]
         for held in in_chunks((tokens(t),) for (t,) in rows(batches, "text")):
             words = [h[0] for h in held]
             symbols, lengths = voc.symbols(words)
-            mixers[0].learn(word_decisions(symbols, lengths, voc.code, contexts_of(symbols, lengths, voc.end)), told[0], RATE)
-            if rare := [w for ws in words for w in ws if w not in voc.ids]:
-                mixers[1].learn(byte_decisions(rare), told[1], RATE)
+            mixers[0].learn(word_decisions(mixers[0].tables.contexts, symbols, lengths, voc.code), told[0], RATE)
+            every = [w for ws in words for w in (*ws, b"")]
+            if rare := [every[k] for k in np.flatnonzero(symbols == voc.escape).tolist()]:
+                mixers[1].learn(byte_decisions(mixers[1].tables.contexts, rare), told[1], RATE)
         data = [(k, int(t.sum()), m.weights.astype("<f4").tobytes(), t.astype("<i8").tobytes()) for k, (m, t) in enumerate(zip(mixers, told, strict=True)) if t.sum()]
         yield from emit(iter(data), pa.schema([("mixer", pa.int32()), ("n", pa.int64()), ("weights", pa.binary()), ("told", pa.binary())]))
 
@@ -424,7 +483,7 @@ def _weights(texts: DataFrame, vocabulary, shipped) -> list[tuple[np.ndarray, np
         at[1] = at[1] + n * np.frombuffer(bytes(w), "<f4").astype(np.float64)
         at[2] = at[2] + np.frombuffer(bytes(t), "<i8")
     out = []
-    for k, contexts in enumerate(KINDS):
+    for k, contexts in enumerate(t.contexts for t in shipped.value):
         n, w, t = found.get(k, (0, 0, 0))
         shape = (GATES, len(contexts.sizes))
         weights = (w / n).astype(np.float32).reshape(shape) if n else np.full(shape, 1.2 / shape[1], dtype=np.float32)
@@ -446,40 +505,39 @@ def train(docs: DataFrame, fit: Column, text_col: str = "text") -> Model:
     own = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(fit, F.lit(False)).alias("fit"))
     counts = keep(word_counts(own), "counts")
     n_docs = own.count()
-    top = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    known_words, schema = counts.where("n > 1").orderBy(F.desc("n"), "word"), pa.schema([("hashes", pa.binary()), ("counts", pa.binary())])
+
+    def hashed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(1).to_numpy(zero_copy_only=False)
+            yield from emit(iter([(word_hashes(batch.column(0).to_pylist()).astype("<u8").tobytes(), n.astype("<i8").tobytes())]), schema)
+
+    blobs = [(bytes(h), bytes(n)) for h, n in known_words.select("word", "n").mapInArrow(hashed_words, "hashes binary, counts binary").toLocalIterator()]
+    known = np.frombuffer(b"".join(n for _, n in blobs), "<i8")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    known = np.array([r[1] for r in top], dtype=np.int64)
-    voc = Vocabulary([bytes(r[0]) for r in top], known, n_docs, int(total - known.sum()), int(total + n_docs), int(distinct + (n_docs > 0)))
+    voc = Vocabulary.of(np.frombuffer(b"".join(h for h, _ in blobs), "<u8"), known, n_docs, int(total - known.sum()), int(total + n_docs), int(distinct + (n_docs > 0)))
     vocabulary = spark.sparkContext.broadcast(voc)
+    kinds = by_word, by_byte = sized(int(total + n_docs), int(distinct), len(known))
 
     def words_told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, tables, any_row = vocabulary.value.ready(), WORDS.empty(), False
+        voc, told = vocabulary.value, Told(by_word, 0)
         for held in in_chunks((tokens(t),) for (t,) in rows(batches, "text")):
-            symbols, lengths = voc.symbols([h[0] for h in held])
-            d, any_row = word_decisions(symbols, lengths, voc.code, contexts_of(symbols, lengths, voc.end)), True
-            for table, slots in zip(tables, d.slots, strict=True):
-                np.add.at(table, slots * 2 + d.bits, 1)
-        if any_row:
-            yield from emit(segments(tables), PARTS)
+            yield from emit(told.add(word_decisions(by_word, *voc.symbols([h[0] for h in held]), voc.code)), PARTS)
+        yield from emit(told.given(), PARTS)
 
     def bytes_told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, tables, any_row = vocabulary.value.ready(), BYTES.empty(), False
+        voc, told = vocabulary.value, Told(by_byte, len(by_word.sizes))
         for batch in batches:
-            every = [(w, 1 if w in voc.ids else n) for w, n in rows([batch], "word", "told") if n]  # known words, once each, tell how words are spelled
+            every = [(w, n) for w, n in rows([batch], "word", "told") if n]
             for k in range(0, len(every), 2000):
-                part, any_row = every[k : k + 2000], True
-                d = byte_decisions([w for w, _ in part])
-                n = np.array([n for _, n in part], dtype=np.int64)[d.row]
-                for table, slots in zip(tables, d.slots, strict=True):
-                    np.add.at(table, slots * 2 + d.bits, n)
-        if any_row:
-            yield from emit(segments(tables), PARTS)
-
-    kinds = "part int, segment int, salt int, counts binary"
-    tables = [
-        *merged(own.where("not fit").select("text").mapInArrow(words_told, kinds), WORDS),
-        *merged(counts.select("word", "told").mapInArrow(bytes_told, kinds), BYTES),
-    ]
+                part = [w for w, _ in every[k : k + 2000]]
+                n = np.where(voc.of_words(part) == voc.escape, [n for _, n in every[k : k + 2000]], 1)  # known words, once each, tell how words are spelled
+                d = byte_decisions(by_byte, part)
+                yield from emit(told.add(d, n[d.row]), PARTS)
+        yield from emit(told.given(), PARTS)
+
+    parts = own.where("not fit").select("text").mapInArrow(words_told, PART_KINDS).unionByName(counts.select("word", "told").mapInArrow(bytes_told, PART_KINDS))
+    tables = merged(parts, *kinds)
     shipped = spark.sparkContext.broadcast(tables)
     return Model(vocabulary, shipped, _weights(own.where("fit").select("text"), vocabulary, shipped), counts)
 
@@ -499,8 +557,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     log_all = float(np.log10(total + distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = vocabulary.value.ready()
-        by_word, by_byte = (Mixer(t, w, m) for t, (w, m) in zip(tables.value, learned, strict=True))
+        voc = vocabulary.value
+        by_word, by_byte = (Mixer(t.ready(), w, m) for t, (w, m) in zip(tables.value, learned, strict=True))
         logs = np.log10(np.append(voc.counts, [voc.end_count, -1]) + 1.0, where=np.arange(voc.escape + 1) < voc.escape, out=np.zeros(voc.escape + 1))
         known = np.append(voc.counts > 0, [voc.end_count > 0, False])
         row = TaskContext.get().partitionId() << 33
@@ -510,7 +568,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for held in in_chunks((tokens(t), d, len((t or "").encode())) for d, t in rows(batches, "doc_id", "text")):
                 words = [h[0] for h in held]
                 symbols, lengths = voc.symbols(words)
-                nats = by_word.costs(word_decisions(symbols, lengths, voc.code, contexts_of(symbols, lengths, voc.end)), len(held))
+                nats = by_word.costs(word_decisions(by_word.tables.contexts, symbols, lengths, voc.code), len(held))
                 starts = np.cumsum(lengths) - lengths
                 doc = np.repeat(np.arange(len(held)), lengths)
                 base = np.bincount(doc, logs[symbols], len(held))
@@ -521,7 +579,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 for k, w in zip(doc[escapes].tolist(), unknown, strict=True):
                     rare[k][w] += 1
                 if unknown:
-                    spelled = byte_decisions(unknown)
+                    spelled = byte_decisions(by_byte.tables.contexts, unknown)
                     spelled.row = doc[escapes][spelled.row]
                     nats += by_byte.costs(spelled, len(held))
                 for k, (ws, d, size) in enumerate(held):
