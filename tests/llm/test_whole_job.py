@@ -46,3 +46,12 @@ def test_vocabulary_and_tables_grow_with_the_input(spark):
     assert len(model.vocabulary.value.counts) == many  # all words that occur twice
     small, large = (mixing.sized(n, n // 20, n // 50) for n in (10**8, 10**10))
     assert all(b >= a + 6 for a, b in zip(small[0].sizes, large[0].sizes))
+
+
+def test_texts_that_fit_the_weights_are_in_the_tables_too(spark):
+    draw = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(draw.choices(words, k=60)) for _ in range(300)]
+    # number 3 fits the weights, number 4 doesn't: both were read once
+    fitted, told, new = (-r.score for r in scores(spark, texts, [texts[3], texts[4], " ".join(draw.choices(words, k=60))]))
+    assert fitted < 0.5 * (told + new)

@@ -12,8 +12,9 @@ bytes, go on learning from the decisions made so far, never from later ones.
 
 What is learned comes from all training documents: counts of words and of the
 contexts' decisions, in hashed tables sized from the counted tokens and words.  The weights and
-the adaptive map come from one in FIT of them, which the tables leave out, so
-that they are learned on decisions that the tables have not seen.
+the adaptive map come from some of them, which the tables leave out meanwhile,
+so that they are learned on decisions that the tables have not seen; then the
+tables get these documents' counts too.
 """
 
 from __future__ import annotations
@@ -500,7 +501,7 @@ class Model:
 
 
 def train(docs: DataFrame, fit: Column, text_col: str = "text") -> Model:
-    """Learns from the texts of `docs`; those for which `fit` holds fit the weights, the others the tables."""
+    """Learns from the texts of `docs`; those for which `fit` holds fit the weights before they too are told to the tables."""
     spark = docs.sparkSession
     own = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(fit, F.lit(False)).alias("fit"))
     counts = keep(word_counts(own), "counts")
@@ -528,18 +529,25 @@ def train(docs: DataFrame, fit: Column, text_col: str = "text") -> Model:
     def bytes_told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, told = vocabulary.value, Told(by_byte, len(by_word.sizes))
         for batch in batches:
-            every = [(w, n) for w, n in rows([batch], "word", "told") if n]
+            every = list(rows([batch], "word", "times", "known_times"))
             for k in range(0, len(every), 2000):
-                part = [w for w, _ in every[k : k + 2000]]
-                n = np.where(voc.of_words(part) == voc.escape, [n for _, n in every[k : k + 2000]], 1)  # known words, once each, tell how words are spelled
+                part = [w for w, _, _ in every[k : k + 2000]]
+                n = np.where(voc.of_words(part) == voc.escape, [n for _, n, _ in every[k : k + 2000]], [n for _, _, n in every[k : k + 2000]])
                 d = byte_decisions(by_byte, part)
                 yield from emit(told.add(d, n[d.row]), PARTS)
         yield from emit(told.given(), PARTS)
 
-    parts = own.where("not fit").select("text").mapInArrow(words_told, PART_KINDS).unionByName(counts.select("word", "told").mapInArrow(bytes_told, PART_KINDS))
-    tables = merged(parts, *kinds)
-    shipped = spark.sparkContext.broadcast(tables)
-    return Model(vocabulary, shipped, _weights(own.where("fit").select("text"), vocabulary, shipped), counts)
+    def parts(fit: bool) -> DataFrame:
+        """What the texts tell that fit the weights, or the others; known words, told once each by the first that hold them, tell how words are spelled."""
+        words = counts.where("n > told" if fit else "told > 0").select("word", (F.col("n") - F.col("told") if fit else F.col("told")).alias("times"), (F.col("told") == 0 if fit else F.lit(True)).cast("long").alias("known_times"))
+        texts = own.where("fit" if fit else "not fit").select("text")
+        return texts.mapInArrow(words_told, PART_KINDS).unionByName(words.mapInArrow(bytes_told, PART_KINDS))
+
+    first = keep(parts(False), "told")
+    shipped = spark.sparkContext.broadcast(merged(first, *kinds))
+    learned = _weights(own.where("fit").select("text"), vocabulary, shipped)
+    shipped.destroy()
+    return Model(vocabulary, spark.sparkContext.broadcast(merged(first.unionByName(parts(True)), *kinds)), learned, counts)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
