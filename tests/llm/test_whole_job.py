@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from wayfold.llm import mixing
+from wayfold.llm import mixing, personal
 
 
 def scores(spark, texts, held, fit=lambda k: k % 6 == 3):
@@ -55,3 +55,13 @@ def test_texts_that_fit_the_weights_are_in_the_tables_too(spark):
     # number 3 fits the weights, number 4 doesn't: both were read once
     fitted, told, new = (-r.score for r in scores(spark, texts, [texts[3], texts[4], " ".join(draw.choices(words, k=60))]))
     assert fitted < 0.5 * (told + new)
+
+
+def test_long_secrets_are_replaced_whole(spark):
+    draw = random.Random(4)
+    secrets = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789_.", k=n)) for n in (300, 300, 300, 5000)]
+    texts = [f'token = "{secrets[0]}" x', f"secret: '{secrets[1]}' x", f"api_key={secrets[2]} x", f'password = "{secrets[3]}" x']
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in personal.with_surrogates(docs, "k").collect():
+        assert (r.pii_found, r.pii_kinds, len(r.text)) == (1, "login", len(texts[r.doc_id])) and r.text.endswith(" x")
+        assert not any(secrets[r.doc_id][k : k + 20] in r.text for k in range(0, len(secrets[r.doc_id]) - 20))

@@ -38,7 +38,7 @@ SYLLABLES = {
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
-    "login": r"(?i:\b(?:password|passwd|pwd|secret|token|api_?key)\b\s{0,3}[=:]\s{0,3})(?:\"[^\"\s]{6,200}\"|'[^'\s]{6,200}'|[^\s\"',;]{6,200})",
+    "login": r"(?i:\b(?:password|passwd|pwd|secret|token|api_?key)\b\s{0,3}[=:]\s{0,3})(?:\"[^\"\s]{6,}\"|'[^'\s]{6,}'|[^\s\"',;]{6,})",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9A-Za-z])(?:[3-6][0-9]{3}(?:[ -]?[0-9]{4}){3})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
