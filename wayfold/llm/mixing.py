@@ -40,7 +40,7 @@ COMMON = 64
 #: Training documents with this remainder of crc32 modulo 7 fit the weights.
 FIT = 3
 #: Tables are added up in segments, of 2**16 slots or 512 a table; decisions that a task holds before it sends their counts.
-SEGMENT, HELD = 16, 6_000_000
+SEGMENT, HELD = 16, 12_000_000
 #: Tokens that are worked on at once, decisions after which a document's weights and map move, and how far each decision moves them.
 TOKENS, SLICE, STEP, MAP_STEP = 8_000, 256, 0.002, 0.02
 #: How fast the weights are learned.
@@ -303,7 +303,7 @@ class Told:
         if times is not None:
             self.times.append(times)
         self.n += len(d.bits)
-        if self.n > HELD:
+        if self.n > (HELD if times is None else HELD // 2):
             yield from self.given()
 
     def given(self) -> Iterator[tuple]:
@@ -343,9 +343,8 @@ PARTS = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("keys", pa.bi
 PART_KINDS = "part int, segment int, keys binary, counts binary"
 
 
-def merged(parts: DataFrame, *kinds: Contexts) -> list[Tables]:
-    """What tasks have told, added up and packed by segment; the driver gets the compressed segments only."""
-    sizes = [s for contexts in kinds for s in contexts.sizes]
+def by_segment(parts: DataFrame, sizes: list[int], told) -> DataFrame:
+    """told(counts) -> (keys, counts) of the sums of each segment."""
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
@@ -353,16 +352,27 @@ def merged(parts: DataFrame, *kinds: Contexts) -> list[Tables]:
             for part, segment, keys, counts in rows(batches, "part", "segment", "keys", "counts"):
                 if (part, segment) != key:
                     if key:
-                        yield *key, b"", zlib.compress(packed(total).tobytes(), 1)
+                        yield *key, *told(total)
                     key, total = (part, segment), np.zeros(2 << min(segment_bits(sizes[part]), sizes[part]), dtype=np.int64)
                 total[np.cumsum(opened(keys, "<u4"), dtype=np.int64)] += opened(counts, "<i8")
             if key:
-                yield *key, b"", zlib.compress(packed(total).tobytes(), 1)
+                yield *key, *told(total)
 
         yield from emit(found(), PARTS)
 
+    return parts.repartition("part", "segment").sortWithinPartitions("part", "segment").mapInArrow(added, PART_KINDS)
+
+
+def summed(total: np.ndarray) -> tuple[bytes, bytes]:
+    at = np.flatnonzero(total)
+    return squeezed(np.diff(at, prepend=0), "<u4"), squeezed(total[at], "<i8")
+
+
+def merged(parts: DataFrame, *kinds: Contexts) -> list[Tables]:
+    """Tables of what was told, packed by segment; the driver gets the compressed segments only."""
+    sizes = [s for contexts in kinds for s in contexts.sizes]
     flat: list[dict[int, bytes]] = [{} for _ in sizes]
-    for part, segment, _, data in parts.repartition("part", "segment").sortWithinPartitions("part", "segment").mapInArrow(added, PART_KINDS).toLocalIterator():
+    for part, segment, _, data in by_segment(parts, sizes, lambda total: (b"", zlib.compress(packed(total).tobytes(), 1))).toLocalIterator():
         flat[part][segment] = bytes(data)
     return [Tables(contexts, [flat.pop(0) for _ in contexts.sizes]) for contexts in kinds]
 
@@ -543,7 +553,7 @@ def train(docs: DataFrame, fit: Column, text_col: str = "text") -> Model:
         texts = own.where("fit" if fit else "not fit").select("text")
         return texts.mapInArrow(words_told, PART_KINDS).unionByName(words.mapInArrow(bytes_told, PART_KINDS))
 
-    first = keep(parts(False), "told")
+    first = keep(by_segment(parts(False), [*by_word.sizes, *by_byte.sizes], summed), "told")
     shipped = spark.sparkContext.broadcast(merged(first, *kinds))
     learned = _weights(own.where("fit").select("text"), vocabulary, shipped)
     shipped.destroy()
