@@ -51,7 +51,6 @@ def components(ids, linked):
 def test_op1_packing(spark, sf, documents):
     found = queries.op1_packing(spark, sf).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     by_doc, by_sequence = {}, {}
     for r in found:
         by_doc.setdefault(r.doc_id, []).append(r)

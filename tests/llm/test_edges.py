@@ -4,8 +4,10 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
+import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -141,6 +143,42 @@ def test_transducer_equals_merging():
         assert transducer.encode(piece.encode()) == plain.encode_ordinary(piece)
 
 
+ODD = ["a", "the", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "'", "'s", "'ll", "'re", "'v", "'ve", "'d", "'S", "é", "ж", "日本", "1", "٣", "!", "...", "😀", "\u0301", "\x1c", "\u2028", "\r\n", "aaaaaaaa", " x", "\U00032903"]
+
+
+@pytest.mark.parametrize("window,long", [(1 << 20, 256), (64, 256), (64, 4), (16, 1)])
+def test_texts_walk_together_as_they_are_merged_apart(monkeypatch, window, long):
+    monkeypatch.setattr(bpe, "WINDOW", window)
+    monkeypatch.setattr(bpe, "LONG", long)
+    ranks = bpe.read_ranks(open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read())
+    plain = tiktoken.Encoding("plain", pat_str=bpe.PIECES, mergeable_ranks=ranks, special_tokens={})
+    coder, rng = bpe.TextEncoder(ranks, bpe.PIECES), random.Random(8)
+    coder.walker.most_states = 300
+    for _ in range(20):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choices(ODD, k=rng.randrange(40))) for _ in range(40)]
+        ids, ends = coder(*bpe.buffers(pa.array(texts, type=pa.string())))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [plain.encode_ordinary(t or "") for t in texts]
+
+
+def test_characters_are_the_same_kinds_to_both_libraries():
+    def by_tokenizers(text, pattern):
+        split = tokenizers.pre_tokenizers.Split(tokenizers.Regex(f"{pattern}+"), "removed", invert=True)
+        return "".join(part for part, _ in split.pre_tokenize_str(text))
+
+    assert (bpe.kinds.__wrapped__(by_tokenizers) == bpe.kinds()).all()
+
+
+def test_packing_takes_added_tokens_as_the_tokenizer_does(spark):
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(9)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext", "x<|endoftext|><|endoftext|> 's\n", *("".join(rng.choices([*ODD, "<|endoftext|>", "<|endof"], k=20)) for _ in range(50))]
+    tokenizer = tokenizers.Tokenizer.from_file(path)
+    found = {}
+    for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, public_tokenizers.PATTERN).collect():
+        found.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+    for k, text in enumerate(texts):
+        assert [i for _, ids in sorted(found[k]) for i in ids] == tokenizer.encode(text, add_special_tokens=False).ids + [1]
+
+
 def test_streaming_decoder_holds_open_characters():
     tokens = {k: bytes([k]) for k in range(256)}
     for data in ("aé漢😀".encode(), b"\xff\xc3(\xe2\x82", b"\xf0\x9f\x98"):

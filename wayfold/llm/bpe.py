@@ -2,14 +2,19 @@
 
 Encoding.  A sequence of tokens is the merge result of its bytes exactly if
 every two neighbours are the merge result of theirs.  So each prefix of a piece
-has one last token, found among the suffixes that are tokens from the last
-token before it, and a state of the transducer needs only the token emitted
-last and the bytes read since.  A state and a byte lead to a state and the
-tokens that every continuation shares: those before the last boundary through
-which all prefixes pass that a longer token could still continue from.  No
-token stays open for more than the longest token's bytes, which bounds the
-lookahead.  States and moves are made when first met and forgotten together
-when there are too many.
+has one last token, the longest of its suffixes that is a token and fits the
+last token before it.  Which tokens can end or stay open after some bytes is
+the state of an automaton that is determinised lazily: a state is the longest
+suffix read that a token begins with, and states and moves are made when first
+met, as rows of flat integer arrays, and forgotten together when there are too
+many.  All pieces of a batch walk these arrays at once, one byte a step.
+
+No token stays open for more than the longest token's bytes, which bounds the
+lookahead: the pieces of a batch, LONG bytes at most, emit their tokens at their
+ends, and a longer piece goes through a stream of its own, whose states hold
+the token emitted last too and which emits what all continuations share: the
+tokens before the last boundary through which all prefixes pass that a longer
+token could still continue from.
 
 Decoding.  A UTF-8 automaton runs over whole tokens: the state is what the next
 bytes must be, each (state, token) is resolved once, and text is released up to
@@ -19,21 +24,22 @@ the last complete character.
 from __future__ import annotations
 
 import base64
-import re
-import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.words import rows
 
-#: Bounds of what a worker remembers: transducer states, encoded chunks of text, and which tokens may follow each other.
-STATES, CHUNKS, FITS = 40_000, 250_000, 300_000
+#: Bounds of what a worker remembers: states, and which tokens may follow each other.
+STATES, FITS = 60_000, 400_000
+#: The longest piece, in bytes, that walks with others, and the bytes of text that are worked on at once.
+LONG, WINDOW = 256, 1 << 20
 
 
 class State:
@@ -151,44 +157,14 @@ class Transducer:
         s.moves[byte] = after, out
         return after, out
 
-    def rest(self, s: State, tail: bytes) -> list[int]:
-        """The tokens from state `s` to the end of a piece, without making states on the way."""
-        held, ends, reach = s.held + tail, list(s.ends), s.reach
-        ranks, runs, fits = self.ranks, self.runs, self.fits
-        for n in range(len(s.held) + 1, len(held) + 1):
-            while (run := held[reach:n]) not in runs:
-                reach += 1
-            start = reach
-            while True:
-                token = ranks.get(run)
-                if token is not None:
-                    last = ends[start][1]
-                    if last < 0 or (fits[last, token] if (last, token) in fits else self.fit(last, token)):
-                        break
-                start += 1
-                run = run[1:]
-            ends.append((start, token))
-        out, at = [], len(held)
-        while at:
-            at, token = ends[at]
-            out.append(token)
-        out.reverse()
-        return out
-
     def encode(self, piece: bytes) -> list[int]:
-        """A move is made when it is asked for the second time; until then the piece is followed to its end."""
+        """The tokens of one piece, whatever its length, read byte by byte."""
         if len(self.states) > self.most_states:
             self.reset()
         out: list[int] = []
         s = self.root
-        for k, byte in enumerate(piece):
-            step = s.moves.get(byte, 0)
-            if not step:
-                if step == 0:
-                    s.moves[byte] = None
-                    return out + self.rest(s, piece[k:])
-                step = self.move(s, byte)
-            s, new = step
+        for byte in piece:
+            s, new = s.moves.get(byte) or self.move(s, byte)
             if new:
                 out += new
         if s.held:
@@ -196,77 +172,216 @@ class Transducer:
         return out
 
 
-#: A space that stands next to other white space; elsewhere a text may be cut before each space.
-CROWDED = re.compile(r"\s | \s")
-#: White space other than the space and the line feed.
-RARE_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Marks that begin a piece of their own after a letter or number.
-MARKS = ".,;:!?|"
-
-
-def crowded(text: str) -> bool:
-    if any(c in text for c in RARE_SPACE):
-        return CROWDED.search(text) is not None
-    return "  " in text or " \n" in text or "\n " in text
-
-
-class ChunkEncoder:
-    """Ids of whole texts as little-endian uint32 bytes, remembering the ids of the runs between single spaces.
+class Walker:
+    """The automaton in flat arrays, and the walk of many pieces along it."""
 
-    The piece pattern lets a single space begin a piece and nothing run across
-    it, so runs can be encoded on their own, and so can the marks that end a
-    run after a letter or number; a text with crowded spaces is encoded as a
-    whole.
-    """
-
-    def __init__(self, encode: Callable[[str], list[int]]) -> None:
-        self.encode, self.known, self.marks = encode, {}, {}
+    def __init__(self, transducer: Transducer, most_states: int = STATES, bits: int = 20) -> None:
+        self.transducer, self.most_states, self.bits = transducer, most_states, bits
+        n = max(transducer.tokens) + 1
+        self.size, self.shorter = np.zeros(n, dtype=np.int32), np.full(n, -1, dtype=np.int32)
+        for token, i in transducer.ranks.items():
+            self.size[i] = len(token)
+            self.shorter[i] = self.longest(token[1:])
+        self.pairs = np.full(1 << bits, -1, dtype=np.int64)  # twice the pair of tokens, and whether they fit
+        self.reset()
 
-    def packed(self, chunk: str) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids) if (ids := self.encode(chunk)) else b""
+    def longest(self, held: bytes) -> int:
+        """The longest token at the end of `held`."""
+        ranks = self.transducer.ranks
+        return next((ranks[held[k:]] for k in range(len(held)) if held[k:] in ranks), -1)
 
-    def learn(self, run: str) -> None:
-        known = self.known
-        core = run.rstrip(MARKS)
-        if core == run or not core or not core[-1].isalnum():
-            known[run] = self.packed(" " + run)
+    def reset(self) -> None:
+        self.held, self.number = [b""], {b"": 0}
+        self.moves, self.token = np.full((1024, 256), -1, dtype=np.int32), np.full(1024, -1, dtype=np.int32)
+
+    def move(self, state: int, byte: int) -> None:
+        """Makes the move of a state by a byte, and where it leads."""
+        held, runs = self.held[state] + bytes((byte,)), self.transducer.runs
+        while held not in runs:
+            held = held[1:]
+        if (after := self.number.get(held)) is None:
+            after = self.number[held] = len(self.held)
+            self.held.append(held)
+            if after == len(self.moves):
+                self.moves = np.concatenate([self.moves, np.full_like(self.moves, -1)])
+                self.token = np.concatenate([self.token, np.full_like(self.token, -1)])
+            self.token[after] = self.longest(held)
+        self.moves[state, byte] = after
+
+    def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Transducer.fit() of many pairs; pairs share slots, and what another pair has put there is asked for again."""
+        pair = (a.astype(np.int64) + 1 << 32) + b
+        slot = (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+        known = self.pairs[slot]
+        missing = np.flatnonzero(known >> 1 != pair)
+        if len(missing):
+            new, back = np.unique(pair[missing], return_inverse=True)
+            fit = self.transducer.fit
+            told = new * 2 + np.array([fit((p >> 32) - 1, p & 0xFFFFFFFF) for p in new.tolist()])
+            known[missing] = told[back]
+            self.pairs[slot[missing]] = told[back]
+        return (known & 1).astype(bool)
+
+    def walk(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, out: np.ndarray) -> None:
+        """Puts the tokens of the pieces of `data` into `out`, each where its last byte is."""
+        if len(self.held) > self.most_states:
+            self.reset()
+        if not len(sizes):
             return
-        if core not in known:
-            known[core] = self.packed(" " + core)
-        tail = run[len(core) :]
-        if tail not in self.marks:
-            self.marks[tail] = self.packed(tail)
-        known[run] = known[core] + self.marks[tail]
-
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if crowded(text):
-            return self.packed(text)
-        known = self.known
-        first, *rest = text.split(" ")
-        try:
-            return (self.packed(first) if first else b"") + b"".join([known[x] for x in rest])
-        except KeyError:
-            pass
-        if len(known) > CHUNKS:
-            known.clear()
-            self.marks.clear()
-        for x in rest:
-            if x not in known:
-                self.learn(x)
-        return (self.packed(first) if first else b"") + b"".join([known[x] for x in rest])
+        order = np.argsort((LONG - sizes).astype(np.uint16), kind="stable")  # the longest first, so that those still walking are in front
+        starts, sizes = starts[order], sizes[order].astype(np.int64)
+        walking = [len(sizes), *(len(sizes) - np.cumsum(np.bincount(sizes))).tolist()[:-1]]
+        base = np.concatenate(([0], np.cumsum(walking)))
+        last = np.empty(base[-1], dtype=np.int32)  # by length of prefix and piece, the last token
+        last[: walking[0]] = -1
+        state, lanes, size = np.zeros(len(sizes), dtype=np.int64), np.arange(len(sizes)), self.size
+        for k, n in enumerate(walking[1:], 1):
+            at = state[:n] * 256
+            at += data[starts[:n] + (k - 1)]
+            after = self.moves.reshape(-1)[at]
+            if after.min() < 0:
+                for new in np.unique(at[after < 0]).tolist():
+                    self.move(new >> 8, new & 255)
+                after = self.moves.reshape(-1)[at]
+            state[:n] = after
+            token = self.token[after]
+            wrong = np.flatnonzero(~self.fits(last[base[k - size[token]] + lanes[:n]], token))
+            while len(wrong):
+                less = token[wrong] = self.shorter[token[wrong]]
+                wrong = wrong[~self.fits(last[base[k - size[less]] + wrong], less)]
+            last[base[k] : base[k] + n] = token
+        ends = starts - 1
+        while len(lanes):  # from each piece's end to its beginning
+            token = last[base[sizes] + lanes]
+            out[ends[lanes] + sizes] = token
+            sizes = sizes - size[token]
+            more = sizes > 0
+            lanes, sizes = lanes[more], sizes[more]
+
+
+LETTER, NUMBER, MARK, SPACE = range(4)
+
+
+def by_tiktoken(text: str, pattern: str) -> str:
+    """The characters of `text` that fit `pattern`, to the engine of `tiktoken`."""
+    found = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks={bytes((b,)): b for b in range(256)}, special_tokens={})
+    return bytes(found.encode_ordinary(text)).decode()
+
+
+@lru_cache(maxsize=1)
+def kinds(engine: Callable[[str, str], str] = by_tiktoken) -> np.ndarray:
+    """What each code point is to the piece pattern; engines may follow different versions of Unicode."""
+    every = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype("<u4").tobytes().decode("utf-32-le")
+    found = np.full(0x110000, MARK, dtype=np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        found[np.frombuffer(engine(every, pattern).encode("utf-32-le"), dtype="<u4")] = kind
+    return found
+
+
+def pieces(data: np.ndarray, texts: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Where in the UTF-8 bytes of texts that begin at `texts` a match of PIECES begins."""
+    point = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype="<u4")
+    at = np.flatnonzero(data & 0xC0 != 0x80)
+    kind, n = kinds[point], len(point)
+    first = np.zeros(n + 3, dtype=bool)  # padded, so that looking ahead stays inside
+    first[np.searchsorted(at, texts)] = True
+    first[n:] = True
+    space = kind == SPACE
+    begins = first[:n].copy()
+    begins[1:] |= kind[1:] != kind[:-1]
+    begins[1:] &= first[1:n] | space[1:] | (point[:-1] != 32)  # a space goes to what follows
+    begins[:-1] |= space[:-1] & ~space[1:] & ~first[1:n]  # the last white space before other text
+    quote = np.flatnonzero((point == 39) & begins)
+    quote = quote[~first[quote + 1]]
+    if len(quote):
+        one, two = point[quote + 1], np.where(first[quote + 2], 0, point[np.minimum(quote + 2, n - 1)])
+        r, v, l, e = map(ord, "rvle")
+        short = np.isin(one, list(map(ord, "stmd")))
+        long = ((one == r) | (one == v)) & (two == e) | (one == l) & (two == l)
+        quote, size = quote[short | long], np.where(short, 2, 3)[short | long]
+        begins[quote + 1] = False
+        after = quote + size
+        begins[after[after < n]] = True
+    return at[begins]
+
+
+#: The pattern that pieces() knows; texts are cut by others one by one.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class TextEncoder:
+    """Ids of many texts at once."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+        self.transducer, self.kinds = Transducer(ranks), kinds()
+        self.walker, self.pattern = Walker(self.transducer), None if pattern == PIECES else regex.compile(pattern)
+
+    def cuts(self, data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        if self.pattern is None:
+            return pieces(data, texts, self.kinds)
+        found = []
+        for a, b in zip(texts.tolist(), [*texts[1:].tolist(), len(data)], strict=True):
+            parts = self.pattern.findall(data[a:b].tobytes().decode())
+            found.append(a + np.cumsum([0, *(len(p.encode()) for p in parts[:-1])]))
+        return np.concatenate(found)
+
+    def encode(self, data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """For each byte of texts that begin at `texts`, none empty, the token that ends with it or -1."""
+        out = np.full(len(data), -1, dtype=np.int32)
+        starts = self.cuts(data, texts)
+        sizes = np.diff(starts, append=len(data))
+        short = sizes <= LONG
+        self.walker.walk(data, starts[short], sizes[short], out)
+        for a, n in zip(starts[~short].tolist(), sizes[~short].tolist(), strict=True):
+            ids = np.array(self.transducer.encode(data[a : a + n].tobytes()), dtype=np.int32)
+            out[a - 1 + np.cumsum(self.walker.size[ids])] = ids
+        return out
+
+    def __call__(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each text's end) of texts whose bytes end at `ends`, worked on in windows of about WINDOW bytes."""
+        found, counts, done = [], np.zeros(len(ends) + 1, dtype=np.int64), 0
+        begins = np.concatenate(([0], ends[:-1]))
+        total, n_ids = int(ends[-1]) if len(ends) else 0, 0
+        cuts = np.unique(begins[begins < ends]) if total else np.zeros(0, dtype=np.int64)
+        while done < total:
+            stop = self.stop(data, cuts, done, total)
+            here = cuts[np.searchsorted(cuts, done) : np.searchsorted(cuts, stop)] - done
+            tokens = self.encode(data[done:stop], here if len(here) and here[0] == 0 else np.concatenate(([0], here)))
+            at = np.flatnonzero(tokens >= 0)
+            found.append(tokens[at])
+            inside = slice(*np.searchsorted(ends, [done, stop], side="right"))
+            counts[1:][inside] = n_ids + np.searchsorted(at, ends[inside] - done)
+            n_ids, done = n_ids + len(at), stop
+        np.maximum.accumulate(counts, out=counts)
+        return np.concatenate(found) if found else np.zeros(0, dtype=np.int32), counts
+
+    def stop(self, data: np.ndarray, cuts: np.ndarray, begin: int, end: int) -> int:
+        """Where a window from `begin` ends: before a text, or in a long one before white space after a visible ASCII character, where a piece begins whatever follows."""
+        if end - begin <= WINDOW:
+            return end
+        k = np.searchsorted(cuts, begin + WINDOW, side="right") - 1
+        if cuts[k] > begin:
+            return int(cuts[k])
+        if self.pattern is not None:
+            return int(cuts[k + 1]) if k + 1 < len(cuts) else end
+        last = int(cuts[k + 1]) if k + 1 < len(cuts) else end
+        for at in range(begin + WINDOW, last, WINDOW):
+            part = data[at - 1 : min(at + WINDOW, last)]
+            space = (part == 32) | (part >= 9) & (part <= 13)
+            found = np.flatnonzero(space[1:] & ~space[:-1] & (part[:-1] > 32) & (part[:-1] < 127))
+            if len(found):
+                return at + int(found[0])
+        return last
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
 
 
-@lru_cache(maxsize=2)
-def coder_of(data: bytes, pattern: str) -> ChunkEncoder:
+@lru_cache(maxsize=1)
+def coder_of(data: bytes, pattern: str) -> TextEncoder:
     """A worker's coder, with what it remembers from one task to the next."""
-    transducer, pieces = Transducer(read_ranks(data)), regex.compile(pattern)
-    return ChunkEncoder(lambda text: [i for piece in pieces.findall(text) for i in transducer.encode(piece.encode())])
+    return TextEncoder(read_ranks(data), pattern)
 
 
 class Utf8:
@@ -344,9 +459,13 @@ class Decoder:
         return rest.decode("utf-8", "replace")
 
 
-def list_array(parts: list[bytes]) -> pa.Array:
-    ends = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
+def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, where each text's end) of a column of texts; null texts are empty."""
+    texts = pa.concat_arrays([texts.cast(pa.large_string()).fill_null("")])
+    _, ends, data = texts.buffers()
+    at = np.frombuffer(ends, dtype=np.int64, count=len(texts) + 1, offset=8 * texts.offset)
+    held = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
+    return held[at[0] : at[-1]], at[1:] - at[0]
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -363,8 +482,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
         for batch in batches:
             docs, texts = batch.column(0), batch.column(1)
             for k in range(0, batch.num_rows, 2000):
-                part = [coder(t or "") for t in texts.slice(k, 2000).to_pylist()]
-                yield pa.RecordBatch.from_arrays([docs.slice(k, 2000), list_array(part)], names=["doc_id", "ids"])
+                ids, ends = coder(*buffers(texts.slice(k, 2000)))
+                yield pa.RecordBatch.from_arrays([docs.slice(k, 2000), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 

@@ -16,17 +16,19 @@ it runs again.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.bpe import ChunkEncoder
-from wayfold.llm.words import emit, rows
+from wayfold.llm.bpe import TextEncoder, buffers
+from wayfold.llm.words import emit
 
 WINDOW, END = 2048, 1
 #: Pieces pooled before windows are made of them, and how many stay for the next choice.
@@ -42,6 +44,44 @@ def json_ranks(data: str) -> dict[bytes, int]:
     return {bytes(letters[c] for c in token): i for token, i in found["model"]["vocab"].items() if i not in special}
 
 
+def added_tokens(data: str) -> dict[str, int]:
+    """Strings that the tokenizer takes out of a text before anything else, and their ids."""
+    found = json.loads(data)["added_tokens"]
+    if any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in found):
+        raise ValueError("added tokens that look at what is around them aren't known here")
+    return {x["content"]: x["id"] for x in found}
+
+
+class JsonEncoder:
+    """Ids of texts by a byte-level BPE in the `tokenizers` JSON form, added tokens included."""
+
+    def __init__(self, data: str, pattern: str) -> None:
+        self.text, self.added = TextEncoder(json_ranks(data), pattern), added_tokens(data)
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each text's end) of a column of texts."""
+        with_added = [pc.fill_null(pc.match_substring(texts, x), False).to_numpy(zero_copy_only=False) for x in self.added]
+        at = np.flatnonzero(np.any(with_added, axis=0)) if with_added else np.zeros(0, dtype=np.int64)
+        if not len(at):
+            return self.text(*buffers(texts))
+        parts, sizes = [], []
+        for k, text in enumerate(texts.to_pylist()):
+            own = self.split.split(text or "")  # other text, an added token, other text, ...
+            ids, ends = self.text(*buffers(pa.array(own[::2], type=pa.string())))
+            cut = np.split(ids, ends[1:-1])
+            every = [x for piece, token in zip(cut, [*own[1::2], None], strict=True) for x in (piece, [] if token is None else [self.added[token]])]
+            parts.append(np.concatenate(every).astype(np.int32))
+            sizes.append(len(parts[-1]))
+        return np.concatenate(parts), np.cumsum([0, *sizes])
+
+
+@lru_cache(maxsize=1)
+def coder_of(data: str, pattern: str) -> JsonEncoder:
+    """A worker's coder, with what it remembers from one task to the next."""
+    return JsonEncoder(data, pattern)
+
+
 def closest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
     """(length, how many) of the pieces whose sum comes closest to `room` from below."""
     reach, layers, mask = 1, [], (1 << room + 1) - 1
@@ -149,8 +189,9 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset): every id of every document, once.
 
     `ids` are little-endian uint32 bytes by the byte-level BPE in the JSON file
-    `vocabulary`, `pattern` being its piece pattern; each document ends with id
-    1, so a null or empty text is that id alone.  Sequences hold 2048 ids or a
+    `vocabulary`, `pattern` being its piece pattern; where a text holds one of
+    the file's added tokens, that is its id, as in the `tokenizers` library;
+    each document ends with id 1, so a null or empty text is that id alone.  Sequences hold 2048 ids or a
     power of two, and never need padding.  Null and repeated doc_ids stay as
     they are, other columns are not read, and an empty table stays empty.
     """
@@ -159,13 +200,17 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=json_ranks(data), special_tokens={})
-        coder, end = ChunkEncoder(merges.encode_ordinary), np.array([END], dtype="<u4").tobytes()
+        coder, end = coder_of(data, pattern), np.array([END], dtype="<u4").tobytes()
         packer = Packer(TaskContext.get().partitionId() << 40)
 
         def packed() -> Iterator[tuple]:
-            for doc, text in rows(batches, "doc_id", "text"):
-                yield from packer.add(doc, coder(text or "") + end)
+            for batch in batches:
+                for k in range(0, batch.num_rows, 2000):
+                    part = batch.slice(k, 2000)
+                    ids, ends = coder(part.column(1))
+                    held, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+                    for doc, a, b in zip(part.column(0).to_pylist(), ends, ends[1:], strict=False):
+                        yield from packer.add(doc, held[a:b] + end)
             yield from packer.finish()
 
         yield from emit(packed(), schema)
