@@ -6,13 +6,46 @@ A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, which is what
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import SparkSession
 
 U64 = np.uint64
+#: Rows and bytes of texts that Spark hands to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets texts go to Python workers in batches that stay small when texts are long; a smaller setting of the session's own is kept."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = (spark.conf.get(key, None) or "").rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def give_back() -> None:
+    """Returns memory that this process no longer uses to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # only some C libraries have it
+        trim(0)
+
+
+def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow, after which the worker, which lives on idle, gives back the memory it no longer uses."""
+
+    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return running
 
 
 def rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
