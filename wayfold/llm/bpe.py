@@ -34,12 +34,12 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.words import rows
+from wayfold.llm.words import bounded_batches, rows, thrifty
 
 #: Bounds of what a worker remembers: states, and which tokens may follow each other.
-STATES, FITS = 60_000, 400_000
+STATES, FITS = 60_000, 50_000
 #: The longest piece, in bytes, that walks with others, and the bytes of text that are worked on at once.
-LONG, WINDOW = 256, 1 << 20
+LONG, WINDOW = 256, 1 << 18
 
 
 class State:
@@ -100,9 +100,12 @@ class Transducer:
         if (known := self.fits.get((a, b))) is None:
             if len(self.fits) > FITS:
                 self.fits.clear()
-            known = self.fits[a, b] = self.apart(self.spines(a)[1], self.spines(b)[0])
+            known = self.fits[a, b] = self.stay(a, b)
         return known
 
+    def stay(self, a: int, b: int) -> bool:
+        return self.apart(self.spines(a)[1], self.spines(b)[0])
+
     def apart(self, left: list[tuple[bytes, int]], right: list[tuple[bytes, int]]) -> bool:
         i = j = 0
         never = 1 << 30
@@ -216,8 +219,7 @@ class Walker:
         missing = np.flatnonzero(known >> 1 != pair)
         if len(missing):
             new, back = np.unique(pair[missing], return_inverse=True)
-            fit = self.transducer.fit
-            told = new * 2 + np.array([fit((p >> 32) - 1, p & 0xFFFFFFFF) for p in new.tolist()])
+            told = new * 2 + np.array([p >> 32 == 0 or self.transducer.stay((p >> 32) - 1, p & 0xFFFFFFFF) for p in new.tolist()])
             known[missing] = told[back]
             self.pairs[slot[missing]] = told[back]
         return (known & 1).astype(bool)
@@ -474,6 +476,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     A null or empty text has no ids.  Null and repeated doc_ids stay as they
     are, other columns are not read, and an empty table stays empty.
     """
+    bounded_batches(docs.sparkSession)
     with open(vocabulary, "rb") as file:
         data = file.read()
 
@@ -485,7 +488,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
                 ids, ends = coder(*buffers(texts.slice(k, 2000)))
                 yield pa.RecordBatch.from_arrays([docs.slice(k, 2000), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(thrifty(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -505,4 +508,4 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
                 texts.append(None if ids is None else "".join([decoder.feed(ids[k : k + 4096]) for k in range(0, len(ids), 4096)]) + decoder.finish())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, type=pa.string())], names=["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(thrifty(run), "doc_id long, ids array<int>, text string")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.words import U64, emit, mixed, rows, word_hashes
+from wayfold.llm.words import U64, emit, mixed, rows, thrifty, word_hashes
 from wayfold.sources.shared import keep
 
 U32 = np.uint32
@@ -360,7 +360,7 @@ def by_segment(parts: DataFrame, sizes: list[int], told) -> DataFrame:
 
         yield from emit(found(), PARTS)
 
-    return parts.repartition("part", "segment").sortWithinPartitions("part", "segment").mapInArrow(added, PART_KINDS)
+    return parts.repartition("part", "segment").sortWithinPartitions("part", "segment").mapInArrow(thrifty(added), PART_KINDS)
 
 
 def summed(total: np.ndarray) -> tuple[bytes, bytes]:
@@ -454,7 +454,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    return texts.mapInArrow(counted, "word binary, n long, told long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("told").alias("told"))
+    return texts.mapInArrow(thrifty(counted), "word binary, n long, told long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("told").alias("told"))
 
 
 def _weights(texts: DataFrame, vocabulary, shipped) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -485,8 +485,8 @@ def _weights(texts: DataFrame, vocabulary, shipped) -> list[tuple[np.ndarray, np
         yield from emit(data, pa.schema([("mixer", pa.int32()), ("n", pa.int64()), ("weights", pa.binary()), ("told", pa.binary())]))
 
     kinds = "mixer int, n long, weights binary, told binary"
-    each = texts.mapInArrow(learned, kinds)
-    some = each.withColumn("salt", F.spark_partition_id() % 16).repartition("salt").drop("salt").mapInArrow(averaged, kinds)
+    each = texts.mapInArrow(thrifty(learned), kinds)
+    some = each.withColumn("salt", F.spark_partition_id() % 16).repartition("salt").drop("salt").mapInArrow(thrifty(averaged), kinds)
     found: dict[int, list] = {}
     for k, n, w, t in some.collect():  # 32 rows at most
         at = found.setdefault(k, [0, 0, 0])
@@ -523,7 +523,7 @@ def train(docs: DataFrame, fit: Column, text_col: str = "text") -> Model:
             n = batch.column(1).to_numpy(zero_copy_only=False)
             yield from emit(iter([(word_hashes(batch.column(0).to_pylist()).astype("<u8").tobytes(), n.astype("<i8").tobytes())]), schema)
 
-    blobs = [(bytes(h), bytes(n)) for h, n in known_words.select("word", "n").mapInArrow(hashed_words, "hashes binary, counts binary").toLocalIterator()]
+    blobs = [(bytes(h), bytes(n)) for h, n in known_words.select("word", "n").mapInArrow(thrifty(hashed_words), "hashes binary, counts binary").toLocalIterator()]
     known = np.frombuffer(b"".join(n for _, n in blobs), "<i8")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     voc = Vocabulary.of(np.frombuffer(b"".join(h for h, _ in blobs), "<u8"), known, n_docs, int(total - known.sum()), int(total + n_docs), int(distinct + (n_docs > 0)))
@@ -551,7 +551,7 @@ def train(docs: DataFrame, fit: Column, text_col: str = "text") -> Model:
         """What the texts tell that fit the weights, or the others; known words, told once each by the first that hold them, tell how words are spelled."""
         words = counts.where("n > told" if fit else "told > 0").select("word", (F.col("n") - F.col("told") if fit else F.col("told")).alias("times"), (F.col("told") == 0 if fit else F.lit(True)).cast("long").alias("known_times"))
         texts = own.where("fit" if fit else "not fit").select("text")
-        return texts.mapInArrow(words_told, PART_KINDS).unionByName(words.mapInArrow(bytes_told, PART_KINDS))
+        return texts.mapInArrow(thrifty(words_told), PART_KINDS).unionByName(words.mapInArrow(thrifty(bytes_told), PART_KINDS))
 
     first = keep(by_segment(parts(False), [*by_word.sizes, *by_byte.sizes], summed), "told")
     shipped = spark.sparkContext.broadcast(merged(first, *kinds))
@@ -608,7 +608,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     kinds = "row long, doc_id long, n_tokens long, n_bytes long, common long, base double, nats double, rare array<binary>, times array<long>"
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scored = keep(own.mapInArrow(run, kinds), "scored")
+    scored = keep(own.mapInArrow(thrifty(run), kinds), "scored")
     pairs = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("e")).select("row", F.col("e.rare").alias("word"), F.col("e.times").alias("times"))
     told = pairs.join(model.counts.select("word", "n"), "word").groupBy("row").agg(F.sum("times").alias("also"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"))
     return scored.drop("rare", "times").join(told, "row", "left").select(

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.bpe import TextEncoder, buffers
-from wayfold.llm.words import emit
+from wayfold.llm.words import bounded_batches, emit, thrifty
 
 WINDOW, END = 2048, 1
 #: Pieces pooled before windows are made of them, and how many stay for the next choice.
@@ -195,6 +195,7 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
     power of two, and never need padding.  Null and repeated doc_ids stay as
     they are, other columns are not read, and an empty table stays empty.
     """
+    bounded_batches(docs.sparkSession)
     with open(vocabulary, encoding="utf-8") as file:
         data = file.read()
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -216,4 +217,4 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
         yield from emit(packed(), schema)
 
     kinds = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, kinds)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(thrifty(run), kinds)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.words import U64, batch_of, emit, mixed, rows
+from wayfold.llm.words import U64, batch_of, bounded_batches, emit, mixed, rows, thrifty
 from wayfold.operators.graph import Forest, connected_components
 from wayfold.sources.shared import keep
 
@@ -53,12 +53,13 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the SimHash of every text as a signed 64-bit number."""
+    bounded_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(((i, (f ^ 1 << 63) - (1 << 63)) for i, f in ((i, fingerprint(t)) for i, t in rows(batches, "doc_id", "text"))), schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(thrifty(run), "doc_id long, fp long")
 
 
 class Pivots:
@@ -176,7 +177,7 @@ def near_groups(prints: DataFrame, radius: int = 4) -> DataFrame:
                     h = mixed(h + one[k])
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0), batch.column(1)], names=["key", "fp", "node"])
 
-    table = keep(nodes.select("fp", "node").mapInArrow(keyed, "key long, fp long, node long"), "pivots")
+    table = keep(nodes.select("fp", "node").mapInArrow(thrifty(keyed), "key long, fp long, node long"), "pivots")
     sizes = table.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / PART).cast("int")
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
@@ -186,7 +187,7 @@ def near_groups(prints: DataFrame, radius: int = 4) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("key", (F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).cast("long").alias("cell"), F.col("part").cast("long").alias("part"), "fp", "node")
     )
-    links = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(lambda it: _pairs_in(it, radius, blocks), "u long, v long")
+    links = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(thrifty(lambda it: _pairs_in(it, radius, blocks)), "u long, v long")
     reached = connected_components(links)
     labels = distinct.join(reached, distinct["node"] == reached["node"], "left").select(distinct["fp"], F.coalesce(reached["component"], distinct["node"]).alias("component_id"))
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")

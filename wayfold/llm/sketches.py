@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.words import U64, Rolling, emit, rows, word_hashes
+from wayfold.llm.words import U64, Rolling, emit, rows, thrifty, word_hashes
 
 SHINGLE, KEPT = 5, 1 / 8
 
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         sketcher = Sketcher()
         yield from emit(((doc, written(sketcher(text or ""))) for doc, text in rows(batches, "doc_id", "text")), schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(thrifty(run), "doc_id long, fingerprint string")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,4 +136,4 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         yield from emit(found(), schema)
 
     kinds = "doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, alike_edited double, alike_next double"
-    return with_next(docs, id_col, text_col).select("led", "doc_id", "text").mapInArrow(run, kinds)
+    return with_next(docs, id_col, text_col).select("led", "doc_id", "text").mapInArrow(thrifty(run), kinds)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.words import emit, rows
+from wayfold.llm.words import emit, rows, thrifty
 
 #: The most labelled URLs that the trees are fitted on.
 MOST_LABELLED = 20_000
@@ -172,7 +172,7 @@ def judge(pages: DataFrame, said: dict[str, str], id_col: str = "page_id", url_c
 
         yield from emit(found(), schema)
 
-    sample = own.select("url").mapInArrow(decided, "url string, blocked int").orderBy(F.xxhash64("url"), "url").limit(MOST_LABELLED).collect()
+    sample = own.select("url").mapInArrow(thrifty(decided), "url string, blocked int").orderBy(F.xxhash64("url"), "url").limit(MOST_LABELLED).collect()
     model = train([(r[0], r[1]) for r in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,4 +187,4 @@ def judge(pages: DataFrame, said: dict[str, str], id_col: str = "page_id", url_c
                 names=["page_id", "host", "path", "rule", "verdict", "score"],
             )
 
-    return own.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, score double")
+    return own.mapInArrow(thrifty(run), "page_id long, host string, path string, rule string, verdict string, score double")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.words import emit, rows
+from wayfold.llm.words import emit, rows, thrifty
 from wayfold.operators.graph import Forest, connected_components
 from wayfold.sources.shared import keep
 
@@ -135,7 +135,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """
     spark = vectors.sparkSession
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("embedding"))
-    every = keep(own.mapInArrow(_described, "vec_id long, label long, copy binary, vec binary"), "vectors")
+    every = keep(own.mapInArrow(thrifty(_described), "vec_id long, label long, copy binary, vec binary"), "vectors")
     distinct = keep(every.where("copy is not null").groupBy("copy").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec")), "distinct")
     n = distinct.count()
     wanted = min(MOST_PIVOTS, max(64, 1 << int(4 * n**0.5).bit_length() - 1))
@@ -143,7 +143,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     for dims in [r[0] for r in distinct.select(F.length("vec") / 8).distinct().collect()]:
         sample = distinct.where(F.length("vec") == 8 * dims).orderBy(F.xxhash64("copy")).limit(wanted).select("vec").collect()
         pivots[int(dims)] = matrix([bytes(r[0]) for r in sample])
-    listed = keep(distinct.select("label", "node", "copies", "vec").mapInArrow(lambda it: _listed(it, pivots, nearest), "label long, dims int, pivot int, node long, copies long, vec binary, near binary"), "lists")
+    listed = keep(distinct.select("label", "node", "copies", "vec").mapInArrow(thrifty(lambda it: _listed(it, pivots, nearest)), "label long, dims int, pivot int, node long, copies long, vec binary, near binary"), "lists")
     lists = ["label", "dims", "pivot"]
     sizes = listed.groupBy(lists).agg(F.count("*").alias("n")).where("n > 1").select(*lists, F.ceil(F.col("n") / PART).cast("int").alias("parts"))
     dealt = (
@@ -154,7 +154,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         .repartition(*lists, "cell")
         .sortWithinPartitions(*lists, "cell")
     )
-    found = keep(dealt.mapInArrow(lambda it: _verified(it, least, shared, MOST_PIVOTS), "u long, v long, links long"), "links")
+    found = keep(dealt.mapInArrow(thrifty(lambda it: _verified(it, least, shared, MOST_PIVOTS)), "u long, v long, links long"), "links")
     counts = found.where("v is null").groupBy("u").agg(F.sum("links").alias("links"))
     reached = connected_components(found.where("v is not null").select("u", "v"))
     of_copy = (
