@@ -1,19 +1,24 @@
 """Surrogates for personal data, in DataFrame functions only.
 
 Entities are found by patterns.  An entity's surrogate is made from a keyed
-digest of its kind, its canonical form and an attempt number: digits become
-digits and letters letters of the same case, so that it keeps the original's
-format; names keep script and gender.  All distinct entities of the corpus get
-attempt 0 first; where a surrogate equals a real entity or that of a smaller
-entity, the entity takes the next attempt, until none collides.  So equal
-entities stay equal and different ones different, in every document.
+digest (HMAC-SHA-512) of its kind, its canonical form and an attempt number:
+digits become digits and letters letters of the same case, so that it keeps the
+original's format; names keep script and gender.  All distinct entities of the
+corpus get attempt 0 first; where a surrogate equals a real entity or that of a
+smaller entity, the entity takes the next attempt, until none collides.  So
+equal entities stay equal and different ones different, in every document.
+
+A name of two words is two entities: the family name, whose surrogate all its
+bearers share, and the whole name, which decides the given name.  Where a text
+has such a name after a title, it is replaced without one too.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.sources.shared import keep
@@ -52,12 +57,21 @@ EVERY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = r"[0-9@]|(?i:password|passwd|pwd|secret|token|api_?key)|\b(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\b"
 
 
+#: What logged plans leave out: long runs of hexadecimal digits, as which binary values are written.
+HIDDEN = "[0-9A-Fa-f]{64,}"
+
+
 def kind_of(entity: Column) -> Column:
     """The first kind whose pattern fits the whole entity."""
     whole = [F.when(entity.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in PATTERNS.items()]
     return F.coalesce(*whole, F.lit("login"))
 
 
+def untitled(entity: Column) -> Column:
+    """A name without its title."""
+    return F.regexp_replace(entity, r"^\S+[ \u00A0]", "")
+
+
 def canonical(entity: Column, kind: Column) -> Column:
     """What is equal for all ways to write one entity."""
     return (
@@ -65,7 +79,7 @@ def canonical(entity: Column, kind: Column) -> Column:
         .when(kind == "iban", F.regexp_replace(entity, " ", ""))
         .when(kind == "email", F.lower(entity))
         .when(kind == "login", F.regexp_replace(F.regexp_replace(entity, LOGIN_START, ""), "[\"']$", ""))
-        .when(kind == "name", F.lower(F.regexp_replace(entity, r"^\S+[ \u00A0]", "")))
+        .when(kind == "name", F.lower(untitled(entity)))
         .otherwise(entity)
     )
 
@@ -75,10 +89,24 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def noise(key: str, kind: Column, form: Column, attempt: Column) -> Column:
+class Key:
+    """The two padded keys of HMAC-SHA-512."""
+
+    def __init__(self, spark: SparkSession, key: str) -> None:
+        block = key.encode()
+        block = (hashlib.sha512(block).digest() if len(block) > 128 else block).ljust(128, b"\0")
+        self.inner, self.outer = (F.lit(bytes(x ^ pad for x in block)) for pad in (0x36, 0x5C))
+        if not spark.conf.get("spark.sql.redaction.string.regex", None):
+            spark.conf.set("spark.sql.redaction.string.regex", HIDDEN)  # plans in logs and listings don't tell the key
+
+    def digest(self, said: Column) -> Column:
+        return F.sha2(F.concat(self.outer, F.unhex(F.sha2(F.concat(self.inner, said.cast("binary")), 512))), 512)
+
+
+def noise(key: Key, kind: Column, form: Column, attempt: Column) -> Column:
     """384 hex digits of keyed digests."""
-    said = F.concat_ws("\x1f", F.lit(key), kind, form, attempt.cast("string"))
-    return F.concat(*[F.sha2(F.concat(said, F.lit(f"\x1f{k}")), 512) for k in range(3)])
+    said = F.concat_ws("\x1f", kind, form, attempt.cast("string"))
+    return F.concat(*[key.digest(F.concat(said, F.lit(f"\x1f{k}"))) for k in range(3)])
 
 
 def number(random: Column, k: Column | int) -> Column:
@@ -115,30 +143,55 @@ def with_check_digit(digits: Column) -> Column:
     return F.concat(F.substring(digits, F.lit(1), n - 1), ((10 - total % 10) % 10).cast("string"))
 
 
+def with_iban_check(s: Column) -> Column:
+    """An account number with the third and fourth character set so that it is 1 modulo 97, as ISO 13616 asks for."""
+
+    def added(a: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+
+    land, rest = F.substring(s, F.lit(1), F.lit(2)), F.substring(s, F.lit(5), F.length(s))
+    left = F.aggregate(characters(F.concat(rest, land, F.lit("00"))), F.lit(0), lambda a, c: added(a, c).cast("int"))
+    return F.concat(land, F.lpad((98 - left).cast("string"), 2, "0"), rest)
+
+
 def pick(options: list[str], at: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, options)), (at % len(options) + 1).cast("int"))
 
 
-def surrogate_name(form: Column, gender: Column, random: Column, attempt: Column) -> Column:
-    """One or two lower-case words of the form's script, the first of two a given name of the gender; later attempts are longer."""
-    script = F.when(form.rlike(r"\p{IsCyrillic}"), "cyrillic").when(form.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+def syllables(form: Column, random: Column, n: Column, first: int) -> Column:
+    """`n` syllables of the form's script."""
 
-    def last(name: str) -> Column:
-        return F.array_join(F.transform(F.sequence(F.lit(1), attempt + 3), lambda k: pick(SYLLABLES[name], number(random, k))), "")
+    def of(name: str) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda k: pick(SYLLABLES[name], number(random, k + first))), "")
 
-    family = F.when(script == "cyrillic", last("cyrillic")).when(script == "greek", last("greek")).otherwise(last("latin"))
+    script = script_of(form)
+    return F.when(script == "cyrillic", of("cyrillic")).when(script == "greek", of("greek")).otherwise(of("latin"))
+
+
+def script_of(form: Column) -> Column:
+    return F.when(form.rlike(r"\p{IsCyrillic}"), "cyrillic").when(form.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+
+
+def surrogate_given(form: Column, gender: Column, random: Column, attempt: Column) -> Column:
+    """For a whole name, a given name of its script and gender, then its own family name; every third attempt is longer."""
+    script = script_of(form)
     given = reduce(lambda c, x: c.when((script == x[0][0]) & (gender == x[0][1]), F.lower(pick(x[1], number(random, 0)))), GIVEN.items(), F.when(F.lit(False), F.lit("")))
-    return F.when(form.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family)
+    longer = F.when(attempt < 3, F.lit("")).otherwise(syllables(form, random, F.floor(F.greatest(attempt, F.lit(3)) / 3).cast("int"), 0))
+    return F.concat(given, longer, F.lit(" "), family_of(form))
+
+
+def family_of(form: Column) -> Column:
+    return F.element_at(F.split(form, " "), -1)
 
 
-def surrogate_email(key: str, form: Column, random: Column) -> Column:
+def surrogate_email(key: Key, form: Column, random: Column) -> Column:
     """The local part reshaped, the domain another under a reserved one; addresses of one domain stay in one domain."""
     local, host = F.split_part(form, F.lit("@"), F.lit(1)), F.split_part(form, F.lit("@"), F.lit(2))
     domain = let(noise(key, F.lit("host"), host, F.lit(0)), lambda r: F.concat(reshaped(F.regexp_extract(host, r"^(.*?)[^.]*\.[^.]*$", 1), r), pick(["example.com", "example.net", "example.org"], number(r, 191))))
     return F.concat(reshaped(local, random), F.lit("@"), domain)
 
 
-def surrogate(key: str, kind: Column, form: Column, gender: Column, attempt: Column) -> Column:
+def surrogate(key: Key, kind: Column, form: Column, gender: Column, attempt: Column) -> Column:
     """The surrogate of a canonical form, itself canonical."""
 
     def made(random: Column) -> Column:
@@ -149,8 +202,9 @@ def surrogate(key: str, kind: Column, form: Column, gender: Column, attempt: Col
             .when(kind == "ip", F.concat_ws(".", *octets))
             .when(kind == "card", let(reshaped(form, random, 1), with_check_digit))
             .when(kind == "phone", reshaped(form, random, 1))
-            .when(kind == "iban", reshaped(form, random, 2))
-            .when(kind == "name", surrogate_name(form, gender, random, attempt))
+            .when(kind == "iban", let(reshaped(form, random, 2), with_iban_check))
+            .when(kind == "family", syllables(form, random, attempt + 3, 0))
+            .when(kind == "name", surrogate_given(form, gender, random, attempt))
             .otherwise(reshaped(form, random))
         )
 
@@ -171,17 +225,30 @@ def rendered(entity: Column, kind: Column, form: Column, new: Column) -> Column:
         .when(kind == "iban", F.array_join(after("[0-9A-Z]"), ""))
         .when(kind == "login", F.concat(F.regexp_extract(entity, LOGIN_START, 1), new, F.regexp_extract(entity, "([\"']?)$", 1)))
         .when(kind == "name", F.concat(F.regexp_extract(entity, r"^(\S+[ \u00A0])", 1), F.array_join(cased, " ")))
+        .when(kind == "full", F.array_join(cased, " "))
         .when((kind == "email") & entity.rlike("^[^a-z]*$"), F.upper(new))
         .otherwise(new)
     )
 
 
 def parsed(entity: Column) -> Column:
-    """kind, form and gender of an entity; only names have a gender."""
-    return let(kind_of(entity), lambda kind: F.struct(kind.alias("kind"), canonical(entity, kind).alias("form"), F.when(kind == "name", gender_of(entity)).otherwise("").alias("gender")))
+    """kind, form and gender of an entity; only names of two words have a gender, others are family names."""
 
+    def by(kind: Column) -> Column:
+        form = canonical(entity, kind)
+        single = (kind == "name") & ~form.contains(" ")
+        return F.struct(F.when(single, "family").otherwise(kind).alias("kind"), form.alias("form"), F.when((kind == "name") & ~single, gender_of(entity)).otherwise("").alias("gender"))
 
-def collision_free(forms: DataFrame, key: str, most_rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+    return let(kind_of(entity), by)
+
+
+def and_family(p: Column) -> Column:
+    """What parsed() gives, and for a name of two words the family name too."""
+    family = F.struct(F.lit("family").alias("kind"), family_of(p["form"]).alias("form"), F.lit("").alias("gender"))
+    return F.when(p["kind"] == "name", F.array(p, family)).otherwise(F.array(p))
+
+
+def collision_free(forms: DataFrame, key: Key, most_rounds: int = 40) -> tuple[DataFrame, DataFrame]:
     """(kind, form, attempt, new) of distinct (kind, form, gender), and those rows of it that needed another attempt than 0."""
     given = forms.withColumn("attempt", F.lit(0))
     for _ in range(most_rounds):
@@ -203,37 +270,62 @@ def collision_free(forms: DataFrame, key: str, most_rounds: int = 20) -> tuple[D
 def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with surrogates in `text_col`; columns `pii_found` and, per kind in PATTERNS' order, `pii_kinds` are put in place of any of these names.
 
-    Texts without entities come back unchanged; a null text stays null and
-    holds none.  Repeated rows get the same text; no row is added or lost.
-    Null ids have no effect.  Empty in, empty out.
+    `pii_found` counts the places that a pattern found; names that come back
+    without a title are replaced but not counted.  Texts without entities come
+    back unchanged; a null text stays null and holds none.  Repeated rows get
+    the same text; no row is added or lost, and other columns, whatever their
+    names, stay as they are.  Null ids have no effect.  Empty in, empty out.
     """
-    own = [c for c in docs.columns if c.lower() not in ("pii_found", "pii_kinds", "pii_entities")]
-    text = F.col(text_col)
-    entities = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(EVERY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    found = docs.select(*own, F.coalesce(entities, F.array().cast("array<string>")).alias("pii_entities"))
-    forms = keep(docs.select(entities.alias("e")).select(F.explode("e").alias("e")).distinct().select(parsed(F.col("e")).alias("p")).select("p.*").distinct(), "entities")
-    _, moved = collision_free(forms, key)
-    plain = F.lit(None).cast("map<string,int>")
+    secret = Key(docs.sparkSession, key)
+    own = [c for c in docs.columns if c.lower() not in ("pii_found", "pii_kinds")]
+    text = F.col("row")[text_col]
+    none = F.array().cast("array<string>")
+    entities = F.coalesce(F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(EVERY), F.lit(0))), none)
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row")).select("row", entities.alias("entities"))
+    each = found.select(F.explode("entities").alias("e")).distinct()
+    forms = keep(each.select(F.explode(and_family(parsed(F.col("e")))).alias("p")).select("p.*").distinct(), "entities")
+    _, moved = collision_free(forms, secret)
     if (n := moved.count()) == 0:
-        found = found.withColumn("pii_attempts", plain)
-    else:  # few entities need another attempt: their texts are told by the texts' hashes
+        found = found.withColumn("attempts", F.lit(None).cast("map<string,int>"))
+    else:  # few entities need another attempt: their texts are told by the hashes of what they hold
         again = moved.select(F.concat_ws("\x1f", "kind", "form", "gender").alias("entity"), "attempt")
-        hashed = found.withColumn("pii_hash", F.when(F.size("pii_entities") > 0, F.sha2(F.to_json("pii_entities"), 256)))
-        uses = hashed.where("pii_hash is not null").select("pii_hash", F.explode("pii_entities").alias("e")).distinct().select("pii_hash", parsed(F.col("e")).alias("p")).select("pii_hash", F.concat_ws("\x1f", "p.kind", "p.form", "p.gender").alias("entity"))
-        attempts = uses.join(again, "entity").groupBy("pii_hash").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("pii_attempts"))
+        hashed = found.withColumn("hash", F.when(F.size("entities") > 0, F.sha2(F.to_json("entities"), 256)))
+        uses = hashed.where("hash is not null").select("hash", F.explode("entities").alias("e")).distinct().select("hash", F.explode(and_family(parsed(F.col("e")))).alias("p")).select("hash", F.concat_ws("\x1f", "p.kind", "p.form", "p.gender").alias("entity"))
+        attempts = uses.join(again, "entity").groupBy("hash").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("attempts"))
         attempts = keep(attempts, "attempts")
         small = n <= 10_000 and attempts.count() <= 20_000
-        found = hashed.join(F.broadcast(attempts) if small else attempts, "pii_hash", "left").drop("pii_hash")
+        found = hashed.join(F.broadcast(attempts) if small else attempts, "hash", "left").drop("hash")
+
+    def made(kind: Column, form: Column, gender: Column) -> Column:
+        attempt = F.coalesce(F.element_at(F.col("attempts"), F.concat_ws("\x1f", kind, form, gender)), F.lit(0))
+        return surrogate(secret, kind, form, gender, attempt)
+
+    def new_name(p: Column) -> Column:
+        """Of a whole name: the given name of its surrogate and that of the family name."""
+        given = F.split_part(made(F.lit("name"), p["form"], p["gender"]), F.lit(" "), F.lit(1))
+        return F.concat(given, F.lit(" "), made(F.lit("family"), family_of(p["form"]), F.lit("")))
 
     def replaced(e: Column) -> Column:
         def by(p: Column) -> Column:
-            attempt = F.coalesce(F.element_at(F.col("pii_attempts"), F.concat_ws("\x1f", p["kind"], p["form"], p["gender"])), F.lit(0))
-            return let(surrogate(key, p["kind"], p["form"], p["gender"], attempt), lambda x: rendered(e, p["kind"], p["form"], x))
+            written = F.when(p["kind"] == "family", "name").otherwise(p["kind"])
+            return let(F.when(p["kind"] == "name", new_name(p)).otherwise(made(p["kind"], p["form"], p["gender"])), lambda x: rendered(e, written, p["form"], x))
 
         return let(parsed(e), by)
 
-    fresh = F.concat(F.transform("pii_entities", replaced), F.array(F.lit("")))
-    rebuilt = F.array_join(F.zip_with(F.split(text, EVERY, -1), fresh, lambda s, e: F.concat(s, e)), "")
-    new = F.when(F.size("pii_entities") > 0, rebuilt).otherwise(text)
-    kinds = F.array_join(F.array_distinct(F.transform("pii_entities", kind_of)), ",")
-    return found.select(*[new.alias(c) if c == text_col else F.col(c) for c in own], F.size("pii_entities").alias("pii_found"), kinds.alias("pii_kinds"))
+    def without_title(part: Column) -> Column:
+        """A stretch between entities, in which names of two words that the text has after a title are replaced too."""
+        def one(said: Column, name: Column) -> Column:
+            return F.regexp_replace(said, F.concat(F.lit(r"(?<![\p{L}'-])"), name["old"], F.lit(r"(?![\p{L}'-])")), name["new"])
+
+        return F.aggregate("names", part, one)
+
+    whole = F.array_distinct(F.filter("entities", lambda e: e.rlike(f"^(?:{PATTERNS['name']})$") & untitled(e).contains(" ")))
+    names = F.transform(whole, lambda e: let(parsed(e), lambda p: F.struct(untitled(e).alias("old"), rendered(e, F.lit("full"), p["form"], new_name(p)).alias("new"))))
+    known = found.withColumn("names", names)
+    fresh = F.concat(F.transform("entities", replaced), F.array(F.lit("")))
+    parts = F.split(text, EVERY, -1)
+    parts = F.when(F.size("names") > 0, F.transform(parts, without_title)).otherwise(parts)
+    rebuilt = F.array_join(F.zip_with(parts, fresh, lambda s, e: F.concat(s, e)), "")
+    new = F.when(F.size("entities") > 0, rebuilt).otherwise(text)
+    kinds = F.array_join(F.array_distinct(F.transform("entities", kind_of)), ",")
+    return known.select(*[new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in own], F.size("entities").alias("pii_found"), kinds.alias("pii_kinds"))
