@@ -16,32 +16,47 @@ from wayfold.llm import packing, personal, queries, simhash, substrings, toxicit
 from wayfold.sources.shared import keep
 
 
+def measured(docs: DataFrame) -> DataFrame:
+    """`docs` with `n_chars`, where it has that column, counted again."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted toxic; the models know labels of the training rows only."""
+    """Documents that aren't predicted toxic; the models know labels of the training rows only.
+
+    Null and empty texts are judged as empty ones, rows of null or repeated ids
+    each by its text; all columns stay.  No documents in, none out.
+    """
     labels = queries.table(spark, sf_dir, "labels")
     return toxicity.without_toxic(docs, toxicity.train(docs, queries.training_labels(labels)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
+    """Of each group of near-duplicates the document with the smallest id.
+
+    Null and empty texts are copies of each other; rows without an id stay, of
+    rows that share an id one stays; all columns stay.  Empty in, empty out.
+    """
     return simhash.keep_first(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of earlier ones; those that repeat nothing keep their text as it is."""
-    cut = substrings.remove_repeats(docs, others=[c for c in docs.columns if c not in ("doc_id", "text")])
-    text = F.when(F.col("n_removed") > 0, F.col("text")).otherwise(F.col("original"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Documents without the passages of earlier ones; those that repeat nothing keep their text as it is, null too.
+
+    Rows without an id keep and take nothing; rows that share an id take
+    nothing from each other; all columns stay.  Empty in, empty out.
+    """
+    return measured(substrings.without_repeats(docs))
 
 
 def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with surrogates for personal data."""
+    """Documents with surrogates for personal data; null texts stay null, all rows and columns stay.  Empty in, empty out."""
     found = personal.with_surrogates(docs, queries.SURROGATE_KEY)
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return measured(found).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all training sequences."""
+    """The pieces of all training sequences; a null or empty text is its end alone, ids may be null or repeated.  Empty in, empty out."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 

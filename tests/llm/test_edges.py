@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns; and the parts on their own."""
 
+import hashlib
+import hmac
 import random
 
 import numpy as np
@@ -65,6 +67,58 @@ def test_every_operator_takes_empty_tables(spark, docs, labels):
         assert df.collect() == [], name
 
 
+def test_pipeline_stages_take_odd_rows_and_clashing_columns(spark, tmp_path):
+    names = ["n_removed", "n_words", "original", "carried", "cut", "spans", "row", "entities", "hash", "attempts", "pii_hash", "pii_entities", "pii_attempts", "copies", "fp", "score"]
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [*ROWS, (8, f"{passage} Mr John Smith", "g"), (9, f"x Mr John Smith {passage}", "h")]
+    docs = spark.createDataFrame([(d, t, 0, *[f"{x}{n}" for n in names]) for d, t, x in texts], schema)
+    spark.createDataFrame([(1, 1, 1), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == [], name
+        found = stage(spark, docs, str(tmp_path))
+        if name == "packing":
+            assert found.select("doc_id").distinct().count() == 9
+            continue
+        assert found.columns == docs.columns
+        for r in found.collect():
+            assert [r[n][1:] for n in names] == names or r.fp is not None and r.fp.endswith("fp"), name
+        if name in ("substrings", "personal"):
+            assert found.count() == len(texts) and [r.text for r in found.where("doc_id = 2").collect()] == [None]
+
+
+def test_surrogates_keep_other_columns_when_names_collide(spark):
+    names = [f"Mr G{a}{b} Smith" for a in "abcdefghij" for b in "abcdefghij"]
+    df = spark.createDataFrame([(k, f"{n} and {n[3:]}", f"h{k}", k) for k, n in enumerate(names)], "doc_id long, text string, pii_hash string, pii_attempts long")
+    got = personal.with_surrogates(df, "k")
+    assert got.columns == ["doc_id", "text", "pii_hash", "pii_attempts", "pii_found", "pii_kinds"]
+    rows = got.collect()
+    assert all((r.pii_hash, r.pii_attempts) == (f"h{r.doc_id}", r.doc_id) for r in rows)
+    assert len({r.text for r in rows}) == len(names) and len({r.text.split()[-1] for r in rows}) == 1  # one family
+    assert all(r.text.partition(" and ")[0] == "Mr " + r.text.partition(" and ")[2] for r in rows)
+
+
+def test_names_agree_with_and_without_given_name_and_title(spark):
+    text = "Mr John Smith met Mr Smith. Later John Smith wrote to John Smithson."
+    (r,) = personal.with_surrogates(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").collect()
+    given, family = r.text.split()[1:3]
+    assert r.text == f"Mr {given} {family} met Mr {family}. Later {given} {family} wrote to John Smithson." and "Smith" not in (given, family)
+
+
+def test_account_numbers_keep_their_check_digits(spark):
+    (r,) = personal.with_surrogates(spark.createDataFrame([(1, "GB82 WEST 1234 5698 7654 32")], "doc_id long, text string"), "k").collect()
+    said = r.text.replace(" ", "")
+    assert said[:2] == "GB" and said != "GB82WEST12345698765432" and [len(x) for x in r.text.split()] == [4, 4, 4, 4, 4, 2]
+    assert int("".join(str(int(c, 36)) for c in said[4:] + said[:4])) % 97 == 1
+
+
+def test_the_key_is_an_hmac_key_and_not_told_by_plans(spark):
+    key = personal.Key(spark, "a secret")
+    assert spark.range(1).select(key.digest(F.lit("abc")).alias("x")).first().x == hmac.new(b"a secret", b"abc", hashlib.sha512).hexdigest()
+    plan = personal.with_surrogates(spark.createDataFrame([(1, "a@b.org")], "doc_id long, text string"), "a secret")._jdf.queryExecution().toString()
+    assert "a secret" not in plan and bytes(x ^ 0x36 for x in b"a secret").hex() not in plan.lower()
+
+
 def test_remove_repeats_ties_and_windows(spark):
     passage = " ".join(f"p{k}" for k in range(60))
     rows = [(7, f"x y {passage} z"), (3, f"{passage} end"), (7, f"{passage}"), (9, f"a {passage} {passage}"), (None, passage), (10, " ".join(f"p{k}" for k in range(49)))]

@@ -29,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.words import U64, Rolling, batch_of, emit, mixed, rows, word_hashes
+from wayfold.llm.words import U64, Rolling, batch_of, bounded_batches, emit, mixed, rows, thrifty, word_hashes
 from wayfold.sources.shared import keep
 
 ANCHOR = 16
@@ -262,16 +262,16 @@ def repeated_spans(docs: DataFrame, width: int = 50) -> DataFrame:
     spark = docs.sparkSession
     letters = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     slots = slots_for(letters)
-    partial = docs.select("text").mapInArrow(lambda it: _sketch(it, width, slots), "segment long, at binary, n binary")
-    merged = partial.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merged, "segment long, two binary, many binary")
+    partial = docs.select("text").mapInArrow(thrifty(lambda it: _sketch(it, width, slots)), "segment long, at binary, n binary")
+    merged = partial.repartition("segment").sortWithinPartitions("segment").mapInArrow(thrifty(_merged), "segment long, two binary, many binary")
     sketch = spark.sparkContext.broadcast(Sketch(slots, [tuple(r) for r in merged.collect()]))
     schema = "anchor long, frequent boolean, doc_id long, text_hash long, start int, tallies binary"
-    found = keep(docs.mapInArrow(lambda it: _candidates(it, width, sketch), schema), "windows")
+    found = keep(docs.mapInArrow(thrifty(lambda it: _candidates(it, width, sketch)), schema), "windows")
     rare = found.where("not frequent").drop("frequent").repartition("anchor").sortWithinPartitions("anchor")
-    spans = rare.mapInArrow(lambda it: _spans(it, width), "doc_id long, text_hash long, start int, stop int")
+    spans = rare.mapInArrow(thrifty(lambda it: _spans(it, width)), "doc_id long, text_hash long, start int, stop int")
 
     common = found.where("frequent").drop("frequent")
-    least = keep(common.mapInArrow(_minima, "h long, c long, first long, n long").groupBy("h", "c").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1"), "minima")
+    least = keep(common.mapInArrow(thrifty(_minima), "h long, c long, first long, n long").groupBy("h", "c").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1"), "minima")
     many = 2
     while least.where(F.col("n") >= many).count() > MOST_SENT:
         many *= 4
@@ -280,9 +280,9 @@ def repeated_spans(docs: DataFrame, width: int = 50) -> DataFrame:
     order = np.argsort(h.view(U64), kind="stable")
     sent = spark.sparkContext.broadcast((h.view(U64)[order], c[order].astype("<u4"), first[order]))
     kinds = "doc_id long, text_hash long, start int, stop int"
-    spans = spans.unionByName(common.mapInArrow(lambda it: _looked_up(it, width, sent), kinds))
+    spans = spans.unionByName(common.mapInArrow(thrifty(lambda it: _looked_up(it, width, sent)), kinds))
     if many > 2:  # what was not sent, at most `many` rows of each window
-        single = common.mapInArrow(_single, "h long, c long, doc_id long, text_hash long, start int")
+        single = common.mapInArrow(thrifty(_single), "h long, c long, doc_id long, text_hash long, start int")
         late = single.join(least.where(F.col("n") < many), ["h", "c"]).where("doc_id > first")
         spans = spans.unionByName(late.select("doc_id", "text_hash", "start", (F.col("start") + width).alias("stop")))
     return spans
@@ -311,17 +311,9 @@ def _kept(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return kept
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, others: list[str] | None = None) -> DataFrame:
-    """(doc_id, text, n_words, n_removed, original, *others): every document without the words that earlier documents hold.
-
-    Words are unchanged; those kept are joined by one space; `original` is the
-    text before.  A null text has no words, and a text of fewer than `width`
-    words keeps all.  A row with a null doc_id is kept whole and takes nothing
-    from others.  Rows that share a doc_id take nothing from each other.
-    Repeated rows stay repeated; columns other than `others` are not read.
-    Empty in, empty out.
-    """
-    carried = F.struct(*[F.col(c) for c in others or []]) if others else F.lit(None)
+def _judged(docs: DataFrame, id_col: str, text_col: str, width: int, carried: Column) -> DataFrame:
+    """(doc_id, cut, original, carried): of each row the words that stay, joined, and how many there were and go."""
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("carried"))
     own = own.withColumn("text_hash", F.xxhash64("text"))
     spans = repeated_spans(own.select("doc_id", "text", "text_hash"), width)
@@ -337,5 +329,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append((b" ".join(left).decode(), len(words), len(words) - len(left)))
         return pd.DataFrame(out, columns=["text", "n_words", "n_removed"])
 
-    found = joined.select("doc_id", cut("text", "spans.start", "spans.stop").alias("cut"), F.col("text").alias("original"), "carried")
+    return joined.select("doc_id", cut("text", "spans.start", "spans.stop").alias("cut"), F.col("text").alias("original"), "carried")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, others: list[str] | None = None) -> DataFrame:
+    """(doc_id, text, n_words, n_removed, original, *others): every document without the words that earlier documents hold.
+
+    Words are unchanged; those kept are joined by one space; `original` is the
+    text before.  A null text has no words, and a text of fewer than `width`
+    words keeps all.  A row with a null doc_id is kept whole and takes nothing
+    from others.  Rows that share a doc_id take nothing from each other.
+    Repeated rows stay repeated; columns other than `others`, none of which may
+    have a name of those above, are not read.  Empty in, empty out.
+    """
+    carried = F.struct(*[F.col(c) for c in others or []]) if others else F.lit(None)
+    found = _judged(docs, id_col, text_col, width, carried)
     return found.select("doc_id", "cut.*", "original", *[F.col(f"carried.{c}") for c in others or []])
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50) -> DataFrame:
+    """The rows and columns of `docs`, whatever their names, after remove_repeats(); a text from which nothing goes stays as it is, null too."""
+    found = _judged(docs, id_col, text_col, width, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    text = F.when(F.col("cut.n_removed") > 0, F.col("cut.text")).otherwise(F.col("original"))
+    return found.select(*[text.alias(c) if c == text_col else F.col("carried")[c].alias(c) for c in docs.columns])
