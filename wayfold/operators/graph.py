@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.sources.shared import keep
+from wayfold.sources.shared import discard, keep
 
 
 class Forest:
@@ -80,7 +80,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        stars = keep(small, "stars")
+        last, stars = stars, keep(small, "stars")
+        discard(last)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
