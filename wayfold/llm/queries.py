@@ -80,5 +80,29 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_substrings, op4_personal, op5_urls, op6_vectors, op7_bpe, op8_sketches, op9_mixing, op10_simhash)}
-ORACLES: dict[str, str] = {}
+def rules_of_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op5_urls: the parts of each URL and the rule that decides it."""
+    return op5_urls(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_substrings, op4_personal, op5_urls, op6_vectors, op7_bpe, op8_sketches, op9_mixing, op10_simhash, rules_of_urls)}
+
+#: DuckDB SQL for what SQL can say; the others are compared with brute force in tests/llm.
+ORACLES: dict[str, str] = {
+    "op3_substrings": r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        win AS MATERIALIZED (SELECT doc_id, k, words[k:k + 49] AS win FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 49)) AS k FROM w WHERE len(words) >= 50)),
+        early AS (SELECT win, min(doc_id) AS first_id FROM win GROUP BY win HAVING count(DISTINCT doc_id) > 1),
+        gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(generate_series(k, k + 49)) AS k FROM win JOIN early USING (win) WHERE doc_id > first_id),
+        each AS (SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS k FROM w),
+        kept AS (SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.k) AS text, count(*) AS n FROM each e ANTI JOIN gone g ON g.doc_id = e.doc_id AND g.k = e.k GROUP BY e.doc_id)
+        SELECT w.doc_id, len(w.words)::BIGINT AS n_words, (len(w.words) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM w LEFT JOIN kept k ON k.doc_id = w.doc_id""",
+    "op6_vectors": r"""WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach AS (SELECT a, a AS b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+        low AS (SELECT b, min(a) AS m FROM reach GROUP BY b), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(m, vec_id) AS component_id, coalesce(m, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN low ON low.b = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "rules_of_urls": r"""WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+        said(rule, rule_host, rule_path) AS (VALUES ('com/en/', 'com', '/en/'), ('example.com/en/7', 'example.com', '/en/7'), ('net/de/', 'net', '/de/'), ('example.net/de/8', 'example.net', '/de/8'), ('org/es/', 'org', '/es/'))
+        SELECT page_id, any_value(host) AS host, any_value(path) AS path, arg_max(rule, length(rule)) AS rule FROM p LEFT JOIN said ON (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id""",
+}

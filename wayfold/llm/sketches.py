@@ -16,9 +16,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.words import U64, Rolling, emit, rows, thrifty, word_hashes
+from wayfold.llm.words import U64, Rolling, bounded_batches, emit, rows, thrifty, word_hashes
 
-SHINGLE, KEPT = 5, 1 / 8
+SHINGLE, KEPT = 5, 1 / 2
 
 
 class Sketcher:
@@ -50,7 +50,8 @@ def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def shared(a: tuple[bytes, np.ndarray], b: tuple[bytes, np.ndarray]) -> tuple[float, float]:
     """Containment of the smaller sketch in the larger and resemblance, both 0 to 1.
 
-    Equal texts have 1 for both; else a sketch that retained nothing has 0.
+    Equal texts have 1 for both; else a sketch that retained nothing has 0.  Of
+    n different shingles none is retained once in 2**n, so few texts are that short.
     """
     if a[0] == b[0]:
         return 1.0, 1.0
@@ -115,6 +116,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     before all others; rows that share a doc_id are taken in order of a hash of
     their texts.  A single document is next to itself; empty in, empty out.
     """
+    bounded_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_text", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("alike_edited", pa.float64()), ("alike_next", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
