@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.sources.shared import keep
+from wayfold.sources.shared import discard, keep
 
 #: Given names that stand in for others, by script and gender.  Fixed values.
 GIVEN = {
@@ -251,8 +251,11 @@ def and_family(p: Column) -> Column:
 def collision_free(forms: DataFrame, key: Key, most_rounds: int = 40) -> tuple[DataFrame, DataFrame]:
     """(kind, form, attempt, new) of distinct (kind, form, gender), and those rows of it that needed another attempt than 0."""
     given = forms.withColumn("attempt", F.lit(0))
+    now = None
     for _ in range(most_rounds):
-        now = keep(given.select("kind", "form", "gender", "attempt", surrogate(key, F.col("kind"), F.col("form"), F.col("gender"), F.col("attempt")).alias("new")), "surrogates")
+        last, now = now, keep(given.select("kind", "form", "gender", "attempt", surrogate(key, F.col("kind"), F.col("form"), F.col("gender"), F.col("attempt")).alias("new")), "surrogates")
+        if last is not None:
+            discard(last)
         real = forms.select("kind", F.col("form").alias("new"), F.lit(True).alias("real")).distinct()
         first = now.groupBy("kind", "new").agg(F.min(F.struct("form", "gender")).alias("first"), F.count("*").alias("n"))
         clash = first.join(real, ["kind", "new"], "left").where("n > 1 or real")

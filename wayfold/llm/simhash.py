@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.words import U64, batch_of, bounded_batches, emit, mixed, rows, thrifty
 from wayfold.operators.graph import Forest, connected_components
-from wayfold.sources.shared import keep
+from wayfold.sources.shared import discard, keep
 
 #: Members of a key that one task compares with each other; larger groups are dealt out as pairs of parts.
 PART = 1024
@@ -189,6 +189,7 @@ def near_groups(prints: DataFrame, radius: int = 4) -> DataFrame:
     )
     links = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(thrifty(lambda it: _pairs_in(it, radius, blocks)), "u long, v long")
     reached = connected_components(links)
+    discard(table)  # its links have been written
     labels = distinct.join(reached, distinct["node"] == reached["node"], "left").select(distinct["fp"], F.coalesce(reached["component"], distinct["node"]).alias("component_id"))
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
@@ -209,7 +210,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     groups = simhash_groups(docs, id_col, text_col, radius)
     firsts = keep(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies")), "firsts")
-    mine = firsts.select(F.col("doc_id").alias(id_col))
+    mine = firsts.select(F.col("doc_id").alias(id_col)).hint("merge")  # as many as the documents, so never sent to all tasks
     kept = docs.join(mine, id_col, "left_semi").select(docs.columns)
     if not firsts.where("copies > 1").isEmpty():
         kept = kept.dropDuplicates([id_col])

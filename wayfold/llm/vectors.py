@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.words import emit, rows, thrifty
 from wayfold.operators.graph import Forest, connected_components
-from wayfold.sources.shared import keep
+from wayfold.sources.shared import discard, keep
 
 #: Nearest pivots that describe a vector, how many two vectors must share, and how many pivots there may be.
 NEAREST, SHARED, MOST_PIVOTS = 8, 3, 2048
@@ -155,6 +155,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         .sortWithinPartitions(*lists, "cell")
     )
     found = keep(dealt.mapInArrow(thrifty(lambda it: _verified(it, least, shared, MOST_PIVOTS)), "u long, v long, links long"), "links")
+    discard(listed)
     counts = found.where("v is null").groupBy("u").agg(F.sum("links").alias("links"))
     reached = connected_components(found.where("v is not null").select("u", "v"))
     of_copy = (
