@@ -157,13 +157,42 @@ def test_increments_equal_one_batch(spark, tmp_path):
     store = files.KeyedTable(spark, str(tmp_path / "s"), ticks.STATE)
     for k in range(3):
         part = spark.createDataFrame(order[k::3], POINTS)
-        ticks.tick(part, k, store, Density())
-        ticks.tick(part, k, store, Density())  # the same batch again changes nothing
-    ticks.tick(spark.createDataFrame([], POINTS), 3, store, Density())
+        ticks.tick(part, store, Density())
+        ticks.tick(part, store, Density())  # the same batch again changes nothing
+    assert ticks.tick(spark.createDataFrame([], POINTS), store, Density()) == 0
     assert labels_of(store.read()) == expected_clusters(rows, Density())
     assert store.read().count() == len(rows)
 
 
+def test_a_new_checkpoint_over_an_old_store_drops_no_tick(spark, tmp_path):
+    rows = blobs(150, 7)
+    for k in range(3):  # each run numbers its ticks anew
+        spark.createDataFrame(rows[k::3], POINTS).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+        points = spark.readStream.schema(POINTS).parquet(str(tmp_path / f"in{k}"))
+        ticks.cluster_stream(points, files.KeyedTable(spark, str(tmp_path / "store"), ticks.STATE), str(tmp_path / f"ck{k}")).awaitTermination()
+    found = files.KeyedTable(spark, str(tmp_path / "store"), ticks.STATE).read()
+    assert found.count() == len(rows) and labels_of(found) == expected_clusters(rows, Density())
+
+
+def test_merged_clusters_are_relabelled_on_far_days_and_others_are_not_read(spark, tmp_path, monkeypatch):
+    begin = utc(2024, 1, 10)
+    chain = [(f"p{k:04d}", begin + dt.timedelta(minutes=10 * k), 144.9, -37.8) for k in range(6 * 24 * 4)]
+    late = chain[300:306]
+    far_off = [(f"q{k}", begin + dt.timedelta(days=30, minutes=10 * k), 144.9, -37.8) for k in range(6)]
+    store = files.KeyedTable(spark, str(tmp_path / "s"), ticks.STATE)
+    ticks.tick(spark.createDataFrame([r for r in chain if r not in late] + far_off, POINTS), store, Density())
+    asked, read = [], files.KeyedTable.read
+    monkeypatch.setattr(files.KeyedTable, "read", lambda self, only=None: asked.append(only) or read(self, only))
+    ticks.tick(spark.createDataFrame(late, POINTS), store, Density())
+    assert None not in asked and "2024-02-09" not in {d for only in asked for d in only}
+    monkeypatch.undo()
+    assert labels_of(store.read()) == expected_clusters(chain + far_off, Density())
+
+
+def test_rows_are_counted_while_they_are_written(spark, tmp_path):
+    assert files.save_counted(spark.range(1234).repartition(3), str(tmp_path / "n")) == 1234
+
+
 def test_message_stream(spark, tmp_path):
     rows = blobs(120, 5)
     (tmp_path / "in").mkdir()
@@ -184,9 +213,8 @@ def test_merge_is_transitive(spark):
 def test_keyed_table(spark, tmp_path):
     t = files.KeyedTable(spark, str(tmp_path / "k"), "obj_id string, v int", part="left(obj_id, 1)")
     assert t.read().count() == 0
-    t.upsert(spark.createDataFrame([("a", 1), ("b", 1)], t.schema), 0)
-    t.upsert(spark.createDataFrame([("b", 2), ("c", 2)], t.schema), 1)
-    t.upsert(spark.createDataFrame([("a", 7)], t.schema), 1)
+    t.upsert(spark.createDataFrame([("a", 1), ("b", 1)], t.schema))
+    assert t.upsert(spark.createDataFrame([("b", 2), ("c", 2)], t.schema)) == 2
     assert {tuple(r) for r in t.read().collect()} == {("a", 1), ("b", 2), ("c", 2)}
     assert {k: len(v) for k, v in t.parts().items()} == {"a": 1, "b": 2, "c": 1}  # untouched parts aren't written again
     for k in range(2, 5):
@@ -203,6 +231,25 @@ def test_command_line(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(str(tmp_path / "h")).agg(F.sum("cnt")).first()[0] == found.where("cluster_id is not null").count()
 
 
+def test_command_line_reports(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setattr(cli, "build_session", lambda *_: spark)
+    at = lambda n: str(tmp_path / n)
+    spark.createDataFrame(blobs(100, 6), POINTS).write.parquet(at("p"))
+    cli.main(["cluster", "--points", at("p"), "--out", at("c"), "--min-pts", "2", "--km", "0.3", "--minutes", "30"])
+    cli.main(["summarise-clusters", "--points", at("c"), "--out", at("s")])
+    cli.main(["cells", "--points", at("p"), "--out", at("e"), "--max-pts", "10"])
+    spark.createDataFrame([("1", "Mon", "08:15:00", 2.5), ("2", "Mon", "08:30:00", 4.0), ("1", "Tue", "08:15:00", 9.0)], "site string, day_of_week string, time_of_day string, average double").write.parquet(at("b"))
+    cli.main(["rush-hour", "--baseline", at("b"), "--out", at("r")])
+    spark.createDataFrame([("x", 2, 1), ("y", 0, 3)], "cluster_id string, abnormal long, normal long").write.parquet(at("a"))
+    cli.main(["abnormal-share", "--anomalies", at("a"), "--out", at("h")])
+    expected = expected_clusters(blobs(100, 6), Density(2, 0.3, 1_800_000))
+    assert labels_of(spark.read.parquet(at("c"))) == expected
+    assert spark.read.parquet(at("s")).agg(F.sum("size")).first()[0] == len(expected)
+    assert [r.volume for r in spark.read.parquet(at("r")).collect()] == [6.5]
+    assert spark.read.parquet(at("h")).first().hit == 1
+    assert "cluster: 100 rows" in capsys.readouterr().out and spark.read.parquet(at("e")).count()
+
+
 def test_messages_written_and_read_again(spark, tmp_path):
     rows = [("tweet-1", utc(2024, 1, 2, 3, 4, 5), 144.9, -37.8, "hi", "a", ["x"], 1)]
     points = spark.createDataFrame(rows, "obj_id string, ts timestamp, lon double, lat double, text string, screen_name string, tokens array<string>, sentiment int")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def unquoted(cell: Column) -> Column:
-    return F.regexp_replace(cell, '^"(.*)"$', "$1")
+    return F.when(cell.startswith('"'), F.regexp_replace(cell, '^"(.*)"$', "$1")).otherwise(cell)
 
 
 def is_integer(cell: Column) -> Column:
@@ -18,13 +18,13 @@ def is_integer(cell: Column) -> Column:
 
 
 def is_count(cell: Column) -> Column:
-    return is_integer(cell) & ~F.coalesce(cell.startswith("-"), F.lit(False))
+    return F.coalesce(cell.rlike("^[0-9]+$"), F.lit(False))
 
 
 def clean_counts(cells: Column) -> Column:
     """Cells that are no whole non-negative number become `0`; null if no cell is one."""
-    bare = F.transform(cells, unquoted)
-    return F.when(F.exists(bare, is_count), F.transform(bare, lambda c: F.when(is_count(c), c).otherwise("0")))
+    bare = F.transform(F.transform(cells, unquoted), lambda c: F.when(is_count(c), c))  # each cell is judged once
+    return F.element_at(F.transform(F.array(bare), lambda b: F.when(F.exists(b, lambda c: c.isNotNull()), F.transform(b, lambda c: F.coalesce(c, F.lit("0"))))), 1)
 
 
 def sentiment_score(grade: Column) -> Column:

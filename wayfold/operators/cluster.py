@@ -8,7 +8,9 @@ A cluster's id is the smallest id of its cores, so recomputing gives the same.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions.geofn import depth
@@ -57,15 +59,17 @@ def cluster_points(points: DataFrame, by: Density = Density(), promote: bool = F
     return own.join(labelled(pairs, by, promote), "obj_id", "left")
 
 
-def cluster_increment(new: DataFrame, stored: DataFrame, by: Density = Density()) -> DataFrame:
+def cluster_increment(new: DataFrame, stored: DataFrame, by: Density = Density(), far: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows of the store to write after `new` points arrived.
 
     Stored points near the new ones in time are judged again together with
     them, history winning over a repeated id.  A cluster id is the id of one of
     its cores, so clusters merge by linking their cores now seen with the ids
     stored for them; all stored members of a cluster whose id changes are
-    rewritten, also those far away in time.  Clusters only grow, so the result
-    after any number of ticks is that of one batch.
+    rewritten, also those far away in time: `far` gives the members of clusters
+    that `stored` doesn't hold, and is asked only if stored ids change.
+    Clusters only grow, so the result after any number of ticks is that of one
+    batch.
     """
     t1, t2 = new.agg(F.min("ts"), F.max("ts")).first()
     columns = ["obj_id", "ts", "lon", "lat", "cluster_id", "cluster_label"]
@@ -94,7 +98,11 @@ def cluster_increment(new: DataFrame, stored: DataFrame, by: Density = Density()
         F.coalesce("core_id", F.least("border_id", kept_id)).alias("cluster_id"),
         F.when(F.col("core_id").isNotNull(), CORE).when(F.col("border_id").isNotNull() | kept_id.isNotNull(), BORDER).alias("cluster_label"),
     )
-    apart = stored.select(columns).where("cluster_id is not null").join(both.select("obj_id"), "obj_id", "left_anti").join(moved_to, "cluster_id")
+    old_ids = keep(moved_to.join(both.select("cluster_id").where("cluster_id is not null").distinct(), "cluster_id", "left_semi"), "moved")
+    apart = stored.select(columns)
+    if far and not old_ids.isEmpty():
+        apart = apart.unionByName(far(old_ids.select("cluster_id")).select(columns))
+    apart = apart.where("cluster_id is not null").join(both.select("obj_id"), "obj_id", "left_anti").join(old_ids, "cluster_id")
     return now.unionByName(apart.select("obj_id", "ts", "lon", "lat", F.col("moved_id").alias("cluster_id"), "cluster_label"))
 
 
@@ -104,28 +112,69 @@ def merged_labels(links: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.join(reached, labels["cluster_id"] == reached["node"], "left").select(labels["obj_id"], F.coalesce("component", labels["cluster_id"]).alias("cluster_id"))
 
 
-def grid_cells(points: DataFrame, by: Density, most: int = 700) -> DataFrame:
-    """(obj_id, cell, halo): cells of side 2 epsilon or more, halved while they hold more than `most` points, each with a halo of 1.01 epsilon.
+def halvings(bounds: dict[str, tuple[float, float]], least: float) -> list[dict[str, int]]:
+    """Per level how often each axis has been halved: by one a level, while its side is more than `least`."""
+    levels = [dict.fromkeys(bounds, 0)]
+    while True:
+        wide = [c for c, (low, high) in bounds.items() if (high - low) / 2 ** levels[-1][c] > least]
+        if not wide:
+            return levels
+        levels.append({c: n + (c in wide) for c, n in levels[-1].items()})
+
+
+def grid_cells(points: DataFrame, by: Density, most: int = 700, fresh: Column | None = None) -> DataFrame:
+    """(obj_id, cell, halo): the cells that a tick has to cluster, and their points.
+
+    The extent of all points is halved along every axis of more than 2 epsilon,
+    again and again, but only cells of more than `most` points; a point on a
+    border belongs to the lower cell.  Cells of fewer than `by.min_points`
+    points, or without one for which `fresh` holds, are dropped.  A cell's
+    points are those within 1.01 epsilon of it; `halo` tells those outside.
+    A cell is named by its level and its place along each axis there.
 
-    For processing cells apart; the clusters above need no cells.
+    All cells of a level have the same sides, so cells are counted for all
+    levels at once from the counts of the finest; points meet the cells that
+    stay under an equi join.
     """
-    top = embedded(points, by).select("obj_id", "x", "y", "z")
-    bounds = top.agg(*[f(c).alias(f"{c}{k}") for c in "xyz" for k, f in ((1, F.min), (2, F.max))]).first()
-    if bounds["x1"] is None:
+    top = embedded(points.withColumn("fresh", fresh if fresh is not None else F.lit(True)), by).select("obj_id", "x", "y", "z", "fresh")
+    found = top.agg(*[f(c).alias(f"{c}{k}") for c in "xyz" for k, f in ((1, F.min), (2, F.max))]).first()
+    if found["x1"] is None:
         return top.select("obj_id", F.lit("").alias("cell"), F.lit(False).alias("halo")).limit(0)
-    sides = {c: max(bounds[f"{c}2"] - bounds[f"{c}1"], 1e-12) for c in "xyz"}
-    depths = {c: 0 for c in "xyz"}
-    while True:
-        cell = [F.least(F.floor((F.col(c) - bounds[f"{c}1"]) / (sides[c] / 2 ** depths[c])), F.lit(2 ** depths[c] - 1)) for c in "xyz"]
-        fullest = top.groupBy(*[k.alias(f"c{i}") for i, k in enumerate(cell)]).count().agg(F.max("count")).first()[0]
-        wide = [c for c in "xyz" if sides[c] / 2 ** depths[c] > 2 * 2 * by.epsilon]
-        if fullest <= most or not wide:
-            break
-        depths = {c: d + (c in wide) for c, d in depths.items()}
-    halo = 1.01 * by.epsilon
-    out = top
-    for i, c in enumerate("xyz"):
-        side, last = sides[c] / 2 ** depths[c], 2 ** depths[c] - 1
-        at = lambda shift, c=c, side=side, last=last: F.greatest(F.lit(0), F.least(F.floor((F.col(c) + shift - bounds[f"{c}1"]) / side), F.lit(last))).cast("long")
-        out = out.withColumn(f"own{i}", at(0.0)).withColumn(f"c{i}", F.explode(F.sequence(at(-halo), at(halo))))
-    return out.select("obj_id", F.concat_ws("-", "c0", "c1", "c2").alias("cell"), (F.concat_ws("-", "own0", "own1", "own2") != F.concat_ws("-", "c0", "c1", "c2")).alias("halo"))
+    bounds = {c: (found[f"{c}1"], found[f"{c}2"]) for c in "xyz"}
+    levels = halvings(bounds, 2 * by.epsilon)
+    last = len(levels) - 1
+
+    def of_level(values, level: Column) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), level + 1)
+
+    def side(c: str, level: Column) -> Column:
+        return of_level([(bounds[c][1] - bounds[c][0] or 1.0) / 2 ** n[c] for n in levels], level)
+
+    def place(c: str, value: Column, level: Column) -> Column:
+        at = F.ceil((value - bounds[c][0]) / side(c, level)) - 1
+        return F.greatest(F.lit(0), F.least(at, of_level([2 ** n[c] - 1 for n in levels], level))).cast("long")
+
+    def up(c: str, by_levels: Column, level: Column) -> Column:
+        """The place on `by_levels` of what is at column i<c> on `level`."""
+        halved = [n[c] for n in levels]
+        return F.floor(F.col(f"i{c}") / F.pow(F.lit(2.0), of_level(halved, level) - of_level(halved, by_levels))).cast("long")
+
+    axes = [f"i{c}" for c in "xyz"]
+    finest = top.select(*[place(c, F.col(c), F.lit(last)).alias(f"i{c}") for c in "xyz"], "fresh").groupBy(axes).agg(F.count("*").alias("n"), F.max("fresh").alias("fresh"))
+    each = finest.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    cells = keep(each.select("level", *[up(c, F.col("level"), F.lit(last)).alias(f"i{c}") for c in "xyz"], "n", "fresh").groupBy("level", *axes).agg(F.sum("n").alias("n"), F.max("fresh").alias("fresh")), "cells")
+    above = cells.where(F.col("n") > most).select((F.col("level") + 1).alias("level"), *[F.col(a).alias(f"p{a}") for a in axes])
+    child = cells.where("level > 0").select("*", *[up(c, F.col("level") - 1, F.col("level")).alias(f"pi{c}") for c in "xyz"])
+    reached = child.join(above, ["level", "pix", "piy", "piz"]).select(cells.columns).unionByName(cells.where("level = 0"))
+    leaves = reached.where(F.col("fresh") & (F.col("n") >= by.min_points) & ((F.col("n") <= most) | (F.col("level") == last))).select("level", *axes)
+
+    halo, level = 1.01 * by.epsilon, F.col("level")
+    at = top.select("obj_id", "x", "y", "z").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    for c in "xyz":  # the cells that the halo reaches: two a level or three
+        at = at.withColumn(f"o{c}", place(c, F.col(c), level)).withColumn(f"i{c}", F.explode(F.sequence(place(c, F.col(c) - halo, level), place(c, F.col(c) + halo + side(c, level) * 1e-9, level))))
+    near = at.join(leaves, ["level", *axes])
+    for c in "xyz":
+        low = F.lit(bounds[c][0]) + F.col(f"i{c}") * side(c, level)
+        near = near.where((F.col(c) >= low - halo) & (F.col(c) <= low + side(c, level) + halo))
+    outside = (F.col("ox") != F.col("ix")) | (F.col("oy") != F.col("iy")) | (F.col("oz") != F.col("iz"))
+    return near.select("obj_id", F.concat_ws("-", "level", *axes).alias("cell"), outside.alias("halo"))

@@ -107,14 +107,17 @@ def interval_join(clusters: DataFrame, volumes: DataFrame, pad_m: float = 300, p
 
     Near is within its radius and `pad_m`; the time is open at both ends, which
     are `pad_ms` outside the cluster's.  A cluster reaches the bins that its own
-    radius covers; bins are as wide as the padding allows for small clusters.
+    radius covers, as wide as the padding allows for small clusters, on the
+    days that it lasts.
     """
     side = max(pad_m, 1.0) / METRES
     reach = F.ceil((F.col("radius_m") + pad_m) / F.lit(METRES) / F.lit(side)).cast("long")
     c = clusters.select(F.col("cluster_id"), F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat"), "radius_m", "t1", "t2")
     c = c.withColumn("bin0", F.explode(F.sequence(bin_of(F.col("c_lon"), side) - reach, bin_of(F.col("c_lon"), side) + reach)))
     c = c.withColumn("bin1", F.explode(F.sequence(bin_of(F.col("c_lat"), side) - reach, bin_of(F.col("c_lat"), side) + reach)))
-    v = binned(volumes, [F.col("lon"), F.col("lat")], [side, side])
+    day = lambda ms: F.floor(ms / F.lit(86_400_000)).cast("long")
+    c = c.withColumn("bin2", F.explode(F.sequence(day(F.unix_millis("t1") - pad_ms), day(F.unix_millis("t2") + pad_ms))))
     t = F.unix_millis(F.col("ts"))
-    near = v.join(c, ["bin0", "bin1"]).where((t > F.unix_millis("t1") - pad_ms) & (t < F.unix_millis("t2") + pad_ms))
-    return near.where(metres(F.col("lon") - F.col("c_lon"), F.col("lat") - F.col("c_lat")) <= F.col("radius_m") + pad_m).drop("bin0", "bin1")
+    v = binned(volumes, [F.col("lon"), F.col("lat")], [side, side]).withColumn("bin2", day(t))
+    near = v.join(c, ["bin0", "bin1", "bin2"]).where((t > F.unix_millis("t1") - pad_ms) & (t < F.unix_millis("t2") + pad_ms))
+    return near.where(metres(F.col("lon") - F.col("c_lon"), F.col("lat") - F.col("c_lat")) <= F.col("radius_m") + pad_m).drop("bin0", "bin1", "bin2")

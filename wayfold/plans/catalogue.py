@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import geofn, textfn, timefn
@@ -248,9 +248,9 @@ def viete_pi(spark, sf_dir):
 
 @query("lookup_broadcast", "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey <> 2")
 def lookup_broadcast(spark, sf_dir):
-    """A dictionary of bounded size; rows that miss it go."""
+    """A dictionary, sent to all tasks if it is small; rows that miss it go."""
     names = table(spark, sf_dir, "nation").where("n_regionkey <> 2").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    found = table(spark, sf_dir, "supplier").join(F.broadcast(names), "s_nationkey", "left")
+    found = table(spark, sf_dir, "supplier").join(names, "s_nationkey", "left")
     return found.where("n_name is not null").select("s_suppkey", "n_name")
 
 
@@ -479,11 +479,11 @@ def hourly_count(spark, sf_dir):
     return apps.count_clustered_by_hour(cluster.cluster_points(pv(spark, sf_dir).select("obj_id", "ts", "lon", "lat")))
 
 
-EXTENT = "extent AS MATERIALIZED (SELECT user_id AS cluster_id, avg(lon) AS lon, avg(lat) AS lat, count(*) AS size, min(ts) AS t1, max(ts) AS t2, sqrt((max(lon) - min(lon)) * (max(lon) - min(lon)) + (max(lat) - min(lat)) * (max(lat) - min(lat))) * 43972.0::DOUBLE AS radius_m FROM pv WHERE event_id % 3 = 0 GROUP BY user_id)"
+EXTENT = "extent AS MATERIALIZED (SELECT user_id AS cluster_id, avg(lon) AS lon, avg(lat) AS lat, count(*) AS size, min(ts) AS t1, max(ts) AS t2, sqrt((max(lon) - min(lon)) * (max(lon) - min(lon)) + (max(lat) - min(lat)) * (max(lat) - min(lat))) * 43972.0::DOUBLE AS radius_m FROM pv GROUP BY user_id)"
 
 
 def extents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregate.cluster_extents(pv(spark, sf_dir).where("event_id % 3 = 0").withColumn("cluster_id", F.col("user_id")))
+    return aggregate.cluster_extents(pv(spark, sf_dir).withColumn("cluster_id", F.col("user_id")))
 
 
 @query("cluster_extent", views("pv", EXTENT) + "SELECT cluster_id, round(lon, 6) AS lon, round(lat, 6) AS lat, size, (epoch_us(t1) // 1000) AS ms1, (epoch_us(t2) // 1000) AS ms2, round(radius_m, 6) AS radius_m FROM extent")
@@ -517,17 +517,37 @@ def box_assign(spark, sf_dir):
     return spatial.in_boxes(cluster.embedded(pv(spark, sf_dir), BY), boxes).select("obj_id", "cell")
 
 
-@query("cell_assign")
+#: The points that count as new, and the most points of a cell, for cell_assign.
+FRESH, MOST = "event_id % 20 = 0", 100
+
+
+def sql_place(c: str, value: str, k: str) -> str:
+    return f"greatest(0, least(pow(2, least({k}, n{c})) - 1, ceil(({value} - {c}1) / (d{c} / pow(2, least({k}, n{c})))) - 1))"
+
+
+def sql_low(c: str) -> str:
+    return f"({c}1 + i{c} * (d{c} / pow(2, least(k, n{c}))))"
+
+
+@query("cell_assign", views("pv") + f""", e3 AS MATERIALIZED (SELECT obj_id, lon AS x, lat AS y, (epoch_us(ts) // 1000)::DOUBLE * {BY.depth_per_ms!r}::DOUBLE AS z, {FRESH} AS fresh FROM pv),
+    ends AS (SELECT min(x) AS x1, max(x) - min(x) AS dx, min(y) AS y1, max(y) - min(y) AS dy, min(z) AS z1, max(z) - min(z) AS dz FROM e3),
+    b AS MATERIALIZED (SELECT *, {", ".join(f"greatest(0, ceil(log2(d{c} / {2 * BY.epsilon!r}::DOUBLE))) AS n{c}" for c in "xyz")} FROM ends),
+    cells AS MATERIALIZED (SELECT k, {", ".join(f"{sql_place(c, c, 'k')} AS i{c}" for c in "xyz")}, count(*) AS n, bool_or(fresh) AS fresh FROM e3, b, generate_series(0, (SELECT greatest(nx, ny, nz)::BIGINT FROM b)) lv(k) GROUP BY ALL),
+    leaves AS (SELECT c.k, c.ix, c.iy, c.iz FROM cells c CROSS JOIN b LEFT JOIN cells p ON p.k = c.k - 1 AND {" AND ".join(f"p.i{c} = floor(c.i{c} / pow(2, least(c.k, n{c}) - least(c.k - 1, n{c})))" for c in "xyz")}
+        WHERE c.fresh AND c.n >= {BY.min_points} AND (c.n <= {MOST} OR c.k = greatest(nx, ny, nz)) AND (c.k = 0 OR p.n > {MOST}))
+    SELECT obj_id, concat_ws('-', k, ix::BIGINT, iy::BIGINT, iz::BIGINT) AS cell, NOT ({" AND ".join(f"i{c} = {sql_place(c, c, 'k')}" for c in "xyz")}) AS halo FROM e3, leaves, b
+    WHERE {" AND ".join(f"{c} >= {sql_low(c)} - {1.01 * BY.epsilon!r}::DOUBLE AND {c} <= {sql_low(c)} + d{c} / pow(2, least(k, n{c})) + {1.01 * BY.epsilon!r}::DOUBLE" for c in "xyz")}""")
 def cell_assign(spark, sf_dir):
-    return cluster.grid_cells(pv(spark, sf_dir), BY, 700)
+    return cluster.grid_cells(pv(spark, sf_dir), BY, MOST, F.expr(FRESH))
 
 
-@query("merge_labels", """WITH RECURSIVE links AS (SELECT DISTINCT c_nationkey AS a, (c_custkey * 7 % 25)::INT AS b FROM customer WHERE c_custkey % 40 = 0), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-    reach AS (SELECT a, a AS b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b), low AS (SELECT b, min(a) AS m FROM reach GROUP BY b)
-    SELECT s_suppkey AS obj_id, coalesce(m, s_nationkey) AS cluster_id FROM supplier LEFT JOIN low ON low.b = s_nationkey""")
+#: Clusters that follow each other in the list of one nation and segment are merged, so each list becomes one.
+@query("merge_labels", """WITH low AS (SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS m FROM customer)
+    SELECT o_orderkey AS obj_id, coalesce(m, o_custkey) AS cluster_id FROM orders LEFT JOIN low ON c_custkey = o_custkey""")
 def merge_labels(spark, sf_dir):
-    links = table(spark, sf_dir, "customer").where("c_custkey % 40 = 0").select(F.col("c_nationkey").alias("a"), (F.col("c_custkey") * 7 % 25).cast("int").alias("b"))
-    labels = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("obj_id"), F.col("s_nationkey").alias("cluster_id"))
+    after = F.lead("c_custkey").over(Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey"))
+    links = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), after.alias("b")).where("b is not null")
+    labels = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("obj_id"), F.col("o_custkey").alias("cluster_id"))
     return cluster.merged_labels(links, labels)
 
 

@@ -8,9 +8,11 @@ import time
 from pyspark.sql import functions as F
 
 from wayfold.params import Density
+from wayfold.operators import anomaly
+from wayfold.operators.cluster import grid_cells
 from wayfold.plans import apps
 from wayfold.session import build_session
-from wayfold.sources.files import KeyedTable
+from wayfold.sources.files import KeyedTable, save_counted
 from wayfold.streaming.ticks import STATE, cluster_messages
 
 COMMANDS: dict[str, tuple[tuple[str, ...], object]] = {
@@ -18,15 +20,29 @@ COMMANDS: dict[str, tuple[tuple[str, ...], object]] = {
     "ingest-points": (("messages",), lambda s, a: apps.ingest_points(s, a.messages)),
     "baseline": (("volumes",), lambda s, a: apps.build_baseline(s.read.parquet(a.volumes))),
     "nearby-baseline": (("sites", "points"), lambda s, a: apps.build_nearby_baseline(s.read.parquet(a.sites), s.read.parquet(a.points))),
-    "rush-hour": (("volumes",), lambda s, a: apps.rush_hour(s.read.parquet(a.volumes).withColumn("average", F.col("volume")), F.col("interval_ts"))),
+    "rush-hour": (("baseline",), lambda s, a: apps.rush_hour(s.read.parquet(a.baseline), F.to_timestamp(F.concat(F.lit("1970-01-01 "), "time_of_day")))),
     "clustered-by-hour": (("points",), lambda s, a: apps.count_clustered_by_hour(s.read.parquet(a.points))),
     "on-street": (("points", "lines"), lambda s, a: apps.flag_on_street(s.read.parquet(a.points), s.read.parquet(a.lines))),
     "site-anomalies": (("volumes", "baseline", "points", "nearby"), lambda s, a: apps.detect_site_anomalies(*(s.read.parquet(p) for p in (a.volumes, a.baseline, a.points, a.nearby)))),
     "cluster-anomalies": (("points", "volumes", "baseline"), lambda s, a: apps.detect_cluster_anomalies(*(s.read.parquet(p) for p in (a.points, a.volumes, a.baseline)))),
-    "cluster": (("points",), lambda s, a: apps.cluster_points(s.read.parquet(a.points))),
+    "abnormal-share": (("anomalies",), lambda s, a: anomaly.share_with_any(s.read.parquet(a.anomalies))),
+    "summarise-clusters": (("points",), lambda s, a: apps.summarise_clusters(s.read.parquet(a.points))),
+    "cluster": (("points",), lambda s, a: apps.cluster_points(s.read.parquet(a.points), density(a))),
+    "cells": (("points",), lambda s, a: grid_cells(s.read.parquet(a.points), density(a), a.max_pts)),
 }
 
 
+def density(args: argparse.Namespace) -> Density:
+    return Density(args.min_pts, args.km, round(args.minutes * 60_000))
+
+
+def with_density(parser: argparse.ArgumentParser) -> None:
+    usual = Density()
+    parser.add_argument("--min-pts", type=int, default=usual.min_points)
+    parser.add_argument("--km", type=float, default=usual.km)
+    parser.add_argument("--minutes", type=float, default=usual.ms / 60_000)
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="wayfold")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -36,20 +52,26 @@ def main(argv: list[str] | None = None) -> None:
             p.add_argument(f"--{x.replace('_', '-')}", required=True)
         p.add_argument("--out", required=True)
         p.add_argument("--overwrite", action="store_true")
+        if name in ("cluster", "cells"):
+            with_density(p)
+        if name == "cells":
+            p.add_argument("--max-pts", type=int, default=700)
     p = commands.add_parser("cluster-stream")
     for x in ("source", "store", "checkpoint"):
         p.add_argument(f"--{x}", required=True)
     p.add_argument("--format", default="text")
     p.add_argument("--interval-sec", type=int)
     p.add_argument("--overwrite", action="store_true")
+    with_density(p)
     args = parser.parse_args(argv)
     spark, began = build_session(f"wayfold {args.command}"), time.time()
     if args.command == "cluster-stream":
         if args.overwrite:
             KeyedTable(spark, args.store, STATE).drop()
-        cluster_messages(spark, args.source, args.store, args.checkpoint, Density(), args.interval_sec, args.format).awaitTermination()
+        cluster_messages(spark, args.source, args.store, args.checkpoint, density(args), args.interval_sec, args.format).awaitTermination()
     else:
-        COMMANDS[args.command][1](spark, args).write.mode("overwrite" if args.overwrite else "append").parquet(args.out)
+        n = save_counted(COMMANDS[args.command][1](spark, args), args.out, "overwrite" if args.overwrite else "append")
+        print(f"{args.command}: {n} rows")
     print(f"{args.command}: {time.time() - began:.1f} s")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Collection
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions.geofn import point_lat, point_lon, segments
@@ -82,7 +84,9 @@ class KeyedTable:
 
     A writer rewrites only the parts (days, by default) that its rows fall
     into, as the next version; readers take each part from its newest complete
-    version.  A batch that is written again after a failure changes nothing.
+    version, and what a failed writer left is overwritten.  Rows that are
+    written again replace themselves, so a repeated batch changes nothing, and
+    none is refused: batches may be numbered anew after a checkpoint is lost.
     The part of a key must not change.
     """
 
@@ -118,26 +122,33 @@ class KeyedTable:
     def drop(self) -> None:
         self._fs().delete(self._at(self.path), True)
 
-    def read(self, only: list[str] | None = None) -> DataFrame:
+    def read(self, only: Collection[str] | None = None) -> DataFrame:
         """All rows, or those of some parts."""
         paths = [folders[-1] for part, folders in self.parts().items() if only is None or part in only]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
-    def upsert(self, rows: DataFrame, batch_id: int | None = None) -> None:
-        """Rows replace those of the same key; of rows of one key the largest hash counts.  `batch_id` names the version."""
+    def upsert(self, rows: DataFrame) -> int:
+        """Rows replace those of the same key; of rows of one key the largest hash counts.  Returns how many keys were written."""
         before = self.versions()
-        if batch_id is not None and before and batch_id <= before[-1]:
-            return
         names = self.spark.createDataFrame([], self.schema).columns
         fresh = keep(preferred(rows.select(names), self.key, F.hash(*names), F.to_json(F.struct(*names))), "fresh")
         part = F.coalesce(F.expr(self.part).cast("string"), F.lit("none")).alias("part")
-        touched = [r[0] for r in fresh.select(part).distinct().collect()]
+        written = {r[0]: r[1] for r in fresh.groupBy(part).count().collect()}
+        touched = list(written)
         merged = self.read(touched).join(fresh.select(self.key), self.key, "left_anti").select(names).unionByName(fresh)
-        version = (before[-1] + 1 if before else 0) if batch_id is None else batch_id
+        version = before[-1] + 1 if before else 0
         merged.select(*names, part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/v={version}")
         for folders in self.parts().values():
             for old in folders[:-2]:  # readers may still be at the version before
                 self._fs().delete(self._at(old), True)
+        return sum(written.values())
+
+
+def save_counted(df: DataFrame, path: str, mode: str = "append") -> int:
+    """Writes Parquet and returns how many rows, counted while they are written."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).parquet(path)
+    return seen.get["n"]
 
 
 def messages_of(points: DataFrame, zone_text: str = "+0000") -> DataFrame:

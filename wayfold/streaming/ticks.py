@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+from math import ceil
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,17 +24,51 @@ def message_stream(spark: SparkSession, source: str, fmt: str = "text", **option
     return reader.load(source).select("value")
 
 
-def tick(batch: DataFrame, batch_id: int, store: KeyedTable, by: Density) -> None:
-    """One tick; an empty one writes nothing.  Late points find their own history, none is dropped."""
+def days_around(new: DataFrame, by: Density) -> set[str]:
+    """The store's parts in which the history of new points lies."""
+    span = F.make_dt_interval(secs=F.lit(2 * by.horizon_ms / 1000))
+    first, last = new.agg(F.to_date(F.min("ts") - span), F.to_date(F.max("ts") + span)).first()
+    return {str(first + timedelta(days=k)) for k in range((last - first).days + 1)}
+
+
+def tick(batch: DataFrame, store: KeyedTable, by: Density) -> int:
+    """One tick: how many points were written.  An empty one writes nothing.
+
+    Late points find their own history, none is dropped, and a repeated tick
+    changes nothing.  Of the store only the days around the new points are
+    read; where clusters are merged, also the days next to them for as long as
+    these hold members of the merged clusters.
+    """
     new = batch.select("obj_id", "ts", "lon", "lat").where("ts is not null")
     if new.isEmpty():
-        return
-    store.upsert(cluster_increment(new, store.read(), by), batch_id)
+        return 0
+    days = days_around(new, by)
+    found = cluster_increment(new, store.read(days), by, lambda ids: far_members(store, days, ids, by))
+    return store.upsert(found)
+
+
+def far_members(store: KeyedTable, days: set[str], ids: DataFrame, by: Density) -> DataFrame:
+    """The stored points of clusters `ids` (cluster_id) on other days.
+
+    The points of a cluster follow each other within the horizon, so days are
+    followed outwards, as many at once as it spans, until none holds a member.
+    """
+    step = 1 + ceil(by.horizon_ms / 86_400_000)
+    stored, found = set(store.parts()), store.read([])
+    for end, direction in ((max(days), 1), (min(days), -1)):
+        end = date.fromisoformat(end)
+        while near := {str(end + timedelta(days=direction * k)) for k in range(1, step + 1)} & stored:
+            members = store.read(near).join(ids, "cluster_id", "left_semi")
+            if members.isEmpty():
+                break
+            found = found.unionByName(members.select(found.columns))
+            end += timedelta(days=direction * step)
+    return found
 
 
 def cluster_stream(points: DataFrame, store: KeyedTable, checkpoint: str, by: Density = Density(), seconds: int | None = None) -> StreamingQuery:
     """Starts clustering a stream of points; without `seconds` it ends when all that is there has been read."""
-    writer = points.writeStream.foreachBatch(lambda df, k: tick(df, k, store, by)).option("checkpointLocation", checkpoint)
+    writer = points.writeStream.foreachBatch(lambda df, _: tick(df, store, by)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
 
 
