@@ -150,6 +150,29 @@ def test_clusters_equal_the_definition_in_any_order(spark):
     assert labels_of(cluster.cluster_points(spark.createDataFrame(rows[::-1], POINTS).repartition(5))) == expected
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_crowds_are_linked_as_their_points_are(spark, seed):
+    rng, by = random.Random(seed), Density()
+    rows, at = [], 144.9
+    for crowd in range(9):  # about epsilon apart, some linked and some not, each over a few fine cells
+        for k in range(45):
+            rows.append((f"p{crowd}_{k:02d}", utc(2024, 1, 1) + dt.timedelta(seconds=rng.uniform(0, 200)), at + rng.uniform(0, 0.2) * by.epsilon, -37.8 + rng.uniform(0, 0.2) * by.epsilon))
+        at += by.epsilon * rng.choice([0.5, 1.1, 1.17, 1.2, 1.24])
+    rows += [(f"q{k}", utc(2024, 1, 1), 144.9 + rng.uniform(-1, 10) * by.epsilon, -37.8 + rng.uniform(1, 3) * by.epsilon) for k in range(40)]
+    expected = expected_clusters(rows, by)
+    assert len({c for c, _ in expected.values()}) > 2
+    assert labels_of(cluster.cluster_points(spark.createDataFrame(rows, POINTS).repartition(4))) == expected
+
+
+def test_many_points_in_one_place_are_not_paired(spark):
+    n, by = 100_000, Density()
+    spot = spark.range(n).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("obj_id"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") % 60).alias("ts"), (F.lit(144.9) + (F.col("id") % 1000) * F.lit(1e-7)).alias("lon"), F.lit(-37.8).alias("lat"))
+    graph = cluster.core_graph(spot, by)
+    assert graph.core.count() == n and graph.links.count() < 100
+    found = cluster.cluster_points(spot)
+    assert found.where("cluster_label = 'CORE' and cluster_id = 'p0'").count() == n
+
+
 def test_increments_equal_one_batch(spark, tmp_path):
     rows = blobs(200, 4)
     order = rows[:]

@@ -9,6 +9,7 @@ A cluster's id is the smallest id of its cores, so recomputing gives the same.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from wayfold.functions.geofn import depth
 from wayfold.operators.aggregate import preferred
 from wayfold.operators.graph import connected_components
-from wayfold.operators.spatial import neighbours
+from wayfold.operators.spatial import bin_of, neighbours
 from wayfold.params import Density
 from wayfold.sources.shared import keep
 
@@ -33,30 +34,115 @@ def cores(pairs: DataFrame, by: Density) -> DataFrame:
     return pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > by.min_points)
 
 
-def labelled(pairs: DataFrame, by: Density, promote: bool = False) -> DataFrame:
-    """(obj_id, cluster_id, cluster_label) of clustered points, from directed pairs.
+FINE = ["fx", "fy", "fz"]
+
+
+@dataclass
+class CoreGraph:
+    """The cores (a, rep), each with the smallest core of its fine cell; links (a, b) of such cores; other points near cores (b, rep, n), n cores of a cell near each."""
+
+    core: DataFrame
+    links: DataFrame
+    edges: DataFrame
+
+
+def core_graph(points: DataFrame, by: Density, were: DataFrame | None = None) -> CoreGraph:
+    """What clusters are made of, without listing the pairs inside crowds; `were` (a) are points known to be core.
+
+    Points lie in fine cells whose diagonal is below epsilon.  All points of a
+    cell with more than `by.min_points` + 1 are cores and linked.  Only points
+    of other, thin cells are paired with their neighbours: few cells are near
+    a crowd and each holds few of them, so pairs grow with the points.  Crowds
+    are linked by their bounding boxes, then by the boxes of their parts, and
+    point by point only where these can't tell.
+    """
+    side = by.epsilon / 3**0.5 * (1 - 1e-9)
+    own = keep(embedded(points, by).select("obj_id", "x", "y", "z", *[bin_of(F.col(c), side).alias(f"f{c}") for c in "xyz"]), "placed")
+    full = keep(own.groupBy(FINE).agg(F.count("*").alias("n")).where(F.col("n") > by.min_points + 1).select(FINE), "full")
+    dense = own.join(full, FINE, "left_semi")
+    pairs = keep(neighbours(own.join(full, FINE, "left_anti"), by.epsilon, others=own), "pairs")
+    found = dense.select(F.col("obj_id").alias("a")).unionByName(cores(pairs, by).select("a"))
+    if were is not None:
+        found = found.unionByName(were.select("a")).distinct()
+    placed = own.join(found, own["obj_id"] == found["a"], "left_semi")
+    reps = placed.groupBy(FINE).agg(F.min("obj_id").alias("rep"))
+    core = keep(placed.join(reps, FINE).select(F.col("obj_id").alias("a"), "rep"), "cores")
+    near = pairs.join(core.select(F.col("a").alias("b"), "rep"), "b").select("a", "rep")
+    near = keep(near.groupBy("a", "rep").agg(F.count("*").alias("n")), "near_cores")
+    links = near.join(core.select("a", F.col("rep").alias("own")), "a").where("own <> rep").select(F.col("own").alias("a"), F.col("rep").alias("b"))
+    of_cell = reps.join(full, FINE, "left_semi")
+    crowds = linked_crowds(dense, side, by.epsilon)
+    for end in "ab":
+        crowds = crowds.join(of_cell.select(*[F.col(c).alias(f"{end}_{c}") for c in FINE], F.col("rep").alias(end)), [f"{end}_{c}" for c in FINE])
+    edges = near.join(core.select("a"), "a", "left_anti").select(F.col("a").alias("b"), "rep", "n")
+    return CoreGraph(core, links.unionByName(crowds.select("a", "b")), edges)
+
+
+def boxes(points: DataFrame, cells: list[str]) -> DataFrame:
+    return points.groupBy(cells).agg(*[f(c).alias(f"{c}{k}") for c in "xyz" for k, f in ((1, F.min), (2, F.max))])
+
+
+def told_by_boxes(pairs: DataFrame, epsilon: float) -> DataFrame:
+    """`pairs` of boxes with `sure`: true if all of their points are within epsilon, false if it can't be told; without those that are too far apart."""
+    near, far = F.lit(0.0), F.lit(0.0)
+    for c in "xyz":
+        gap = F.greatest(F.lit(0.0), F.col(f"b_{c}1") - F.col(f"a_{c}2"), F.col(f"a_{c}1") - F.col(f"b_{c}2"))
+        reach = F.greatest(F.col(f"b_{c}2") - F.col(f"a_{c}1"), F.col(f"a_{c}2") - F.col(f"b_{c}1"))
+        near, far = near + gap * gap, far + reach * reach
+    return pairs.where(near < (epsilon * (1 + 1e-9)) ** 2).withColumn("sure", far < (epsilon * (1 - 1e-9)) ** 2)
+
+
+def ends(df: DataFrame, end: str) -> DataFrame:
+    return df.select([F.col(c).alias(f"{end}_{c}") for c in df.columns])
+
+
+def linked_crowds(dense: DataFrame, side: float, epsilon: float, parts: int = 4) -> DataFrame:
+    """(a_fx, a_fy, a_fz, b_fx, b_fy, b_fz): pairs of full cells that hold points within epsilon of each other."""
+    key = [f"{end}_{c}" for end in "ab" for c in FINE]
+    whole = boxes(dense, FINE)
+    around_a = ends(whole, "a")
+    for c in FINE:  # points within epsilon are at most two cells apart along each axis
+        around_a = around_a.withColumn(f"b_{c}", F.explode(F.sequence(F.col(f"a_{c}") - 2, F.col(f"a_{c}") + 2)))
+    later = F.struct(*[f"a_{c}" for c in FINE]) < F.struct(*[f"b_{c}" for c in FINE])
+    told = keep(told_by_boxes(around_a.where(later).join(ends(whole, "b"), [f"b_{c}" for c in FINE]), epsilon).select(*key, "sure"), "crowds")
+
+    parted = dense.select("*", *[bin_of(F.col(c), side / parts).alias(f"p{c}") for c in "xyz"])
+    of_part = boxes(parted, [*FINE, "px", "py", "pz"])
+    open_pairs = told.where("not sure").select(key)
+    by_part = open_pairs.join(ends(of_part, "a"), [f"a_{c}" for c in FINE]).join(ends(of_part, "b"), [f"b_{c}" for c in FINE])
+    part_key = [f"{end}_p{c}" for end in "ab" for c in "xyz"]
+    by_part = keep(told_by_boxes(by_part, epsilon).select(*key, *part_key, "sure"), "crowd_parts")
+    by_parts = by_part.where("sure").select(key).distinct()
+
+    left = by_part.where("not sure").join(by_parts, key, "left_anti")
+    for end in "ab":
+        left = left.join(ends(parted.select(*FINE, "px", "py", "pz", "x", "y", "z").distinct(), end), [f"{end}_{c}" for c in [*FINE, "px", "py", "pz"]])
+    d = [F.col(f"a_{c}") - F.col(f"b_{c}") for c in "xyz"]
+    by_points = left.where(F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) < epsilon).select(key).distinct()
+    return told.where("sure").select(key).unionByName(by_parts).unionByName(by_points)
+
+
+def cluster_points(points: DataFrame, by: Density = Density(), promote: bool = False) -> DataFrame:
+    """`points` (obj_id, ts, lon, lat, ...) with cluster_id and cluster_label, null for noise.
 
     With `promote` a border that is near at least `min_points` cores links
     their clusters.
     """
-    core = keep(cores(pairs, by).select("a"), "cores")
-    from_core = keep(pairs.join(core, "a"), "core_pairs")
-    both = from_core.join(core.select(F.col("a").alias("b")), "b").select("a", "b").where("a < b")
+    own = points.drop("cluster_id", "cluster_label")
+    graph = core_graph(own, by)
+    links = graph.links
     if promote:
-        edge = from_core.join(core.select(F.col("a").alias("b")), "b", "left_anti")
-        linking = edge.groupBy("b").agg(F.count("*").alias("n"), F.min("a").alias("low")).where(F.col("n") >= by.min_points)
-        both = both.unionByName(edge.join(linking, "b").where("a <> low").select(F.col("low").alias("a"), F.col("a").alias("b")))
-    reached = connected_components(both)
-    ids = core.join(reached, core["a"] == reached["node"], "left").select(core["a"], F.coalesce("component", core["a"]).alias("cluster_id"))
-    border = from_core.join(core.select(F.col("a").alias("b")), "b", "left_anti").join(ids, "a").groupBy(F.col("b").alias("obj_id")).agg(F.min("cluster_id").alias("cluster_id"))
-    return ids.select(F.col("a").alias("obj_id"), "cluster_id", F.lit(CORE).alias("cluster_label")).unionByName(border.withColumn("cluster_label", F.lit(BORDER)))
+        linking = graph.edges.groupBy("b").agg(F.sum("n").alias("all"), F.min("rep").alias("low")).where(F.col("all") >= by.min_points)
+        links = links.unionByName(graph.edges.join(linking, "b").where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")))
+    ids = with_component(graph.core, connected_components(links), "cluster_id")
+    border = graph.edges.join(ids.select("rep", "cluster_id").distinct(), "rep").groupBy(F.col("b").alias("obj_id")).agg(F.min("cluster_id").alias("cluster_id"))
+    labels = ids.select(F.col("a").alias("obj_id"), "cluster_id", F.lit(CORE).alias("cluster_label")).unionByName(border.withColumn("cluster_label", F.lit(BORDER)))
+    return own.join(labels, "obj_id", "left")
 
 
-def cluster_points(points: DataFrame, by: Density = Density(), promote: bool = False) -> DataFrame:
-    """`points` (obj_id, ts, lon, lat, ...) with cluster_id and cluster_label, null for noise."""
-    own = points.drop("cluster_id", "cluster_label")
-    pairs = keep(neighbours(embedded(own, by), by.epsilon), "pairs")
-    return own.join(labelled(pairs, by, promote), "obj_id", "left")
+def with_component(core: DataFrame, reached: DataFrame, name: str) -> DataFrame:
+    """Cores (a, rep) with the component of their `rep`, which is its own if nothing links it."""
+    return core.join(reached, core["rep"] == reached["node"], "left").select(core["a"], core["rep"], F.coalesce("component", core["rep"]).alias(name))
 
 
 def cluster_increment(new: DataFrame, stored: DataFrame, by: Density = Density(), far: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -80,16 +166,13 @@ def cluster_increment(new: DataFrame, stored: DataFrame, by: Density = Density()
     fresh = new.withColumns({c: F.lit(None).cast("string") for c in ("cluster_id", "cluster_label")}).select(columns)
     both = preferred(history.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1))), "obj_id", F.col("_new"), F.col("ts"), F.col("lon"), F.col("lat")).drop("_new")
     both = keep(both, "tick")
-    pairs = keep(neighbours(embedded(both, by), by.epsilon), "pairs")
-    were = both.where(F.col("cluster_label") == CORE).select(F.col("obj_id").alias("a"))
-    core = keep(cores(pairs, by).select("a").union(were).distinct(), "cores")
-    from_core = keep(pairs.join(core, "a"), "core_pairs")
-    ends = core.select(F.col("a").alias("b"))
+    graph = core_graph(both, by, both.where(F.col("cluster_label") == CORE).select(F.col("obj_id").alias("a")))
     stored_ids = both.where("cluster_id is not null").select(F.col("obj_id").alias("a"), F.col("cluster_id").alias("b"))
-    links = from_core.join(ends, "b").select("a", "b").where("a < b").unionByName(stored_ids.join(core, "a").where("a <> b"))
+    links = graph.links.unionByName(stored_ids.join(graph.core, "a").select(F.col("rep").alias("a"), "b").where("a <> b"))
     reached = keep(connected_components(links), "merged")
-    ids = core.join(reached, core["a"] == reached["node"], "left").select(core["a"], F.coalesce("component", core["a"]).alias("core_id"))
-    touched = from_core.join(ends, "b", "left_anti").join(ids, "a").groupBy(F.col("b").alias("obj_id")).agg(F.min("core_id").alias("border_id"))
+    cored = with_component(graph.core, reached, "core_id")
+    ids = cored.select("a", "core_id")
+    touched = graph.edges.join(cored.select("rep", "core_id").distinct(), "rep").groupBy(F.col("b").alias("obj_id")).agg(F.min("core_id").alias("border_id"))
     moved_to = reached.select(F.col("node").alias("cluster_id"), F.col("component").alias("moved_id"))
     judged = both.join(ids.withColumnRenamed("a", "obj_id"), "obj_id", "left").join(touched, "obj_id", "left").join(moved_to, "cluster_id", "left")
     kept_id = F.coalesce("moved_id", "cluster_id")

@@ -81,15 +81,15 @@ def near_segment(points: DataFrame, lines: DataFrame, radius_m: float, key: str
     return points.join(hit.select(key).distinct().withColumn("on_street", F.lit(True)), key, "left").withColumn("on_street", F.coalesce("on_street", F.lit(False)))
 
 
-def neighbours(points: DataFrame, epsilon: float, key: str = "obj_id") -> DataFrame:
-    """Directed pairs (a, b) of different rows (key, x, y, z) closer than `epsilon`."""
+def neighbours(points: DataFrame, epsilon: float, key: str = "obj_id", others: DataFrame | None = None) -> DataFrame:
+    """Directed pairs (a, b) of different rows (key, x, y, z) closer than `epsilon`, b one of `others` or else of the same points."""
     axes = ["x", "y", "z"]
-    own = points.select(key, *axes)
     sides = [epsilon] * 3
-    a = binned(own.select(F.col(key).alias("a"), *[F.col(c).alias(f"a_{c}") for c in axes]), [F.col(f"a_{c}") for c in axes], sides)
-    b = spread(own.select(F.col(key).alias("b"), *[F.col(c).alias(f"b_{c}") for c in axes]), [F.col(f"b_{c}") for c in axes], sides)
+    a = points.select(F.col(key).alias("a"), *[F.col(c).alias(f"a_{c}") for c in axes])
+    b = (points if others is None else others).select(F.col(key).alias("b"), *[F.col(c).alias(f"b_{c}") for c in axes])
+    near = spread(a, [F.col(f"a_{c}") for c in axes], sides).join(binned(b, [F.col(f"b_{c}") for c in axes], sides), ["bin0", "bin1", "bin2"])
     d = [F.col(f"a_{c}") - F.col(f"b_{c}") for c in axes]
-    return a.join(b, ["bin0", "bin1", "bin2"]).where((F.col("a") != F.col("b")) & (F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) < epsilon)).select("a", "b")
+    return near.where((F.col("a") != F.col("b")) & (F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) < epsilon)).select("a", "b")
 
 
 def in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
