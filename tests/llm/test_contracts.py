@@ -140,6 +140,21 @@ def test_op5_trees_learn():
     assert np.mean((model.trees.score(x) >= 0.5) == np.array([y for _, y in known[400:]])) > 0.97
 
 
+def test_op5_judges_urls_that_it_has_not_seen(spark):
+    rng = np.random.default_rng(6)
+
+    def url(bad):
+        host = f"{'x' * rng.integers(2, 9)}{rng.integers(1000) if bad else ''}.{'com/en' if bad else 'net/de'}"
+        return f"http://{host}/{rng.integers(10**6)}" + (f"?id={rng.integers(10**9)}&s={rng.integers(10**9)}" if bad else "/about")
+
+    seen = [url(k % 2) for k in range(600)] + ["http://a.net/de/1"] * 30_000  # one URL many times fills no sample
+    held = [(url(k % 2).replace("/en/", "/xx/").replace("/de/", "/yy/"), k % 2) for k in range(200)]
+    rows = list(enumerate(seen + [u for u, _ in held]))
+    found = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), queries.URL_RULES).collect()}
+    assert all(found[len(seen) + k].rule is None for k in range(200))
+    assert np.mean([(found[len(seen) + k].verdict == "block") == bool(bad) for k, (_, bad) in enumerate(held)]) > 0.95
+
+
 def test_op6_vectors(spark, sf):
     rows = [(r.vec_id, r.label, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     links = vectors.brute_force(rows)

@@ -135,16 +135,24 @@ class Model:
     rates: dict[str, tuple[float, float]]
 
 
-def train(labelled: list[tuple[str, int]]) -> Model:
-    """From (url, blocked) pairs."""
+def rates_of(known: list[tuple[str, str, str, int]]) -> dict[str, tuple[float, float]]:
+    """Of each suffix the share of blocked URLs, drawn to that of all, and how common it is; all have the empty suffix."""
     told: dict[str, list[int]] = {}
-    known = [(url, *parts(url), y) for url, y in labelled]
     for _, host, _, y in known:
         told.setdefault(suffix(host), []).append(y)
     mean = sum(y for *_, y in known) / len(known) if known else 0.0
-    rates = {s: ((sum(ys) + 5 * mean) / (len(ys) + 5), len(ys) / len(known)) for s, ys in told.items()} | {"": (mean, 0.0)}
-    x = np.array([features(url, host, path, rates) for url, host, path, _ in known]).reshape(-1, len(FEATURES))
-    return Model(Trees().fit(x, np.array([y for *_, y in known], dtype=float)), rates)
+    return {s: ((sum(ys) + 5 * mean) / (len(ys) + 5), len(ys) / len(known)) for s, ys in told.items()} | {"": (mean, 0.0)}
+
+
+def train(labelled: list[tuple[str, int]], folds: int = 5) -> Model:
+    """From (url, blocked) pairs; the trees see each URL with the suffix statistics of the other folds, so that they don't learn its own label from them."""
+    known = [(url, *parts(url), y) for url, y in labelled]
+    x = np.zeros((len(known), len(FEATURES)))
+    for f in range(folds):
+        rates = rates_of([k for at, k in enumerate(known) if at % folds != f])
+        for at in range(f, len(known), folds):
+            x[at] = features(*known[at][:3], rates)
+    return Model(Trees().fit(x, np.array([y for *_, y in known], dtype=float)), rates_of(known))
 
 
 def judge(pages: DataFrame, said: dict[str, str], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -152,8 +160,8 @@ def judge(pages: DataFrame, said: dict[str, str], id_col: str = "page_id", url_c
 
     `rule` is the longest that fits, else null; `score` is the trees'
     probability of `block`, which decides at 0.5 where no rule does.  They are
-    fitted on at most MOST_LABELLED urls that rules decide, those with the
-    smallest hashes; without two classes among these every other url gets the
+    fitted on at most MOST_LABELLED different urls that rules decide, those with
+    the smallest hashes; without two classes among these every other url gets the
     verdict of the only class, or `allow`.  Null urls and repeated rows are
     judged like any other, null ids stay, other columns are not read; empty
     in, empty out.
@@ -172,7 +180,7 @@ def judge(pages: DataFrame, said: dict[str, str], id_col: str = "page_id", url_c
 
         yield from emit(found(), schema)
 
-    sample = own.select("url").mapInArrow(thrifty(decided), "url string, blocked int").orderBy(F.xxhash64("url"), "url").limit(MOST_LABELLED).collect()
+    sample = own.select("url").mapInArrow(thrifty(decided), "url string, blocked int").distinct().orderBy(F.xxhash64("url"), "url").limit(MOST_LABELLED).collect()
     model = train([(r[0], r[1]) for r in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
