@@ -27,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ FIT = 3
 #: Tables are added up in segments, of 2**16 slots or 512 a table; decisions that a task holds before it sends their counts.
 SEGMENT, HELD = 16, 12_000_000
 #: Tokens that are worked on at once, decisions after which a document's weights and map move, and how far each decision moves them.
-TOKENS, SLICE, STEP, MAP_STEP = 8_000, 256, 0.002, 0.02
+TOKENS, SLICE, STEP, MAP_STEP = 32_000, 256, 0.002, 0.02
 #: How fast the weights are learned.
 RATE = 0.5
 GATES, LEVELS = 16, 33
@@ -251,7 +252,7 @@ class Mixer:
         turn = (np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]) // SLICE
         turns = int(turn.max(initial=0)) + 1
         if turns > 1:  # slices of the same turn of all rows are worked on together
-            order = np.argsort(turn, kind="stable")
+            order = np.argsort(turn.astype(np.uint16) if turns < 1 << 16 else turn, kind="stable")  # short numbers are sorted by radix
             xs, gate, mix, row, bits = [x[order] for x in xs], gate[order], mix[order], row[order], bits[order]
         ends = np.cumsum(np.bincount(turn, minlength=turns))
         moved, shift = np.zeros((len(xs), n_rows), dtype=np.float32), np.zeros(n_rows * LEVELS, dtype=np.float32)
@@ -332,11 +333,11 @@ class Told:
 
 def squeezed(numbers: np.ndarray, kind: str) -> bytes:
     """Numbers by byte planes, of which all but the lowest are nearly empty."""
-    return zlib.compress(numbers.astype(kind).view(np.uint8).reshape(len(numbers), -1).T.tobytes(), 1)
+    return zstandard.compress(numbers.astype(kind).view(np.uint8).reshape(len(numbers), -1).T.tobytes(), 1)
 
 
 def opened(data: bytes, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 PARTS = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
