@@ -10,7 +10,7 @@ from wayfold.llm import queries
 def test_query_equals_its_sql(spark, name):
     sf_dir = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "labels"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
     expected = con.execute(queries.ORACLES[name])
     columns = [d[0] for d in expected.description]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, mixing, packing, personal, simhash, sketches, substrings, toxicity, urls, vectors
+from wayfold.llm import audit, bpe, codes, mixing, packing, personal, phrases, simhash, sketches, substrings, toxicity, urls, vectors
+from wayfold.sources.shared import shared_dir
 
 URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
 
@@ -80,12 +83,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/codes-{uuid.uuid4().hex}"
+    codes.write_codes(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), 2)
+    return codes.digests_of(codes.read_codes(spark, path))
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def rules_of_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op5_urls: the parts of each URL and the rule that decides it."""
     return op5_urls(spark, sf_dir).select("page_id", "host", "path", "rule")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_substrings, op4_personal, op5_urls, op6_vectors, op7_bpe, op8_sketches, op9_mixing, op10_simhash, rules_of_urls)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_substrings, op4_personal, op5_urls, op6_vectors, op7_bpe, op8_sketches, op9_mixing, op10_simhash, op11_codes, op12_audit, op13_phrases, rules_of_urls)}
 
 #: DuckDB SQL for what SQL can say; the others are compared with brute force in tests/llm.
 ORACLES: dict[str, str] = {
@@ -102,6 +119,29 @@ ORACLES: dict[str, str] = {
         reach AS (SELECT a, a AS b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
         low AS (SELECT b, min(a) AS m FROM reach GROUP BY b), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
         SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(m, vec_id) AS component_id, coalesce(m, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN low ON low.b = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op12_audit": r"""WITH known AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        fails AS (SELECT doc_id, part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+            coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM texts),
+        masks AS MATERIALIZED (SELECT part, [a, b, c, d, e] AS f, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM fails LEFT JOIN known USING (doc_id) GROUP BY ALL),
+        letter(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+        orders AS (SELECT p.x || q.x || r.x || s.x || t.x AS o FROM letter p, letter q, letter r, letter s, letter t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+        steps AS (SELECT o, k, o[k] AS own, list_transform(generate_series(1, k - 1), lambda i: ascii(o[i]) - 64) AS before FROM orders, generate_series(1, 5) g(k)),
+        each AS (SELECT part, o, k, own, n, good, toxic, f[ascii(own) - 64] AS failed, len(list_filter(before, lambda i: f[i])) > 0 AS gone, len(list_filter(f, lambda x: x)) = 1 AS single FROM masks, steps),
+        told AS (SELECT part, o AS filter_order, k::INT AS step, own, coalesce(sum(n) FILTER (NOT gone AND NOT failed), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND failed), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (gone AND failed), 0)::BIGINT AS redundant,
+            coalesce(sum(n) FILTER (failed AND single), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (NOT gone AND failed), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND failed), 0)::BIGINT AS toxic_lost FROM each GROUP BY part, o, k, own)
+        SELECT * EXCLUDE own, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM told""",
+    "op13_phrases": r"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        said AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        grams AS (SELECT lang, unnest(list_concat(w, list_concat(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]), list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS phrase FROM said),
+        f AS MATERIALIZED (SELECT lang, phrase, count(*) AS c, string_split(phrase, ' ') AS w FROM grams GROUP BY ALL HAVING count(*) >= 10),
+        words AS (SELECT lang, sum(len(w))::BIGINT AS n FROM said GROUP BY lang),
+        cuts AS (SELECT f.lang, f.phrase, f.w, f.c AS a, k, array_to_string(f.w[:k], ' ') AS front, array_to_string(f.w[k + 1:], ' ') AS rest FROM f, generate_series(1, 2) g(k) WHERE k < len(f.w)),
+        scored AS (SELECT cuts.*, x.c AS l, y.c AS r, (1000000::HUGEINT * a * a) // (x.c::HUGEINT * y.c) AS score FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = front JOIN f y ON y.lang = cuts.lang AND y.phrase = rest),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        longer AS (SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, c FROM f WHERE len(w) = 3),
+        free AS (SELECT * FROM lowest WHERE NOT EXISTS (SELECT 1 FROM longer WHERE longer.lang = lowest.lang AND longer.phrase = lowest.phrase AND 100 * longer.c >= 50 * lowest.a))
+        SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free) JOIN words USING (lang) WHERE rank <= 2000""",
     "rules_of_urls": r"""WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
         said(rule, rule_host, rule_path) AS (VALUES ('com/en/', 'com', '/en/'), ('example.com/en/7', 'example.com', '/en/7'), ('net/de/', 'net', '/de/'), ('example.net/de/8', 'example.net', '/de/8'), ('org/es/', 'org', '/es/'))
         SELECT page_id, any_value(host) AS host, any_value(path) AS path, arg_max(rule, length(rule)) AS rule FROM p LEFT JOIN said ON (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id""",
