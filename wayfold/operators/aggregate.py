@@ -27,6 +27,38 @@ def statistics(df: DataFrame, keys: list[str], value: str = "volume") -> DataFra
     )
 
 
+def partial_statistics(df: DataFrame, keys: list[str], value: str = "volume") -> DataFrame:
+    """n, mean, squares (of the differences to the mean, summed), low and high by `keys`: what merged_statistics() adds up."""
+    return df.groupBy(*keys).agg(
+        F.count(value).alias("n"),
+        F.avg(value).alias("mean"),
+        (F.var_pop(value) * F.count(value)).alias("squares"),
+        F.min(value).cast("double").alias("low"),
+        F.max(value).cast("double").alias("high"),
+    )
+
+
+def merged_statistics(partial: DataFrame, keys: list[str]) -> DataFrame:
+    """statistics() of all values from partial_statistics() of disjoint parts of them.
+
+    Parts of a key, which are as many as it has days, are put together one
+    after the other by their means' difference, so nothing large is subtracted
+    from anything large.
+    """
+    part = F.struct(F.col("n").cast("double").alias("n"), F.col("mean").cast("double").alias("mean"), F.col("squares").cast("double").alias("squares"))
+
+    def add(a: Column, b: Column) -> Column:
+        n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+        return F.struct(n.alias("n"), (a["mean"] + apart * b["n"] / n).alias("mean"), (a["squares"] + b["squares"] + apart * apart * a["n"] * b["n"] / n).alias("squares"))
+
+    nothing = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "mean", "squares")])
+    parts = F.sort_array(F.collect_list(F.when(F.col("n") > 0, part)))  # in one order, so that every run gives the same
+    found = partial.groupBy(*keys).agg(parts.alias("parts"), F.min("low").alias("low"), F.max("high").alias("high"))
+    found = found.withColumn("all", F.aggregate("parts", nothing, add))
+    n = F.col("all.n")
+    return found.select(*keys, F.when(n > 0, F.col("all.mean")).alias("average"), n.cast("long").alias("n"), F.when(n > 1, F.sqrt(F.col("all.squares") / (n - 1))).otherwise(F.lit(0.0)).alias("deviation"), "low", "high")
+
+
 def two_pass_deviation(df: DataFrame, keys: list[str], value: str = "volume") -> DataFrame:
     """The sample deviation from each observation's difference to its mean, for comparison with statistics()."""
     means = df.groupBy(*keys).agg(F.avg(value).alias("mean"))

@@ -8,7 +8,6 @@ A cluster's id is the smallest id of its cores, so recomputing gives the same.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -145,22 +144,21 @@ def with_component(core: DataFrame, reached: DataFrame, name: str) -> DataFrame:
     return core.join(reached, core["rep"] == reached["node"], "left").select(core["a"], core["rep"], F.coalesce("component", core["rep"]).alias(name))
 
 
-def cluster_increment(new: DataFrame, stored: DataFrame, by: Density = Density(), far: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Rows of the store to write after `new` points arrived.
+def cluster_increment(new: DataFrame, stored: DataFrame, by: Density = Density()) -> tuple[DataFrame, DataFrame]:
+    """What `new` points change: rows of the store to write, and ids of clusters that have another from here on (cluster_id, now).
 
     Stored points near the new ones in time are judged again together with
     them, history winning over a repeated id.  A cluster id is the id of one of
     its cores, so clusters merge by linking their cores now seen with the ids
-    stored for them; all stored members of a cluster whose id changes are
-    rewritten, also those far away in time: `far` gives the members of clusters
-    that `stored` doesn't hold, and is asked only if stored ids change.
-    Clusters only grow, so the result after any number of ticks is that of one
-    batch.
+    stored for them.  Members far away in time aren't read: they follow by the
+    second table.  Clusters only grow, so the result after any number of ticks
+    is that of one batch.  Rows are in the order of `stored`'s first columns:
+    obj_id, ts, lon, lat, cluster_id, cluster_label.
     """
     t1, t2 = new.agg(F.min("ts"), F.max("ts")).first()
     columns = ["obj_id", "ts", "lon", "lat", "cluster_id", "cluster_label"]
     if t1 is None:
-        return stored.select(columns).limit(0)
+        return stored.select(columns).limit(0), stored.select("cluster_id", F.col("cluster_id").alias("now")).limit(0)
     span = F.make_dt_interval(secs=F.lit(2 * by.horizon_ms / 1000))
     history = stored.select(columns).where((F.col("ts") > F.lit(t1) - span) & (F.col("ts") < F.lit(t2) + span))
     fresh = new.withColumns({c: F.lit(None).cast("string") for c in ("cluster_id", "cluster_label")}).select(columns)
@@ -181,12 +179,8 @@ def cluster_increment(new: DataFrame, stored: DataFrame, by: Density = Density()
         F.coalesce("core_id", F.least("border_id", kept_id)).alias("cluster_id"),
         F.when(F.col("core_id").isNotNull(), CORE).when(F.col("border_id").isNotNull() | kept_id.isNotNull(), BORDER).alias("cluster_label"),
     )
-    old_ids = keep(moved_to.join(both.select("cluster_id").where("cluster_id is not null").distinct(), "cluster_id", "left_semi"), "moved")
-    apart = stored.select(columns)
-    if far and not old_ids.isEmpty():
-        apart = apart.unionByName(far(old_ids.select("cluster_id")).select(columns))
-    apart = apart.where("cluster_id is not null").join(both.select("obj_id"), "obj_id", "left_anti").join(old_ids, "cluster_id")
-    return now.unionByName(apart.select("obj_id", "ts", "lon", "lat", F.col("moved_id").alias("cluster_id"), "cluster_label"))
+    moved = moved_to.join(both.select("cluster_id").where("cluster_id is not null").distinct(), "cluster_id", "left_semi").withColumnRenamed("moved_id", "now")
+    return now, keep(moved, "moved")
 
 
 def merged_labels(links: DataFrame, labels: DataFrame) -> DataFrame:

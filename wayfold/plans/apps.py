@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions.geofn import box_contains
@@ -11,7 +11,7 @@ from wayfold.functions.timefn import day_of_week, hour_of_day, local, local_date
 from wayfold.operators import aggregate, anomaly, filters, spatial
 from wayfold.operators.cluster import cluster_increment, cluster_points
 from wayfold.params import ZONE
-from wayfold.sources.files import COUNTS, points_of, read_layout, read_messages, read_places, read_roads, read_wide, to_long
+from wayfold.sources.files import COUNTS, KeyedTable, points_of, read_layout, read_messages, read_places, read_roads, read_wide, to_long
 
 #: The box around the city centre that is judged by default: lon, lat, lon, lat.
 CENTRE = (144.895795, -37.86113, 145.014087, -37.763636)
@@ -40,10 +40,13 @@ def ingest_points(spark: SparkSession, path: str, grader=None, stop: list[str] |
 
 def build_baseline(volumes: DataFrame, by: tuple[str, ...] = ("site", "day_of_week", "time_of_day"), zone: str = ZONE) -> DataFrame:
     """Statistics of the detectors' sum by site and local time; other `by` give hourly or any-day baselines."""
-    summed = aggregate.over_detectors(volumes, ("site", "interval_ts"))
+    return aggregate.statistics(with_local_times(volumes, zone), list(by))
+
+
+def with_local_times(volumes: DataFrame, zone: str = ZONE) -> DataFrame:
+    """The detectors' sum of each site and interval, with its local day of week, time of day and hour."""
     ts = F.col("interval_ts")
-    told = summed.withColumns({"day_of_week": day_of_week(ts, zone), "time_of_day": time_of_day(ts, zone), "hour": hour_of_day(ts, zone)})
-    return aggregate.statistics(told, list(by))
+    return aggregate.over_detectors(volumes, ("site", "interval_ts")).withColumns({"day_of_week": day_of_week(ts, zone), "time_of_day": time_of_day(ts, zone), "hour": hour_of_day(ts, zone)})
 
 
 def build_nearby_baseline(sites: DataFrame, points: DataFrame, radius_m: float = 1000, start: str = "2017-06-01", end: str = "2018-01-01", zone: str = ZONE, true_low: bool = False) -> DataFrame:
@@ -54,8 +57,33 @@ def build_nearby_baseline(sites: DataFrame, points: DataFrame, radius_m: float =
     return aggregate.calendar_baseline(aggregate.calendar_counts(sites, seen, start, end), true_low)
 
 
-def rush_hour(baseline: DataFrame, ts: Column, weekday: str = "Mon") -> DataFrame:
-    return aggregate.hourly(baseline.where(F.col("day_of_week") == weekday), utc_hour(ts), F.sum("average"), "volume")
+class BaselineStore:
+    """A baseline to which days are added: for each day the sums that give its statistics, replaced if the day comes again.
+
+    Reading adds up the days' sums, a row for each site, day and time, and
+    never the volumes; the result is build_baseline() of all days' volumes.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, by: tuple[str, ...] = ("site", "day_of_week", "time_of_day"), zone: str = ZONE) -> None:
+        self.by, self.zone = by, zone
+        kept = [c for c in by if c != "day"]
+        schema = "key string, day date, " + ", ".join(f"{c} string" for c in kept) + ", n long, mean double, squares double, low double, high double"
+        self.table = KeyedTable(spark, path, schema, key="key", part="cast(day as string)")
+
+    def add(self, volumes: DataFrame) -> int:
+        """Volumes of whole local days; how many rows of sums were written."""
+        told = with_local_times(volumes, self.zone).withColumn("day", local_date(F.col("interval_ts"), self.zone))
+        sums = aggregate.partial_statistics(told, ["day", *self.by])
+        return self.table.upsert(sums.withColumn("key", F.to_json(F.struct("day", *self.by))))
+
+    def read(self) -> DataFrame:
+        return aggregate.merged_statistics(self.table.read(), list(self.by))
+
+
+def rush_hour(baseline: DataFrame, weekday: str = "Mon", zone: str = ZONE) -> DataFrame:
+    """A weekday's averages summed by the UTC hour in which the local time of day falls on 1 January 2000, the day that stands for all."""
+    at = F.to_utc_timestamp(F.to_timestamp(F.concat(F.lit("2000-01-01 "), "time_of_day")), zone)
+    return aggregate.hourly(baseline.where(F.col("day_of_week") == weekday), utc_hour(at), F.sum("average"), "volume")
 
 
 def count_clustered_by_hour(points: DataFrame, zone: str = ZONE) -> DataFrame:
@@ -94,4 +122,4 @@ def summarise_clusters(points: DataFrame) -> DataFrame:
     return aggregate.cluster_summary(points)
 
 
-__all__ = ["build_baseline", "build_nearby_baseline", "cluster_increment", "cluster_points", "count_clustered_by_hour", "detect_cluster_anomalies", "detect_site_anomalies", "flag_on_street", "ingest_points", "ingest_volumes", "rush_hour", "summarise_clusters"]
+__all__ = ["BaselineStore", "build_baseline", "build_nearby_baseline", "cluster_increment", "cluster_points", "count_clustered_by_hour", "detect_cluster_anomalies", "detect_site_anomalies", "flag_on_street", "ingest_points", "ingest_volumes", "rush_hour", "summarise_clusters"]

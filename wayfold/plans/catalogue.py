@@ -6,7 +6,9 @@ from consecutive sites; see the views below, which both sides derive alike.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from wayfold.operators import aggregate, anomaly, cluster, filters, spatial
 from wayfold.params import Density
 from wayfold.plans import apps
 from wayfold.sources.files import points_of, to_long
+from wayfold.sources.placed import Curve, PlacedTable
+from wayfold.sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,6 +116,18 @@ def bbox_filter(spark, sf_dir):
     return pv(spark, sf_dir).where(geofn.box_contains(F.col("lon"), F.col("lat"), *BOX)).select("obj_id", "lon", "lat")
 
 
+#: A box within the city and a day and a half, for scans by place and time.
+NEAR, FROM, TO = (144.9002, -37.8497, 144.9405, -37.8296), "2024-01-09 06:00:00", "2024-01-10 18:30:00"
+
+
+@query("place_time_scan", views("pv") + f"SELECT obj_id, (epoch_us(ts) // 1000) AS ms, lon, lat FROM pv WHERE lon BETWEEN {NEAR[0]}::DOUBLE AND {NEAR[2]}::DOUBLE AND lat BETWEEN {NEAR[1]}::DOUBLE AND {NEAR[3]}::DOUBLE AND ts BETWEEN TIMESTAMP '{FROM}' AND TIMESTAMP '{TO}'")
+def place_time_scan(spark, sf_dir):
+    """Points written in an order of place and time, and a box and a span read from the files that meet them."""
+    stored = PlacedTable(spark, f"{shared_dir(spark)}/placed-{uuid.uuid4().hex}", Curve((144.0, -38.5, 146.0, -37.0)), file_rows=2000)
+    stored.append(pv(spark, sf_dir).select("obj_id", "ts", "lon", "lat"))
+    return stored.read(NEAR, datetime.fromisoformat(FROM), datetime.fromisoformat(TO)).select("obj_id", millis().alias("ms"), "lon", "lat")
+
+
 @query("not_null_filter", "SELECT doc_id, lang FROM documents WHERE lang IS NOT NULL AND lang <> '' AND text IS NOT NULL")
 def not_null_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(filters.filled(F.col("lang")) & F.col("text").isNotNull()).select("doc_id", "lang")
@@ -341,7 +357,24 @@ def variance_two_pass(spark, sf_dir):
 
 @query("hourly_sum", views("volumes", "summed", "local") + "SELECT strftime(interval_ts, '%Y-%m-%dT%H UTC') AS hour, sum(volume)::BIGINT AS volume FROM local WHERE strftime(lt, '%a') = 'Mon' GROUP BY ALL")
 def hourly_sum(spark, sf_dir):
-    return apps.rush_hour(keyed(volumes(spark, sf_dir)).withColumn("average", F.col("volume")), F.col("interval_ts"), "Mon").withColumn("volume", F.col("volume").cast("long"))
+    return aggregate.hourly(keyed(volumes(spark, sf_dir)).where("day_of_week = 'Mon'"), timefn.utc_hour(F.col("interval_ts")), F.sum("volume").cast("long"), "volume")
+
+
+@query("rush_hour", views("volumes", "summed", "local", BASE) + "SELECT strftime((('2000-01-01 ' || tod)::TIMESTAMP AT TIME ZONE 'Australia/Melbourne') AT TIME ZONE 'UTC', '%Y-%m-%dT%H UTC') AS hour, round(sum(average), 6) AS volume FROM base WHERE dow = 'Mon' GROUP BY ALL")
+def rush_hour(spark, sf_dir):
+    return apps.rush_hour(apps.build_baseline(volumes(spark, sf_dir))).withColumn("volume", F.round("volume", 6))
+
+
+@query("baseline_by_days", ORACLES["baseline_dow_tod"])
+def baseline_by_days(spark, sf_dir):
+    """The baseline from a store to which weeks are added out of order and one comes twice: the same as in one pass."""
+    store = apps.BaselineStore(spark, f"{shared_dir(spark)}/baseline-{uuid.uuid4().hex}")
+    v = volumes(spark, sf_dir)
+    week = F.weekofyear(timefn.local_date(F.col("interval_ts")))
+    for weeks in ([3], [1, 52, 53], [2], [3, 4, 5]):
+        store.add(v.where(week.isin(weeks)))
+    store.add(v.where(~week.isin([1, 2, 3, 4, 5, 52, 53])))
+    return store.read().select("site", F.col("day_of_week").alias("dow"), F.col("time_of_day").alias("tod"), F.round("average", 6).alias("average"), "n", F.round("deviation", 6).alias("deviation"), "low", "high")
 
 
 @query("calendar_fill_baseline", views("pv", "sites") + """, near AS (SELECT site, (p.ts AT TIME ZONE 'UTC') AT TIME ZONE 'Australia/Melbourne' AS lt FROM pv p, sites s WHERE 87944.0::DOUBLE * sqrt((p.lon - s.lon) * (p.lon - s.lon) + (p.lat - s.lat) * (p.lat - s.lat)) <= 1000),
@@ -517,6 +550,19 @@ def box_assign(spark, sf_dir):
     return spatial.in_boxes(cluster.embedded(pv(spark, sf_dir), BY), boxes).select("obj_id", "cell")
 
 
+@query("extent_members", views("pv") + """, box AS (SELECT user_id, min(lon) AS x1, max(lon) AS x2, min(lat) AS y1, max(lat) AS y2, min(ts) AS t1, min(ts) + to_hours((1 + user_id % 7 * user_id % 60)::BIGINT) AS t2 FROM pv GROUP BY user_id)
+    SELECT b.user_id, count(*) AS n FROM box b JOIN pv p ON p.lon BETWEEN x1 AND x2 AND p.lat BETWEEN y1 AND y2 AND (epoch_us(p.ts) // 1000) BETWEEN (epoch_us(t1) // 1000) AND (epoch_us(t2) // 1000) GROUP BY b.user_id""")
+def extent_members(spark, sf_dir):
+    """How many points lie in each user's box in the hours after the user's first; boxes last from one hour to days."""
+    points = pv(spark, sf_dir)
+    hours = (1 + F.col("user_id") % 7 * F.col("user_id") % 60).cast("int")
+    found = points.groupBy("user_id").agg(*[f(c).alias(f"{n}{k}") for n, c in (("x", "lon"), ("y", "lat")) for k, f in ((1, F.min), (2, F.max))], F.min("ts").alias("t1"))
+    boxes = found.withColumns({"ms1": millis("t1"), "ms2": timefn.millis(F.col("t1") + F.make_dt_interval(hours=hours))}).drop("t1")
+    own = points.select("lon", "lat", millis().alias("ms"))
+    met = spatial.overlapping(own, boxes, [(F.col("lon"), F.col("x1"), F.col("x2")), (F.col("lat"), F.col("y1"), F.col("y2")), (F.col("ms"), F.col("ms1"), F.col("ms2"))])
+    return met.groupBy("user_id").agg(F.count("*").alias("n"))
+
+
 #: The points that count as new, and the most points of a cell, for cell_assign.
 FRESH, MOST = "event_id % 20 = 0", 100
 
@@ -554,11 +600,7 @@ def merge_labels(spark, sf_dir):
 @query("stream_increment", ORACLES["dbscan_clusters"])
 def stream_increment(spark, sf_dir):
     """The points as a stream of four slices of time, tick by tick into a keyed table: the same as one batch."""
-    import uuid
-
-    from wayfold.sources.files import KeyedTable
-    from wayfold.sources.shared import shared_dir
-    from wayfold.streaming.ticks import STATE, cluster_stream
+    from wayfold.streaming.ticks import ClusterStore, cluster_stream
 
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     points = pv(spark, sf_dir).select("obj_id", "ts", "lon", "lat")
@@ -566,7 +608,7 @@ def stream_increment(spark, sf_dir):
     part = F.least(F.floor((F.col("ts").cast("double") - t1) / ((t2 - t1) / 4 + 1)), F.lit(3))
     for k in (0, 2, 1, 3):  # one slice comes late
         points.where(part == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    store = KeyedTable(spark, f"{base}/store", STATE)
+    store = ClusterStore(spark, f"{base}/store")
     stream = spark.readStream.schema("obj_id string, ts timestamp, lon double, lat double").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     cluster_stream(stream, store, f"{base}/checkpoint").awaitTermination()
     return store.read().select("obj_id", "cluster_id", "cluster_label")

@@ -4,23 +4,23 @@ from __future__ import annotations
 
 import argparse
 import time
-
-from pyspark.sql import functions as F
+from datetime import datetime
 
 from wayfold.params import Density
 from wayfold.operators import anomaly
 from wayfold.operators.cluster import grid_cells
 from wayfold.plans import apps
 from wayfold.session import build_session
-from wayfold.sources.files import KeyedTable, save_counted
-from wayfold.streaming.ticks import STATE, cluster_messages
+from wayfold.sources.files import save_counted
+from wayfold.sources.placed import Curve, PlacedTable
+from wayfold.streaming.ticks import ClusterStore, cluster_messages
 
 COMMANDS: dict[str, tuple[tuple[str, ...], object]] = {
     "ingest-volumes": (("volume_csv", "layout_csv", "point_csv", "line_csv"), lambda s, a: apps.ingest_volumes(s, a.volume_csv, a.layout_csv, a.point_csv, a.line_csv)),
     "ingest-points": (("messages",), lambda s, a: apps.ingest_points(s, a.messages)),
     "baseline": (("volumes",), lambda s, a: apps.build_baseline(s.read.parquet(a.volumes))),
     "nearby-baseline": (("sites", "points"), lambda s, a: apps.build_nearby_baseline(s.read.parquet(a.sites), s.read.parquet(a.points))),
-    "rush-hour": (("baseline",), lambda s, a: apps.rush_hour(s.read.parquet(a.baseline), F.to_timestamp(F.concat(F.lit("1970-01-01 "), "time_of_day")))),
+    "rush-hour": (("baseline",), lambda s, a: apps.rush_hour(s.read.parquet(a.baseline))),
     "clustered-by-hour": (("points",), lambda s, a: apps.count_clustered_by_hour(s.read.parquet(a.points))),
     "on-street": (("points", "lines"), lambda s, a: apps.flag_on_street(s.read.parquet(a.points), s.read.parquet(a.lines))),
     "site-anomalies": (("volumes", "baseline", "points", "nearby"), lambda s, a: apps.detect_site_anomalies(*(s.read.parquet(p) for p in (a.volumes, a.baseline, a.points, a.nearby)))),
@@ -56,6 +56,19 @@ def main(argv: list[str] | None = None) -> None:
             with_density(p)
         if name == "cells":
             p.add_argument("--max-pts", type=int, default=700)
+    p = commands.add_parser("store-points", help="append points to a table laid out by place and time")
+    for x in ("points", "store"):
+        p.add_argument(f"--{x}", required=True)
+    p.add_argument("--box", type=float, nargs=4, default=Curve.box, metavar=("LON1", "LAT1", "LON2", "LAT2"), help="where most points are")
+    p.add_argument("--file-rows", type=int, default=1_000_000)
+    p.add_argument("--compact", action="store_true")
+    p = commands.add_parser("find-points", help="read a box and a span of such a table")
+    for x in ("store", "out"):
+        p.add_argument(f"--{x}", required=True)
+    p.add_argument("--box", type=float, nargs=4, metavar=("LON1", "LAT1", "LON2", "LAT2"))
+    p.add_argument("--begin", type=datetime.fromisoformat)
+    p.add_argument("--end", type=datetime.fromisoformat)
+    p.add_argument("--overwrite", action="store_true")
     p = commands.add_parser("cluster-stream")
     for x in ("source", "store", "checkpoint"):
         p.add_argument(f"--{x}", required=True)
@@ -67,8 +80,19 @@ def main(argv: list[str] | None = None) -> None:
     spark, began = build_session(f"wayfold {args.command}"), time.time()
     if args.command == "cluster-stream":
         if args.overwrite:
-            KeyedTable(spark, args.store, STATE).drop()
+            ClusterStore(spark, args.store).drop()
         cluster_messages(spark, args.source, args.store, args.checkpoint, density(args), args.interval_sec, args.format).awaitTermination()
+    elif args.command == "store-points":
+        table = PlacedTable(spark, args.store, Curve(tuple(args.box)), args.file_rows)
+        n = table.append(spark.read.parquet(args.points))
+        if args.compact:
+            table.compact()
+        print(f"store-points: {n} rows")
+    elif args.command == "find-points":
+        table, box = PlacedTable(spark, args.store), tuple(args.box) if args.box else None
+        met, every = table.files(box, args.begin, args.end)
+        n = save_counted(table.read(box, args.begin, args.end), args.out, "overwrite" if args.overwrite else "append")
+        print(f"find-points: {n} rows from {len(met)} of {every} files")
     else:
         n = save_counted(COMMANDS[args.command][1](spark, args), args.out, "overwrite" if args.overwrite else "append")
         print(f"{args.command}: {n} rows")

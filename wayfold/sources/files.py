@@ -14,7 +14,8 @@ from wayfold.operators.aggregate import preferred
 from wayfold.operators.filters import geo_messages
 from wayfold.params import ZONE
 from wayfold.schema import MESSAGE
-from wayfold.sources.shared import keep
+from wayfold.sources.shared import keep, kept_until_here
+from wayfold.sources.snapshot import Snapshot
 
 COUNTS = 96
 
@@ -80,67 +81,66 @@ def read_layout(spark: SparkSession, path: str) -> DataFrame:
 
 
 class KeyedTable:
-    """A Parquet table with one row for each key, in parts and versions.
+    """A Parquet table with one row for each key, in parts that a snapshot names.
 
     A writer rewrites only the parts (days, by default) that its rows fall
-    into, as the next version; readers take each part from its newest complete
-    version, and what a failed writer left is overwritten.  Rows that are
-    written again replace themselves, so a repeated batch changes nothing, and
-    none is refused: batches may be numbered anew after a checkpoint is lost.
-    The part of a key must not change.
+    into, in a folder of the next version, and then replaces the snapshot, one
+    small file that has the version of each part.  Reading and writing ask for
+    that file and for the folders of the parts they need, however many versions
+    there have been.  A version that a failed writer left is overwritten by the
+    next.  Parts that were replaced stay for one more version, as readers may
+    be at them, and are then deleted.  Rows that are written again replace
+    themselves, so a repeated batch changes nothing, and none is refused:
+    batches may be numbered anew after a checkpoint is lost.  The part of a key
+    must not change.  A table has one writer.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "obj_id", part: str = "cast(to_date(ts) as string)") -> None:
         self.spark, self.path, self.schema, self.key, self.part = spark, path.rstrip("/"), schema, key, part
+        self.snapshot = Snapshot(spark, path)
 
-    def _fs(self):
-        at = self._at(self.path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _said(self) -> dict:
+        return self.snapshot.read() or {"version": -1, "parts": {}, "leaving": []}
 
-    def _at(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+    @staticmethod
+    def _folder(part: str, version: int) -> str:
+        return f"v={version}/part={part}"
 
-    def _named(self, path: str, name: str) -> list[str]:
-        """What `path` has of folders `name`=..., without that name."""
-        fs = self._fs()
-        found = [s.getPath().getName() for s in fs.listStatus(self._at(path))] if fs.exists(self._at(path)) else []
-        return [x.partition("=")[2] for x in found if x.startswith(f"{name}=")]
-
-    def versions(self) -> list[int]:
-        """Complete ones, oldest first."""
-        fs = self._fs()
-        return sorted(int(v) for v in self._named(self.path, "v") if fs.exists(self._at(f"{self.path}/v={v}/_SUCCESS")))
-
-    def parts(self) -> dict[str, list[str]]:
-        """The folders of each part, oldest version first."""
-        found: dict[str, list[str]] = {}
-        for v in self.versions():
-            for part in self._named(f"{self.path}/v={v}", "part"):
-                found.setdefault(part, []).append(f"{self.path}/v={v}/part={part}")
-        return found
+    def parts(self) -> dict[str, str]:
+        """The folder of each part."""
+        return {part: f"{self.path}/{self._folder(part, v)}" for part, v in self._said()["parts"].items()}
 
     def drop(self) -> None:
-        self._fs().delete(self._at(self.path), True)
+        self.snapshot.delete("")
+
+    def _read(self, said: dict, only: Collection[str] | None) -> DataFrame:
+        parts = said["parts"] if only is None else {p: said["parts"][p] for p in only if p in said["parts"]}
+        paths = [f"{self.path}/{self._folder(part, v)}" for part, v in parts.items()]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def read(self, only: Collection[str] | None = None) -> DataFrame:
         """All rows, or those of some parts."""
-        paths = [folders[-1] for part, folders in self.parts().items() if only is None or part in only]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+        return self._read(self._said(), only)
 
     def upsert(self, rows: DataFrame) -> int:
         """Rows replace those of the same key; of rows of one key the largest hash counts.  Returns how many keys were written."""
-        before = self.versions()
+        said = self._said()
         names = self.spark.createDataFrame([], self.schema).columns
-        fresh = keep(preferred(rows.select(names), self.key, F.hash(*names), F.to_json(F.struct(*names))), "fresh")
-        part = F.coalesce(F.expr(self.part).cast("string"), F.lit("none")).alias("part")
-        written = {r[0]: r[1] for r in fresh.groupBy(part).count().collect()}
-        touched = list(written)
-        merged = self.read(touched).join(fresh.select(self.key), self.key, "left_anti").select(names).unionByName(fresh)
-        version = before[-1] + 1 if before else 0
-        merged.select(*names, part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/v={version}")
-        for folders in self.parts().values():
-            for old in folders[:-2]:  # readers may still be at the version before
-                self._fs().delete(self._at(old), True)
+        with kept_until_here():
+            fresh = keep(preferred(rows.select(names), self.key, F.hash(*names), F.to_json(F.struct(*names))), "fresh")
+            part = F.coalesce(F.expr(self.part).cast("string"), F.lit("none")).alias("part")
+            written = {r[0]: r[1] for r in fresh.groupBy(part).count().collect()}
+            if not written:
+                return 0
+            merged = self._read(said, list(written)).join(fresh.select(self.key), self.key, "left_anti").select(names).unionByName(fresh)
+            version = said["version"] + 1
+            merged.select(*names, part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/v={version}")
+        parts = said["parts"] | dict.fromkeys(written, version)
+        leaving = [[p, said["parts"][p]] for p in written if p in said["parts"]]
+        used = {*parts.values(), *(v for _, v in leaving)}
+        for name in {f"v={v}" if v not in used else self._folder(p, v) for p, v in said["leaving"]}:
+            self.snapshot.delete(name)
+        self.snapshot.replace({"version": version, "parts": parts, "leaving": leaving})
         return sum(written.values())
 
 

@@ -4,19 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of our own, by application, where none is set.
+_own: dict[str, str] = {}
+#: What keep() has written since the innermost kept_until_here() began.
+_scope: ContextVar[list[DataFrame] | None] = ContextVar("scope", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by `spark.checkpoint.dir`; one of our own only where that is unset (tests, one machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='wayfold-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = f"file://{tempfile.mkdtemp(prefix='wayfold-')}"
+    return _own[app]
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -30,6 +40,8 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.kept_at = path
+    if (scope := _scope.get()) is not None:
+        scope.append(found)
     return found
 
 
@@ -38,3 +50,15 @@ def discard(*kept: DataFrame) -> None:
     for df in kept:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kept_at)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def kept_until_here() -> Iterator[None]:
+    """Deletes at its end, failed or not, all that keep() wrote inside; for steps that have written their result by then."""
+    mark = _scope.set([])
+    try:
+        yield
+    finally:
+        found = _scope.get()
+        _scope.reset(mark)
+        discard(*found)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
-from math import ceil
+from collections.abc import Collection
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from wayfold.operators.cluster import cluster_increment
 from wayfold.params import Density
 from wayfold.sources.files import KeyedTable, parse_messages, points_of
+from wayfold.sources.shared import keep, kept_until_here
 
 STATE = "obj_id string, ts timestamp, lon double, lat double, cluster_id string, cluster_label string"
 
@@ -31,42 +32,64 @@ def days_around(new: DataFrame, by: Density) -> set[str]:
     return {str(first + timedelta(days=k)) for k in range((last - first).days + 1)}
 
 
-def tick(batch: DataFrame, store: KeyedTable, by: Density) -> int:
-    """One tick: how many points were written.  An empty one writes nothing.
+ALIAS = "cluster_id string, now string"
 
-    Late points find their own history, none is dropped, and a repeated tick
-    changes nothing.  Of the store only the days around the new points are
-    read; where clusters are merged, also the days next to them for as long as
-    these hold members of the merged clusters.
+
+class ClusterStore:
+    """Clustered points, and which clusters have been merged into which.
+
+    Points keep the id they were stored with; `aliases` has one row for each id
+    that is no longer a cluster's, with the id that the cluster has now.  A
+    merge writes rows of aliases, not the members on other days.  Readers see
+    the ids of now.  Aliases point at the ids of now themselves: a merge also
+    rewrites those that point at an id that it ends, so nothing is followed
+    twice.
     """
-    new = batch.select("obj_id", "ts", "lon", "lat").where("ts is not null")
-    if new.isEmpty():
-        return 0
-    days = days_around(new, by)
-    found = cluster_increment(new, store.read(days), by, lambda ids: far_members(store, days, ids, by))
-    return store.upsert(found)
 
+    def __init__(self, spark: SparkSession, path: str, state: str = STATE) -> None:
+        path = path.rstrip("/")
+        self.points = KeyedTable(spark, f"{path}/points", state)
+        self.aliases = KeyedTable(spark, f"{path}/aliases", ALIAS, key="cluster_id", part="cast(pmod(xxhash64(cluster_id), 16) as string)")
+
+    def drop(self) -> None:
+        self.points.drop()
+        self.aliases.drop()
+
+    def read(self, days: Collection[str] | None = None) -> DataFrame:
+        """All points, or those of some days, with the ids of now."""
+        stored = self.points.read(days)
+        known = self.aliases.read().select(F.col("cluster_id").alias("_was"), "now")
+        return stored.join(known, stored["cluster_id"] == known["_was"], "left").withColumn("cluster_id", F.coalesce("now", "cluster_id")).select(stored.columns)
 
-def far_members(store: KeyedTable, days: set[str], ids: DataFrame, by: Density) -> DataFrame:
-    """The stored points of clusters `ids` (cluster_id) on other days.
+    def merge(self, moved: DataFrame) -> int:
+        """`moved` (cluster_id, now): clusters that have another id from here on, `now` being one that stays.  How many aliases were written."""
+        ended = moved.select(F.col("cluster_id").alias("_was"), F.col("now").alias("_to"))
+        known = self.aliases.read()
+        led = known.join(ended, known["now"] == ended["_was"]).select("cluster_id", F.col("_to").alias("now"))
+        return self.aliases.upsert(moved.select("cluster_id", "now").unionByName(led))
 
-    The points of a cluster follow each other within the horizon, so days are
-    followed outwards, as many at once as it spans, until none holds a member.
+
+def tick(batch: DataFrame, store: ClusterStore, by: Density) -> int:
+    """One tick: how many points were written.  An empty one writes nothing.
+
+    Late points find their own history, none is dropped, and a repeated tick
+    changes nothing.  Only the days around the new points are read and
+    written; where clusters on them are merged, members on other days follow by
+    the aliases, which are written first: a tick that fails in between has
+    merged clusters that it merges again when it is repeated.  Tables kept on
+    the way are deleted at the tick's end.
     """
-    step = 1 + ceil(by.horizon_ms / 86_400_000)
-    stored, found = set(store.parts()), store.read([])
-    for end, direction in ((max(days), 1), (min(days), -1)):
-        end = date.fromisoformat(end)
-        while near := {str(end + timedelta(days=direction * k)) for k in range(1, step + 1)} & stored:
-            members = store.read(near).join(ids, "cluster_id", "left_semi")
-            if members.isEmpty():
-                break
-            found = found.unionByName(members.select(found.columns))
-            end += timedelta(days=direction * step)
-    return found
-
-
-def cluster_stream(points: DataFrame, store: KeyedTable, checkpoint: str, by: Density = Density(), seconds: int | None = None) -> StreamingQuery:
+    with kept_until_here():
+        new = keep(batch.select("obj_id", "ts", "lon", "lat").where("ts is not null"), "new")
+        if new.isEmpty():
+            return 0
+        now, moved = cluster_increment(new, store.read(days_around(new, by)), by)
+        if not moved.isEmpty():
+            store.merge(moved)
+        return store.points.upsert(now)
+
+
+def cluster_stream(points: DataFrame, store: ClusterStore, checkpoint: str, by: Density = Density(), seconds: int | None = None) -> StreamingQuery:
     """Starts clustering a stream of points; without `seconds` it ends when all that is there has been read."""
     writer = points.writeStream.foreachBatch(lambda df, _: tick(df, store, by)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
@@ -74,4 +97,4 @@ def cluster_stream(points: DataFrame, store: KeyedTable, checkpoint: str, by: De
 
 def cluster_messages(spark: SparkSession, source: str, store_path: str, checkpoint: str, by: Density = Density(), seconds: int | None = None, fmt: str = "text", **options: str) -> StreamingQuery:
     points = points_of(parse_messages(message_stream(spark, source, fmt, **options)), need_id=True)
-    return cluster_stream(points, KeyedTable(spark, store_path, STATE), checkpoint, by, seconds)
+    return cluster_stream(points, ClusterStore(spark, store_path), checkpoint, by, seconds)
