@@ -17,9 +17,10 @@ from wayfold.functions import geofn, textfn, timefn
 from wayfold.operators import aggregate, anomaly, cluster, filters, spatial
 from wayfold.params import Density
 from wayfold.plans import apps
-from wayfold.sources.files import points_of, to_long
+from wayfold.sources.files import KeyedTable, messages_of, parse_messages, points_of, to_long, write_messages
 from wayfold.sources.placed import Curve, PlacedTable
 from wayfold.sources.shared import shared_dir
+from wayfold.streaming.ticks import ClusterStore, cluster_stream, message_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -192,12 +193,29 @@ def message_points(spark, sf_dir):
         F.col("event_id").cast("string").alias("id_str"), F.lit("a text").alias("text"), timefn.format_message_time(F.col("ts").cast("timestamp")).alias("created_at"),
         F.when(F.col("event_id") % 5 != 0, placed).alias("coordinates"), F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("screen_name")).alias("user"),
     ))
-    from wayfold.sources.files import parse_messages
-
     broken = e.where("event_id % 7 = 0").select(F.lit("{broken").alias("value"))
     return points_of(parse_messages(e.select(message.alias("value")).unionByName(broken))).select("obj_id", timefn.millis(F.col("ts")).alias("ms"), "lon", "lat", "screen_name")
 
 
+@query("log_replay", """SELECT 'tweet-' || event_id AS obj_id, (epoch_us(date_trunc('second', ts)) // 1000) AS ms, round(144.9::DOUBLE + (event_id % 100) / 1000.0::DOUBLE, 6) AS lon FROM events""")
+def log_replay(spark, sf_dir):
+    """Points as messages in a log, in three commits, streamed from there into a keyed table by a query that is ended in between."""
+    base = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events")
+    points = e.select(F.concat(F.lit("tweet-"), F.col("event_id").cast("string")).alias("obj_id"), F.col("ts").cast("timestamp").alias("ts"), F.round(F.lit(144.9) + (F.col("event_id") % 100) / F.lit(1000.0), 6).alias("lon"), F.lit(-37.85).alias("lat"), F.lit("a text").alias("text"), F.lit("a").alias("screen_name"), F.lit(None).cast("array<string>").alias("tokens"), F.lit(None).cast("int").alias("sentiment"), (F.col("event_id") % 3).alias("part"))
+    store = KeyedTable(spark, f"{base}/store", "obj_id string, ts timestamp, lon double")
+
+    def read_on() -> None:
+        stream = points_of(parse_messages(message_stream(spark, f"{base}/log", "log")))
+        stream.writeStream.foreachBatch(lambda df, _: store.upsert(df)).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    for k in range(3):
+        write_messages(messages_of(points.where(F.col("part") == k)), f"{base}/log", "log")
+        if k:
+            read_on()
+    return store.read().select("obj_id", timefn.millis(F.col("ts")).alias("ms"), "lon")
+
+
 @query("csv_clean", """WITH c AS (SELECT l_orderkey, l_linenumber, [l_quantity::BIGINT::VARCHAR, '"' || l_linenumber || '"', l_shipdate::DATE::VARCHAR, '', '-5', '+4', ' 7', l_returnflag] AS cells FROM lineitem),
     b AS (SELECT l_orderkey, l_linenumber, list_transform(cells, lambda x: regexp_replace(x, '^"(.*)"$', '\\1')) AS cells FROM c)
     SELECT l_orderkey, l_linenumber, array_to_string(list_transform(cells, lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN x ELSE '0' END), ',') AS cleaned FROM b WHERE len(list_filter(cells, lambda x: regexp_full_match(x, '[0-9]+'))) > 0""")
@@ -600,8 +618,6 @@ def merge_labels(spark, sf_dir):
 @query("stream_increment", ORACLES["dbscan_clusters"])
 def stream_increment(spark, sf_dir):
     """The points as a stream of four slices of time, tick by tick into a keyed table: the same as one batch."""
-    from wayfold.streaming.ticks import ClusterStore, cluster_stream
-
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     points = pv(spark, sf_dir).select("obj_id", "ts", "lon", "lat")
     t1, t2 = points.agg(F.min("ts").cast("double"), F.max("ts").cast("double")).first()

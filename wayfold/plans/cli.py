@@ -13,7 +13,7 @@ from wayfold.plans import apps
 from wayfold.session import build_session
 from wayfold.sources.files import save_counted
 from wayfold.sources.placed import Curve, PlacedTable
-from wayfold.streaming.ticks import ClusterStore, cluster_messages
+from wayfold.streaming.ticks import ClusterStore, cluster_messages, replay
 
 COMMANDS: dict[str, tuple[tuple[str, ...], object]] = {
     "ingest-volumes": (("volume_csv", "layout_csv", "point_csv", "line_csv"), lambda s, a: apps.ingest_volumes(s, a.volume_csv, a.layout_csv, a.point_csv, a.line_csv)),
@@ -69,6 +69,12 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--begin", type=datetime.fromisoformat)
     p.add_argument("--end", type=datetime.fromisoformat)
     p.add_argument("--overwrite", action="store_true")
+    p = commands.add_parser("replay", help="send the messages of a folder on at a pace")
+    for x in ("folder", "target", "checkpoint"):
+        p.add_argument(f"--{x}", required=True)
+    p.add_argument("--seconds", type=float, default=1, help="between two ticks; 0 sends all and ends")
+    p.add_argument("--files", type=int, default=1, help="a tick")
+    p.add_argument("--format", default="log")
     p = commands.add_parser("cluster-stream")
     for x in ("source", "store", "checkpoint"):
         p.add_argument(f"--{x}", required=True)
@@ -82,6 +88,8 @@ def main(argv: list[str] | None = None) -> None:
         if args.overwrite:
             ClusterStore(spark, args.store).drop()
         cluster_messages(spark, args.source, args.store, args.checkpoint, density(args), args.interval_sec, args.format).awaitTermination()
+    elif args.command == "replay":
+        replay(spark, args.folder, args.target, args.checkpoint, args.seconds, args.files, args.format).awaitTermination()
     elif args.command == "store-points":
         table = PlacedTable(spark, args.store, Curve(tuple(args.box)), args.file_rows)
         n = table.append(spark.read.parquet(args.points))

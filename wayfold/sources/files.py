@@ -14,6 +14,7 @@ from wayfold.operators.aggregate import preferred
 from wayfold.operators.filters import geo_messages
 from wayfold.params import ZONE
 from wayfold.schema import MESSAGE
+from wayfold.sources.log import LogSource
 from wayfold.sources.shared import keep, kept_until_here
 from wayfold.sources.snapshot import Snapshot
 
@@ -160,8 +161,15 @@ def messages_of(points: DataFrame, zone_text: str = "+0000") -> DataFrame:
 
 
 def write_messages(messages: DataFrame, target: str, fmt: str = "text", **options: str) -> None:
-    """Messages as text files of a folder, or to a Kafka topic where its connector is there."""
+    """Messages (key, value) as text files of a folder, to a log (`log`), or to a Kafka topic where its connector is there.
+
+    To a log or a topic the messages of a key go in one task, and so stay in
+    their order there.
+    """
     if fmt == "kafka":
-        messages.write.format("kafka").options(**options).option("topic", target).save()
+        messages.repartition("key").write.format("kafka").options(**options).option("topic", target).save()
+    elif fmt == "log":
+        messages.sparkSession.dataSource.register(LogSource)
+        messages.select("key", "value").repartition("key").write.format(LogSource.name()).mode("append").options(**options).save(target)
     else:
         messages.select("value").write.mode("append").format(fmt).options(**options).save(target)

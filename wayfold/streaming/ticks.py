@@ -12,19 +12,41 @@ from pyspark.sql.streaming import StreamingQuery
 from wayfold.operators.cluster import cluster_increment
 from wayfold.params import Density
 from wayfold.sources.files import KeyedTable, parse_messages, points_of
+from wayfold.sources.log import LogSource
 from wayfold.sources.shared import keep, kept_until_here
 
 STATE = "obj_id string, ts timestamp, lon double, lat double, cluster_id string, cluster_label string"
 
 
 def message_stream(spark: SparkSession, source: str, fmt: str = "text", **options: str) -> DataFrame:
-    """A stream with a text column `value`: text files of a folder, or Kafka where its connector is there."""
+    """A stream with a text column `value`: text files of a folder, a log, or Kafka where its connector is there."""
+    if fmt == "log":
+        spark.dataSource.register(LogSource)
+        return spark.readStream.format(LogSource.name()).options(**options).load(source).select("value")
     reader = spark.readStream.format(fmt).options(**options)
     if fmt == "kafka":
         return reader.option("subscribe", source).load().select(F.col("value").cast("string").alias("value"))
     return reader.load(source).select("value")
 
 
+def replay(spark: SparkSession, folder: str, target: str, checkpoint: str, seconds: float = 1, files: int = 1, fmt: str = "log", **options: str) -> StreamingQuery:
+    """Sends the messages of a folder of JSON lines on, keyed by id, at a pace: so many files every so many seconds.
+
+    Ended and started again with its checkpoint, it goes on with the next file.
+    `seconds` 0 sends all there is and ends.
+    """
+    lines = spark.readStream.format("text").option("maxFilesPerTrigger", files).load(folder)
+    own = F.get_json_object("value", "$.id_str")
+    messages = lines.select(F.coalesce(own, F.get_json_object("value", "$.value.id_str")).alias("key"), "value")
+    if fmt == "log":
+        spark.dataSource.register(LogSource)
+        writer = messages.writeStream.format(LogSource.name()).options(**options).option("path", target)
+    else:
+        writer = messages.writeStream.format(fmt).options(**options).option("topic", target)
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=f"{round(seconds * 1000)} milliseconds") if seconds else writer.trigger(availableNow=True)).start()
+
+
 def days_around(new: DataFrame, by: Density) -> set[str]:
     """The store's parts in which the history of new points lies."""
     span = F.make_dt_interval(secs=F.lit(2 * by.horizon_ms / 1000))
