@@ -10,17 +10,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions.geofn import depth
 from wayfold.operators.aggregate import preferred
+from wayfold.operators.cells import clustered_cells
 from wayfold.operators.graph import connected_components
-from wayfold.operators.spatial import bin_of, neighbours
+from wayfold.operators.spatial import bin_of, neighbours, overlapping
 from wayfold.params import Density
 from wayfold.sources.shared import keep
 
 CORE, BORDER = "CORE", "BORDER"
+#: Points of a cell, and the most that a task gets together: a cell's and those around it.
+CELL, CROWD = 4000, 100_000
+#: Links of clusters that one task takes to their ends.
+FEW = 200_000
 
 
 def embedded(points: DataFrame, by: Density) -> DataFrame:
@@ -121,19 +127,19 @@ def linked_crowds(dense: DataFrame, side: float, epsilon: float, parts: int = 4)
     return told.where("sure").select(key).unionByName(by_parts).unionByName(by_points)
 
 
-def cluster_points(points: DataFrame, by: Density = Density(), promote: bool = False) -> DataFrame:
+def cluster_points(points: DataFrame, by: Density = Density(), promote: bool = False, most: int = CELL) -> DataFrame:
     """`points` (obj_id, ts, lon, lat, ...) with cluster_id and cluster_label, null for noise.
 
     With `promote` a border that is near at least `min_points` cores links
-    their clusters.
+    their clusters.  Cells have about `most` points.
     """
     own = points.drop("cluster_id", "cluster_label")
-    graph = core_graph(own, by)
+    graph = cell_graph(own, by, most=most)
     links = graph.links
     if promote:
         linking = graph.edges.groupBy("b").agg(F.sum("n").alias("all"), F.min("rep").alias("low")).where(F.col("all") >= by.min_points)
         links = links.unionByName(graph.edges.join(linking, "b").where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")))
-    ids = with_component(graph.core, connected_components(links), "cluster_id")
+    ids = with_component(graph.core, connected_components(links, few=FEW), "cluster_id")
     border = graph.edges.join(ids.select("rep", "cluster_id").distinct(), "rep").groupBy(F.col("b").alias("obj_id")).agg(F.min("cluster_id").alias("cluster_id"))
     labels = ids.select(F.col("a").alias("obj_id"), "cluster_id", F.lit(CORE).alias("cluster_label")).unionByName(border.withColumn("cluster_label", F.lit(BORDER)))
     return own.join(labels, "obj_id", "left")
@@ -144,7 +150,7 @@ def with_component(core: DataFrame, reached: DataFrame, name: str) -> DataFrame:
     return core.join(reached, core["rep"] == reached["node"], "left").select(core["a"], core["rep"], F.coalesce("component", core["rep"]).alias(name))
 
 
-def cluster_increment(new: DataFrame, stored: DataFrame, by: Density = Density()) -> tuple[DataFrame, DataFrame]:
+def cluster_increment(new: DataFrame, stored: DataFrame, by: Density = Density(), most: int = CELL, within: dict[str, tuple[float, float]] | None = None) -> tuple[DataFrame, DataFrame]:
     """What `new` points change: rows of the store to write, and ids of clusters that have another from here on (cluster_id, now).
 
     Stored points near the new ones in time are judged again together with
@@ -153,7 +159,8 @@ def cluster_increment(new: DataFrame, stored: DataFrame, by: Density = Density()
     stored for them.  Members far away in time aren't read: they follow by the
     second table.  Clusters only grow, so the result after any number of ticks
     is that of one batch.  Rows are in the order of `stored`'s first columns:
-    obj_id, ts, lon, lat, cluster_id, cluster_label.
+    obj_id, ts, lon, lat, cluster_id, cluster_label.  Cells have about `most`
+    points and lie in a top cell of at least `within`.
     """
     t1, t2 = new.agg(F.min("ts"), F.max("ts")).first()
     columns = ["obj_id", "ts", "lon", "lat", "cluster_id", "cluster_label"]
@@ -164,10 +171,10 @@ def cluster_increment(new: DataFrame, stored: DataFrame, by: Density = Density()
     fresh = new.withColumns({c: F.lit(None).cast("string") for c in ("cluster_id", "cluster_label")}).select(columns)
     both = preferred(history.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1))), "obj_id", F.col("_new"), F.col("ts"), F.col("lon"), F.col("lat")).drop("_new")
     both = keep(both, "tick")
-    graph = core_graph(both, by, both.where(F.col("cluster_label") == CORE).select(F.col("obj_id").alias("a")))
+    graph = cell_graph(both, by, both.where(F.col("cluster_label") == CORE).select(F.col("obj_id").alias("a")), most, within=within)
     stored_ids = both.where("cluster_id is not null").select(F.col("obj_id").alias("a"), F.col("cluster_id").alias("b"))
     links = graph.links.unionByName(stored_ids.join(graph.core, "a").select(F.col("rep").alias("a"), "b").where("a <> b"))
-    reached = keep(connected_components(links), "merged")
+    reached = keep(connected_components(links, few=FEW), "merged")
     cored = with_component(graph.core, reached, "core_id")
     ids = cored.select("a", "core_id")
     touched = graph.edges.join(cored.select("rep", "core_id").distinct(), "rep").groupBy(F.col("b").alias("obj_id")).agg(F.min("core_id").alias("border_id"))
@@ -199,25 +206,19 @@ def halvings(bounds: dict[str, tuple[float, float]], least: float) -> list[dict[
         levels.append({c: n + (c in wide) for c, n in levels[-1].items()})
 
 
-def grid_cells(points: DataFrame, by: Density, most: int = 700, fresh: Column | None = None) -> DataFrame:
-    """(obj_id, cell, halo): the cells that a tick has to cluster, and their points.
+def leaf_cells(top: DataFrame, by: Density, most: int, within: dict[str, tuple[float, float]] | None = None) -> tuple[DataFrame, Column]:
+    """(cell, n, fresh, x1, x2, y1, y2, z1, z2, level, ix, iy, iz): the cells of points (obj_id, x, y, z, fresh), how many each holds and whether one of them is fresh; and, for a point beside a cell, whether it is the cell's own.
 
-    The extent of all points is halved along every axis of more than 2 epsilon,
-    again and again, but only cells of more than `most` points; a point on a
-    border belongs to the lower cell.  Cells of fewer than `by.min_points`
-    points, or without one for which `fresh` holds, are dropped.  A cell's
-    points are those within 1.01 epsilon of it; `halo` tells those outside.
-    A cell is named by its level and its place along each axis there.
-
-    All cells of a level have the same sides, so cells are counted for all
-    levels at once from the counts of the finest; points meet the cells that
-    stay under an equi join.
+    The extent of all points, widened to `within`, is halved along every axis
+    of more than 2 epsilon, again and again, but only cells of more than `most`
+    points; a point on a border belongs to the lower cell.  All cells of a
+    level have the same sides, so cells are counted for all levels at once from
+    the counts of the finest.
     """
-    top = embedded(points.withColumn("fresh", fresh if fresh is not None else F.lit(True)), by).select("obj_id", "x", "y", "z", "fresh")
     found = top.agg(*[f(c).alias(f"{c}{k}") for c in "xyz" for k, f in ((1, F.min), (2, F.max))]).first()
-    if found["x1"] is None:
-        return top.select("obj_id", F.lit("").alias("cell"), F.lit(False).alias("halo")).limit(0)
-    bounds = {c: (found[f"{c}1"], found[f"{c}2"]) for c in "xyz"}
+    ends = {c: (found[f"{c}1"], found[f"{c}2"]) if found[f"{c}1"] is not None else (0.0, 0.0) for c in "xyz"}
+    widest = {c: (within or {}).get(c, ends[c]) for c in "xyz"}
+    bounds = {c: (min(low, widest[c][0]), max(high, widest[c][1])) for c, (low, high) in ends.items()}
     levels = halvings(bounds, 2 * by.epsilon)
     last = len(levels) - 1
 
@@ -243,15 +244,59 @@ def grid_cells(points: DataFrame, by: Density, most: int = 700, fresh: Column |
     above = cells.where(F.col("n") > most).select((F.col("level") + 1).alias("level"), *[F.col(a).alias(f"p{a}") for a in axes])
     child = cells.where("level > 0").select("*", *[up(c, F.col("level") - 1, F.col("level")).alias(f"pi{c}") for c in "xyz"])
     reached = child.join(above, ["level", "pix", "piy", "piz"]).select(cells.columns).unionByName(cells.where("level = 0"))
-    leaves = reached.where(F.col("fresh") & (F.col("n") >= by.min_points) & ((F.col("n") <= most) | (F.col("level") == last))).select("level", *axes)
-
-    halo, level = 1.01 * by.epsilon, F.col("level")
-    at = top.select("obj_id", "x", "y", "z").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(last))))
-    for c in "xyz":  # the cells that the halo reaches: two a level or three
-        at = at.withColumn(f"o{c}", place(c, F.col(c), level)).withColumn(f"i{c}", F.explode(F.sequence(place(c, F.col(c) - halo, level), place(c, F.col(c) + halo + side(c, level) * 1e-9, level))))
-    near = at.join(leaves, ["level", *axes])
+    leaves = reached.where((F.col("n") <= most) | (F.col("level") == last))
+    level = F.col("level")
+    ends_of = [(F.lit(bounds[c][0]) + (F.col(f"i{c}") + k) * side(c, level)).alias(f"{c}{k + 1}") for c in "xyz" for k in (0, 1)]
+    own = F.lit(True)
     for c in "xyz":
-        low = F.lit(bounds[c][0]) + F.col(f"i{c}") * side(c, level)
-        near = near.where((F.col(c) >= low - halo) & (F.col(c) <= low + side(c, level) + halo))
-    outside = (F.col("ox") != F.col("ix")) | (F.col("oy") != F.col("iy")) | (F.col("oz") != F.col("iz"))
-    return near.select("obj_id", F.concat_ws("-", "level", *axes).alias("cell"), outside.alias("halo"))
+        own &= place(c, F.col(c), level) == F.col(f"i{c}")
+    return leaves.select(F.concat_ws("-", "level", *axes).alias("cell"), "n", "fresh", *ends_of, "level", *axes), own
+
+
+def with_cells(top: DataFrame, leaves: DataFrame, own: Column, halo: float) -> DataFrame:
+    """Points (x, y, z, ...) with each of `leaves` whose box they are in or within `halo` of, along each axis: `cell`, `own` and the greatest distance to the box along an axis, `out`."""
+    near = overlapping(top, leaves, [(F.col(c), F.col(f"{c}1") - halo, F.col(f"{c}2") + halo) for c in "xyz"])
+    out = F.greatest(F.lit(0.0), *[F.greatest(F.col(f"{c}1") - F.col(c), F.col(c) - F.col(f"{c}2")) for c in "xyz"])
+    return near.select(*top.columns, "cell", own.alias("own"), out.alias("out"))
+
+
+def grid_cells(points: DataFrame, by: Density, most: int = 700, fresh: Column | None = None, within: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """(obj_id, cell, halo): the cells that a tick has to cluster, and their points; see leaf_cells().
+
+    Cells of fewer than `by.min_points` points, or without one for which
+    `fresh` holds, are dropped.  A cell's points are those within 1.01 epsilon
+    of it; `halo` tells those outside.  A cell is named by its level and its
+    place along each axis there.  Points meet the cells' boxes by a grid of
+    many levels: each probes one bin for each level that has leaves.
+    """
+    top = embedded(points.withColumn("fresh", fresh if fresh is not None else F.lit(True)), by).select("obj_id", "x", "y", "z", "fresh")
+    leaves, own = leaf_cells(top, by, most, within)
+    wanted = leaves.where(F.col("fresh") & (F.col("n") >= by.min_points)).drop("fresh")
+    return with_cells(top.drop("fresh"), wanted, own, 1.01 * by.epsilon).select("obj_id", "cell", (~F.col("own")).alias("halo"))
+
+
+def cell_graph(points: DataFrame, by: Density, were: DataFrame | None = None, most: int = CELL, at_most: int = CROWD, within: dict[str, tuple[float, float]] | None = None) -> CoreGraph:
+    """core_graph() cell by cell: each task clusters the cells it has, on arrays, and cells are joined by the cores that are around one and in another.
+
+    Cells have about `most` points; where more than `at_most` meet within a few
+    epsilon, so that a cell and what is around it would be too many for one
+    task, core_graph() does the same without bringing them together.
+    """
+    own = embedded(points, by).select("obj_id", "x", "y", "z", F.lit(True).alias("fresh"))
+    own = keep(own.join(were.select(F.col("a").alias("obj_id")).distinct().withColumn("was", F.lit(True)), "obj_id", "left").withColumn("was", F.coalesce("was", F.lit(False))) if were is not None else own.withColumn("was", F.lit(False)), "placed")
+    leaves, is_own = leaf_cells(own, by, most, within)
+    leaves = keep(leaves.drop("fresh"), "leaves")
+    rings = with_cells(own.drop("fresh"), leaves.drop("n"), is_own, 2.02 * by.epsilon)
+    if (leaves.agg(F.max("n")).first()[0] or 0) > most:  # a leaf of the last level: what is around it may be many, too
+        crowd = rings.groupBy("cell").count().agg(F.max("count")).first()[0]
+        if crowd > at_most:
+            return core_graph(points, by, were)
+    ring = F.when(F.col("own"), 0).when(F.col("out") <= 1.01 * by.epsilon, 1).otherwise(2)
+    dealt = rings.select("cell", "obj_id", "x", "y", "z", ring.cast("int").alias("ring"), "was").repartition("cell").sortWithinPartitions("cell")
+    epsilon, least = by.epsilon, by.min_points
+    schema = pa.schema([("kind", pa.string()), ("a", pa.string()), ("rep", pa.string()), ("n", pa.int64())])
+    found = keep(dealt.mapInArrow(lambda batches: clustered_cells(batches, epsilon, least, schema), "kind string, a string, rep string, n long"), "clustered")
+    core = found.where("kind = 'core'").select("a", "rep")
+    links = found.where("kind = 'halo'").select("a", F.col("rep").alias("b")).join(core, "a").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    edges = found.where("kind = 'edge'").select(F.col("a").alias("b"), "rep", "n")
+    return CoreGraph(core, links, edges)

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from wayfold.sources.shared import discard, keep
 
 
+#: Links that a task takes together.
+RUN = 1_000_000
+
+
 class Forest:
     """Union-find over arbitrary hashable nodes; the root is always the smallest member."""
 
@@ -53,27 +57,31 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             forest.join(a, b)
         seen += batch.num_rows
-        if seen >= 1_000_000:
+        if seen > RUN:
             yield flush()
             forest, seen = Forest(), 0
     if seen:
         yield flush()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 40, few: int = 0) -> DataFrame:
     """(node, component) for every node of `edges`' first two columns that isn't its component's smallest.
 
     Alternating star contraction: in each round every node is linked to the
     smallest neighbour it knows, first from larger neighbours, then from
     smaller ones, until no link changes.  Each round is written to the shared
     folder, which cuts the lineage.  Self-links, repeated links and links with
-    a null end have no effect; an empty table gives an empty table.
+    a null end have no effect; an empty table gives an empty table.  At most
+    `few` links are followed to their ends by one task instead, with the same
+    result.
     """
     a, b = edges.columns[:2]
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     schema = f"u {pairs.schema['u'].dataType.simpleString()}, v {pairs.schema['v'].dataType.simpleString()}"
     stars = keep(pairs.mapInArrow(_shrink, schema).distinct(), "stars")
     before = None
+    if few and stars.count() <= min(few, RUN):
+        return keep(stars.coalesce(1).mapInArrow(_shrink, schema), "stars").select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

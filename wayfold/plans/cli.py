@@ -8,7 +8,7 @@ from datetime import datetime
 
 from wayfold.params import Density
 from wayfold.operators import anomaly
-from wayfold.operators.cluster import grid_cells
+from wayfold.operators.cluster import CELL, grid_cells
 from wayfold.plans import apps
 from wayfold.session import build_session
 from wayfold.sources.files import save_counted
@@ -27,8 +27,8 @@ COMMANDS: dict[str, tuple[tuple[str, ...], object]] = {
     "cluster-anomalies": (("points", "volumes", "baseline"), lambda s, a: apps.detect_cluster_anomalies(*(s.read.parquet(p) for p in (a.points, a.volumes, a.baseline)))),
     "abnormal-share": (("anomalies",), lambda s, a: anomaly.share_with_any(s.read.parquet(a.anomalies))),
     "summarise-clusters": (("points",), lambda s, a: apps.summarise_clusters(s.read.parquet(a.points))),
-    "cluster": (("points",), lambda s, a: apps.cluster_points(s.read.parquet(a.points), density(a))),
-    "cells": (("points",), lambda s, a: grid_cells(s.read.parquet(a.points), density(a), a.max_pts)),
+    "cluster": (("points",), lambda s, a: apps.cluster_points(s.read.parquet(a.points), density(a), most=a.max_pts)),
+    "cells": (("points",), lambda s, a: grid_cells(s.read.parquet(a.points), density(a), a.max_pts, within=top_cell(a))),
 }
 
 
@@ -36,6 +36,15 @@ def density(args: argparse.Namespace) -> Density:
     return Density(args.min_pts, args.km, round(args.minutes * 60_000))
 
 
+def top_cell(args: argparse.Namespace) -> dict[str, tuple[float, float]] | None:
+    return {"x": (args.top_cell[0], args.top_cell[2]), "y": (args.top_cell[1], args.top_cell[3])} if args.top_cell else None
+
+
+def with_cells(parser: argparse.ArgumentParser, most: int) -> None:
+    parser.add_argument("--max-pts", type=int, default=most, help="points of a cell")
+    parser.add_argument("--top-cell", type=float, nargs=4, metavar=("LON1", "LAT1", "LON2", "LAT2"), help="the extent to halve, if it is larger than that of the points")
+
+
 def with_density(parser: argparse.ArgumentParser) -> None:
     usual = Density()
     parser.add_argument("--min-pts", type=int, default=usual.min_points)
@@ -54,8 +63,7 @@ def main(argv: list[str] | None = None) -> None:
         p.add_argument("--overwrite", action="store_true")
         if name in ("cluster", "cells"):
             with_density(p)
-        if name == "cells":
-            p.add_argument("--max-pts", type=int, default=700)
+            with_cells(p, 700 if name == "cells" else CELL)
     p = commands.add_parser("store-points", help="append points to a table laid out by place and time")
     for x in ("points", "store"):
         p.add_argument(f"--{x}", required=True)
@@ -82,12 +90,13 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--interval-sec", type=int)
     p.add_argument("--overwrite", action="store_true")
     with_density(p)
+    with_cells(p, 700)
     args = parser.parse_args(argv)
     spark, began = build_session(f"wayfold {args.command}"), time.time()
     if args.command == "cluster-stream":
         if args.overwrite:
             ClusterStore(spark, args.store).drop()
-        cluster_messages(spark, args.source, args.store, args.checkpoint, density(args), args.interval_sec, args.format).awaitTermination()
+        cluster_messages(spark, args.source, args.store, args.checkpoint, density(args), args.interval_sec, args.format, args.max_pts, top_cell(args)).awaitTermination()
     elif args.command == "replay":
         replay(spark, args.folder, args.target, args.checkpoint, args.seconds, args.files, args.format).awaitTermination()
     elif args.command == "store-points":

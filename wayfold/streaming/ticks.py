@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wayfold.operators.cluster import cluster_increment
+from wayfold.operators.cluster import CELL, cluster_increment
 from wayfold.params import Density
 from wayfold.sources.files import KeyedTable, parse_messages, points_of
 from wayfold.sources.log import LogSource
 from wayfold.sources.shared import keep, kept_until_here
 
+#: Bounds of x and y, and of z if it is to be bounded, that the cells' extent is widened to.
+Top = dict[str, tuple[float, float]]
 STATE = "obj_id string, ts timestamp, lon double, lat double, cluster_id string, cluster_label string"
 
 
@@ -91,7 +93,7 @@ class ClusterStore:
         return self.aliases.upsert(moved.select("cluster_id", "now").unionByName(led))
 
 
-def tick(batch: DataFrame, store: ClusterStore, by: Density) -> int:
+def tick(batch: DataFrame, store: ClusterStore, by: Density, most: int = CELL, within: Top | None = None) -> int:
     """One tick: how many points were written.  An empty one writes nothing.
 
     Late points find their own history, none is dropped, and a repeated tick
@@ -99,24 +101,25 @@ def tick(batch: DataFrame, store: ClusterStore, by: Density) -> int:
     written; where clusters on them are merged, members on other days follow by
     the aliases, which are written first: a tick that fails in between has
     merged clusters that it merges again when it is repeated.  Tables kept on
-    the way are deleted at the tick's end.
+    the way are deleted at the tick's end.  Cells have about `most` points and
+    lie in a top cell of at least `within`.
     """
     with kept_until_here():
         new = keep(batch.select("obj_id", "ts", "lon", "lat").where("ts is not null"), "new")
         if new.isEmpty():
             return 0
-        now, moved = cluster_increment(new, store.read(days_around(new, by)), by)
+        now, moved = cluster_increment(new, store.read(days_around(new, by)), by, most, within)
         if not moved.isEmpty():
             store.merge(moved)
         return store.points.upsert(now)
 
 
-def cluster_stream(points: DataFrame, store: ClusterStore, checkpoint: str, by: Density = Density(), seconds: int | None = None) -> StreamingQuery:
+def cluster_stream(points: DataFrame, store: ClusterStore, checkpoint: str, by: Density = Density(), seconds: int | None = None, most: int = CELL, within: Top | None = None) -> StreamingQuery:
     """Starts clustering a stream of points; without `seconds` it ends when all that is there has been read."""
-    writer = points.writeStream.foreachBatch(lambda df, _: tick(df, store, by)).option("checkpointLocation", checkpoint)
+    writer = points.writeStream.foreachBatch(lambda df, _: tick(df, store, by, most, within)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
 
 
-def cluster_messages(spark: SparkSession, source: str, store_path: str, checkpoint: str, by: Density = Density(), seconds: int | None = None, fmt: str = "text", **options: str) -> StreamingQuery:
+def cluster_messages(spark: SparkSession, source: str, store_path: str, checkpoint: str, by: Density = Density(), seconds: int | None = None, fmt: str = "text", most: int = CELL, within: Top | None = None, **options: str) -> StreamingQuery:
     points = points_of(parse_messages(message_stream(spark, source, fmt, **options)), need_id=True)
-    return cluster_stream(points, ClusterStore(spark, store_path), checkpoint, by, seconds)
+    return cluster_stream(points, ClusterStore(spark, store_path), checkpoint, by, seconds, most, within)
