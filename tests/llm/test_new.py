@@ -181,6 +181,13 @@ def test_phrases_of_small_runs_and_full_sketches(spark, monkeypatch, words, smal
     assert sorted(found) == brute_phrases(docs, 3, 15, words) and len({r[0] for r in found}) == 3
 
 
+def test_gaps_give_places_back():
+    for at in ([], [0], [0, 1, 65534, 65535, 65536, 400_000, 10**6], [70_000], [200_000, 265_535]):
+        n = np.arange(1, len(at) + 1)
+        place, count = phrases.places(*phrases.gaps(np.array(at, dtype=np.int64), n))
+        assert place[count > 0].tolist() == at and count[count > 0].tolist() == n.tolist()
+
+
 def test_runs_end_with_pieces_and_lose_no_word():
     draw = random.Random(5)
     batch = pa.RecordBatch.from_pydict({"lang": [f"l{k % 7}" for k in range(300)], "text": [" ".join(draw.choices(["a", "b.", "c\n"], k=50)) for _ in range(300)]})

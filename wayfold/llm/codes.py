@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,8 +34,10 @@ from wayfold.sources.shared import keep
 
 #: Ids after which a segment ends with its document; bits between two counts of a directory.
 SEGMENT, BLOCK = 1 << 18, 512
+#: Bits of a level but the last, at least: narrower levels take more time than they save space.
+LEAST_WIDTH = 5
 #: Different words that a worker remembers from one batch or task to the next.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 LEVELS = "array<struct<width: int, chunks: binary, more: binary, ranks: binary>>"
 FILE = f"shard int, segment int, first long, n long, doc_ids array<long>, starts array<long>, levels {LEVELS}"
@@ -44,20 +47,19 @@ FILE_SCHEMA = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("first
 
 def widths(ids: np.ndarray) -> list[int]:
     """Bits of each level so that all take the fewest: a chunk costs its bits, and one more unless it is in the last level."""
-    length = np.zeros(len(ids), dtype=np.int64)
-    for k in range(32):
-        length += ids >> k > 0
-    reach = [int(n) for n in (length[None, :] > np.arange(33)[:, None]).sum(axis=1)]  # ids that have a bit at k or above
-    reach[0] = len(ids)
+    length = np.frexp(ids.astype(np.float64))[1]
+    reach = len(ids) - np.cumsum(np.bincount(length, minlength=33))  # ids that have a bit at k or above
+    reach = [len(ids), *(int(n) for n in reach[1:])]
     top = max(1, int(length.max(initial=0)))
     best: dict[int, tuple[int, list[int]]] = {top: (0, [])}
     for k in reversed(range(top)):
-        best[k] = min((reach[k] * (end - k + (end < top)) + best[end][0], [end - k, *best[end][1]]) for end in range(k + 1, top + 1))
+        best[k] = min((reach[k] * (end - k + (end < top)) + best[end][0], [end - k, *best[end][1]]) for end in range(k + 1, top + 1) if end == top or end - k >= LEAST_WIDTH and top - end >= LEAST_WIDTH)
     return best[0][1]
 
 
 def packed(values: np.ndarray, width: int) -> bytes:
-    bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    used = -(-width // 8)
+    bits = np.unpackbits(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :used]), axis=1, bitorder="little")[:, :width]
     return np.packbits(bits.reshape(-1), bitorder="little").tobytes()
 
 
@@ -65,11 +67,13 @@ def unpacked(data: bytes, width: int, begin: int, end: int) -> np.ndarray:
     """Chunks `begin` to `end`; only their bytes are looked at."""
     if end <= begin:
         return np.zeros(0, dtype=np.uint32)
-    low = begin * width // 8
+    low, used = begin * width // 8, -(-width // 8)
     bits = np.unpackbits(np.frombuffer(data, np.uint8)[low : -(-end * width // 8)], bitorder="little")[begin * width - 8 * low :][: (end - begin) * width]
-    out = np.zeros((end - begin, 32), dtype=np.uint8)
-    out[:, :width] = bits.reshape(-1, width)
-    return np.packbits(out, axis=1, bitorder="little").view("<u4").ravel()
+    whole = np.zeros((end - begin, 8 * used), dtype=np.uint8)
+    whole[:, :width] = bits.reshape(-1, width)
+    out = np.zeros((end - begin, 4), dtype=np.uint8)
+    out[:, :used] = np.packbits(whole, axis=1, bitorder="little")
+    return out.view("<u4").ravel()
 
 
 def written(ids: np.ndarray) -> list[dict]:
@@ -134,16 +138,25 @@ class Codes:
         return found
 
 
-class WordEncoder:
-    """Ids of texts by a tokenizer of the `tokenizers` library that drops white space and takes no piece across it.
+#: How byte-level vocabularies write bytes: printable ones as themselves, the others by number from 256 on.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTER_OF = dict(zip((b for b in range(256) if b not in PRINTED), range(256, 512), strict=False))
+
 
-    Texts are cut at ASCII white space and each different word goes to the
-    library once.  Of words that are ASCII letters with signs after them the
-    library's model gets the two parts, as its own rules would cut them; all
-    others go through its whole chain.
+class WordEncoder:
+    """Ids of texts by a tokenizer of the `tokenizers` library that lower-cases, drops white space and takes no piece across it.
+
+    Texts are cut at ASCII white space and between a letter and an ASCII sign
+    other than the apostrophe, where the tokenizer's own rule cuts too, and
+    each different word goes to the library once.  A word of letters up to
+    U+00FF, or of such signs alone, is one piece by that rule and goes to the
+    library's model; every other goes through its whole chain, and so do whole texts that may
+    hold an added token, before anything is lower-cased.
     """
 
-    SIMPLE = re.compile(r"([A-Za-z]*)([.,;:!?)\-]*)")
+    SIGNS = r"[!-&(-/:-@\[-`{-~]"
+    LETTERS = re.compile(f"[A-Za-zÀ-ÖØ-öø-ÿ]+|{SIGNS}+")
+    CUT = f"([A-Za-zÀ-ÖØ-öø-ÿ])({SIGNS})"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -155,49 +168,60 @@ class WordEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.parts: dict[str, list[int]] = {}
         self.places: dict[str, int] = {}
-        self.ends, self.ids = [0], []
-
-    def part(self, text: str) -> list[int]:
-        found = self.parts.get(text)
-        if found is None:
-            found = self.parts[text] = [t.id for t in self.model.tokenize(text)] if text else []
-        return found
+        self.ends, self.ids = array("q", [0]), array("I")
 
     def learn(self, words: list[str]) -> None:
+        """Puts words that aren't known yet behind those that are."""
+        whole, tokenize, places, ends, ids = self.LETTERS.fullmatch, self.model.tokenize, self.places, self.ends, self.ids
         odd = []
         for word in words:
-            if m := self.SIMPLE.fullmatch(word):
-                self.keep(word, self.part(m[1].lower()) + self.part(m[2]))
+            if whole(word):
+                places[word] = len(ends) - 1
+                ids.extend([t.id for t in tokenize(word if word.isascii() else word.lower().encode().decode("latin-1").translate(LETTER_OF))])
+                ends.append(len(ids))
             else:
                 odd.append(word)
         for k in range(0, len(odd), 10_000):
             own = odd[k : k + 10_000]
             for word, found in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True):
-                self.keep(word, found.ids)
-
-    def keep(self, word: str, ids: list[int]) -> None:
-        self.places[word] = len(self.ends) - 1
-        self.ids += ids
-        self.ends.append(len(self.ids))
+                places[word] = len(ends) - 1
+                ids.extend(found.ids)
+                ends.append(len(ids))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, where each text's end) of a column of texts; null is empty."""
+        texts = pc.fill_null(texts, "")
+        special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        if not special.any():
+            return self.plain(texts)
+        ids, ends = self.plain(pc.if_else(pa.array(special), "", texts))
+        at = np.flatnonzero(special)
+        own = [e.ids for e in self.tokenizer.encode_batch_fast([texts[int(k)].as_py() for k in at], add_special_tokens=False)]
+        where = np.repeat(ends[at], [len(x) for x in own])
+        sizes = np.diff(ends)
+        sizes[at] = [len(x) for x in own]
+        return np.insert(ids, where, np.array([i for x in own for i in x], dtype=np.uint32)), np.concatenate(([0], np.cumsum(sizes)))
+
+    def plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.places) > REMEMBERED:
             self.reset()
-        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        # split texts don't begin at the first value if the column is a slice
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), self.CUT, r"\1 \2"))
         offsets = words.offsets.to_numpy()
         coded = words.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        different = coded.dictionary.to_pylist()
-        self.learn([w for w in different if w not in self.places])
-        place = np.fromiter((self.places[w] for w in different), dtype=np.int64, count=len(different))
-        ends, ids = np.array(self.ends), np.array(self.ids, dtype=np.uint32)
-        of_word = place[coded.indices.to_numpy()]
-        begins, sizes = ends[of_word], ends[of_word + 1] - ends[of_word]
-        stops = np.cumsum(sizes)
-        found = ids[np.repeat(begins - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)]
+        different, places = coded.dictionary.to_pylist(), self.places
+        self.learn([w for w in different if w not in places])
+        place = np.array([places[w] for w in different], dtype=np.int64)
+        of_word = coded.indices.to_numpy()
+        begins, sizes = (x[place][of_word].astype(np.int32) for x in (np.array(self.ends)[:-1], np.diff(np.array(self.ends))))
+        stops = np.cumsum(sizes, dtype=np.int64)
+        total = int(stops[-1]) if len(stops) else 0
+        step = np.ones(total, dtype=np.int32)  # from each id to the next among those known
+        some = np.flatnonzero(sizes)
+        if len(some):
+            first, last = begins[some], begins[some] + sizes[some] - 1
+            step[(stops - sizes)[some]] = first - np.concatenate(([0], last[:-1]))
+        found = np.array(self.ids, dtype=np.uint32)[np.cumsum(step, dtype=np.int32)] if total else np.zeros(0, dtype=np.uint32)
         return found, np.concatenate(([0], stops))[offsets - offsets[0]]
 
 
@@ -263,27 +287,34 @@ def with_start(segments: DataFrame) -> DataFrame:
     return segments.join(F.broadcast(known), "shard").withColumn("start", F.col("before") + F.col("first")).drop("before")
 
 
-def documents_of(segments: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): every document of the segments, with the ids of all documents before it counted in `start`."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    """(doc_id, start, ids) of every document of rows (start, n, doc_ids, starts, levels)."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            start, n, docs, starts, levels = (c[row].as_py() for c in batch.select(["start", "n", "doc_ids", "starts", "levels"]).columns)
+            every = Codes(levels).between(0, n)
+            for doc, a, b in zip(docs, starts, [*starts[1:], n], strict=True):
+                yield doc, start + a, every[a:b]
+
+
+def _mapped(segments: DataFrame, name: str, kind: pa.DataType, of_ids: Callable[[np.ndarray], object]) -> DataFrame:
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), (name, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found() -> Iterator[tuple]:
-            for batch in batches:
-                for row in range(batch.num_rows):
-                    start, n, docs, starts, levels = (c[row].as_py() for c in batch.select(["start", "n", "doc_ids", "starts", "levels"]).columns)
-                    codes = Codes(levels)
-                    for doc, a, b in zip(docs, starts, [*starts[1:], n], strict=True):
-                        yield doc, start + a, b - a, codes.between(a, b).astype("<u4").tobytes()
+        yield from emit(((doc, start, len(ids), of_ids(ids)) for doc, start, ids in _documents(batches)), schema)
 
-        yield from emit(found(), schema)
+    own = with_start(segments).select("start", "n", "doc_ids", "starts", "levels")
+    return own.mapInArrow(thrifty(run), f"doc_id long, start long, n_tokens long, {name} {'binary' if pa.types.is_binary(kind) else 'long'}")
 
-    return with_start(segments).select("start", "n", "doc_ids", "starts", "levels").mapInArrow(thrifty(run), "doc_id long, start long, n_tokens long, ids binary")
+
+def documents_of(segments: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids): every document of the segments, with the ids of all documents before it counted in `start`; ids are little-endian unsigned 32-bit integers."""
+    return _mapped(segments, "ids", pa.binary(), lambda ids: ids.astype("<u4").tobytes())
 
 
 def digests_of(segments: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32): documents_of() with CRC-32 of the ids, little-endian unsigned 32-bit integers, in their place."""
-    return documents_of(segments).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    """(doc_id, start, n_tokens, ids_crc32): documents_of() with CRC-32 of the ids in their place."""
+    return _mapped(segments, "ids_crc32", pa.int64(), lambda ids: zlib.crc32(ids.astype("<u4").tobytes()))
 
 
 def tokens_at(segments: DataFrame, places: DataFrame, column: str = "place") -> DataFrame:
