@@ -38,10 +38,10 @@ UNKNOWN = "und"
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + 9 * b"\n" + b" ")
 BREAK = b"\n"
 #: Bytes of text in a run, of all runs that a task is gathering, and letters of the candidates in one automaton.
-RUN, GATHERED, LETTERS = 8 << 20, 24 << 20, 2_000_000
-#: Slots of the sketch: one bit of each goes to every task, 64 MB at most.
-MIN_SLOTS, MAX_SLOTS, SEGMENT = 1 << 16, 1 << 29, 1 << 16
-FLUSH = 4_000_000
+RUN, GATHERED, LETTERS = 4 << 20, 8 << 20, 1_000_000
+#: Slots of the sketch: one bit of each goes to every task, 64 MB at most.  Segments that are merged on their own.
+MIN_SLOTS, MAX_SLOTS, SEGMENTS = 1 << 16, 1 << 29, 256
+FLUSH = 2_000_000
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
@@ -110,17 +110,35 @@ def slots_for(letters: int, most: int) -> int:
     return min(MAX_SLOTS, 1 << (need - 1).bit_length())
 
 
+def gaps(at: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Ascending places and counts (at most 255) as bytes: low and high bytes of the gaps between places, which compress well apart, and counts.
+
+    A gap of 65,535 or more is filled up with places that count 0.
+    """
+    gap = np.diff(at, prepend=0)
+    fill = gap // 65535
+    if fill.any():
+        n = np.insert(n, np.repeat(np.arange(len(n)), fill), 0)
+        gap = np.insert(gap % 65535, np.repeat(np.arange(len(gap)), fill), 65535)
+    return (gap & 255).astype(np.uint8).tobytes(), (gap >> 8).astype(np.uint8).tobytes(), n.astype(np.uint8).tobytes()
+
+
+def places(low: bytes, high: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """What gaps() was given; places that fill up count 0."""
+    gap = np.frombuffer(low, np.uint8) + (np.frombuffer(high, np.uint8).astype(np.int64) << 8)
+    return np.cumsum(gap), np.frombuffer(n, np.uint8)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], most: int, slots: int) -> Iterator[pa.RecordBatch]:
-    """This task's counters that aren't zero: (segment, positions, counts)."""
-    schema, held, size = pa.schema([("segment", pa.int64()), ("at", pa.binary()), ("n", pa.binary())]), [], 0
+    """This task's counters that aren't zero: (segment, low, high, n), see gaps()."""
+    schema, held, size = pa.schema([("segment", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("n", pa.binary())]), [], 0
+    width = slots // SEGMENTS
 
     def flush() -> Iterator[pa.RecordBatch]:
         at, n = np.unique(np.concatenate(held), return_counts=True)
-        n = np.minimum(n, 255).astype(np.uint8)
-        cuts = np.flatnonzero(np.diff(at // SEGMENT)) + 1
-        ends = [0, *cuts.tolist(), len(at)]
-        places = (at % SEGMENT).astype("<u2")
-        yield from emit(((int(at[a]) // SEGMENT, places[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(ends, ends[1:], strict=False)), schema)
+        n = np.minimum(n, 255)
+        ends = np.searchsorted(at, np.arange(SEGMENTS + 1) * width).tolist()
+        yield from emit(((k, *gaps(at[a:b] - k * width, n[a:b])) for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a), schema)
 
     for lang, words in runs(batches):
         run = Run(lang, words, most)
@@ -135,7 +153,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], most: int, slots: int) -> Iterato
         yield from flush()
 
 
-def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _merged(batches: Iterator[pa.RecordBatch], least: int, slots: int) -> Iterator[pa.RecordBatch]:
     """Adds the counters of each segment, whose rows follow each other; per segment one bit a slot, packed: may a phrase occur `least` times?
 
     A task's counter stops at 255, which is as good as more for a `least` up to there.
@@ -145,12 +163,13 @@ def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
     def added() -> Iterator[tuple]:
         now, total = None, None
         done = lambda: (now, zlib.compress(np.packbits(total >= min(least, 255)).tobytes(), 1))
-        for segment, at, n in rows(batches, "segment", "at", "n"):
+        for segment, *own in rows(batches, "segment", "low", "high", "n"):
             if segment != now:
                 if now is not None:
                     yield done()
-                now, total = segment, np.zeros(SEGMENT, dtype=np.int64)
-            total[np.frombuffer(at, "<u2")] += np.frombuffer(n, np.uint8)
+                now, total = segment, np.zeros(slots // SEGMENTS, dtype=np.uint32)
+            at, n = places(*own)
+            total[at[n > 0]] += n[n > 0]
         if now is not None:
             yield done()
 
@@ -162,9 +181,9 @@ class Sketch:
 
     def __init__(self, slots: int, segments: list[tuple[int, bytes]]) -> None:
         self.slots, self.bits = slots, np.zeros(slots // 8, dtype=np.uint8)
+        size = slots // SEGMENTS // 8
         for segment, often in segments:
-            at = segment * SEGMENT // 8
-            self.bits[at : at + SEGMENT // 8] = np.frombuffer(zlib.decompress(often), np.uint8)
+            self.bits[segment * size : (segment + 1) * size] = np.frombuffer(zlib.decompress(often), np.uint8)
 
     def often(self, h: np.ndarray) -> np.ndarray:
         s = (h & U64(self.slots - 1)).astype(np.int64)
@@ -213,8 +232,8 @@ def phrase_counts(docs: DataFrame, least: int = 10, most_words: int = 3, lang_co
     bounded_batches(spark)
     own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).cast("string").alias("text"))
     slots = slots_for(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0, most_words)
-    partial = own.mapInArrow(thrifty(lambda it: _sketch(it, most_words, slots)), "segment long, at binary, n binary")
-    merged = partial.repartition("segment").sortWithinPartitions("segment").mapInArrow(thrifty(lambda it: _merged(it, least)), "segment long, often binary")
+    partial = own.mapInArrow(thrifty(lambda it: _sketch(it, most_words, slots)), "segment long, low binary, high binary, n binary")
+    merged = partial.repartition("segment").sortWithinPartitions("segment").mapInArrow(thrifty(lambda it: _merged(it, least, slots)), "segment long, often binary")
     sketch = spark.sparkContext.broadcast(Sketch(slots, [tuple(r) for r in merged.collect()]))
     found = own.mapInArrow(thrifty(lambda it: _scan(it, most_words, sketch)), "lang string, phrase string, n long")
     summed = found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == ""))
