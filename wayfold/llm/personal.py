@@ -8,9 +8,13 @@ corpus get attempt 0 first; where a surrogate equals a real entity or that of a
 smaller entity, the entity takes the next attempt, until none collides.  So
 equal entities stay equal and different ones different, in every document.
 
-A name of two words is two entities: the family name, whose surrogate all its
-bearers share, and the whole name, which decides the given name.  Where a text
-has such a name after a title, it is replaced without one too.
+A name of several words is several entities: the family name and each middle
+name, whose surrogates all their bearers share, and the first and last word,
+which decide the given name.  Where a text has such a name after a title, it is
+replaced without one too, with all its words or with the first and one other.
+
+Where a kind has too few surrogates of one length, they grow longer from
+attempt to attempt, so there are always enough.
 """
 
 from __future__ import annotations
@@ -39,6 +43,16 @@ SYLLABLES = {
     "cyrillic": ["ба", "вел", "гор", "дан", "зел", "кар", "лин", "мар", "нов", "пел", "рос", "сте", "тор", "фед", "хол", "шин"],
     "greek": ["βα", "γαν", "δελ", "ζαν", "θεο", "καλ", "λιν", "μαρ", "νικ", "παπ", "ρος", "στα", "τορ", "φιλ", "χαρ", "ψαλ"],
 }
+#: Characters for those of a script, of secrets in it.  Fixed values.
+ALPHABETS = {
+    r"[а-яё]": "абвгдежзиклмнопрстуфхцчшщэюя", r"[А-ЯЁ]": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", r"[α-ωά-ώ]": "αβγδεζηθικλμνξοπρστυφχψω", r"[Α-Ω]": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
+    r"\p{IsHan}": "一二三四五六七八九十百千万上下左右中大小月日年火水木金土", r"\p{IsHiragana}": "あいうえおかきくけこさしすせそたちつてと", r"\p{IsKatakana}": "アイウエオカキクケコサシスセソタチツテト", r"\p{IsHangul}": "가나다라마바사아자차카타파하",
+    r"\p{Lu}": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"\p{L}": "abcdefghijklmnopqrstuvwxyz", r"\p{N}": "0123456789", r"[^\p{M}\p{Z}\p{C}._/:=@-]": "!#$%&*+?^~",
+}
+#: A word of a name, without the ending of a possessive.
+WORD = r"\p{Lu}(?:\p{L}|['’-](?!s(?!\p{L}))\p{L})+"
+#: Attempts after which kinds of fixed length grow longer, and after which a digest makes sure of it.
+FIXED, LAST = 8, 30
 #: Kinds and their patterns; where several fit at a place the first counts.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -49,7 +63,7 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9A-Za-z])\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "name": r"\b(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.?[ \u00A0]\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
+    "name": r"\b(?:" + "|".join(t for ts in TITLES.values() for t in ts) + rf")\.?[ \u00A0]{WORD}(?: {WORD}){{0,2}}",
 }
 LOGIN_START = r"^([A-Za-z_]+\s*[=:]\s*[\"']?)"
 EVERY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -72,6 +86,16 @@ def untitled(entity: Column) -> Column:
     return F.regexp_replace(entity, r"^\S+[ \u00A0]", "")
 
 
+def names_of(entity: Column) -> Column:
+    """The words of a name, in lower case."""
+    return F.split(F.lower(untitled(entity)), " ")
+
+
+def middle_of(entity: Column) -> Column:
+    """Those but the first and the last."""
+    return let(names_of(entity), lambda w: F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0))))
+
+
 def canonical(entity: Column, kind: Column) -> Column:
     """What is equal for all ways to write one entity."""
     return (
@@ -79,7 +103,7 @@ def canonical(entity: Column, kind: Column) -> Column:
         .when(kind == "iban", F.regexp_replace(entity, " ", ""))
         .when(kind == "email", F.lower(entity))
         .when(kind == "login", F.regexp_replace(F.regexp_replace(entity, LOGIN_START, ""), "[\"']$", ""))
-        .when(kind == "name", F.lower(untitled(entity)))
+        .when(kind == "name", let(names_of(entity), lambda w: F.when(F.size(w) > 2, F.concat(F.element_at(w, 1), F.lit(" "), F.element_at(w, -1))).otherwise(F.array_join(w, " "))))
         .otherwise(entity)
     )
 
@@ -119,19 +143,28 @@ def characters(s: Column) -> Column:
     return F.filter(F.split(s, ""), lambda c: c != "")
 
 
-def reshaped(s: Column, random: Column, kept: int = 0) -> Column:
-    """Digits for digits and letters for letters of the same case, after the first `kept` characters."""
+def reshaped(s: Column, random: Column, kept: int = 0, others: bool = False) -> Column:
+    """Digits for digits and letters for letters of the same case, after the first `kept` characters; with `others` also for those outside ASCII, of the same script, and signs for signs."""
 
     def drawn(options: str, i: Column) -> Column:
         return F.substring(F.lit(options), (number(random, i) % len(options) + 1).cast("int"), F.lit(1))
 
     def one(c: Column, i: Column) -> Column:
-        letters = F.when(c.rlike("^[a-z]$"), drawn("abcdefghijklmnopqrstuvwxyz", i)).when(c.rlike("^[A-Z]$"), drawn("ABCDEFGHIJKLMNOPQRSTUVWXYZ", i))
-        return F.when(i < kept, c).when(c.rlike("^[0-9]$"), drawn("0123456789", i)).otherwise(F.coalesce(letters, c))
+        found = F.when(i < kept, c).when(c.rlike("^[0-9]$"), drawn("0123456789", i)).when(c.rlike("^[a-z]$"), drawn("abcdefghijklmnopqrstuvwxyz", i)).when(c.rlike("^[A-Z]$"), drawn("ABCDEFGHIJKLMNOPQRSTUVWXYZ", i))
+        for pattern, options in ALPHABETS.items() if others else ():
+            found = found.when(c.rlike(f"^{pattern}$"), drawn(options, i))
+        return found.otherwise(c)
 
     return F.array_join(F.transform(characters(s), one), "")
 
 
+def longer(s: Column, random: Column, attempt: Column, options: str = "abcdefghijklmnopqrstuvwxyz0123456789") -> Column:
+    """`s` and as many further characters as `attempt` says; from LAST on also a digest."""
+    more = F.transform(F.sequence(F.lit(1), F.greatest(attempt, F.lit(1))), lambda k: F.substring(F.lit(options), (number(random, k + 90) % len(options) + 1).cast("int"), F.lit(1)))
+    sure = F.when(attempt >= LAST, F.substring(random, F.lit(1), F.lit(40)) if len(options) > 10 else F.translate(F.substring(random, F.lit(1), F.lit(40)), "abcdef", "012345")).otherwise("")
+    return F.when(attempt > 0, F.concat(s, F.array_join(more, ""), sure)).otherwise(s)
+
+
 def with_check_digit(digits: Column) -> Column:
     """The digits with the last one set so that their Luhn sum ends in 0."""
     n = F.length(digits)
@@ -184,31 +217,37 @@ def family_of(form: Column) -> Column:
     return F.element_at(F.split(form, " "), -1)
 
 
-def surrogate_email(key: Key, form: Column, random: Column) -> Column:
-    """The local part reshaped, the domain another under a reserved one; addresses of one domain stay in one domain."""
+def surrogate_email(key: Key, form: Column, random: Column, attempt: Column) -> Column:
+    """The local part reshaped, longer from attempt to attempt, the domain another under a reserved one; addresses of one domain stay in one domain."""
     local, host = F.split_part(form, F.lit("@"), F.lit(1)), F.split_part(form, F.lit("@"), F.lit(2))
     domain = let(noise(key, F.lit("host"), host, F.lit(0)), lambda r: F.concat(reshaped(F.regexp_extract(host, r"^(.*?)[^.]*\.[^.]*$", 1), r), pick(["example.com", "example.net", "example.org"], number(r, 191))))
-    return F.concat(reshaped(local, random), F.lit("@"), domain)
+    return F.concat(longer(reshaped(local, random), random, attempt), F.lit("@"), domain)
 
 
-def surrogate(key: Key, kind: Column, form: Column, gender: Column, attempt: Column) -> Column:
-    """The surrogate of a canonical form, itself canonical."""
+def surrogate(key: Key, kind: Column | str, form: Column, gender: Column, attempt: Column) -> Column:
+    """The surrogate of a canonical form, itself canonical; of one kind alone, if `kind` is its name."""
 
     def made(random: Column) -> Column:
         octets = [(number(random, k) % most + 1).cast("string") for k, most in enumerate((223, 254, 254, 254))]
-        return (
-            F.when(kind == "email", surrogate_email(key, form, random))
-            .when(kind == "secret", reshaped(form, random, 4))
-            .when(kind == "ip", F.concat_ws(".", *octets))
-            .when(kind == "card", let(reshaped(form, random, 1), with_check_digit))
-            .when(kind == "phone", reshaped(form, random, 1))
-            .when(kind == "iban", let(reshaped(form, random, 2), with_iban_check))
-            .when(kind == "family", syllables(form, random, attempt + 3, 0))
-            .when(kind == "name", surrogate_given(form, gender, random, attempt))
-            .otherwise(reshaped(form, random))
-        )
-
-    return let(noise(key, kind, form, attempt), made)
+        further = F.concat(F.lit("2001:db8:"), F.concat_ws(":", *[F.substring(random, 4 * k + 1, 4) for k in range(6)]))  # of the range for examples
+        digits = lambda c: longer(c, random, attempt - FIXED, "0123456789")
+        kinds = {
+            "email": lambda: surrogate_email(key, form, random, attempt),
+            "secret": lambda: longer(reshaped(form, random, 4), random, attempt),
+            "login": lambda: longer(reshaped(form, random, others=True), random, attempt),
+            "ip": lambda: F.when(attempt > FIXED, further).otherwise(F.concat_ws(".", *octets)),
+            "card": lambda: digits(let(reshaped(form, random, 1), with_check_digit)),
+            "ssn": lambda: digits(reshaped(form, random)),
+            "phone": lambda: digits(reshaped(form, random, 1)),
+            "iban": lambda: let(reshaped(form, random, 2), with_iban_check),
+            "family": lambda: syllables(form, random, attempt + 3, 0),
+            "name": lambda: surrogate_given(form, gender, random, attempt),
+        }
+        if isinstance(kind, str):
+            return kinds[kind]()
+        return reduce(lambda c, k: c.when(kind == k, kinds[k]()), kinds, F.when(F.lit(False), F.lit("")))
+
+    return let(noise(key, F.lit(kind) if isinstance(kind, str) else kind, form, attempt), made)
 
 
 def gender_of(entity: Column) -> Column:
@@ -221,7 +260,7 @@ def rendered(entity: Column, kind: Column, form: Column, new: Column) -> Column:
     after = lambda pattern: F.transform(places, lambda c, i: F.when(c.rlike(pattern), F.substring(new, F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), pattern.replace("[", "[^"), "")), F.lit(1))).otherwise(c))
     cased = F.transform(F.split(new, " "), lambda w, i: F.initcap(w))
     return (
-        F.when(kind.isin("card", "ssn", "phone"), F.array_join(after("[0-9]"), ""))
+        F.when(kind.isin("card", "ssn", "phone"), F.concat(F.array_join(after("[0-9]"), ""), F.substring(new, F.length(F.regexp_replace(entity, "[^0-9]", "")) + 1, F.length(new))))
         .when(kind == "iban", F.array_join(after("[0-9A-Z]"), ""))
         .when(kind == "login", F.concat(F.regexp_extract(entity, LOGIN_START, 1), new, F.regexp_extract(entity, "([\"']?)$", 1)))
         .when(kind == "name", F.concat(F.regexp_extract(entity, r"^(\S+[ \u00A0])", 1), F.array_join(cased, " ")))
@@ -232,7 +271,7 @@ def rendered(entity: Column, kind: Column, form: Column, new: Column) -> Column:
 
 
 def parsed(entity: Column) -> Column:
-    """kind, form and gender of an entity; only names of two words have a gender, others are family names."""
+    """kind, form and gender of an entity; only names of several words have a gender, others are family names."""
 
     def by(kind: Column) -> Column:
         form = canonical(entity, kind)
@@ -242,17 +281,22 @@ def parsed(entity: Column) -> Column:
     return let(kind_of(entity), by)
 
 
-def and_family(p: Column) -> Column:
-    """What parsed() gives, and for a name of two words the family name too."""
-    family = F.struct(F.lit("family").alias("kind"), family_of(p["form"]).alias("form"), F.lit("").alias("gender"))
-    return F.when(p["kind"] == "name", F.array(p, family)).otherwise(F.array(p))
+def and_family(entity: Column) -> Column:
+    """What parsed() gives, and for a name of several words its family name and middle names too."""
+    family = lambda form: F.struct(F.lit("family").alias("kind"), form.alias("form"), F.lit("").alias("gender"))
+    return let(parsed(entity), lambda p: F.when(p["kind"] == "name", F.concat(F.array(p, family(family_of(p["form"]))), F.transform(middle_of(entity), family))).otherwise(F.array(p)))
+
 
+def collision_free(forms: DataFrame, key: Key) -> tuple[DataFrame, DataFrame]:
+    """(kind, form, attempt, new) of distinct (kind, form, gender), and those rows of it that needed another attempt than 0.
 
-def collision_free(forms: DataFrame, key: Key, most_rounds: int = 40) -> tuple[DataFrame, DataFrame]:
-    """(kind, form, attempt, new) of distinct (kind, form, gender), and those rows of it that needed another attempt than 0."""
+    Surrogates grow longer with the attempts, so few rounds are needed and
+    their number is bounded: what collides in the last of LAST rounds gets a
+    whole digest in the next.
+    """
     given = forms.withColumn("attempt", F.lit(0))
     now = None
-    for _ in range(most_rounds):
+    while True:
         last, now = now, keep(given.select("kind", "form", "gender", "attempt", surrogate(key, F.col("kind"), F.col("form"), F.col("gender"), F.col("attempt")).alias("new")), "surrogates")
         if last is not None:
             discard(last)
@@ -260,14 +304,11 @@ def collision_free(forms: DataFrame, key: Key, most_rounds: int = 40) -> tuple[D
         first = now.groupBy("kind", "new").agg(F.min(F.struct("form", "gender")).alias("first"), F.count("*").alias("n"))
         clash = first.join(real, ["kind", "new"], "left").where("n > 1 or real")
         if clash.isEmpty():
-            break
+            return now, now.where("attempt > 0")
         given = now.join(clash, ["kind", "new"], "left").select(
             "kind", "form", "gender",
             (F.col("attempt") + F.when(F.col("real") | (F.struct("form", "gender") > F.col("first")), 1).otherwise(0)).alias("attempt"),
         )
-    else:
-        raise RuntimeError("surrogates collide: too few of some kind")
-    return now, now.where("attempt > 0")
 
 
 def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,44 +327,55 @@ def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     entities = F.coalesce(F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(EVERY), F.lit(0))), none)
     found = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row")).select("row", entities.alias("entities"))
     each = found.select(F.explode("entities").alias("e")).distinct()
-    forms = keep(each.select(F.explode(and_family(parsed(F.col("e")))).alias("p")).select("p.*").distinct(), "entities")
+    forms = keep(each.select(F.explode(and_family(F.col("e"))).alias("p")).select("p.*").distinct(), "entities")
     _, moved = collision_free(forms, secret)
     if (n := moved.count()) == 0:
         found = found.withColumn("attempts", F.lit(None).cast("map<string,int>"))
     else:  # few entities need another attempt: their texts are told by the hashes of what they hold
         again = moved.select(F.concat_ws("\x1f", "kind", "form", "gender").alias("entity"), "attempt")
         hashed = found.withColumn("hash", F.when(F.size("entities") > 0, F.sha2(F.to_json("entities"), 256)))
-        uses = hashed.where("hash is not null").select("hash", F.explode("entities").alias("e")).distinct().select("hash", F.explode(and_family(parsed(F.col("e")))).alias("p")).select("hash", F.concat_ws("\x1f", "p.kind", "p.form", "p.gender").alias("entity"))
+        uses = hashed.where("hash is not null").select("hash", F.explode("entities").alias("e")).distinct().select("hash", F.explode(and_family(F.col("e"))).alias("p")).select("hash", F.concat_ws("\x1f", "p.kind", "p.form", "p.gender").alias("entity"))
         attempts = uses.join(again, "entity").groupBy("hash").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("attempts"))
         attempts = keep(attempts, "attempts")
         small = n <= 10_000 and attempts.count() <= 20_000
         found = hashed.join(F.broadcast(attempts) if small else attempts, "hash", "left").drop("hash")
 
-    def made(kind: Column, form: Column, gender: Column) -> Column:
-        attempt = F.coalesce(F.element_at(F.col("attempts"), F.concat_ws("\x1f", kind, form, gender)), F.lit(0))
+    def made(kind: Column | str, form: Column, gender: Column) -> Column:
+        attempt = F.coalesce(F.element_at(F.col("attempts"), F.concat_ws("\x1f", F.lit(kind) if isinstance(kind, str) else kind, form, gender)), F.lit(0))
         return surrogate(secret, kind, form, gender, attempt)
 
-    def new_name(p: Column) -> Column:
-        """Of a whole name: the given name of its surrogate and that of the family name."""
-        given = F.split_part(made(F.lit("name"), p["form"], p["gender"]), F.lit(" "), F.lit(1))
-        return F.concat(given, F.lit(" "), made(F.lit("family"), family_of(p["form"]), F.lit("")))
+    def family(form: Column) -> Column:
+        return made("family", form, F.lit(""))
+
+    def new_name(e: Column, p: Column) -> Column:
+        """Words of a whole name: the given name of its surrogate, and those of the other words."""
+        given = F.split_part(made("name", p["form"], p["gender"]), F.lit(" "), F.lit(1))
+        return F.concat(F.array(given), F.transform(middle_of(e), family), F.array(family(family_of(p["form"]))))
 
     def replaced(e: Column) -> Column:
         def by(p: Column) -> Column:
             written = F.when(p["kind"] == "family", "name").otherwise(p["kind"])
-            return let(F.when(p["kind"] == "name", new_name(p)).otherwise(made(p["kind"], p["form"], p["gender"])), lambda x: rendered(e, written, p["form"], x))
+            return let(F.when(p["kind"] == "name", F.array_join(new_name(e, p), " ")).otherwise(made(p["kind"], p["form"], p["gender"])), lambda x: rendered(e, written, p["form"], x))
 
         return let(parsed(e), by)
 
     def without_title(part: Column) -> Column:
-        """A stretch between entities, in which names of two words that the text has after a title are replaced too."""
+        """A stretch between entities, in which names of several words that the text has after a title are replaced too."""
         def one(said: Column, name: Column) -> Column:
-            return F.regexp_replace(said, F.concat(F.lit(r"(?<![\p{L}'-])"), name["old"], F.lit(r"(?![\p{L}'-])")), name["new"])
+            return F.regexp_replace(said, F.concat(F.lit(r"(?<!\p{L})(?<!\p{L}['’-])"), name["old"], F.lit(r"(?!\p{L}|['’-](?!s(?!\p{L}))\p{L})")), name["new"])
 
         return F.aggregate("names", part, one)
 
     whole = F.array_distinct(F.filter("entities", lambda e: e.rlike(f"^(?:{PATTERNS['name']})$") & untitled(e).contains(" ")))
-    names = F.transform(whole, lambda e: let(parsed(e), lambda p: F.struct(untitled(e).alias("old"), rendered(e, F.lit("full"), p["form"], new_name(p)).alias("new"))))
+    def ways(e: Column) -> Column:
+        """A name as it may come without a title: all its words, then the first and one other."""
+        old = F.split(untitled(e), " ")
+        two = lambda words, k: F.concat(F.element_at(words, 1), F.lit(" "), F.element_at(words, k))
+        way = lambda a, b: F.struct(a.alias("old"), rendered(e, F.lit("full"), F.lit(""), b).alias("new"))
+        both = lambda new: F.concat(F.array(way(F.array_join(old, " "), F.array_join(new, " "))), F.when(F.size(old) > 2, F.array(way(two(old, -1), two(new, -1)), way(two(old, 2), two(new, 2)))).otherwise(F.array()))
+        return let(let(parsed(e), lambda p: new_name(e, p)), both)
+
+    names = F.flatten(F.transform(whole, ways))
     known = found.withColumn("names", names)
     fresh = F.concat(F.transform("entities", replaced), F.array(F.lit("")))
     parts = F.split(text, EVERY, -1)
