@@ -253,20 +253,21 @@ def collocations(docs: DataFrame, least: int = 10, most_words: int = 3, top: int
     words, pieces and odd rows.  Empty in, empty out.
     """
     counts = keep(phrase_counts(docs, least, most_words, lang_col, text_col), "phrases")
-    of = lambda name, n: counts.select("lang", F.col("phrase").alias(name), F.col("n").alias(n))
+    of = lambda name, n: counts.where(f"words between 1 and {most_words - 1}").select("lang", F.col("phrase").alias(name), F.col("n").alias(n))
     many = counts.where("words > 1")
     said = F.split("phrase", " ")
     part = lambda start, size: F.array_join(F.slice(said, start, size), " ")
-    cuts = many.select("lang", "phrase", F.col("n").alias("a"), "words", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
-    cuts = cuts.select("lang", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("front"), part(F.col("k") + 1, F.col("words") - F.col("k")).alias("rest"))
-    scored = cuts.join(of("front", "l"), ["lang", "front"]).join(of("rest", "r"), ["lang", "rest"])
-    score = F.expr("(cast(1000000 as decimal(38, 0)) * a * a) div (cast(l as decimal(38, 0)) * r)")
-    lowest = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("low"))
     spans = [(i, w) for w in range(2, most_words) for i in range(1, most_words)]
     inner = F.filter(F.array(*[F.struct(F.lit(w).alias("w"), (F.col("words") >= i + w - 1).alias("fits"), part(F.lit(i), F.lit(w)).alias("phrase")) for i, w in spans]), lambda x: x["fits"] & (x["w"] < F.col("words"))) if spans else F.array().cast("array<struct<w: int, fits: boolean, phrase: string>>")
     longer = many.where("words > 2").select("lang", "n", F.explode(inner).alias("inner")).groupBy("lang", F.col("inner.phrase").alias("phrase")).agg(F.max("n").alias("longest"))
-    own = lowest.join(longer, ["lang", "phrase"], "left").where(F.col("longest").isNull() | (100 * F.col("longest") < inside_percent * F.col("a")))
+    own = many.withColumnRenamed("n", "a").join(longer, ["lang", "phrase"], "left").where(F.col("longest").isNull() | (100 * F.col("longest") < inside_percent * F.col("a")))
+    # a cut is told by its two parts, which make up the phrase
+    cuts = own.select("lang", "a", "words", said.alias("said"), F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
+    cuts = cuts.select("lang", "a", F.col("k").cast("byte").alias("k"), F.array_join(F.slice("said", F.lit(1), F.col("k")), " ").alias("front"), F.array_join(F.slice("said", F.col("k") + 1, F.col("words") - F.col("k")), " ").alias("rest"))
+    scored = cuts.join(of("front", "l"), ["lang", "front"]).join(of("rest", "r"), ["lang", "rest"])
+    score = F.expr("(cast(1000000 as decimal(38, 0)) * a * a) div (cast(l as decimal(38, 0)) * r)")
+    lowest = scored.groupBy("lang", F.concat_ws(" ", "front", "rest").alias("phrase"), "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("low"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("low.score"), F.desc("a"), "phrase"))
-    ranked = own.withColumn("rank", place.cast("long")).where(F.col("rank") <= top)
+    ranked = lowest.withColumn("rank", place.cast("long")).where(F.col("rank") <= top)
     total = counts.where("words = 0").select("lang", F.col("n"))
     return ranked.join(total, "lang").select("lang", "rank", "phrase", "a", F.col("low.l").alias("l"), F.col("low.r").alias("r"), "n", F.col("low.score").alias("score"))
