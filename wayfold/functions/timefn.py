@@ -64,8 +64,12 @@ def millis(ts: Column) -> Column:
     return F.unix_millis(ts.cast("timestamp"))
 
 
+def days_of(spans: DataFrame, first: str, last: str, weekday: str | None = None) -> DataFrame:
+    """(date, day_of_week): the days from `first` to `last` of each row of `spans`, or those of one weekday."""
+    days = spans.select(F.explode(F.sequence(F.col(first), F.col(last))).alias("date")).withColumn("day_of_week", F.date_format("date", "E"))
+    return days.where(F.col("day_of_week") == weekday) if weekday else days
+
+
 def calendar(spark: SparkSession, start: str, end: str, weekday: str | None = None) -> DataFrame:
     """(date, day_of_week) from `start` up to, not including, `end`."""
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.date_sub(F.lit(end).cast("date"), 1))).alias("date"))
-    days = days.withColumn("day_of_week", F.date_format("date", "E"))
-    return days.where(F.col("day_of_week") == weekday) if weekday else days
+    return days_of(spark.range(1).select(F.lit(start).cast("date").alias("first"), F.date_sub(F.lit(end).cast("date"), 1).alias("last")), "first", "last", weekday)

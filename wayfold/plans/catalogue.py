@@ -166,9 +166,14 @@ def message_time(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", said.alias("said"), timefn.millis(timefn.parse_message_time(said)).alias("ms"))
 
 
-@query("weekday_calendar", "SELECT strftime(d, '%Y-%m-%d') AS day, strftime(d, '%a') AS dow FROM generate_series(TIMESTAMP '2017-06-01', TIMESTAMP '2017-12-31', INTERVAL 1 DAY) t(d) WHERE strftime(d, '%a') = 'Mon'")
+@query("weekday_calendar", """WITH days AS (SELECT unnest(generate_series(min(ts)::DATE::TIMESTAMP, max(ts)::DATE::TIMESTAMP, INTERVAL 1 DAY))::DATE AS d FROM events), seen AS (SELECT ts::DATE AS d, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY ALL)
+    SELECT strftime(d, '%Y-%m-%d') AS day, strftime(d, '%a') AS dow, coalesce(n, 0) AS n FROM days LEFT JOIN seen USING (d) WHERE strftime(d, '%a') = 'Mon'""")
 def weekday_calendar(spark, sf_dir):
-    return timefn.calendar(spark, "2017-06-01", "2018-01-01", "Mon").select(F.col("date").cast("string").alias("day"), F.col("day_of_week").alias("dow"))
+    """The Mondays from the first to the last day of events, with the clicks of each."""
+    e = table(spark, sf_dir, "events").select(F.to_date("ts").alias("date"), "event_type")
+    days = timefn.days_of(e.agg(F.min("date").alias("first"), F.max("date").alias("last")), "first", "last", "Mon")
+    seen = e.where("event_type = 'click'").groupBy("date").agg(F.count("*").alias("n"))
+    return days.join(seen, "date", "left").select(F.col("date").cast("string").alias("day"), F.col("day_of_week").alias("dow"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 @query("json_extract", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
@@ -266,15 +271,16 @@ def longest_sentence(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", textfn.longest_sentence(F.col("text")).alias("sentence")).where("sentence is not null")
 
 
-@query("viete_pi", "SELECT 3.141593::DOUBLE AS pi")
+@query("viete_pi", """WITH RECURSIVE r(k, root, pi) AS (SELECT 0, 0.0::DOUBLE, 2.0::DOUBLE UNION ALL SELECT k + 1, sqrt(root + 2), pi * 2 / sqrt(root + 2) FROM r WHERE k < 1600)
+    SELECT s_suppkey, round(pi, 6) AS pi FROM supplier JOIN r ON k = 1 + s_suppkey % 1600""")
 def viete_pi(spark, sf_dir):
-    """Viete's product; each factor's nested root comes from the one before."""
+    """Viete's product of as many factors as each supplier's number asks for; each factor's nested root comes from the one before."""
     steps = F.aggregate(
-        F.sequence(F.lit(1), F.lit(1600)),
+        F.sequence(F.lit(1), (1 + F.col("s_suppkey") % 1600).cast("int")),
         F.struct(F.lit(0.0).alias("root"), F.lit(2.0).alias("pi")),
         lambda a, _: F.struct(F.sqrt(a["root"] + 2).alias("root"), (a["pi"] * 2 / F.sqrt(a["root"] + 2)).alias("pi")),
     )
-    return spark.range(1).select(F.round(steps["pi"], 6).alias("pi"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(steps["pi"], 6).alias("pi"))
 
 
 # --- joins ---------------------------------------------------------------------------------------------------
