@@ -13,7 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions import geofn, textfn, timefn
+from wayfold.functions import geofn, grader, textfn, timefn
 from wayfold.operators import aggregate, anomaly, cluster, filters, spatial
 from wayfold.params import Density
 from wayfold.plans import apps
@@ -283,6 +283,16 @@ def viete_pi(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(steps["pi"], 6).alias("pi"))
 
 
+@query("text_sentiments")
+def text_sentiments(spark, sf_dir):
+    """Sentiment of every document by its longest sentence; the grader learns from labelled ones: toxic 0, good 4, others 2."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 4).otherwise(2)
+    known = docs.join(labels, "doc_id").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2)
+    learned = grader.fit(known.select(textfn.longest_sentence(F.col("text")).alias("text"), grade.alias("grade")))
+    return docs.select("doc_id", textfn.text_sentiment(F.col("text"), learned).alias("sentiment"))
+
+
 # --- joins ---------------------------------------------------------------------------------------------------
 
 
