@@ -30,12 +30,12 @@ def ingest_volumes(spark: SparkSession, volume_csv: str, layout_csv: str, point_
     return placed.join(read_roads(spark, line_csv), "flow", "left").withColumn("day_of_week", day_of_week(F.col("interval_ts"), zone))
 
 
-def ingest_points(spark: SparkSession, path: str, grader=None, stop: list[str] | None = None) -> DataFrame:
-    """Points of a file of messages; with a grader of sentences also tokens and sentiment."""
+def ingest_points(spark: SparkSession, path: str, grader=None, stop: list[str] | None = None, lemmas=None) -> DataFrame:
+    """Points of a file of messages; with a grader of sentences also sentiment, with it or `lemmas` of a text also tokens: lemmas, or else lower-case words."""
     points = points_of(read_messages(spark, path))
-    if grader is None:
-        return points
-    return points.withColumn("tokens", with_tokens(F.col("tokens"), lemma_set(F.col("text"), stop))).withColumn("sentiment", text_sentiment(F.col("text"), grader))
+    if grader is not None or lemmas is not None:
+        points = points.withColumn("tokens", with_tokens(F.col("tokens"), lemmas(F.col("text")) if lemmas is not None else lemma_set(F.col("text"), stop)))
+    return points.withColumn("sentiment", text_sentiment(F.col("text"), grader)) if grader is not None else points
 
 
 def build_baseline(volumes: DataFrame, by: tuple[str, ...] = ("site", "day_of_week", "time_of_day"), zone: str = ZONE) -> DataFrame:

@@ -6,7 +6,7 @@ import argparse
 import time
 from datetime import datetime
 
-from wayfold.functions import grader
+from wayfold.functions import grader, tagger
 from wayfold.params import Density
 from wayfold.operators import anomaly
 from wayfold.operators.cluster import CELL, grid_cells
@@ -18,7 +18,7 @@ from wayfold.streaming.ticks import ClusterStore, cluster_messages, replay
 
 COMMANDS: dict[str, tuple[tuple[str, ...], object]] = {
     "ingest-volumes": (("volume_csv", "layout_csv", "point_csv", "line_csv"), lambda s, a: apps.ingest_volumes(s, a.volume_csv, a.layout_csv, a.point_csv, a.line_csv)),
-    "ingest-points": (("messages",), lambda s, a: apps.ingest_points(s, a.messages, grader.Grader.load(s, a.grader) if a.grader else None)),
+    "ingest-points": (("messages",), lambda s, a: apps.ingest_points(s, a.messages, grader.Grader.load(s, a.grader) if a.grader else None, lemmas=tagger.Tagger.load(s, a.tagger) if a.tagger else None)),
     "baseline": (("volumes",), lambda s, a: apps.build_baseline(s.read.parquet(a.volumes))),
     "nearby-baseline": (("sites", "points"), lambda s, a: apps.build_nearby_baseline(s.read.parquet(a.sites), s.read.parquet(a.points))),
     "rush-hour": (("baseline",), lambda s, a: apps.rush_hour(s.read.parquet(a.baseline))),
@@ -66,7 +66,8 @@ def main(argv: list[str] | None = None) -> None:
             with_density(p)
             with_cells(p, 700 if name == "cells" else CELL)
         if name == "ingest-points":
-            p.add_argument("--grader", help="what fit-grader wrote; adds tokens and sentiment")
+            p.add_argument("--grader", help="what fit-grader wrote; adds sentiment, and words as tokens")
+            p.add_argument("--tagger", help="what fit-tagger wrote; adds lemmas as tokens")
     p = commands.add_parser("store-points", help="append points to a table laid out by place and time")
     for x in ("points", "store"):
         p.add_argument(f"--{x}", required=True)
@@ -83,6 +84,9 @@ def main(argv: list[str] | None = None) -> None:
     p = commands.add_parser("fit-grader", help="learn to grade sentences from Parquet rows (text, grade of 0 to 4)")
     for x in ("sample", "out"):
         p.add_argument(f"--{x}", required=True)
+    p = commands.add_parser("fit-tagger", help="learn tags and lemmas from Parquet rows (sentence, place, word, tag, lemma)")
+    for x in ("marked", "out"):
+        p.add_argument(f"--{x}", required=True)
     p = commands.add_parser("replay", help="send the messages of a folder on at a pace")
     for x in ("folder", "target", "checkpoint"):
         p.add_argument(f"--{x}", required=True)
@@ -105,6 +109,8 @@ def main(argv: list[str] | None = None) -> None:
         cluster_messages(spark, args.source, args.store, args.checkpoint, density(args), args.interval_sec, args.format, args.max_pts, top_cell(args)).awaitTermination()
     elif args.command == "fit-grader":
         grader.fit(spark.read.parquet(args.sample)).save(spark, args.out)
+    elif args.command == "fit-tagger":
+        tagger.fit(spark.read.parquet(args.marked)).save(spark, args.out)
     elif args.command == "replay":
         replay(spark, args.folder, args.target, args.checkpoint, args.seconds, args.files, args.format).awaitTermination()
     elif args.command == "store-points":
