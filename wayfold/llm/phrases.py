@@ -41,7 +41,7 @@ BREAK = b"\n"
 RUN, GATHERED, LETTERS = 4 << 20, 8 << 20, 1_000_000
 #: Slots of the sketch: one bit of each goes to every task, 64 MB at most.  Segments that are merged on their own.
 MIN_SLOTS, MAX_SLOTS, SEGMENTS = 1 << 16, 1 << 29, 256
-FLUSH = 2_000_000
+FLUSH = 8_000_000
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
@@ -135,20 +135,23 @@ def _sketch(batches: Iterator[pa.RecordBatch], most: int, slots: int) -> Iterato
     width = slots // SEGMENTS
 
     def flush() -> Iterator[pa.RecordBatch]:
-        at, n = np.unique(np.concatenate(held), return_counts=True)
-        n = np.minimum(n, 255)
+        every = np.concatenate(held)
+        held.clear()
+        every.sort()
+        first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+        at, n = every[first], np.minimum(np.diff(first, append=len(every)), 255).astype(np.uint8)
         ends = np.searchsorted(at, np.arange(SEGMENTS + 1) * width).tolist()
-        yield from emit(((k, *gaps(at[a:b] - k * width, n[a:b])) for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a), schema)
+        yield from emit(((k, *gaps(at[a:b].astype(np.int64) - k * width, n[a:b])) for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a), schema)
 
     for lang, words in runs(batches):
         run = Run(lang, words, most)
         for whole, h in zip(run.whole, run.hashes, strict=True):
             if whole.any():
-                held.append((h[whole] & U64(slots - 1)).astype(np.int64))
+                held.append((h[whole] & U64(slots - 1)).astype(np.uint32))
                 size += len(held[-1])
         if size > FLUSH:
             yield from flush()
-            held, size = [], 0
+            size = 0
     if held:
         yield from flush()
 
