@@ -215,4 +215,6 @@ def test_phrases_take_odd_rows_and_clashing_columns(spark, odd):
     found = {(r.lang, r.phrase): (r.a, r.n) for r in phrases.collocations(many, 9).collect()}
     assert found[("en", "one two three")] == (9, 45) and all(lang == "en" for lang, _ in found)
     assert phrases.collocations(odd.limit(0)).collect() == []
+    named = phrases.phrase_counts(many.withColumn("lang", F.lit("a\nb\n")), 9).where("phrase = 'one two'").collect()
+    assert [(r.lang, r.n, r.words) for r in named] == [("a\nb\n", 9, 2)]
     assert phrases.phrase_counts(many, 9).where(F.col("phrase") == "").count() == 3

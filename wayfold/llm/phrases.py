@@ -202,25 +202,27 @@ def matches(text: str, phrases: list[str]) -> np.ndarray:
     return np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), dtype=np.int64), minlength=len(phrases))
 
 
+COUNTED = pa.schema([("key", pa.string()), ("n", pa.int64())])
+
+
 def _scan(batches: Iterator[pa.RecordBatch], most: int, sketch) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, n): the candidates of each run with their matches, and the empty phrase with the run's words."""
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+    """(key, n), the key being language, BREAK and phrase: the candidates of each run with their matches, and the empty phrase with the run's words."""
     for lang, words in runs(batches):
         run = Run(lang, words, most)
-        yield batch_of([(lang, "", int(run.whole[0].sum()))], schema)
+        yield batch_of([(f"{lang}\n", int(run.whole[0].sum()))], COUNTED)
         text, held, size = f" {b' '.join(words).decode()} ", [], 0
         for phrase in run.candidates(sketch.value):
             held.append(phrase.decode())
             size += len(held[-1])
             if size >= LETTERS:
-                yield counted(lang, text, held, schema)
+                yield counted(lang, text, held)
                 held, size = [], 0
         if held:
-            yield counted(lang, text, held, schema)
+            yield counted(lang, text, held)
 
 
-def counted(lang: str, text: str, phrases: list[str], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases)), pa.array(phrases), pa.array(matches(text, phrases))], schema=schema)
+def counted(lang: str, text: str, phrases: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f"{lang}\n{p}" for p in phrases]), pa.array(matches(text, phrases))], schema=COUNTED)
 
 
 def phrase_counts(docs: DataFrame, least: int = 10, most_words: int = 3, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -238,8 +240,10 @@ def phrase_counts(docs: DataFrame, least: int = 10, most_words: int = 3, lang_co
     partial = own.mapInArrow(thrifty(lambda it: _sketch(it, most_words, slots)), "segment long, low binary, high binary, n binary")
     merged = partial.repartition("segment").sortWithinPartitions("segment").mapInArrow(thrifty(lambda it: _merged(it, least, slots)), "segment long, often binary")
     sketch = spark.sparkContext.broadcast(Sketch(slots, [tuple(r) for r in merged.collect()]))
-    found = own.mapInArrow(thrifty(lambda it: _scan(it, most_words, sketch)), "lang string, phrase string, n long")
-    summed = found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("phrase") == ""))
+    found = own.mapInArrow(thrifty(lambda it: _scan(it, most_words, sketch)), "key string, n long")
+    phrase = F.substring_index("key", "\n", -1)  # which has no line feed, whatever a language is called
+    told = found.groupBy("key").agg(F.sum("n").alias("n")).withColumn("phrase", phrase)
+    summed = told.select(F.expr("left(key, length(key) - length(phrase) - 1)").alias("lang"), "phrase", "n").where((F.col("n") >= least) | (F.col("phrase") == ""))
     words = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.translate("phrase", " ", "")) + 1)
     return summed.select("lang", "phrase", words.cast("int").alias("words"), "n")
 
