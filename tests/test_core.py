@@ -54,6 +54,12 @@ def test_text_without_sentences(spark):
     assert values(spark, textfn.longest_sentence(F.col("t")), t="One two. Abc def! x") == "One two."
 
 
+def test_sentences_keep_the_digits_at_their_ends(spark):
+    text = "0 zero 0.  1 one 1!\n\n 22 two two 2 \n33"
+    assert values(spark, textfn.sentences(F.col("t")), t=text) == ["0 zero 0.", "1 one 1!", "22 two two 2", "33"]
+    assert values(spark, textfn.longest_sentence(F.col("t")), t=text) == "22 two two 2"
+
+
 @pytest.mark.parametrize("cells,clean", [(["1", '"2"', "", "x", "-5", "+4", " 7", "3.5"], ["1", "2", "0", "0", "0", "0", "0", "0"]), (["", "-1", "a"], None)])
 def test_clean_counts(spark, cells, clean):
     assert values(spark, textfn.clean_counts(F.col("c")), c=cells) == clean

@@ -34,7 +34,7 @@ def sentiment_score(grade: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Trimmed, not empty."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")  # F.trim itself would get the index as what to trim
 
 
 def longest_sentence(text: Column) -> Column:
