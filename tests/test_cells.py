@@ -95,6 +95,13 @@ def test_ticks_with_small_cells_in_a_top_cell(spark, tmp_path):
     assert labels_of(store.read()) == expected_clusters(rows, Density())
 
 
+def test_borders_whose_cores_lie_in_other_cells(spark):
+    draw = random.Random(4)
+    rows = [(f"p{k:03d}", utc(2024, 1, 1) + dt.timedelta(minutes=draw.uniform(0, 13 * 400)), 144.95 + k % 7 * 0.0001, -37.8 + k % 11 * 0.0001) for k in range(400)]
+    points, expected = spark.createDataFrame(rows, POINTS), expected_clusters(rows, Density())
+    assert labels_of(cluster.cluster_points(points, most=10)) == expected
+
+
 def test_points_on_the_borders_of_cells_belong_to_one(spark):
     eps = Density().epsilon
     rows = [(f"p{i}_{j}_{k}", utc(2024, 1, 1) + dt.timedelta(hours=i), 144.0 + j * eps, -38.0 + k * eps) for i in range(4) for j in range(17) for k in range(9)]
