@@ -113,6 +113,15 @@ def test_counts_near_a_place_need_no_pairs(spark):
         assert {r.id: r.near for r in found} == told and len(found) == len(left) and sum(told.values()) > 500
 
 
+@pytest.mark.parametrize("values_of_hours", [(0, 3, 3, 3), (3, 0, 3, 3), (3, 3, 3, 0), (7, 1, 1, 1), (6, 5, 6, 6)])
+def test_a_value_on_the_bound_is_not_abnormal(spark, values_of_hours):
+    odd = next(v for v in values_of_hours if values_of_hours.count(v) == 1)
+    average = sum(values_of_hours) / 4
+    for deviation in (abs(average - odd) / 1.5, abs(average - odd) / 1.5 - 2e-16, abs(average - odd) / 1.5 + 2e-16):  # as orders of adding round it
+        assert not values(spark, anomaly.beyond(F.lit(odd), F.lit(average), F.lit(deviation), 1.5), a=1)
+    assert values(spark, anomaly.beyond(F.lit(odd), F.lit(average), F.lit(deviation * (1 - 1e-9)), 1.5), a=1)
+
+
 def test_exactly_two_deviations_is_normal(spark):
     x = [values(spark, anomaly.beyond(F.lit(v), F.lit(10.0), F.lit(2.0)), a=1) for v in (14.0, 14.1, 6.0, 5.9)]
     assert x == [False, True, False, True]

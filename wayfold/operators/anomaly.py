@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: What average and deviation may be off by rounding, as a part of themselves.
+ROUNDING = 1e-12
+
+
 def beyond(x: Column, average: Column, deviation: Column, k: float = 2.0) -> Column:
-    """Strictly outside average +- k deviations."""
-    return (x > average + k * deviation) | (x < average - k * deviation)
+    """Strictly outside average +- k deviations; a value on the bound is inside, in whatever order average and deviation were added up."""
+    reach = k * deviation + ROUNDING * (F.abs(average) + k * deviation)
+    return (x > average + reach) | (x < average - reach)
 
 
 def flagged(observed: DataFrame, baseline: DataFrame, keys: list[str], value: str = "volume", k: float = 2.0, name: str = "abnormal") -> DataFrame:
