@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import math
 import random
 
 import pytest
@@ -122,6 +123,25 @@ def test_a_value_on_the_bound_is_not_abnormal(spark, values_of_hours):
     assert values(spark, anomaly.beyond(F.lit(odd), F.lit(average), F.lit(deviation * (1 - 1e-9)), 1.5), a=1)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_points_are_never_sent_to_every_task(spark, monkeypatch):
+    draw = random.Random(6)
+    points = spark.createDataFrame([(f"p{k}", *(draw.uniform(0, 3) for _ in "xyz")) for k in range(60)], "obj_id string, x double, y double, z double")
+    pairs = spatial.neighbours(points, 1.0)
+    assert "Broadcast" not in plan_of(pairs)
+    rows = points.collect()
+    assert sorted(map(tuple, pairs.collect())) == sorted((a.obj_id, b.obj_id) for a in rows for b in rows if a != b and math.dist(a[1:], b[1:]) < 1)
+    boxes = points.select(F.col("obj_id").alias("cell"), *[(F.col(c) + d).alias(f"{c}{k}") for c in "xyz" for k, d in ((1, -0.5), (2, 0.5))])
+    few = spatial.in_boxes(points, boxes)
+    monkeypatch.setattr(spatial, "FEW_BOXES", 10)
+    many = spatial.in_boxes(points, boxes)
+    assert "BuildRight" in plan_of(few) and "Broadcast" not in plan_of(many)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and many.count() > 60
+
+
 def test_exactly_two_deviations_is_normal(spark):
     x = [values(spark, anomaly.beyond(F.lit(v), F.lit(10.0), F.lit(2.0)), a=1) for v in (14.0, 14.1, 6.0, 5.9)]
     assert x == [False, True, False, True]

@@ -107,18 +107,24 @@ def near_segment(points: DataFrame, lines: DataFrame, radius_m: float, key: str
 
 
 def neighbours(points: DataFrame, epsilon: float, key: str = "obj_id", others: DataFrame | None = None) -> DataFrame:
-    """Directed pairs (a, b) of different rows (key, x, y, z) closer than `epsilon`, b one of `others` or else of the same points."""
+    """Directed pairs (a, b) of different rows (key, x, y, z) closer than `epsilon`, b one of `others` or else of the same points.
+
+    Both sides are shuffled: files of many points are small enough for Spark to
+    send all of them to the driver and to every task.
+    """
     axes = ["x", "y", "z"]
     sides = [epsilon] * 3
     a = points.select(F.col(key).alias("a"), *[F.col(c).alias(f"a_{c}") for c in axes])
     b = (points if others is None else others).select(F.col(key).alias("b"), *[F.col(c).alias(f"b_{c}") for c in axes])
-    near = spread(a, [F.col(f"a_{c}") for c in axes], sides).join(binned(b, [F.col(f"b_{c}") for c in axes], sides), ["bin0", "bin1", "bin2"])
+    near = spread(a, [F.col(f"a_{c}") for c in axes], sides).hint("merge").join(binned(b, [F.col(f"b_{c}") for c in axes], sides).hint("merge"), ["bin0", "bin1", "bin2"])
     d = [F.col(f"a_{c}") - F.col(f"b_{c}") for c in axes]
     return near.where((F.col("a") != F.col("b")) & (F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) < epsilon)).select("a", "b")
 
 
 #: Bins of the smallest boxes are at most this many halvings smaller than those of the largest, so that a point probes few levels.
 LEVELS = 12
+#: Boxes that are sent to every task; of more, both tables are shuffled.
+FEW_BOXES = 2000
 
 
 def overlapping(points: DataFrame, boxes: DataFrame, axes: list[tuple[Column, Column, Column]], most: int = LEVELS) -> DataFrame:
@@ -130,8 +136,9 @@ def overlapping(points: DataFrame, boxes: DataFrame, axes: list[tuple[Column, Co
     two bins an axis, whatever its size.  A point probes its one bin of each
     combination of levels that has boxes; these are at most `most` an axis, and
     few together, as extents go along with each other.  The join is an equi
-    join, in which Catalyst splits crowded bins.  Bounds that are null, not
-    numbers or the wrong way round hold nothing.
+    join, in which Catalyst splits crowded bins; at most FEW_BOXES boxes are
+    sent to every task, points never.  Bounds that are null, not numbers or the
+    wrong way round hold nothing.
     """
     low_high = [f"{end}{k}" for k in range(len(axes)) for end in ("_low", "_high")]
     own = boxes.withColumns({name: c.cast("double") for name, c in zip(low_high, [c for _, low, high in axes for c in (low, high)], strict=True)})
@@ -143,7 +150,7 @@ def overlapping(points: DataFrame, boxes: DataFrame, axes: list[tuple[Column, Co
         level = F.when(F.pow(F.lit(2.0), level) < extent, level + 1).otherwise(level)
         own = own.withColumn(f"_level{k}", F.when(extent > 0, level).otherwise(F.lit(-1000)))
     levels = [f"_level{k}" for k in range(len(axes))]
-    top = own.agg(*[F.max(c).alias(c) for c in levels]).first()
+    top = own.agg(*[F.max(c).alias(c) for c in levels], F.count("*").alias("n")).first()
     for c in levels:
         own = own.withColumn(c, F.greatest(F.col(c), F.lit(max(-30, (top[c] if top[c] is not None else 0) - most + 1))))
     found = [tuple(r) for r in own.select(levels).distinct().collect()]  # at most `most` an axis
@@ -154,7 +161,7 @@ def overlapping(points: DataFrame, boxes: DataFrame, axes: list[tuple[Column, Co
     probing = points.withColumn("_probe", F.explode(probes)).select(points.columns + [F.col(f"_probe.{c}") for c in levels])
     for k, (c, _, _) in enumerate(axes):
         probing = probing.withColumn(f"_at{k}", c.cast("double")).withColumn(f"_bin{k}", at(F.col(f"_at{k}"), k))
-    near = probing.join(own, [*levels, *[f"_bin{k}" for k in range(len(axes))]])
+    near = probing.join(own.hint("broadcast" if top["n"] <= FEW_BOXES else "merge"), [*levels, *[f"_bin{k}" for k in range(len(axes))]])
     for k in range(len(axes)):
         near = near.where(F.col(f"_at{k}").between(F.col(f"_low{k}"), F.col(f"_high{k}")))
     return near.select(points.columns + boxes.columns)
