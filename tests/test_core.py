@@ -127,9 +127,11 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_points_are_never_sent_to_every_task(spark, monkeypatch):
+def test_points_are_never_sent_to_every_task(spark, monkeypatch, tmp_path):
     draw = random.Random(6)
     points = spark.createDataFrame([(f"p{k}", *(draw.uniform(0, 3) for _ in "xyz")) for k in range(60)], "obj_id string, x double, y double, z double")
+    points.write.parquet(str(tmp_path / "p"))
+    points = spark.read.parquet(str(tmp_path / "p"))  # Spark knows how small the files are
     pairs = spatial.neighbours(points, 1.0)
     assert "Broadcast" not in plan_of(pairs)
     rows = points.collect()
