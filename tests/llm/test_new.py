@@ -5,6 +5,7 @@ import struct
 import zlib
 from collections import Counter
 from itertools import permutations
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wayfold.llm import audit, codes, phrases, queries
+from wayfold.llm.words import batch_of
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 LONG = " ".join(f"w{k % 977}x{k}." for k in range(30_000))
@@ -210,6 +212,26 @@ def test_overlapping_matches_are_all_counted():
     assert phrases.matches(" a a a \n a b a b a \n", ["a", "a a", "a b a", "b", "a a a", "a b a b"]).tolist() == [6, 2, 2, 2, 1, 1]
 
 
+def test_counts_of_runs_are_sent_in_small_parcels(spark):
+    draw = random.Random(6)
+    texts = [" ".join(draw.choices([f"word{k}" for k in range(300)], k=200)) for _ in range(150)]
+    df = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1)
+    counts = Counter(" ".join(w[k : k + n]) for w in map(str.split, texts) for n in (1, 2, 3) for k in range(len(w) - n + 1))
+    every = phrases.Sketch(1 << 16, [])
+    every.bits[:] = 255  # lets all phrases through
+    sent = [r for b in phrases._scan(iter(df.toArrow().to_batches()), 3, 8, SimpleNamespace(value=every)) for r in b.to_pylist()]
+    assert sum(len(r["phrases"]) + len(r["counts"]) for r in sent) < 0.4 * sum(len(p) + 1 for p in counts)
+    found = {p: n for r in sent for p, n in zip(*phrases.unpacked(r["phrases"], r["counts"]).to_pydict().values())}
+    assert found.pop("") == 150 * 200 and found == counts and len({r["bucket"] for r in sent}) == 8
+
+
+def test_parcels_are_summed_by_bucket_and_language(monkeypatch):
+    monkeypatch.setattr(phrases, "OPENED", 3)
+    sent = sorted(p for lang in ("a", "b") for n in range(1, 6) for p in phrases.parcels(lang, ["x y", "x é", "", f"z{n}"], [1 << 32, 2 << 32, 0, 3 << 32], np.full(4, n), 4))
+    told = [tuple(r.values()) for b in phrases._summed(iter([batch_of(sent, phrases.PARCELS)]), 10) for r in b.to_pylist()]
+    assert sorted(told) == sorted((lang, p, 15) for lang in "ab" for p in ("x y", "x é", ""))
+
+
 def test_phrases_take_odd_rows_and_clashing_columns(spark, odd):
     many = odd.unionByName(odd).unionByName(odd)
     found = {(r.lang, r.phrase): (r.a, r.n) for r in phrases.collocations(many, 9).collect()}

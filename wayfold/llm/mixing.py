@@ -27,12 +27,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.words import U64, emit, mixed, rows, thrifty, word_hashes
+from wayfold.llm.words import U64, emit, mixed, opened, rows, squeezed, thrifty, word_hashes
 from wayfold.sources.shared import keep
 
 U32 = np.uint32
@@ -331,15 +330,6 @@ class Told:
         self.times, self.n = [], 0
 
 
-def squeezed(numbers: np.ndarray, kind: str) -> bytes:
-    """Numbers by byte planes, of which all but the lowest are nearly empty."""
-    return zstandard.compress(numbers.astype(kind).view(np.uint8).reshape(len(numbers), -1).T.tobytes(), 1)
-
-
-def opened(data: bytes, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
 PARTS = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 PART_KINDS = "part int, segment int, keys binary, counts binary"
 

@@ -10,7 +10,9 @@
    phrase between delimiters, so that only whole words match and nothing
    matches across the end of a piece.  The automata count all overlapping
    matches in the run.
-3. The counts of all runs are summed and thresholds applied; what the sketch
+3. A run's counts are dealt to buckets by the phrases' hashes and sent as
+   compressed parcels, one for each bucket.  A bucket's parcels are opened one
+   after another, the counts summed and thresholds applied; what the sketch
    let through in error goes here.  Scores are joins of counted phrases.
 
 The sketch is sized by the corpus up to MAX_SLOTS; beyond that it fills up and
@@ -26,11 +28,13 @@ from operator import itemgetter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.words import U64, batch_of, bounded_batches, emit, mixed, rows, thrifty, word_hashes
+from wayfold.llm.words import U64, bounded_batches, emit, mixed, opened, rows, squeezed, thrifty, word_hashes
 from wayfold.sources.shared import keep
 
 UNKNOWN = "und"
@@ -42,6 +46,8 @@ RUN, GATHERED, LETTERS = 4 << 20, 8 << 20, 1_000_000
 #: Slots of the sketch: one bit of each goes to every task, 64 MB at most.  Segments that are merged on their own.
 MIN_SLOTS, MAX_SLOTS, SEGMENTS = 1 << 16, 1 << 29, 256
 FLUSH = 8_000_000
+#: Counts of a bucket that are opened before they are summed.
+OPENED = 1_000_000
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
@@ -85,8 +91,8 @@ class Run:
             self.whole.append(self.whole[-1][:n] & inside[w:] if n > 0 else np.zeros(0, dtype=bool))
             self.hashes.append(mixed(self.hashes[-1][:n] * U64(0x9E3779B97F4A7C15) + h[w:]) if n > 0 else np.zeros(0, dtype=U64))
 
-    def candidates(self, known: Sketch) -> Iterator[bytes]:
-        """The different phrases that may be frequent, as their parts then are too."""
+    def candidates(self, known: Sketch) -> Iterator[tuple[bytes, int]]:
+        """The different phrases that may be frequent, as their parts then are too, with their hashes."""
         before, key = None, np.zeros(len(self.ids), dtype=np.int64)
         for w, (whole, h) in enumerate(zip(self.whole, self.hashes, strict=True)):
             n = len(whole)
@@ -100,8 +106,8 @@ class Run:
             _, first, dense = np.unique(key[at], return_index=True, return_inverse=True)
             key = np.zeros(n, dtype=np.int64)
             key[at] = dense
-            for k in at[first].tolist():
-                yield b" ".join(self.words[k : k + w + 1])
+            for k, own in zip(at[first].tolist(), h[at[first]].tolist(), strict=True):
+                yield b" ".join(self.words[k : k + w + 1]), own
 
 
 def slots_for(letters: int, most: int) -> int:
@@ -202,27 +208,74 @@ def matches(text: str, phrases: list[str]) -> np.ndarray:
     return np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), dtype=np.int64), minlength=len(phrases))
 
 
-COUNTED = pa.schema([("key", pa.string()), ("n", pa.int64())])
+PARCELS = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("phrases", pa.binary()), ("counts", pa.binary())])
+PARCEL_KINDS = "bucket int, lang string, phrases binary, counts binary"
 
 
-def _scan(batches: Iterator[pa.RecordBatch], most: int, sketch) -> Iterator[pa.RecordBatch]:
-    """(key, n), the key being language, BREAK and phrase: the candidates of each run with their matches, and the empty phrase with the run's words."""
-    for lang, words in runs(batches):
-        run = Run(lang, words, most)
-        yield batch_of([(f"{lang}\n", int(run.whole[0].sum()))], COUNTED)
-        text, held, size = f" {b' '.join(words).decode()} ", [], 0
-        for phrase in run.candidates(sketch.value):
-            held.append(phrase.decode())
-            size += len(held[-1])
-            if size >= LETTERS:
-                yield counted(lang, text, held)
-                held, size = [], 0
-        if held:
-            yield counted(lang, text, held)
+def _scan(batches: Iterator[pa.RecordBatch], most: int, buckets: int, sketch) -> Iterator[pa.RecordBatch]:
+    """Parcels of the candidates of each run with their matches, and of the empty phrase with the run's words."""
+
+    def found() -> Iterator[tuple]:
+        for lang, words in runs(batches):
+            run = Run(lang, words, most)
+            yield from parcels(lang, [""], [0], run.whole[0].sum(keepdims=True), buckets)
+            text, held, hashes, size = f" {b' '.join(words).decode()} ", [], [], 0
+            for phrase, h in run.candidates(sketch.value):
+                held.append(phrase.decode())
+                hashes.append(h)
+                size += len(held[-1])
+                if size >= LETTERS:
+                    yield from parcels(lang, held, hashes, matches(text, held), buckets)
+                    held, hashes, size = [], [], 0
+            if held:
+                yield from parcels(lang, held, hashes, matches(text, held), buckets)
+
+    yield from emit(found(), PARCELS)
+
+
+def parcels(lang: str, phrases: list[str], hashes: list[int], n: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """(bucket, lang, phrases, counts): phrases are apart by line feeds, which none holds, and stay in their order, in which many begin like the one before."""
+    bucket = (np.array(hashes, dtype=U64) >> U64(32)) % U64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(bucket[order].astype(np.int64))) + 1):
+        yield int(bucket[own[0]]), lang, zstandard.compress("\n".join(phrases[k] for k in own.tolist()).encode(), 3), squeezed(n[own], "<i8")
+
 
+def unpacked(phrases: bytes, counts: bytes) -> pa.Table:
+    """(phrase, n) of a parcel."""
+    said, n = np.frombuffer(zstandard.decompress(phrases), np.uint8), opened(counts, "<i8")
+    ends = np.append(np.flatnonzero(said == ord("\n")), len(said)) - np.arange(len(n))
+    offsets = np.append(0, ends).astype(np.int32)
+    return pa.table({"phrase": pa.StringArray.from_buffers(len(n), pa.py_buffer(offsets.tobytes()), pa.py_buffer(said[said != ord("\n")].tobytes())), "n": n})
 
-def counted(lang: str, text: str, phrases: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([f"{lang}\n{p}" for p in phrases]), pa.array(matches(text, phrases))], schema=COUNTED)
+
+TOLD = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+
+
+def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The sums of each bucket and language, whose parcels follow each other: those of `least` and more, and the empty phrase's."""
+
+    def added(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("phrase", use_threads=False).aggregate([("n", "sum")]).rename_columns(["phrase", "n"])
+
+    def done(lang: str, held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        total = added(held)
+        total = total.filter(pc.or_(pc.greater_equal(total["n"], least), pc.equal(total["phrase"], "")))
+        yield from pa.table([pa.array([lang] * len(total), pa.string()), *total.columns], schema=TOLD).to_batches(20_000)
+
+    now, held, size, most = None, [], 0, OPENED
+    for bucket, lang, *own in rows(batches, "bucket", "lang", "phrases", "counts"):
+        if (bucket, lang) != now:
+            if held:
+                yield from done(now[1], held)
+            now, held, size, most = (bucket, lang), [], 0, OPENED
+        held.append(unpacked(*own))
+        size += len(held[-1])
+        if size > most:
+            held = [added(held)]
+            size, most = len(held[0]), len(held[0]) + OPENED
+    if held:
+        yield from done(now[1], held)
 
 
 def phrase_counts(docs: DataFrame, least: int = 10, most_words: int = 3, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -240,10 +293,9 @@ def phrase_counts(docs: DataFrame, least: int = 10, most_words: int = 3, lang_co
     partial = own.mapInArrow(thrifty(lambda it: _sketch(it, most_words, slots)), "segment long, low binary, high binary, n binary")
     merged = partial.repartition("segment").sortWithinPartitions("segment").mapInArrow(thrifty(lambda it: _merged(it, least, slots)), "segment long, often binary")
     sketch = spark.sparkContext.broadcast(Sketch(slots, [tuple(r) for r in merged.collect()]))
-    found = own.mapInArrow(thrifty(lambda it: _scan(it, most_words, sketch)), "key string, n long")
-    phrase = F.substring_index("key", "\n", -1)  # which has no line feed, whatever a language is called
-    told = found.groupBy("key").agg(F.sum("n").alias("n")).withColumn("phrase", phrase)
-    summed = told.select(F.expr("left(key, length(key) - length(phrase) - 1)").alias("lang"), "phrase", "n").where((F.col("n") >= least) | (F.col("phrase") == ""))
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)  # parcels compress worse the smaller they are
+    found = own.mapInArrow(thrifty(lambda it: _scan(it, most_words, buckets, sketch)), PARCEL_KINDS)
+    summed = found.repartition("bucket").sortWithinPartitions("bucket", "lang").mapInArrow(thrifty(lambda it: _summed(it, least)), "lang string, phrase string, n long")
     words = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.translate("phrase", " ", "")) + 1)
     return summed.select("lang", "phrase", words.cast("int").alias("words"), "n")
 
