@@ -1,8 +1,11 @@
 """Where operators once did less than the whole job."""
 
+import heapq
 import math
+import pickle
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from wayfold.llm import mixing, personal
@@ -65,3 +68,57 @@ def test_long_secrets_are_replaced_whole(spark):
     for r in personal.with_surrogates(docs, "k").collect():
         assert (r.pii_found, r.pii_kinds, len(r.text)) == (1, "login", len(texts[r.doc_id])) and r.text.endswith(" x")
         assert not any(secrets[r.doc_id][k : k + 20] in r.text for k in range(0, len(secrets[r.doc_id]) - 20))
+
+
+def test_neither_driver_nor_workers_get_words_or_tables_whole(spark):
+    texts = [" ".join(f"q{k}" for k in range(a, a + 1000)) for a in range(0, 50_000, 1000)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    model = mixing.train(docs, F.lit(False))
+    sent = pickle.dumps((model.vocabulary.value, model.tables, model.learned))
+    assert len(sent) < 50_000  # of 50,000 words; they and the tables are in files
+    voc = model.vocabulary.value
+    assert voc.counts.tolist() == [2] * 50_000 and (np.diff(voc.hashes.astype(float)) >= 0).all()
+    assert voc.of_words([b"q0", b"q1", b"q10", b"nowhere", b"q9999"]).tolist() == [0, 1, 2, voc.escape, 49_999]
+
+
+def test_codes_are_as_short_as_can_be(monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 5)
+    draw = random.Random(7)
+    for n in (0, 1, 2, 30, 200):
+        counts = sorted((int(draw.paretovariate(0.8)) + 1 for _ in range(n)), reverse=True) + [7, 3]
+        runs = sorted(((c, k, 1) for k, c in enumerate(counts)), key=lambda r: r[:2])
+        up, depth = np.zeros(2 * len(counts) - 1, dtype=np.uint32), np.zeros(len(counts), dtype=np.uint8)
+        mixing.huffman(runs, up, depth)
+        heap, least = list(counts), 0
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            two = heapq.heappop(heap) + heapq.heappop(heap)
+            least += two
+            heapq.heappush(heap, two)
+        assert sum(c * int(d) for c, d in zip(counts, depth)) == least
+        grouped = [(c, counts.index(c), counts.count(c)) for c in sorted(set(counts[:n]) - {7, 3})]
+        if n and sum(m for _, _, m in grouped) == n:  # a run at a time gives the same
+            again, size = np.zeros_like(up), np.zeros_like(depth)
+            mixing.huffman(sorted([*grouped, (7, n, 1), (3, n + 1, 1)], key=lambda r: r[:2]), again, size)
+            assert (again == up).all() and (size == depth).all()
+
+
+def test_slots_of_tables_beyond_32_bits():
+    context, node = np.arange(1000, dtype=np.uint32), np.arange(1000, dtype=np.uint32) * np.uint32(77)
+    slots = mixing.Contexts((33,), (0, 0)).slots(0, context, node)
+    assert slots.min() >= 0 and (1 << 32) < slots.max() < 1 << 33 and len(np.unique(slots)) == 1000
+
+
+def test_counts_are_told_alike_with_and_without_times():
+    draw = np.random.default_rng(1)
+    contexts = mixing.Contexts((16, 20, 33), (0, 1))
+    slots, bits = [draw.integers(0, 1 << s, 3000) // 50 * 50 for s in contexts.sizes], draw.integers(0, 2, 3000).astype(np.int8)
+    times = draw.integers(1, 5, 3000)
+    found = []
+    for rows, n in ((np.arange(3000), times), (np.repeat(np.arange(3000), times), None)):
+        told = mixing.Told(contexts, 0)
+        assert list(told.add(mixing.Decisions([s[rows] for s in slots], bits[rows], rows), n)) == []
+        found.append(list(told.given()))
+    assert found[0] == found[1] and sum(mixing.opened(c, "<i8").sum() for *_, c in found[0]) == 3 * times.sum()
+    told = mixing.Told(contexts, 0)
+    assert list(told.add(mixing.Decisions(slots, bits, np.arange(3000)), times * 0)) == [] and not any(mixing.opened(c, "<i8").any() for *_, c in told.given())

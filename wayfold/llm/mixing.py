@@ -15,24 +15,30 @@ contexts' decisions, in hashed tables sized from the counted tokens and words.
 the adaptive map come from some of them, which the tables leave out meanwhile,
 so that they are learned on decisions that the tables have not seen; then the
 tables get these documents' counts too.
+
+Vocabulary and tables are files in the shared folder, each written in place by
+the tasks that sum its parts; a worker maps them and reads the pages it needs.
+Neither the driver nor a worker holds any of them whole.
 """
 
 from __future__ import annotations
 
-import zlib
-from array import array
-from collections import Counter
+import os
+import uuid
+from collections import Counter, deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm.words import U64, emit, mixed, opened, rows, squeezed, thrifty, word_hashes
-from wayfold.sources.shared import keep
+from wayfold.sources.shared import discard, keep, shared_dir
 
 U32 = np.uint32
 #: The common words that tell the language.
@@ -40,40 +46,84 @@ COMMON = 64
 #: Training documents with this remainder of crc32 modulo 7 fit the weights.
 FIT = 3
 #: Tables are added up in segments, of 2**16 slots or 512 a table; decisions that a task holds before it sends their counts.
-SEGMENT, HELD = 16, 12_000_000
+SEGMENT, HELD = 16, 8_000_000
 #: Tokens that are worked on at once, decisions after which a document's weights and map move, and how far each decision moves them.
 TOKENS, SLICE, STEP, MAP_STEP = 32_000, 256, 0.002, 0.02
 #: How fast the weights are learned.
 RATE = 0.5
 GATES, LEVELS = 16, 33
+#: Words are sorted by hash in buckets of the first ten bits; numbers that are written or looked up at once.
+BUCKET, CHUNK = 10, 1 << 20
+
+
+def model_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, for files that all workers map."""
+    scheme, _, path = shared_dir(spark).rpartition(":")
+    if scheme not in ("", "file"):
+        raise ValueError("vocabulary and tables are mapped files: set spark.checkpoint.dir to a folder that all executors have mounted")
+    os.makedirs(path := f"/{path.lstrip('/')}/mixing-{uuid.uuid4().hex}")
+    return path
+
+
+def blank(path: str, kind: str, n: int) -> np.ndarray:
+    """A new file of `n` zeros, to be written in place."""
+    with open(path, "wb") as f:
+        f.truncate(n * np.dtype(kind).itemsize)
+    return np.memmap(path, kind, "r+") if n else np.zeros(0, kind)
 
 
-def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(up, depth): what is above symbol k, or above decision d at n + d, as twice the decision's number and the bit; the length of each code.
+def mapped(path: str, kind: str) -> np.ndarray:
+    """A file's numbers, whose pages are read when they are looked at."""
+    return np.asarray(np.memmap(path, kind, "r")) if os.path.getsize(path) else np.zeros(0, kind)
+
+
+def put(path: str, at: int, numbers: np.ndarray) -> None:
+    """Writes numbers into a file from number `at` on; a task that runs twice writes the same."""
+    with open(path, "r+b") as f:
+        f.seek(at * numbers.itemsize)
+        f.write(numbers.tobytes())
+
+
+def huffman(runs: list[tuple[int, int, int]], up: np.ndarray, depth: np.ndarray) -> None:
+    """From (count, first symbol, number of symbols) by rising counts: what is above symbol k, or above decision d at n + d, as twice the decision's number and the bit; the length of each code.
 
     Decision 0 is the first, and a decision's number is larger than that of the one above.
+    Symbols of one count are paired a run at a time.
     """
-    n = len(counts)
-    order = np.argsort(counts, kind="stable")
-    leaves, inner, up = array("q", np.maximum(counts[order], 1).astype("<i8").tobytes()), array("q"), array("Q", bytes(8 * (2 * n - 1)))
-    own = array("q", order.astype("<i8").tobytes())
-    a = b = 0
-    for k in range(n - 1):  # the two smallest are at the heads of two ascending queues
-        total = 0
-        for bit in (0, 1):
-            if b >= len(inner) or (a < n and leaves[a] <= inner[b]):
-                total, at, a = total + leaves[a], own[a], a + 1
-            else:
-                total, at, b = total + inner[b], n + n - 2 - b, b + 1
-            up[at] = (n - 2 - k) * 2 + bit
-        inner.append(total)
-    ups = np.frombuffer(up, dtype=U64).astype(U32)
-    depth, symbol, at = np.zeros(n, dtype=np.uint8), np.arange(n), np.arange(n)
-    while n > 1 and len(at):
-        depth[symbol] += 1
-        at = (ups[at] >> U32(1)).astype(np.intp)
-        symbol, at = symbol[at > 0], n + at[at > 0]
-    return ups, depth
+    n = len(depth)
+    leaves, inner = deque([max(w, 1), a, m] for w, a, m in runs), deque()
+    k, odd = 0, None  # the next pair; the node of the run before that has no partner there
+
+    def above(nodes: np.ndarray, pairs: np.ndarray, bit: int) -> None:
+        up[nodes] = (n - 2 - pairs) * 2 + bit
+
+    while k < n - 1:  # the two smallest are at the heads of two ascending queues
+        own = leaves if not inner or (leaves and leaves[0][0] <= inner[0][0]) else inner
+        w, a, m = own[0]
+        node = (lambda x: x) if own is leaves else (lambda x: 2 * n - 2 - x)
+        if odd:
+            above(np.array([odd[1], node(a)]), np.array([k, k]), np.array([0, 1]))
+            inner.append([odd[0] + w, k, 1])
+            k, odd, a, m = k + 1, None, a + 1, m - 1
+        elif m > 1:
+            for x in range(0, m // 2, CHUNK):
+                j = np.arange(x, min(x + CHUNK, m // 2))
+                for bit in (0, 1):
+                    above(node(a + 2 * j + bit), k + j, bit)
+            inner.append([2 * w, k, m // 2])
+            k, a, m = k + m // 2, a + m // 2 * 2, m % 2
+        else:
+            odd, m = (w, node(a)), 0
+        if m:
+            own[0] = [w, a, m]
+        else:
+            own.popleft()
+    for x in range(0, n if n > 1 else 0, CHUNK):
+        symbol = at = np.arange(x, min(x + CHUNK, n))
+        while len(at):
+            depth[symbol] += 1
+            at = (up[at] >> U32(1)).astype(np.intp)
+            symbol, at = symbol[at > 0], n + at[at > 0]
 
 
 class Contexts:
@@ -84,6 +134,8 @@ class Contexts:
 
     def slots(self, k: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
         """Hashed from context and node, both unsigned 32-bit."""
+        if self.sizes[k] > 32:
+            return (mixed((context.astype(U64) << U64(32)) | node) >> U64(64 - self.sizes[k])).astype(np.intp)
         h = node * U32(0x9E3779B1)
         h += context
         h ^= h >> U32(15)
@@ -184,29 +236,31 @@ def packed(counts: np.ndarray) -> np.ndarray:
     return (np.rint(odds * 512).astype("<i2") << 2) | np.searchsorted([1, 3, 16], n0 + n1, side="right").astype("<i2")
 
 
-@dataclass
 class Tables:
-    """The merged tables of one mixer, as compressed segments until a worker unfolds them."""
+    """The merged tables of one mixer, in files."""
 
-    contexts: Contexts
-    segments: list[dict[int, bytes]]
+    def __init__(self, contexts: Contexts, paths: list[str]) -> None:
+        self.contexts, self.paths = contexts, paths
 
-    def ready(self) -> Tables:
-        if not hasattr(self, "slots"):
-            self.slots = [np.zeros(1 << s, dtype="<i2") for s in self.contexts.sizes]
-            for t, s, parts in zip(self.slots, self.contexts.sizes, self.segments, strict=True):
-                for k, data in parts.items():
-                    got = np.frombuffer(zlib.decompress(data), "<i2")
-                    t[k << segment_bits(s) :][: len(got)] = got
-            self.segments = []
-        return self
+    @property
+    def slots(self) -> list[np.ndarray]:
+        return [mapped(p, "<i2") for p in self.paths]
+
+    @classmethod
+    def blank(cls, folder: str, name: str, *kinds: Contexts) -> list[Tables]:
+        sizes = [s for contexts in kinds for s in contexts.sizes]
+        paths = [f"{folder}/{name}-{k}" for k in range(len(sizes))]
+        for path, size in zip(paths, sizes, strict=True):
+            blank(path, "<i2", 1 << size)
+        return [cls(contexts, [paths.pop(0) for _ in contexts.sizes]) for contexts in kinds]
 
 
 @dataclass
 class Mixer:
     """Tables, the weights of each gate and the adaptive map."""
 
-    tables: Tables
+    contexts: Contexts
+    slots: list[np.ndarray]
     weights: np.ndarray
     map: np.ndarray
 
@@ -214,11 +268,11 @@ class Mixer:
     def of(cls, tables: Tables) -> Mixer:
         """As it is before it has learned: equal weights."""
         n = len(tables.contexts.sizes)
-        return cls(tables, np.full((GATES, n), 1.2 / n, dtype=np.float32), settled(np.zeros((GATES, LEVELS, 2))))
+        return cls(tables.contexts, tables.slots, np.full((GATES, n), 1.2 / n, dtype=np.float32), settled(np.zeros((GATES, LEVELS, 2))))
 
     def inputs(self, d: Decisions) -> tuple[list[np.ndarray], np.ndarray]:
-        raw = [t[s] for t, s in zip(self.tables.slots, d.slots, strict=True)]
-        a, b = (raw[g] & 3 for g in self.tables.contexts.gates)
+        raw = [t[s] for t, s in zip(self.slots, d.slots, strict=True)]
+        a, b = (raw[g] & 3 for g in self.contexts.gates)
         return [(r >> 2).astype(np.float32) * np.float32(1 / 512) for r in raw], (a * 4 + b).astype(np.uint8)
 
     def mixes(self, xs: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
@@ -313,14 +367,22 @@ class Told:
                 continue
             keys = np.concatenate(own)
             own.clear()
-            if times is None:
-                keys.sort()
+            if times is not None and self.contexts.sizes[k] <= 18:
+                total = np.bincount(keys, times)
+                keys = np.flatnonzero(total)
+                n = total[keys].astype(np.int64)
+                if not len(keys):  # all were told no times
+                    continue
             else:
-                order = np.argsort(keys, kind="stable")
-                keys = keys[order]
-            starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
-            n = np.diff(np.append(starts, len(keys))) if times is None else np.add.reduceat(times[order], starts)
-            keys = keys[starts].astype(np.int64)
+                if times is None:
+                    keys.sort()
+                else:  # numbers are sorted faster than places of numbers
+                    each = (keys.astype(U64) << U64(31)) | np.arange(len(keys), dtype=U64) if self.contexts.sizes[k] <= 32 else None
+                    order = np.argsort(keys) if each is None else (np.sort(each) & U64((1 << 31) - 1)).astype(np.intp)
+                    keys = keys[order]
+                starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+                n = np.diff(np.append(starts, len(keys))) if times is None else np.add.reduceat(times[order], starts)
+                keys = keys[starts].astype(np.int64)
             wide = segment_bits(self.contexts.sizes[k]) + 1
             segment = keys >> wide
             cuts = [0, *(np.flatnonzero(segment[1:] != segment[:-1]) + 1).tolist(), len(keys)]
@@ -334,40 +396,33 @@ PARTS = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("keys", pa.bi
 PART_KINDS = "part int, segment int, keys binary, counts binary"
 
 
-def by_segment(parts: DataFrame, sizes: list[int], told) -> DataFrame:
-    """told(counts) -> (keys, counts) of the sums of each segment."""
+def by_segment(parts: DataFrame, tables: list[Tables], hand_on: bool) -> DataFrame:
+    """Adds the counts of each segment and writes it, packed, into its table; `hand_on` gives the sums as parts again, else none."""
+    sizes, paths = [s for t in tables for s in t.contexts.sizes], [p for t in tables for p in t.paths]
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(part: int, segment: int, total: np.ndarray) -> Iterator[tuple]:
+            put(paths[part], segment << segment_bits(sizes[part]), packed(total))
+            if hand_on:
+                at = np.flatnonzero(total)
+                yield part, segment, squeezed(np.diff(at, prepend=0), "<u4"), squeezed(total[at], "<i8")
+
         def found() -> Iterator[tuple]:
             key, total = None, np.zeros(0)
             for part, segment, keys, counts in rows(batches, "part", "segment", "keys", "counts"):
                 if (part, segment) != key:
                     if key:
-                        yield *key, *told(total)
+                        yield from done(*key, total)
                     key, total = (part, segment), np.zeros(2 << min(segment_bits(sizes[part]), sizes[part]), dtype=np.int64)
                 total[np.cumsum(opened(keys, "<u4"), dtype=np.int64)] += opened(counts, "<i8")
             if key:
-                yield *key, *told(total)
+                yield from done(*key, total)
 
         yield from emit(found(), PARTS)
 
     return parts.repartition("part", "segment").sortWithinPartitions("part", "segment").mapInArrow(thrifty(added), PART_KINDS)
 
 
-def summed(total: np.ndarray) -> tuple[bytes, bytes]:
-    at = np.flatnonzero(total)
-    return squeezed(np.diff(at, prepend=0), "<u4"), squeezed(total[at], "<i8")
-
-
-def merged(parts: DataFrame, *kinds: Contexts) -> list[Tables]:
-    """Tables of what was told, packed by segment; the driver gets the compressed segments only."""
-    sizes = [s for contexts in kinds for s in contexts.sizes]
-    flat: list[dict[int, bytes]] = [{} for _ in sizes]
-    for part, segment, _, data in by_segment(parts, sizes, lambda total: (b"", zlib.compress(packed(total).tobytes(), 1))).toLocalIterator():
-        flat[part][segment] = bytes(data)
-    return [Tables(contexts, [flat.pop(0) for _ in contexts.sizes]) for contexts in kinds]
-
-
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
@@ -385,31 +440,100 @@ def in_chunks(found: Iterator[tuple], at_most: int = TOKENS) -> Iterator[list[tu
         yield held
 
 
-@dataclass
 class Vocabulary:
-    """Words by 64-bit hash, ascending, their symbols and their codes; symbols are numbered by falling counts, then the end and the escape."""
+    """Files of the words by 64-bit hash, ascending, their symbols and their codes; symbols are numbered by falling counts, then the end and the escape.
+
+    Words of equal counts go by their letters, so that like words are near in the code.
+    """
+
+    FILES = {"hashes": "<u8", "symbol": "<i8", "counts": "<i8", "up": "<u4", "depth": "u1"}
+
+    def __init__(self, folder: str, n: int, end_count: int, total: int, distinct: int) -> None:
+        self.folder, self.n, self.end_count, self.total, self.distinct = folder, n, end_count, total, distinct
 
-    hashes: np.ndarray
-    symbol: np.ndarray
-    counts: np.ndarray
-    code: tuple[np.ndarray, np.ndarray]
-    end_count: int
-    total: int
-    distinct: int
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k not in ("counts", "hashes", "symbol", "code")}
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return self.opened("hashes")
+
+    @cached_property
+    def symbol(self) -> np.ndarray:
+        return self.opened("symbol")
+
+    @cached_property
+    def counts(self) -> np.ndarray:
+        return self.opened("counts")
+
+    def opened(self, name: str) -> np.ndarray:
+        return mapped(f"{self.folder}/{name}", self.FILES[name])
+
+    @cached_property
+    def code(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.opened("up"), self.opened("depth")
 
     @classmethod
-    def of(cls, hashes: np.ndarray, counts: np.ndarray, end_count: int, escape_count: int, total: int, distinct: int) -> Vocabulary:
-        """From words by falling counts; those of equal counts by their letters, so that like words are near in the code."""
-        ascending = np.argsort(hashes)
-        return cls(hashes[ascending], ascending.astype(np.int32), counts, huffman(np.append(counts, [end_count, escape_count])), end_count, total, distinct)
+    def of(cls, words: DataFrame, folder: str, end_count: int, escape_count: int, total: int, distinct: int) -> Vocabulary:
+        """From (word, n).  The driver sees how many words have each count, and how many are in each bucket of hashes and partition."""
+
+        def hashed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            place, k = TaskContext.get().partitionId(), 0
+            for batch in batches:
+                h, m = word_hashes(batch.column(0).to_pylist()), batch.num_rows
+                columns = np.full(m, place), np.arange(k, k + m), (h >> U64(64 - BUCKET)).astype(np.int64), h.view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["place", "k", "bucket", "hash"])
+                k += m
+
+        sizes = sorted(((int(n), int(m)) for n, m in words.groupBy("n").count().collect()), reverse=True)
+        n = sum(m for _, m in sizes)
+        own = {name: blank(f"{folder}/{name}", kind, 2 * n + 3 if name == "up" else n + 2 if name == "depth" else n) for name, kind in cls.FILES.items()}
+        firsts, runs = [0, *accumulate(m for _, m in sizes)], []
+        for first, (count, m) in zip(firsts, sizes, strict=False):
+            own["counts"][first : first + m] = count
+            runs.append((count, first, m))
+        huffman(sorted([*runs, (end_count, n, 1), (escape_count, n + 1, 1)], key=lambda r: (max(r[0], 1), r[1])), own["up"], own["depth"])
+        for written in own.values():
+            if isinstance(written, np.memmap):
+                written.flush()
+        if n:
+            ranked = keep(words.select("word", "n").orderBy(F.desc("n"), "word").select("word").mapInArrow(thrifty(hashed_words), "place long, k long, bucket long, hash long"), "ranked")
+            starts = {}
+            for key in ("place", "bucket"):
+                found = sorted((int(x), int(m)) for x, m in ranked.groupBy(key).count().collect())
+                starts[key] = dict(zip((x for x, _ in found), accumulate((m for _, m in found), initial=0), strict=False))
+
+            def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                at = dict(starts["bucket"])
+                for batch in batches:
+                    place, k, bucket, h = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                    symbol = k + np.array([starts["place"][x] for x in place.tolist()], dtype=np.int64)
+                    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+                    for a, b in zip(cuts, cuts[1:]):
+                        if b > a:
+                            put(f"{folder}/hashes", at[bucket[a]], h[a:b])
+                            put(f"{folder}/symbol", at[bucket[a]], symbol[a:b])
+                            at[bucket[a]] += b - a
+                    yield batch.slice(0, 0)
+
+            ranked.repartition("bucket").sortWithinPartitions("bucket", "hash").mapInArrow(thrifty(placed), ranked.schema).count()
+            discard(ranked)
+        return cls(folder, n, end_count, total, distinct)
 
     @property
     def end(self) -> int:
-        return len(self.counts)
+        return self.n
 
     @property
     def escape(self) -> int:
-        return len(self.counts) + 1
+        return self.n + 1
+
+    def counted(self, symbols: np.ndarray) -> np.ndarray:
+        """How often each was read; the escape never was."""
+        found = np.where(symbols == self.end, self.end_count, 0)
+        inside = symbols < self.n
+        found[inside] = self.counts[symbols[inside]]
+        return found
 
     def of_words(self, words: list[bytes]) -> np.ndarray:
         h = word_hashes(words)
@@ -448,20 +572,20 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(thrifty(counted), "word binary, n long, told long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("told").alias("told"))
 
 
-def _weights(texts: DataFrame, vocabulary, shipped) -> list[tuple[np.ndarray, np.ndarray]]:
+def _weights(texts: DataFrame, vocabulary, tables: list[Tables]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Weights and adaptive map of each mixer, learned by each task and averaged by decisions."""
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary.value
-        mixers = [Mixer.of(t.ready()) for t in shipped.value]
+        mixers = [Mixer.of(t) for t in tables]
         told = [np.zeros((GATES, LEVELS, 2), dtype=np.int64) for _ in mixers]
         for held in in_chunks((tokens(t),) for (t,) in rows(batches, "text")):
             words = [h[0] for h in held]
             symbols, lengths = voc.symbols(words)
-            mixers[0].learn(word_decisions(mixers[0].tables.contexts, symbols, lengths, voc.code), told[0], RATE)
+            mixers[0].learn(word_decisions(mixers[0].contexts, symbols, lengths, voc.code), told[0], RATE)
             every = [w for ws in words for w in (*ws, b"")]
             if rare := [every[k] for k in np.flatnonzero(symbols == voc.escape).tolist()]:
-                mixers[1].learn(byte_decisions(mixers[1].tables.contexts, rare), told[1], RATE)
+                mixers[1].learn(byte_decisions(mixers[1].contexts, rare), told[1], RATE)
         data = [(k, int(t.sum()), m.weights.astype("<f4").tobytes(), t.astype("<i8").tobytes()) for k, (m, t) in enumerate(zip(mixers, told, strict=True)) if t.sum()]
         yield from emit(iter(data), pa.schema([("mixer", pa.int32()), ("n", pa.int64()), ("weights", pa.binary()), ("told", pa.binary())]))
 
@@ -485,7 +609,7 @@ def _weights(texts: DataFrame, vocabulary, shipped) -> list[tuple[np.ndarray, np
         at[1] = at[1] + n * np.frombuffer(bytes(w), "<f4").astype(np.float64)
         at[2] = at[2] + np.frombuffer(bytes(t), "<i8")
     out = []
-    for k, contexts in enumerate(t.contexts for t in shipped.value):
+    for k, contexts in enumerate(t.contexts for t in tables):
         n, w, t = found.get(k, (0, 0, 0))
         shape = (GATES, len(contexts.sizes))
         weights = (w / n).astype(np.float32).reshape(shape) if n else np.full(shape, 1.2 / shape[1], dtype=np.float32)
@@ -496,7 +620,7 @@ def _weights(texts: DataFrame, vocabulary, shipped) -> list[tuple[np.ndarray, np
 @dataclass
 class Model:
     vocabulary: object
-    tables: object
+    tables: list[Tables]
     learned: list[tuple[np.ndarray, np.ndarray]]
     counts: DataFrame
 
@@ -507,19 +631,12 @@ def train(docs: DataFrame, fit: Column, text_col: str = "text") -> Model:
     own = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(fit, F.lit(False)).alias("fit"))
     counts = keep(word_counts(own), "counts")
     n_docs = own.count()
-    known_words, schema = counts.where("n > 1").orderBy(F.desc("n"), "word"), pa.schema([("hashes", pa.binary()), ("counts", pa.binary())])
-
-    def hashed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column(1).to_numpy(zero_copy_only=False)
-            yield from emit(iter([(word_hashes(batch.column(0).to_pylist()).astype("<u8").tobytes(), n.astype("<i8").tobytes())]), schema)
-
-    blobs = [(bytes(h), bytes(n)) for h, n in known_words.select("word", "n").mapInArrow(thrifty(hashed_words), "hashes binary, counts binary").toLocalIterator()]
-    known = np.frombuffer(b"".join(n for _, n in blobs), "<i8")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    voc = Vocabulary.of(np.frombuffer(b"".join(h for h, _ in blobs), "<u8"), known, n_docs, int(total - known.sum()), int(total + n_docs), int(distinct + (n_docs > 0)))
+    known, n_known = counts.where("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    folder = model_folder(spark)
+    voc = Vocabulary.of(counts.where("n > 1"), folder, n_docs, int(total - known), int(total + n_docs), int(distinct + (n_docs > 0)))
     vocabulary = spark.sparkContext.broadcast(voc)
-    kinds = by_word, by_byte = sized(int(total + n_docs), int(distinct), len(known))
+    kinds = by_word, by_byte = sized(int(total + n_docs), int(distinct), int(n_known))
 
     def words_told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, told = vocabulary.value, Told(by_word, 0)
@@ -544,11 +661,15 @@ def train(docs: DataFrame, fit: Column, text_col: str = "text") -> Model:
         texts = own.where("fit" if fit else "not fit").select("text")
         return texts.mapInArrow(thrifty(words_told), PART_KINDS).unionByName(words.mapInArrow(thrifty(bytes_told), PART_KINDS))
 
-    first = keep(by_segment(parts(False), [*by_word.sizes, *by_byte.sizes], summed), "told")
-    shipped = spark.sparkContext.broadcast(merged(first, *kinds))
-    learned = _weights(own.where("fit").select("text"), vocabulary, shipped)
-    shipped.destroy()
-    return Model(vocabulary, spark.sparkContext.broadcast(merged(first.unionByName(parts(True)), *kinds)), learned, counts)
+    tables = Tables.blank(folder, "first", *kinds)
+    first = keep(by_segment(parts(False), tables, hand_on=True), "told")
+    learned = _weights(own.where("fit").select("text"), vocabulary, tables)
+    for path in (p for t in tables for p in t.paths):
+        os.remove(path)
+    tables = Tables.blank(folder, "table", *kinds)
+    by_segment(first.unionByName(parts(True)), tables, hand_on=False).count()
+    discard(first)
+    return Model(vocabulary, tables, learned, counts)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -567,9 +688,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary.value
-        by_word, by_byte = (Mixer(t.ready(), w, m) for t, (w, m) in zip(tables.value, learned, strict=True))
-        logs = np.log10(np.append(voc.counts, [voc.end_count, -1]) + 1.0, where=np.arange(voc.escape + 1) < voc.escape, out=np.zeros(voc.escape + 1))
-        known = np.append(voc.counts > 0, [voc.end_count > 0, False])
+        by_word, by_byte = (Mixer(t.contexts, t.slots, w, m) for t, (w, m) in zip(tables, learned, strict=True))
         row = TaskContext.get().partitionId() << 33
 
         def found() -> Iterator[tuple]:
@@ -577,18 +696,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for held in in_chunks((tokens(t), d, len((t or "").encode())) for d, t in rows(batches, "doc_id", "text")):
                 words = [h[0] for h in held]
                 symbols, lengths = voc.symbols(words)
-                nats = by_word.costs(word_decisions(by_word.tables.contexts, symbols, lengths, voc.code), len(held))
+                nats = by_word.costs(word_decisions(by_word.contexts, symbols, lengths, voc.code), len(held))
                 starts = np.cumsum(lengths) - lengths
                 doc = np.repeat(np.arange(len(held)), lengths)
-                base = np.bincount(doc, logs[symbols], len(held))
-                common = np.bincount(doc, known[symbols], len(held))
+                counts = voc.counted(symbols)
+                base = np.bincount(doc, np.log10(counts + 1.0), len(held))
+                common = np.bincount(doc, counts > 0, len(held))
                 rare: list[Counter] = [Counter() for _ in held]
                 escapes = np.nonzero(symbols == voc.escape)[0]
                 unknown = [words[doc[at]][at - starts[doc[at]]] for at in escapes.tolist()]
                 for k, w in zip(doc[escapes].tolist(), unknown, strict=True):
                     rare[k][w] += 1
                 if unknown:
-                    spelled = byte_decisions(by_byte.tables.contexts, unknown)
+                    spelled = byte_decisions(by_byte.contexts, unknown)
                     spelled.row = doc[escapes][spelled.row]
                     nats += by_byte.costs(spelled, len(held))
                 for k, (ws, d, size) in enumerate(held):

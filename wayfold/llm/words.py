@@ -80,13 +80,17 @@ def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words) if not seed else (xxhash.xxh64_intdigest(w, seed) for w in words), dtype=U64, count=len(words))
 
 
+#: Making one costs more than a small cell.
+SQUEEZE, OPEN = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def squeezed(numbers: np.ndarray, kind: str) -> bytes:
     """Numbers by byte planes, of which all but the lowest are nearly empty."""
-    return zstandard.compress(numbers.astype(kind).view(np.uint8).reshape(len(numbers), -1).T.tobytes(), 1)
+    return SQUEEZE.compress(np.ascontiguousarray(numbers.astype(kind).view(np.uint8).reshape(len(numbers), -1).T))
 
 
 def opened(data: bytes, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(OPEN.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
