@@ -122,3 +122,16 @@ def test_counts_are_told_alike_with_and_without_times():
     assert found[0] == found[1] and sum(mixing.opened(c, "<i8").sum() for *_, c in found[0]) == 3 * times.sum()
     told = mixing.Told(contexts, 0)
     assert list(told.add(mixing.Decisions(slots, bits, np.arange(3000)), times * 0)) == [] and not any(mixing.opened(c, "<i8").any() for *_, c in told.given())
+
+
+def test_a_task_adds_its_counts_before_it_sends_them(monkeypatch):
+    monkeypatch.setattr(mixing, "HELD", 1000)
+    draw = np.random.default_rng(2)
+    contexts = mixing.Contexts((16, 28), (0, 1))
+    slots, bits = [draw.integers(0, 1 << s, 500) for s in contexts.sizes], draw.integers(0, 2, 500).astype(np.int8)
+    once, often = mixing.Told(contexts, 3), mixing.Told(contexts, 3)
+    assert list(once.add(mixing.Decisions(slots, bits, np.arange(500)))) == []
+    for _ in range(9):
+        assert list(often.add(mixing.Decisions(slots, bits, np.arange(500)))) == []
+    few, many = ({r[:2]: [mixing.opened(b, kind).tolist() for b, kind in zip(r[2:], ("<u4", "<i8"))] for r in t.given()} for t in (once, often))
+    assert {k: [keys, [9 * n for n in counts]] for k, (keys, counts) in few.items()} == many

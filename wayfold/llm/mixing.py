@@ -45,8 +45,8 @@ U32 = np.uint32
 COMMON = 64
 #: Training documents with this remainder of crc32 modulo 7 fit the weights.
 FIT = 3
-#: Tables are added up in segments, of 2**16 slots or 512 a table; decisions that a task holds before it sends their counts.
-SEGMENT, HELD = 16, 8_000_000
+#: Tables are added up in segments, of 2**16 slots or 512 a table; decisions that a task holds before it counts them, and bytes of counts before it adds and sends them.
+SEGMENT, HELD, KEPT = 16, 4_000_000, 48 << 20
 #: Tokens that are worked on at once, decisions after which a document's weights and map move, and how far each decision moves them.
 TOKENS, SLICE, STEP, MAP_STEP = 32_000, 256, 0.002, 0.02
 #: How fast the weights are learned.
@@ -350,6 +350,8 @@ class Told:
         self.contexts, self.first, self.n = contexts, first, 0
         self.keys: list[list[np.ndarray]] = [[] for _ in contexts.sizes]
         self.times: list[np.ndarray] = []
+        self.kept: dict[tuple[int, int], list[tuple[bytes, bytes]]] = {}
+        self.size = 0
 
     def add(self, d: Decisions, times: np.ndarray | None = None) -> Iterator[tuple]:
         for own, slots, size in zip(self.keys, d.slots, self.contexts.sizes, strict=True):
@@ -358,9 +360,35 @@ class Told:
             self.times.append(times)
         self.n += len(d.bits)
         if self.n > (HELD if times is None else HELD // 2):
+            self.fold()
+        if self.size > KEPT:
             yield from self.given()
 
+    def fold(self) -> None:
+        """Keeps the counts of the decisions held, squeezed."""
+        for part, segment, *own in self.counted():
+            self.kept.setdefault((part, segment), []).append(tuple(own))
+            self.size += sum(map(len, own))
+
     def given(self) -> Iterator[tuple]:
+        """(part, segment, keys, counts), each segment's counts added up."""
+        self.fold()
+        for (part, segment), own in self.kept.items():
+            if len(own) > 1:
+                keys = np.concatenate([np.cumsum(opened(k, "<u4"), dtype=np.int64) for k, _ in own])
+                n = np.concatenate([opened(c, "<i8") for _, c in own])
+                if segment_bits(self.contexts.sizes[part - self.first]) < 18:
+                    total = np.bincount(keys, n)
+                    keys = np.flatnonzero(total)
+                    n = total[keys].astype(np.int64)
+                else:
+                    keys, place = np.unique(keys, return_inverse=True)
+                    n = np.bincount(place, n).astype(np.int64)
+                own = [(squeezed(np.diff(keys, prepend=0), "<u4"), squeezed(n, "<i8"))] if len(keys) else []
+            yield from ((part, segment, *x) for x in own)
+        self.kept, self.size = {}, 0
+
+    def counted(self) -> Iterator[tuple]:
         times = np.concatenate(self.times) if self.times else None
         for k, own in enumerate(self.keys):
             if not own:
