@@ -2,8 +2,11 @@
 
 import heapq
 import math
+import os
 import pickle
 import random
+import subprocess
+import sys
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -135,3 +138,27 @@ def test_a_task_adds_its_counts_before_it_sends_them(monkeypatch):
         assert list(often.add(mixing.Decisions(slots, bits, np.arange(500)))) == []
     few, many = ({r[:2]: [mixing.opened(b, kind).tolist() for b, kind in zip(r[2:], ("<u4", "<i8"))] for r in t.given()} for t in (once, often))
     assert {k: [keys, [9 * n for n in counts]] for k, (keys, counts) in few.items()} == many
+
+
+HOLDS = """
+import numpy as np
+from wayfold.llm import mixing
+
+def held():
+    return int(next(x for x in open("/proc/self/status") if x.startswith("RssAnon")).split()[1]) / 1024 - told.size / 2**20
+
+draw, contexts, first = np.random.default_rng(1), mixing.Contexts((20, 24, 24, 23), (1, 2)), 0
+told = mixing.Told(contexts, 0)
+for _ in range(80):
+    n = int(draw.integers(300_000, 600_000))
+    slots = [(draw.random(n) ** 6 * (1 << size)).astype(np.intp) for size in contexts.sizes]
+    assert not list(told.add(mixing.Decisions(slots, draw.integers(0, 2, n).astype(np.int8), np.zeros(n, np.intp))))
+    first = first or (held() if told.size else 0)
+print(held() - first)
+"""
+
+
+def test_kept_counts_leave_a_workers_memory_usable():
+    """MB by which a worker grows beyond the counts that it keeps, from the first that it keeps to the last."""
+    said = subprocess.run([sys.executable, "-c", HOLDS], env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)}, capture_output=True, text=True, check=True)
+    assert float(said.stdout) < 180

@@ -350,7 +350,7 @@ class Told:
         self.contexts, self.first, self.n = contexts, first, 0
         self.keys: list[list[np.ndarray]] = [[] for _ in contexts.sizes]
         self.times: list[np.ndarray] = []
-        self.kept: dict[tuple[int, int], list[tuple[bytes, bytes]]] = {}
+        self.kept: dict[tuple[int, int], list[tuple[memoryview, memoryview]]] = {}
         self.size = 0
 
     def add(self, d: Decisions, times: np.ndarray | None = None) -> Iterator[tuple]:
@@ -365,10 +365,14 @@ class Told:
             yield from self.given()
 
     def fold(self) -> None:
-        """Keeps the counts of the decisions held, squeezed."""
-        for part, segment, *own in self.counted():
-            self.kept.setdefault((part, segment), []).append(tuple(own))
-            self.size += sum(map(len, own))
+        """Keeps the counts of the decisions held, squeezed, all in one piece: thousands of small ones between large arrays keep the memory around them from being used again."""
+        found = list(self.counted())
+        whole, at = memoryview(b"".join(x for row in found for x in row[2:])), 0
+        for part, segment, keys, n in found:
+            end = at + len(keys) + len(n)
+            self.kept.setdefault((part, segment), []).append((whole[at : at + len(keys)], whole[at + len(keys) : end]))
+            at = end
+        self.size += at
 
     def given(self) -> Iterator[tuple]:
         """(part, segment, keys, counts), each segment's counts added up."""
@@ -385,7 +389,7 @@ class Told:
                     keys, place = np.unique(keys, return_inverse=True)
                     n = np.bincount(place, n).astype(np.int64)
                 own = [(squeezed(np.diff(keys, prepend=0), "<u4"), squeezed(n, "<i8"))] if len(keys) else []
-            yield from ((part, segment, *x) for x in own)
+            yield from ((part, segment, *map(bytes, x)) for x in own)
         self.kept, self.size = {}, 0
 
     def counted(self) -> Iterator[tuple]:
