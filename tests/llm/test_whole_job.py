@@ -162,3 +162,27 @@ def test_kept_counts_leave_a_workers_memory_usable():
     """MB by which a worker grows beyond the counts that it keeps, from the first that it keeps to the last."""
     said = subprocess.run([sys.executable, "-c", HOLDS], env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)}, capture_output=True, text=True, check=True)
     assert float(said.stdout) < 180
+
+
+def test_costs_are_those_of_a_plain_loop():
+    draw, sizes = np.random.default_rng(0), [0, 3, 256, 257, 700, 512, 1, 0]
+    slots = [(draw.normal(0, 1500, 1024).astype("<i2") << 2) | draw.integers(0, 4, 1024).astype("<i2") for _ in range(4)]
+    m = mixing.Mixer(mixing.Contexts((10,) * 4, (1, 2)), slots, (draw.random((16, 4)) / 2).astype(np.float32), draw.normal(0, 1, (16, 33)).astype(np.float32))
+    n, row = sum(sizes), np.repeat(np.arange(8), sizes)
+    d = mixing.Decisions([draw.integers(0, 1024, n) for _ in range(4)], draw.integers(0, 2, n).astype(np.int8), row)
+    found = m.costs(d, 8)
+    for r in range(8):
+        at, nats, moved, shift = np.flatnonzero(row == r).tolist(), 0.0, np.zeros(4), np.zeros(33)
+        for k in range(0, len(at), mixing.SLICE):
+            more, told = np.zeros(4), np.zeros(33)
+            for i in at[k : k + mixing.SLICE]:
+                raw = [int(t[s[i]]) for t, s in zip(slots, d.slots)]
+                x, gate, bit = np.array([v >> 2 for v in raw]) / 512, (raw[1] & 3) * 4 + (raw[2] & 3), int(d.bits[i])
+                mix = ((m.weights[gate] + moved) * x).sum()
+                level = int(min(max(mix * 2 + 16.5, 0), 32))
+                final = (mix + m.map[gate, level] + shift[level]) / 2
+                nats += math.log1p(math.exp(-final if bit else final))
+                more += (bit - 1 / (1 + math.exp(-mix))) * x
+                told[level] += bit - 1 / (1 + math.exp(-final))
+            moved, shift = moved + mixing.STEP * more, shift + mixing.MAP_STEP * told
+        assert abs(found[r] - nats) < 1e-5 * max(nats, 1)

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.words import U64, emit, mixed, opened, rows, squeezed, thrifty, word_hashes
+from wayfold.llm.words import OPEN, SQUEEZE, U64, emit, mixed, rows, thrifty, word_hashes
 from wayfold.sources.shared import discard, keep, shared_dir
 
 U32 = np.uint32
@@ -229,6 +229,20 @@ def byte_decisions(contexts: Contexts, words: list[bytes]) -> Decisions:
     return Decisions(slots, bits.ravel(), np.repeat(row, 8))
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers by byte planes, as many as the largest needs and led by how many."""
+    planes = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([planes]) + SQUEEZE.compress(b"".join((numbers >> 8 * k).astype(np.uint8).tobytes() for k in range(planes)))
+
+
+def opened(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(OPEN.decompress(memoryview(data)[1:]), np.uint8).reshape(data[0], -1)
+    found = planes[0].astype(kind)
+    for k in range(1, len(planes)):
+        found |= planes[k].astype(kind) << 8 * k
+    return found
+
+
 def packed(counts: np.ndarray) -> np.ndarray:
     """Pairs of counts as log-odds in 512ths, and in the two lowest bits how often they were seen."""
     n0, n1 = counts[0::2].astype(np.float32), counts[1::2].astype(np.float32)
@@ -283,7 +297,9 @@ class Mixer:
 
     @staticmethod
     def level(mix: np.ndarray) -> np.ndarray:
-        return np.clip(mix * 2 + 16.5, 0, LEVELS - 1).astype(np.intp)
+        at = mix * np.float32(2)
+        at += np.float32(16.5)
+        return np.minimum(np.maximum(at, 0, out=at), LEVELS - 1, out=at).astype(np.intp)
 
     def learn(self, d: Decisions, told: np.ndarray, rate: float, block: int = 8192) -> None:
         """Moves the weights along the decisions; adds to `told`, the adaptive map's counts."""
@@ -298,38 +314,69 @@ class Mixer:
                 self.weights[:, j] += rate * np.bincount(gate, wrong * x, GATES) / (n + 64)
 
     def costs(self, d: Decisions, n_rows: int) -> np.ndarray:
-        """Nats per row.  Each row's own weights and map move after every SLICE of its decisions."""
+        """Nats per row.  Each row's own weights and map move after every SLICE of its decisions.
+
+        Slices of the same turn of all rows are worked on together, each slice
+        a line of SLICE decisions, the longest rows first; a row's last slice is
+        filled up with decisions that nothing is known of and that don't count.
+        """
+        sizes = np.bincount(d.row, minlength=n_rows)
+        order = np.argsort(-sizes, kind="stable")
+        turns = -(-sizes // SLICE)
+        active = np.append(n_rows - np.searchsorted(np.sort(turns), np.arange(turns.max(initial=0)), side="right"), 0)  # rows that have such a turn
+        firsts = np.concatenate(([0], np.cumsum(active)))
+        line = firsts[np.concatenate([np.arange(n) for n in turns.tolist()])] + np.repeat(np.argsort(order), turns) if len(d.row) else np.zeros(0, np.intp)  # of each slice, row by row
+        held = np.full(len(line), SLICE)
+        held[np.cumsum(turns)[turns > 0] - 1] = (sizes - (turns - 1) * SLICE)[turns > 0]
+        place = np.repeat(line * SLICE - (np.cumsum(held) - held), held) + np.arange(len(d.row))
+        filled = np.zeros(len(line), dtype=np.intp)
+        filled[line] = held
+
+        def laid(x: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(line) * SLICE, dtype=x.dtype)
+            out[place] = x
+            return out.reshape(-1, SLICE)
+
         xs, gate = self.inputs(d)
-        mix, row, bits = self.mixes(xs, gate), d.row, d.bits
-        sizes = np.bincount(row, minlength=n_rows)
-        turn = (np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]) // SLICE
-        turns = int(turn.max(initial=0)) + 1
-        if turns > 1:  # slices of the same turn of all rows are worked on together
-            order = np.argsort(turn.astype(np.uint16) if turns < 1 << 16 else turn, kind="stable")  # short numbers are sorted by radix
-            xs, gate, mix, row, bits = [x[order] for x in xs], gate[order], mix[order], row[order], bits[order]
-        ends = np.cumsum(np.bincount(turn, minlength=turns))
-        moved, shift = np.zeros((len(xs), n_rows), dtype=np.float32), np.zeros(n_rows * LEVELS, dtype=np.float32)
-        nats, begin = np.zeros(n_rows), 0
-        for k, end in enumerate(ends.tolist()):
-            part = slice(begin, end)
-            own, now, said, begin = row[part], mix[part], bits[part], end
+        mix, sign = laid(self.mixes(xs, gate)), laid(d.bits * np.float32(2) - np.float32(1))  # one for a bit that was set, minus one for another
+        xs, gate, levels = [laid(x) for x in xs], laid(gate), self.map.ravel()
+        moved, shift = np.zeros((len(xs), n_rows, 1), dtype=np.float32), np.zeros(n_rows * LEVELS, dtype=np.float32)
+        base, nats = np.arange(n_rows)[:, None] * LEVELS, np.zeros(n_rows)
+        for k, (n, more) in enumerate(zip(active.tolist(), active[1:].tolist(), strict=False)):
+            part, go_on = slice(firsts[k], firsts[k + 1]), slice(firsts[k], firsts[k] + more)
+            now, said = mix[part], sign[part]
             if k:
                 for j, x in enumerate(xs):
-                    now += moved[j][own] * x[part]
+                    now += moved[j, :n] * x[part]
             level = self.level(now)
-            final = now + self.map[gate[part], level]
-            at = own * LEVELS + level
+            at = gate[part].astype(np.intp)
+            at *= LEVELS
+            at += level
+            final = levels.take(at)
+            final += now
+            level += base[:n]
             if k:
-                final += shift[at]
-            final *= np.float32(0.5)
-            if k + 1 < turns:
-                wrong = said - 1 / (1 + np.exp(-now))
+                final += shift.take(level)
+            final *= np.float32(-0.5)
+            final *= said
+            odds = np.exp(np.minimum(final, 40, out=final), out=final)  # against what happened
+            cost = odds + np.float32(1)
+            if more:  # only rows that go on learn; what happened less its probability is the signed probability of the other bit
+                wrong = now[:more] * said[:more]
+                np.exp(np.minimum(np.negative(wrong, out=wrong), 40, out=wrong), out=wrong)
+                wrong /= wrong + np.float32(1)
+                wrong *= said[:more]
                 for j, x in enumerate(xs):
-                    moved[j] += STEP * np.bincount(own, wrong * x[part], n_rows)
-                shift += MAP_STEP * np.bincount(at, said - 1 / (1 + np.exp(-final)), n_rows * LEVELS)
-            np.negative(final, out=final, where=said == 1)
-            nats += np.bincount(own, np.log1p(np.exp(np.clip(final, -40, 40, out=final))), n_rows)
-        return nats
+                    moved[j, :more, 0] += STEP * np.einsum("ij,ij->i", wrong, x[go_on])
+                odds = odds[:more] / cost[:more]
+                odds *= said[:more]
+                shift[: more * LEVELS] += MAP_STEP * np.bincount(level[:more].ravel(), odds.ravel(), more * LEVELS)
+            np.log(cost, out=cost)
+            cost[more:][np.arange(SLICE) >= filled[part][more:, None]] = 0
+            nats[:n] += cost.sum(axis=1, dtype=np.float64)
+        found = np.empty(n_rows)
+        found[order] = nats
+        return found
 
 
 def settled(told: np.ndarray) -> np.ndarray:
@@ -388,7 +435,7 @@ class Told:
                 else:
                     keys, place = np.unique(keys, return_inverse=True)
                     n = np.bincount(place, n).astype(np.int64)
-                own = [(squeezed(np.diff(keys, prepend=0), "<u4"), squeezed(n, "<i8"))] if len(keys) else []
+                own = [(squeezed(np.diff(keys, prepend=0)), squeezed(n))] if len(keys) else []
             yield from ((part, segment, *map(bytes, x)) for x in own)
         self.kept, self.size = {}, 0
 
@@ -420,7 +467,7 @@ class Told:
             cuts = [0, *(np.flatnonzero(segment[1:] != segment[:-1]) + 1).tolist(), len(keys)]
             for a, b in zip(cuts, cuts[1:]):
                 at = keys[a:b] - (segment[a] << wide)
-                yield self.first + k, int(segment[a]), squeezed(np.diff(at, prepend=0), "<u4"), squeezed(n[a:b], "<i8")
+                yield self.first + k, int(segment[a]), squeezed(np.diff(at, prepend=0)), squeezed(n[a:b])
         self.times, self.n = [], 0
 
 
@@ -437,7 +484,7 @@ def by_segment(parts: DataFrame, tables: list[Tables], hand_on: bool) -> DataFra
             put(paths[part], segment << segment_bits(sizes[part]), packed(total))
             if hand_on:
                 at = np.flatnonzero(total)
-                yield part, segment, squeezed(np.diff(at, prepend=0), "<u4"), squeezed(total[at], "<i8")
+                yield part, segment, squeezed(np.diff(at, prepend=0)), squeezed(total[at])
 
         def found() -> Iterator[tuple]:
             key, total = None, np.zeros(0)
@@ -459,12 +506,12 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def in_chunks(found: Iterator[tuple], at_most: int = TOKENS) -> Iterator[list[tuple]]:
-    """(words, ...) rows gathered until they hold so many words."""
+def in_chunks(found: Iterator[tuple], at_most: int = TOKENS, least: int = 1) -> Iterator[list[tuple]]:
+    """(words, ...) rows gathered until they hold so many words, each taken for `least` at least."""
     held, size = [], 0
     for row in found:
         held.append(row)
-        size += len(row[0]) + 1
+        size += max(len(row[0]) + 1, least)
         if size >= at_most:
             yield held
             held, size = [], 0
@@ -725,7 +772,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
         def found() -> Iterator[tuple]:
             nonlocal row
-            for held in in_chunks((tokens(t), d, len((t or "").encode())) for d, t in rows(batches, "doc_id", "text")):
+            for held in in_chunks(((tokens(t), d, len((t or "").encode())) for d, t in rows(batches, "doc_id", "text")), least=32):  # a row takes a whole slice
                 words = [h[0] for h in held]
                 symbols, lengths = voc.symbols(words)
                 nats = by_word.costs(word_decisions(by_word.contexts, symbols, lengths, voc.code), len(held))
