@@ -46,7 +46,7 @@ COMMON = 64
 #: Training documents with this remainder of crc32 modulo 7 fit the weights.
 FIT = 3
 #: Tables are added up in segments, of 2**16 slots or 512 a table; decisions that a task holds before it counts them, and bytes of counts before it adds and sends them.
-SEGMENT, HELD, KEPT = 16, 4_000_000, 48 << 20
+SEGMENT, HELD, KEPT = 16, 4_000_000, 96 << 20
 #: Tokens that are worked on at once, decisions after which a document's weights and map move, and how far each decision moves them.
 TOKENS, SLICE, STEP, MAP_STEP = 32_000, 256, 0.002, 0.02
 #: How fast the weights are learned.
